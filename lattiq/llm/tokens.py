@@ -122,23 +122,24 @@ class Encoder:
 
     def learn(self, keys: list[int], words: list[str]) -> None:
         """Words with one blank before them are encoded as one text, as they split apart again."""
-        joined = [len(w) > 1 and w[0] == " " and not w[1].isspace() for w in words]
-        ids: list[np.ndarray | None] = [None] * len(words)
-        run = [i for i, x in enumerate(joined) if x]
+        joined = np.array([len(w) > 1 and w[0] == " " and not w[1].isspace() for w in words])
+        run, rest = np.flatnonzero(joined).tolist(), np.flatnonzero(~joined).tolist()
+        parts, lengths = [], []
         if run:
-            got = self.whole(["".join(words[i] for i in run)])[0]
+            got = self.whole(["".join([words[i] for i in run])])[0]
             cuts = np.searchsorted(np.cumsum(self.id_bytes[got]), np.cumsum([len(words[i].encode()) for i in run])) + 1
-            for i, x in zip(run, np.split(got, cuts[:-1]), strict=True):
-                ids[i] = x
-        rest = [i for i, x in enumerate(joined) if not x]
-        for i, x in zip(rest, self.whole([words[i] for i in rest]), strict=True):
-            ids[i] = x
-        new = np.concatenate(ids)
-        ends = self.used + np.cumsum([len(x) for x in ids])
+            parts.append(got)
+            lengths.append(np.diff(cuts, prepend=0))
+        if rest:
+            each = self.whole([words[i] for i in rest])
+            parts += each
+            lengths.append(np.array([len(x) for x in each], np.int64))
+        ends = self.used + np.cumsum(np.concatenate(lengths))
         if ends[-1] > len(self.flat):
             self.flat = np.concatenate([self.flat[: self.used], np.zeros(max(ends[-1], 2 * len(self.flat)) - self.used, np.uint32)])
-        self.flat[self.used : ends[-1]] = new
-        self.slots.update(zip(keys, range(len(self.begins) - 1, len(self.begins) - 1 + len(keys)), strict=True))
+        self.flat[self.used : ends[-1]] = np.concatenate(parts)
+        first = len(self.begins) - 1
+        self.slots.update(zip([keys[i] for i in run + rest], range(first, first + len(keys)), strict=True))
         self.begins, self.used = np.concatenate([self.begins, ends]), int(ends[-1])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
