@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from lattiq.llm import mixing, tokens
+from lattiq.llm import language, mixing, quality, tokens, toxicity
 
 QUERIES = {
+    "op1_quality": quality.op1_quality,
+    "op3_language": language.op3_language,
     "op5_token_planes": tokens.op5_token_planes,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op10_mixing": mixing.op10_mixing,
 }
 
