@@ -163,9 +163,11 @@ class Network:
 def sample_windows(docs: DataFrame, folds: int = FOLDS, held: int = HELD) -> DataFrame:
     """(doc_id, lang, piece) for training: windows spread over the whole texts of sampled documents."""
     known = docs.where((fold(F.col("doc_id"), folds) != held) & F.col("lang").isNotNull() & (F.col("lang") != UNKNOWN))
-    shares = known.groupBy("lang").agg(F.least(F.lit(1.0), DOCUMENTS / F.count("*")).alias("_share"))
-    chosen = known.select("doc_id", "lang", "text").join(shares, "lang")
-    chosen = chosen.where((F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 20)) < F.col("_share") * (1 << 20)) & F.col("text").rlike(r"\p{L}"))
+    counts = known.groupBy("lang").count().collect()  # a row for each language, as the network has a column for each
+    if not counts:
+        return docs.sparkSession.createDataFrame([], "doc_id long, lang string, piece binary")
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, DOCUMENTS / r["count"]))])[F.col("lang")]
+    chosen = known.where((F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 20)) < share * (1 << 20)) & F.col("text").rlike(r"\p{L}"))
 
     def cut(batches):
         for batch in batches:
