@@ -87,19 +87,19 @@ def log_ratio(codes: np.ndarray, ordinary: np.ndarray, toxic: np.ndarray) -> np.
         with np.errstate(divide="ignore", invalid="ignore"):
             mine = np.maximum(c - DISCOUNT, 0) / total + DISCOUNT * kinds / total * lower
         p = np.where(total > 0, mine, lower).ravel()
-    lower = np.tile(p, SYMBOLS)  # of the top order's n-grams
-    out = np.zeros(size, np.float32)
-    for sign, counts in ((-1, ordinary), (1, toxic)):
-        context = codes >> BITS
+    lower = p[codes & (SYMBOLS ** (ORDER - 1) - 1)]
+    context, logs = codes >> BITS, []
+    for counts in (ordinary, toxic):
         total = np.bincount(context, counts, SYMBOLS ** (ORDER - 1))
         kinds = np.bincount(context, counts > 0, SYMBOLS ** (ORDER - 1))
-        weight = np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1).astype(np.float32)
-        prob = np.repeat(weight, SYMBOLS)
-        prob *= lower
-        has = counts > 0
-        prob[codes[has]] += ((counts[has] - DISCOUNT) / total[context[has]]).astype(np.float32)
-        out += sign * np.log(prob)
-    return np.clip(np.rint(out * STEP), -127, 127).astype(np.int8)
+        weight = np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1)
+        own = np.maximum(counts - DISCOUNT, 0) / np.maximum(total[context], 1)
+        logs.append((np.log(weight), np.log(own + weight[context] * lower)))
+    # an n-gram unseen in both classes has the weights of its context times the same shared probability
+    steps = lambda k: np.clip(np.rint((logs[1][k] - logs[0][k]) * STEP), -127, 127).astype(np.int8)
+    out = np.repeat(steps(0), SYMBOLS)
+    out[codes] = steps(1)
+    return out
 
 
 def features(data: np.ndarray, offsets: np.ndarray, ratios: np.ndarray) -> np.ndarray:
