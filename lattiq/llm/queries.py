@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from lattiq.llm import language, mixing, quality, tokens, toxicity
+from lattiq.llm import language, mixing, neardup, quality, tokens, toxicity
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op3_language": language.op3_language,
     "op5_token_planes": tokens.op5_token_planes,
+    "op6_neardup": neardup.op6_neardup,
     "op7_toxicity": toxicity.op7_toxicity,
     "op10_mixing": mixing.op10_mixing,
 }
 
 ORACLE_SQL = {
+    "op6_neardup": neardup.OP6_SQL,
     "op10_mixing": mixing.OP10_SQL,
 }
