@@ -183,7 +183,7 @@ def confirmed(docs: DataFrame, family: DataFrame, words: int, level: int) -> Dat
     blocks = family.join(sizes, "family").where("members > 1").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
     blocks = blocks.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    rows = texts.join(blocks, "id").select("id", "family", "block", "blocks", "text")
+    rows = texts.hint("merge").join(blocks, "id")  # one plan at every size.select("id", "family", "block", "blocks", "text")
 
     def sets(batches):
         for batch in batches:
