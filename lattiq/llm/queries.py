@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from lattiq.llm import language, mixing, neardup, quality, tokens, toxicity
+from lattiq.llm import html, language, mixing, neardup, quality, tokens, toxicity, vectors
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
+    "op2_html": html.op2_html,
     "op3_language": language.op3_language,
     "op5_token_planes": tokens.op5_token_planes,
     "op6_neardup": neardup.op6_neardup,
     "op7_toxicity": toxicity.op7_toxicity,
+    "op9_vectors": vectors.op9_vectors,
     "op10_mixing": mixing.op10_mixing,
 }
 
 ORACLE_SQL = {
+    "op9_vectors": vectors.OP9_SQL,
     "op6_neardup": neardup.OP6_SQL,
     "op10_mixing": mixing.OP10_SQL,
 }
