@@ -1,8 +1,59 @@
-"""A corpus pipeline of training-data operators."""
+"""A corpus pipeline of training-data operators: each stage is written as Parquet and read again.
 
+A stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; all but the last return
+the columns of documents, the last reads its token files back: (doc_id, start, n_tokens, ids_crc32) for
+every copy of a document in the mix.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from lattiq.llm import decontaminate, mixing, neardup, quality, tokens
+from lattiq.llm.common import Stash, new_path, table
+
+#: The models and files of the stages have no SQL; the tests hold run() against the stages' plain forms.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    rows = Stash(quality.featured(docs), "quality").df
+    return quality.keep_good(docs, quality.fit_labelled(rows, table(spark, sf_dir, "labels")))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays."""
+    gone = neardup.near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    return mixing.mix(docs)
+
+
+def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token shards of the mix, read back."""
+    return tokens.read_tokens(spark, tokens.write_tokens(docs, new_path(spark, "tokens")), with_ids=False)
+
+
+STAGES = [
+    ("quality", quality_filter),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", decontaminated),
+    ("mixing", mixed),
+    ("tokens", token_files),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = Stash(stage(spark, docs, sf_dir), f"stage-{name}").df
+    return docs

@@ -208,7 +208,7 @@ def template_keys(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float
     def keys(batches):
         for batch in batches:
             host_out, key_out = [], []
-            for host, page in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for host, page in zip(batch.column("host").to_pylist(), batch.column("html")):
                 found = {*subtree_keys(host, parse(page.as_py() or "")[1]).values()}
                 host_out += [host] * len(found)
                 key_out += found
@@ -234,12 +234,11 @@ def extract(pages: DataFrame, broadcast_hashes: int = BROADCAST_HASHES, min_page
     def texts(batches):
         known = {int(k) for k in sent.value} if sent is not None else set()
         for batch in batches:
-            columns = [batch.column(k).to_pylist() for k in (0, 1, 3)]
             out = []
-            for i, (_, _, host) in enumerate(zip(*columns)):
-                mine = known if sent is not None else set(batch.column(4)[i].as_py() or ())
-                out.append(extract_text(batch.column(2)[i].as_py(), host, mine.__contains__ if mine else None))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+            for i, host in enumerate(batch.column("host").to_pylist()):
+                mine = known if sent is not None else set(batch.column("keys")[i].as_py() or ())
+                out.append(extract_text(batch.column("html")[i].as_py(), host, mine.__contains__ if mine else None))
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return fields.mapInArrow(texts, "page_id long, url string, text string, n_chars long")
 

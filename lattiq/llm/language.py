@@ -171,17 +171,17 @@ def sample_windows(docs: DataFrame, folds: int = FOLDS, held: int = HELD) -> Dat
 
     def cut(batches):
         for batch in batches:
-            data, offsets = raw_text(batch.column(2))
+            data, offsets = raw_text(batch.column("text"))
             data, ids, langs, pieces_of = fold_case(data), [], [], []
             for i, (a, b) in enumerate(zip(offsets.tolist(), offsets[1:].tolist())):
                 for j in range(WINDOWS):
                     s = a + max(0, b - a - WINDOW) * j // max(1, WINDOWS - 1)
-                    ids.append(batch.column(0)[i].as_py())
-                    langs.append(batch.column(1)[i].as_py())
+                    ids.append(batch.column("doc_id")[i].as_py())
+                    langs.append(batch.column("lang")[i].as_py())
                     pieces_of.append(data[s : min(b, s + WINDOW)].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(langs, pa.string()), pa.array(pieces_of, pa.binary())], names=["doc_id", "lang", "piece"])
 
-    return chosen.select(F.col("doc_id").cast("long"), "lang", "text").mapInArrow(cut, "doc_id long, lang string, piece binary")
+    return chosen.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").mapInArrow(cut, "doc_id long, lang string, piece binary")
 
 
 def fit(docs: DataFrame, folds: int = FOLDS, held: int = HELD) -> Network:
@@ -203,8 +203,8 @@ def predict(docs: DataFrame, net: Network) -> DataFrame:
 
     def labelled(batches):
         for batch in batches:
-            data, offsets = raw_text(batch.column(1))
-            letters = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            data, offsets = raw_text(batch.column("text"))
+            letters = batch.column("letters").to_numpy(zero_copy_only=False).astype(bool)
             for lo, hi in pieces(offsets, 1 << 20):
                 if len(names) > 1:
                     p = net.documents(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1])
@@ -212,7 +212,7 @@ def predict(docs: DataFrame, net: Network) -> DataFrame:
                 else:
                     best, score = np.zeros(hi - lo, np.int64), np.zeros(hi - lo)
                 best, score = np.where(letters[lo:hi], best, len(names) - 1), np.where(letters[lo:hi], score, 0.0)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(names[best].tolist(), pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(names[best].tolist(), pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"))
     return rows.mapInArrow(labelled, "doc_id long, lang_pred string, score double")

@@ -155,7 +155,7 @@ def digests(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
     def rows(batches):
         for batch in batches:
-            data, offsets = raw_text(batch.column(1))
+            data, offsets = raw_text(batch.column("text"))
             for lo, hi in pieces(offsets, 1 << 20):
                 h, at = shingles(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1], words)
                 sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(h ^ np.uint64(salt)))]) for salt in (0x51, 0xA7)]
@@ -164,7 +164,7 @@ def digests(docs: DataFrame, words: int = WORDS) -> DataFrame:
                 keys = band_keys(signatures(h, at)).view(np.int64)
                 cut = np.concatenate([[0], np.cumsum(np.where(n > 0, BANDS, 0))]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(cut), pa.array(keys[n > 0].ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n), pa.array(d1), pa.array(d2), lists], names=["doc_id", "n", "d1", "d2", "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(n), pa.array(d1), pa.array(d2), lists], names=["doc_id", "n", "d1", "d2", "keys"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, "doc_id long, n long, d1 long, d2 long, keys array<long>")
 
@@ -187,11 +187,11 @@ def confirmed(docs: DataFrame, family: DataFrame, words: int, level: int) -> Dat
 
     def sets(batches):
         for batch in batches:
-            data, offsets = raw_text(batch.column(4))
+            data, offsets = raw_text(batch.column("text"))
             for lo, hi in pieces(offsets, 1 << 20):
                 h, at = shingles(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1], words)
                 lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(h.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([*[batch.column(k).slice(lo, hi - lo) for k in range(4)], lists], names=["id", "family", "block", "blocks", "shingles"])
+                yield pa.RecordBatch.from_arrays([*[batch.column(k).slice(lo, hi - lo) for k in ("id", "family", "block", "blocks")], lists], names=["id", "family", "block", "blocks", "shingles"])
 
     made = rows.mapInArrow(sets, "id long, family long, block int, blocks int, shingles array<long>")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))

@@ -100,10 +100,10 @@ def featured(docs: DataFrame) -> DataFrame:
 
     def rows(batches):
         for batch in batches:
-            data, offsets = raw_text(batch.column(1))
+            data, offsets = raw_text(batch.column("text"))
             for lo, hi in pieces(offsets):
                 x = features(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "x"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "x"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, "doc_id long, x array<double>")
 
@@ -236,8 +236,8 @@ def score(rows: DataFrame, model: Additive) -> DataFrame:
 
     def scored(batches):
         for batch in batches:
-            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x))], names=["doc_id", "score"])
+            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, len(FEATURES))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.score(x))], names=["doc_id", "score"])
 
     return rows.mapInArrow(scored, "doc_id long, score double")
 
@@ -245,12 +245,14 @@ def score(rows: DataFrame, model: Additive) -> DataFrame:
 def keep_good(docs: DataFrame, model: Additive, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that reach the threshold, with all their columns."""
 
+    names = docs.columns
+
     def kept(batches):
         for batch in batches:
-            data, offsets = raw_text(batch.column(batch.schema.get_field_index("text")))
+            data, offsets = raw_text(batch.column("text"))
             for lo, hi in pieces(offsets):
                 good = model.score(features(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1])) >= threshold
-                yield batch.slice(lo, hi - lo).filter(pa.array(good))
+                yield batch.select(names).slice(lo, hi - lo).filter(pa.array(good))
 
     return docs.mapInArrow(kept, docs.schema)
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from lattiq.llm import html, language, mixing, neardup, quality, tokens, toxicity, vectors
+from lattiq.llm import decontaminate, html, language, mixing, neardup, quality, tokens, toxicity, vectors
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op2_html": html.op2_html,
     "op3_language": language.op3_language,
+    "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_token_planes": tokens.op5_token_planes,
     "op6_neardup": neardup.op6_neardup,
     "op7_toxicity": toxicity.op7_toxicity,

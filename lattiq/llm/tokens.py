@@ -300,8 +300,8 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None, end
         where, root = _open(folder)
         enc = encoder(tokenizer)
         for batch in batches:
-            data, offsets = raw_text(batch.column(1))
-            ids_of_rows = batch.column(0).to_pylist()
+            data, offsets = raw_text(batch.column("text"))
+            ids_of_rows = batch.column("doc_id").to_pylist()
             for lo, hi in pieces(offsets, 1 << 20):
                 if writer is None:
                     name = f"{root}/shard-{task.partitionId():07d}"
@@ -335,7 +335,7 @@ def read_tokens(spark: SparkSession, manifest: list[dict], with_ids: bool = True
 
     def read(batches):
         for batch in batches:
-            for path, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for path, start in zip(batch.column("path").to_pylist(), batch.column("start").to_pylist()):
                 where, name = _open(path)
                 with where.open_input_file(name) as source:
                     shard = ShardReader(source)

@@ -148,8 +148,8 @@ def count_ngrams(rows: DataFrame) -> DataFrame:
     def count(batches):
         held = [[np.zeros(0, np.int32), np.zeros(0, np.int64)] for _ in range(2)]
         for batch in batches:
-            y = batch.column(1).to_numpy(zero_copy_only=False)
-            data, offsets = raw_text(batch.column(0))
+            y = batch.column("y").to_numpy(zero_copy_only=False)
+            data, offsets = raw_text(batch.column("text"))
             for lo, hi in pieces(offsets):
                 codes, starts = codes_of(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1])
                 toxic = np.repeat(y[lo:hi] == 1, np.diff(starts))
@@ -181,10 +181,10 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", folds: int =
 
     def featured(batches):
         for batch in batches:
-            data, offsets = raw_text(batch.column(0))
+            data, offsets = raw_text(batch.column("text"))
             for lo, hi in pieces(offsets):
                 x = features(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1], sent.value)
-                yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1]), batch.column(1).slice(lo, hi - lo)], names=["a", "b", "y"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1]), batch.column("y").slice(lo, hi - lo)], names=["a", "b", "y"])
 
     sample = rows.where(left_out & few).select("text", "y").mapInArrow(featured, "a double, b double, y int").toPandas()
     sent.unpersist()
@@ -200,10 +200,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def scored(batches):
         for batch in batches:
-            data, offsets = raw_text(batch.column(1))
+            data, offsets = raw_text(batch.column("text"))
             for lo, hi in pieces(offsets):
                 s = sent.value.score(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(s)], names=["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(s)], names=["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scored, "doc_id long, score double")
 
