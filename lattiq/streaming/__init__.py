@@ -1,0 +1 @@
+"""No streaming operators: the engine works on static panels."""
