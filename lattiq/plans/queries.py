@@ -505,7 +505,7 @@ def fe_ridge_cv(s, d):
 def _flat(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows (window, entity) with X (features, lags) and Y (features); unseen targets are zero after centring."""
     names, f = np.unique(rows["feature"].astype(str), return_inverse=True)
-    key, r = np.unique(rows["win"].to_numpy() * (1 << 40) + rows["entity"].to_numpy(), return_inverse=True)
+    key, r = np.unique(rows["win"].to_numpy().astype(np.int64) * (1 << 40) + rows["entity"].to_numpy(), return_inverse=True)
     x, y, seen = np.zeros((len(key), len(names), 2)), np.zeros((len(key), len(names))), np.zeros((len(key), len(names)), bool)
     x[r, f] = np.array([[v or 0.0 for v in z] for z in rows["x"]], float)
     y[r, f], seen[r, f] = rows["y"].fillna(0), rows["y"].notna()
