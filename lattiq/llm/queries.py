@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lattiq.llm import decontaminate, html, language, mixing, neardup, quality, tokens, toxicity, vectors
+from lattiq.llm import decontaminate, html, language, mixing, neardup, quality, suffixes, tokens, toxicity, vectors
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_token_planes": tokens.op5_token_planes,
     "op6_neardup": neardup.op6_neardup,
     "op7_toxicity": toxicity.op7_toxicity,
+    "op8_suffixes": suffixes.op8_suffixes,
     "op9_vectors": vectors.op9_vectors,
     "op10_mixing": mixing.op10_mixing,
 }
