@@ -139,7 +139,7 @@ class Model:
 
 def _labelled(docs: DataFrame, labels: DataFrame, target: str, folds: int, held: int) -> DataFrame:
     known = labels.where(F.col(target).isin(0, 1)).select("doc_id", F.col(target).cast("int").alias("y"))
-    return docs.where(fold(F.col("doc_id"), folds) != held).select("doc_id", "text").join(known, "doc_id")
+    return docs.where(fold(F.col("doc_id"), folds) != held).select("doc_id", "text").hint("merge").join(known, "doc_id")
 
 
 def count_ngrams(rows: DataFrame) -> DataFrame:
