@@ -2,17 +2,20 @@
 
 Equal strings must meet in one shard whatever documents hold them, so shards are cut by content: every
 window of LENGTH bytes has the least hash of its GRAM-byte substrings as key, and neighbouring windows of
-equal key make one segment. Keys that occur in one document only are left out; equal segments are
-kept once with the smallest document that has them, so a passage that a third of all documents
-share is one segment. Within a shard the segments are suffix-sorted by induced sorting: suffixes left of
-larger ones are ranked by recursion on their named substrings, all others are induced bucket by bucket
+equal key make one segment. Of equal texts only the first document's is cut; the others go whole. Keys
+that occur in one document only are left out. A task passes on a segment only where it first meets it,
+and settles the later documents that hold it itself, so a passage that a third of all documents share
+comes once from each task. Within a shard the segments are suffix-sorted by induced sorting: suffixes left
+of larger ones are ranked by recursion on their named substrings, all others are induced bucket by bucket
 from queues kept in one array, which lies in a file of the task's own folder beyond MEMORY suffixes.
 Runs of suffixes whose common prefix reaches LENGTH are equal windows; each takes the smallest document
 of its run.
 
 Differences from the named method: the queues hold positions, and a symbol before a position is read
 from the text, in place of tuples that carry symbols and common-prefix values; common prefixes are only
-compared with LENGTH after sorting; below the second level, names are ranked by prefix doubling.
+compared with LENGTH after sorting; the names of the first level are ranked by prefix doubling.
+
+Equal texts are known by their 128-bit MD5.
 
 Defined results: null texts are empty; texts shorter than LENGTH keep all bytes; rows with a null doc_id
 are not compared and keep all bytes; rows that repeat a doc_id are copies of one document and don't count
@@ -26,13 +29,16 @@ import tempfile
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattiq.llm.common import Stash, mix64, pieces, powers, raw_text, table
+from lattiq.llm.common import mix64, pieces, powers, raw_text, table
 
 LENGTH, GRAM = 50, 16
 SHARD_BYTES, MEMORY = 4 << 20, 1 << 25
+#: Segments that a task remembers; with more it starts anew and only passes on more of them.
+SEEN = 1 << 18
 _R = 0x9E3779B97F4A7C15
 
 
@@ -89,11 +95,12 @@ def _queue(n: int) -> np.ndarray:
 def suffix_order(s: np.ndarray, level: int = 0) -> np.ndarray:
     """Starts of the suffixes of s in ascending order; the last symbol is the smallest and occurs once."""
     n = len(s)
-    if n < 64 or level > 1:
+    if n < 64 or level:
         return _doubling(s)
+    narrow = np.uint16 if s.max() < 1 << 16 else np.int64  # sorted by radix
     differs = np.append(s[1:] != s[:-1], True)
     nxt = np.flatnonzero(differs)
-    at = nxt[np.searchsorted(nxt, np.arange(n))]
+    at = np.repeat(nxt, np.diff(nxt, prepend=-1))
     small = np.ones(n, bool)  # the suffix is smaller than the next
     small[: n - 1] = s[at[:-1]] < s[np.minimum(at[:-1] + 1, n - 1)]
     lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
@@ -112,7 +119,7 @@ def suffix_order(s: np.ndarray, level: int = 0) -> np.ndarray:
             if not len(pos):
                 return
             c = s[pos]
-            by = np.argsort(c, kind="stable")
+            by = np.argsort(c.astype(narrow), kind="stable")
             pos, c = pos[by], c[by]
             cut = np.flatnonzero(np.append(True, c[1:] != c[:-1]))
             kinds, count = c[cut], np.diff(np.append(cut, len(c)))
@@ -141,7 +148,7 @@ def suffix_order(s: np.ndarray, level: int = 0) -> np.ndarray:
         out[0] = n - 1
         return out
 
-    order = induce(lms[np.argsort(s[lms], kind="stable")])
+    order = induce(lms[np.argsort(s[lms].astype(narrow), kind="stable")])
     is_lms = np.zeros(n + 1, bool)
     is_lms[lms] = True
     sorted_lms = np.asarray(order[is_lms[order]])
@@ -174,12 +181,16 @@ def least_documents(segments: list[bytes], lows: np.ndarray) -> list[np.ndarray]
         text[at : at + len(x)] = np.frombuffer(x, np.uint8).astype(np.int64) + 2
         text[at + len(x)] = 1
     order = suffix_order(text)
-    segment = np.minimum(np.searchsorted(starts, np.arange(len(text)), "right") - 1, len(segments) - 1)
+    segment = np.append(np.repeat(np.arange(len(segments)), lengths + 1), len(segments) - 1)
     whole = np.arange(len(text)) - starts[segment] <= lengths[segment] - LENGTH
     order = np.asarray(order[whole[order]])
     equal = np.ones(max(len(order) - 1, 0), bool)
-    for k in range(LENGTH):
-        equal &= text[order[1:] + k] == text[order[:-1] + k]
+    octets = np.zeros(len(text), np.uint64)  # eight bytes from each position; windows hold text only
+    for k in range(8):
+        octets[: len(text) - k] |= (text[k:] - 2).astype(np.uint64) % 256 << np.uint64(8 * k)
+    for k in [*range(0, LENGTH - 8, 8), LENGTH - 8]:
+        part = octets[order + k]
+        equal &= part[1:] == part[:-1]
     begin = np.flatnonzero(np.append(True, ~equal))
     low = np.minimum.reduceat(lows[segment[order]], begin)
     out = np.zeros(len(text), np.int64)
@@ -190,51 +201,160 @@ def least_documents(segments: list[bytes], lows: np.ndarray) -> list[np.ndarray]
 # ---------------------------------------------------------------- over Spark
 
 
+def _segments(batch: pa.RecordBatch):
+    """Arrays (row, start, bytes, key) of the segments of a batch's texts, piece by piece, with the piece's bytes."""
+    data, offsets = raw_text(batch.column("text"))
+    for lo, hi in pieces(offsets, 1 << 20):
+        row, start, n, key = run_keys(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1])
+        yield data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], lo + row, row, start, n, key.view(np.int64)
+
+
+def _keys(batches):
+    """(at, key, doc_id, known): a key in two documents of one piece is known to be shared. Of such only two rows
+    go to the key's partition, the rest to their document's, which need not learn anything more."""
+    for batch in batches:
+        batch = batch.filter(pc.greater(batch.column("text_no"), 0))
+        ids = batch.column("doc_id").to_numpy()
+        for _, _, row, _, _, _, key in _segments(batch):
+            doc = ids[row]
+            by = np.lexsort((doc, key))
+            key, doc = key[by], doc[by]
+            first = np.append(True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]))[: len(key)]
+            key, doc = key[first], doc[first]
+            begin = np.append(True, key[1:] != key[:-1])[: len(key)]
+            nth = np.arange(len(key)) - np.repeat(np.flatnonzero(begin), np.diff(np.append(np.flatnonzero(begin), len(key))))
+            at = np.where(nth < 2, key, doc)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(key), pa.array(doc), pa.array(nth >= 2)], names=["at", "key", "doc_id", "known"])
+
+
+def _shared(batches):
+    """(key, doc_id) of keys that occur in two documents, from rows in the order of their keys."""
+    key, doc = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    held = False  # the open key is shared already; its rows so far are out
+
+    def settle(key, doc, held, last):
+        """Rows to emit, and what stays open."""
+        if not len(key):
+            return (key, doc), key, doc, held
+        begin = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        length = np.diff(np.append(begin, len(key)))
+        shared = np.minimum.reduceat(doc, begin) < np.maximum.reduceat(doc, begin)
+        shared[0] |= held
+        out = np.repeat(shared, length)
+        if not last and not shared[-1]:
+            keep = slice(begin[-1], begin[-1] + 1)
+            return (key[out], doc[out]), key[keep], doc[keep], False
+        return (key[out], doc[out]), key[-1:], doc[-1:], bool(shared[-1])
+
+    for batch in batches:
+        known = batch.column("known").to_numpy(zero_copy_only=False)
+        k, d = batch.column("key").to_numpy(), batch.column("doc_id").to_numpy()
+        yield pa.RecordBatch.from_arrays([pa.array(k[known]), pa.array(d[known])], names=["key", "doc_id"])
+        key, doc = np.concatenate([key, k[~known]]), np.concatenate([doc, d[~known]])
+        (a, b), key, doc, held = settle(key, doc, held, False)
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["key", "doc_id"])
+
+
+def _found(batches):
+    """(doc_id, text_no, start, n, segment): segments of wanted keys; a null segment is one that a smaller document
+    of this task has too, so that it goes whole."""
+    seen: dict[bytes, int] = {}
+    for batch in batches:
+        batch = batch.filter(pc.and_(pc.greater(batch.column("text_no"), 0), batch.column("keys").is_valid()))
+        ids, no = batch.column("doc_id").to_numpy(), batch.column("text_no").to_numpy()
+        keys = batch.column("keys")
+        of, wanted = np.repeat(np.arange(len(ids)), keys.value_lengths().to_numpy(zero_copy_only=False)), keys.flatten().to_numpy()
+        for data, offsets, row, local, start, n, key in _segments(batch):
+            lo, hi = (row[0], row[-1] + 1) if len(row) else (0, 0)
+            part = slice(np.searchsorted(of, lo), np.searchsorted(of, hi))
+            pair = np.zeros(len(row) + part.stop - part.start, [("row", np.int64), ("key", np.int64)])
+            pair["row"], pair["key"] = np.concatenate([row, of[part]]), np.concatenate([key, wanted[part]])
+            by = np.lexsort((pair["key"], pair["row"]))
+            p = pair[by]
+            group = np.cumsum(np.append(0, (p["key"][1:] != p["key"][:-1]) | (p["row"][1:] != p["row"][:-1])))[: len(p)]
+            asked = np.zeros(int(group[-1]) + 1 if len(group) else 0, bool)
+            asked[group[by >= len(row)]] = True
+            take = np.zeros(len(pair), bool)
+            take[by] = asked[group]
+            take = np.flatnonzero(take[: len(row)])
+            at, raw = (offsets[local] + start)[take], data.tobytes()
+            segments, r, n = [], row[take], n[take]
+            for a, size, doc in zip(at.tolist(), n.tolist(), ids[r].tolist()):
+                x = raw[a : a + size]
+                low = seen.get(x)
+                if low is not None and low < doc:
+                    segments.append(None)
+                    continue
+                if len(seen) >= SEEN:
+                    seen.clear()
+                seen[x] = doc
+                segments.append(x)
+            cols = [ids[r], no[r], start[take].astype(np.int32), n.astype(np.int32), key[take]]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(segments, pa.binary())], names=["doc_id", "text_no", "start", "n", "key", "segment"])
+
+
+def _sort(t: pa.Table) -> pa.Table:
+    """Spans of a shard's rows that a smaller document has too; rows without segment are such spans themselves."""
+    own = t.filter(t.column("segment").is_valid())
+    rest = t.filter(t.column("segment").is_null())
+    doc, start = own.column("doc_id").to_numpy(), own.column("start").to_numpy().astype(np.int64)
+    index: dict[bytes, int] = {}
+    kind = np.array([index.setdefault(x, len(index)) for x in own.column("segment").to_pylist()], np.int64)
+    at, begin, end = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if len(index):
+        lows = np.full(len(index), np.iinfo(np.int64).max)
+        np.minimum.at(lows, kind, doc)
+        least = least_documents(list(index), lows)
+        size = np.array([len(x) for x in least])
+        flat, first = np.concatenate(least), np.cumsum(size) - size
+        at = np.repeat(np.arange(len(doc)), size[kind])
+        nth = np.arange(len(at)) - np.repeat(np.cumsum(size[kind]) - size[kind], size[kind])
+        gone = flat[first[kind[at]] + nth] < doc[at]
+        at, begin = at[gone], start[at[gone]] + nth[gone]
+        new = np.flatnonzero(np.append(True, (at[1:] != at[:-1]) | (begin[1:] != begin[:-1] + 1))[: len(at)])
+        end = (begin[np.append(new[1:], len(at)) - 1] if len(at) else begin) + LENGTH
+        at, begin = at[new], begin[new]
+    spans = pa.table({"doc_id": doc[at], "text_no": own.column("text_no").to_numpy()[at], "start": begin.astype(np.int32), "n": (end - begin).astype(np.int32)})
+    return pa.concat_tables([spans, rest.select(["doc_id", "text_no", "start", "n"]).cast(spans.schema)])
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) of every row; kept: the bytes that stay."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    known = rows.where("doc_id is not null")
-
-    def cut(batches):
-        for batch in batches:
-            data, offsets = raw_text(batch.column("text"))
-            ids = batch.column("doc_id").to_numpy()
-            for lo, hi in pieces(offsets, 1 << 20):
-                row, start, n, key = run_keys(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1])
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[lo + row]), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))], names=["key", "doc_id", "start", "n"])
-
-    runs = Stash(known.mapInArrow(cut, "key long, doc_id long, start int, n int"), "runs").df
-    shared = runs.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("key")
-    wanted = runs.join(shared, "key").groupBy("doc_id").agg(F.collect_list(F.struct("key", "start", "n")).alias("runs"))
-    text = known.withColumn("data", F.coalesce("text", F.lit("")).cast("binary")).select("doc_id", "data")
-    held = text.hint("merge").join(wanted, "doc_id")
-    found = held.select("doc_id", F.explode(F.transform("runs", lambda r: F.struct(r["key"].alias("key"), r["start"].alias("start"), F.substring(F.col("data"), r["start"] + 1, r["n"]).alias("segment")))).alias("r")).select("doc_id", "r.*")
-    found = Stash(found.distinct(), "segments").df
-    distinct = found.groupBy("key", "segment").agg(F.min("doc_id").alias("low"))
-    shards = F.greatest(F.lit(1), F.ceil(F.sum(F.length("segment") + 1) / SHARD_BYTES)).alias("shards")
-    count = found.agg(shards).first()["shards"] or 1
-
-    def sort(t: pa.Table) -> pa.Table:
-        segments = t.column("segment").to_pylist()
-        lows = least_documents(segments, t.column("low").to_numpy())
-        return pa.table({"key": t.column("key"), "segment": t.column("segment"), "lows": pa.array([x.tolist() for x in lows], pa.list_(pa.int64()))})
-
-    sorted_ = distinct.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(count))).groupBy("shard").applyInArrow(sort, "key long, segment binary, lows array<long>")
-    flagged = found.join(sorted_, ["key", "segment"]).select("doc_id", F.filter(F.transform("lows", lambda x, i: F.when(x < F.col("doc_id"), F.col("start") + i)), lambda x: x.isNotNull()).alias("at"))
-    gone = flagged.where(F.size("at") > 0).groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("at")))).alias("at"))
-    joined = rows.hint("merge").join(gone, "doc_id", "left").select("doc_id", "text", "at")
+    md5 = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+    firsts = rows.where("doc_id is not null").groupBy(F.unhex(md5).alias("cls")).agg(F.min("doc_id").alias("doc_id"))
+    firsts = firsts.groupBy("doc_id").agg(F.array_sort(F.collect_list("cls")).alias("firsts"))
+    # every use of the texts has this form, so that they are dealt by document once; text_no is 0 where a smaller
+    # document has the same text
+    texts = rows.hint("merge").join(firsts, "doc_id", "left").withColumn("text_no", F.coalesce(F.array_position("firsts", F.unhex(md5)).cast("int"), F.lit(0))).drop("firsts")
+    pairs = texts.select("doc_id", "text", "text_no").mapInArrow(_keys, "at long, key long, doc_id long, known boolean")
+    shared = pairs.repartition("at").sortWithinPartitions("key").drop("at").mapInArrow(_shared, "key long, doc_id long")
+    wanted = shared.groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
+    held = texts.join(wanted.hint("merge"), "doc_id", "left")  # filtered in Python: a filter here would turn the join into another and deal the texts again
+    found = held.select("doc_id", "text", "text_no", "keys").mapInArrow(_found, "doc_id long, text_no int, start int, n int, key long, segment binary")
+    size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    count = max(1, -(-size // SHARD_BYTES))
+    # what is settled already needs no sorting and is dealt at random
+    shard = F.pmod(F.when(F.col("segment").isNull(), F.xxhash64("doc_id", "start")).otherwise(F.xxhash64("key")), F.lit(count))
+    spans = found.withColumn("shard", shard).drop("key").groupBy("shard").applyInArrow(_sort, "doc_id long, text_no int, start int, n int")
+    gone = spans.groupBy("doc_id").agg(F.collect_list(F.struct("text_no", "start", "n")).alias("spans"))
+    joined = texts.join(gone.hint("merge"), "doc_id", "left").select("doc_id", "text", "text_no", "spans")
 
     def keep(batches):
         for batch in batches:
             data, offsets = raw_text(batch.column("text"))
+            numbers, known = batch.column("text_no").to_numpy(), batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
             out = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")}
-            for i, at in enumerate(batch.column("at")):
+            for i, spans in enumerate(batch.column("spans")):
                 mine = data[offsets[i] : offsets[i + 1]]
                 steps = np.zeros(len(mine) + 1, np.int64)
-                if at.is_valid:
-                    at = at.values.to_numpy()
-                    np.add.at(steps, at, 1)
-                    np.add.at(steps, at + LENGTH, -1)
+                if known[i] and not numbers[i] and len(mine) >= LENGTH:
+                    steps[0] = 1
+                elif spans.is_valid:
+                    no, start, n = (x.to_numpy() for x in spans.values.flatten())
+                    start, n = start[no == numbers[i]], n[no == numbers[i]]
+                    np.add.at(steps, start, 1)
+                    np.add.at(steps, start + n, -1)
                 covered = np.cumsum(steps)[:-1] > 0
                 kept = mine[~covered].tobytes()
                 for k, v in (("n_bytes", len(mine)), ("n_removed", int(covered.sum())), ("n_spans", int((np.diff(covered.astype(np.int8), prepend=0) == 1).sum())), ("kept_sha256", hashlib.sha256(kept).hexdigest()), ("kept", kept)):
