@@ -71,21 +71,31 @@ def run_keys(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _doubling(s: np.ndarray) -> np.ndarray:
+    """Prefix doubling; a round sorts only the suffixes that are not yet told apart."""
     n = len(s)
-    rank, k = np.unique(s, return_inverse=True)[1].astype(np.int64), 1
-    while True:
-        after = np.full(n, -1, np.int64)
-        after[: n - k] = rank[k:] if k < n else []
-        key = rank * (n + 2) + after + 1
-        rank = np.unique(key, return_inverse=True)[1].astype(np.int64)
-        if rank.max(initial=0) == n - 1 or k >= n:
-            return np.argsort(rank, kind="stable")
-        k *= 2
+    rank, k = np.zeros(n, np.int64), 0
+    at, key = np.arange(n), s.astype(np.int64)
+    while len(at):
+        by = np.argsort(key, kind="stable")
+        at, key = at[by], key[by]
+        old = rank[at]
+        new = np.append(True, key[1:] != key[:-1])
+        head = np.append(True, old[1:] != old[:-1])
+        size = np.diff(np.append(np.flatnonzero(new), len(at)))
+        nth = np.arange(len(at))
+        rank[at] = old + np.maximum.accumulate(np.where(new, nth, 0)) - np.maximum.accumulate(np.where(head, nth, 0))
+        at = at[np.repeat(size > 1, size)]
+        k = 2 * k or 1
+        after = np.where(at + k < n, rank[np.minimum(at + k, n - 1)], -1)
+        key = rank[at] * (n + 1) + after + 1
+    order = np.empty(n, np.int64)
+    order[rank] = np.arange(n)
+    return order
 
 
 def _queue(n: int) -> np.ndarray:
     if n <= MEMORY:
-        return np.full(n, -1, np.int64)
+        return np.full(n, -1, np.int32)
     with tempfile.TemporaryFile() as f:
         out = np.memmap(f, np.int64, "w+", shape=(n,))
         out[:] = -1
@@ -175,10 +185,10 @@ def suffix_order(s: np.ndarray, level: int = 0) -> np.ndarray:
 def least_documents(segments: list[bytes], lows: np.ndarray) -> list[np.ndarray]:
     """For each window of each segment the smallest document of all windows equal to it."""
     lengths = np.array([len(x) for x in segments])
-    text = np.zeros(int((lengths + 1).sum()) + 1, np.int64)
+    text = np.zeros(int((lengths + 1).sum()) + 1, np.uint16)
     starts = np.cumsum(lengths + 1) - lengths - 1
     for at, x in zip(starts, segments):
-        text[at : at + len(x)] = np.frombuffer(x, np.uint8).astype(np.int64) + 2
+        text[at : at + len(x)] = np.frombuffer(x, np.uint8).astype(np.uint16) + 2
         text[at + len(x)] = 1
     order = suffix_order(text)
     segment = np.append(np.repeat(np.arange(len(segments)), lengths + 1), len(segments) - 1)
