@@ -220,8 +220,9 @@ def _segments(batch: pa.RecordBatch):
 
 
 def _keys(batches):
-    """(at, key, doc_id, known): a key in two documents of one piece is known to be shared. Of such only two rows
-    go to the key's partition, the rest to their document's, which need not learn anything more."""
+    """(key, doc_id, known): a key in two documents of one piece is known to be shared. Of such only two rows go to
+    the key's partition, the rest to their document's, which need not learn anything more. In the order of the
+    documents, which makes the rows of a partition alike and small when compressed."""
     for batch in batches:
         batch = batch.filter(pc.greater(batch.column("text_no"), 0))
         ids = batch.column("doc_id").to_numpy()
@@ -233,8 +234,8 @@ def _keys(batches):
             key, doc = key[first], doc[first]
             begin = np.append(True, key[1:] != key[:-1])[: len(key)]
             nth = np.arange(len(key)) - np.repeat(np.flatnonzero(begin), np.diff(np.append(np.flatnonzero(begin), len(key))))
-            at = np.where(nth < 2, key, doc)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(key), pa.array(doc), pa.array(nth >= 2)], names=["at", "key", "doc_id", "known"])
+            by = np.argsort(doc, kind="stable")
+            yield pa.RecordBatch.from_arrays([pa.array(key[by]), pa.array(doc[by]), pa.array(nth[by] >= 2)], names=["key", "doc_id", "known"])
 
 
 def _shared(batches):
@@ -337,8 +338,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     # every use of the texts has this form, so that they are dealt by document once; text_no is 0 where a smaller
     # document has the same text
     texts = rows.hint("merge").join(firsts, "doc_id", "left").withColumn("text_no", F.coalesce(F.array_position("firsts", F.unhex(md5)).cast("int"), F.lit(0))).drop("firsts")
-    pairs = texts.select("doc_id", "text", "text_no").mapInArrow(_keys, "at long, key long, doc_id long, known boolean")
-    shared = pairs.repartition("at").sortWithinPartitions("key").drop("at").mapInArrow(_shared, "key long, doc_id long")
+    pairs = texts.select("doc_id", "text", "text_no").mapInArrow(_keys, "key long, doc_id long, known boolean")
+    shared = pairs.repartition(F.when(F.col("known"), F.col("doc_id")).otherwise(F.col("key"))).sortWithinPartitions("key").mapInArrow(_shared, "key long, doc_id long")
     wanted = shared.groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
     held = texts.join(wanted.hint("merge"), "doc_id", "left")  # filtered in Python: a filter here would turn the join into another and deal the texts again
     found = held.select("doc_id", "text", "text_no", "keys").mapInArrow(_found, "doc_id long, text_no int, start int, n int, key long, segment binary")
