@@ -268,7 +268,7 @@ def _shared(batches):
 
 def _found(batches):
     """(doc_id, text_no, start, n, segment): segments of wanted keys; a null segment is one that a smaller document
-    of this task has too, so that it goes whole."""
+    of this task has too, so that it goes whole, or a run of such."""
     seen: dict[bytes, int] = {}
     for batch in batches:
         batch = batch.filter(pc.and_(pc.greater(batch.column("text_no"), 0), batch.column("keys").is_valid()))
@@ -300,8 +300,15 @@ def _found(batches):
                     seen.clear()
                 seen[x] = doc
                 segments.append(x)
-            cols = [ids[r], no[r], start[take].astype(np.int32), n.astype(np.int32), key[take]]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(segments, pa.binary())], names=["doc_id", "text_no", "start", "n", "key", "segment"])
+            # neighbouring null segments of a text become one
+            begin, none = start[take], np.fromiter((x is None for x in segments), bool, len(segments))
+            end = begin + n
+            new = np.ones(len(segments), bool)
+            new[1:] = ~none[1:] | ~none[:-1] | (r[1:] != r[:-1]) | (begin[1:] > end[:-1])
+            first = np.flatnonzero(new)
+            n = end[np.append(first[1:], len(new))[: len(first)] - 1] - begin[first]
+            cols = [ids[r[first]], no[r[first]], begin[first].astype(np.int32), n.astype(np.int32), key[take][first]]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array([segments[i] for i in first], pa.binary())], names=["doc_id", "text_no", "start", "n", "key", "segment"])
 
 
 def _sort(t: pa.Table) -> pa.Table:
