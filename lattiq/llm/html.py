@@ -2,7 +2,7 @@
 
 A page is parsed into elements and text blocks. Every container element has a hash of its subtree
 (tags, classes, text); Spark counts, per host, on how many pages each occurs. A container that recurs
-on many pages of its host is template and is deleted, unless it holds or is the article. Elements
+on many pages of its host is template and is deleted, unless it holds, is or is part of the article. Elements
 that by name, role or class are navigation, notices, adverts, comments and the like are deleted as
 well, since such parts can differ on every page. What is left of the article (of the body, if a page
 names none) is the text.
@@ -172,10 +172,10 @@ def parse(page: str) -> tuple[list[tuple[Element, str]], list[Element]]:
 
 
 def subtree_keys(host: str, elements: list[Element]) -> dict[Element, int]:
-    """64-bit keys of host and subtree of the containers that may be template."""
+    """64-bit keys of host and subtree of the containers that may be template: those outside the article."""
     return {
         e: int.from_bytes(hashlib.blake2b(host.encode() + b"\x00" + e.hash, digest_size=8).digest(), "little", signed=True)
-        for e in elements if e.tag in CONTAINERS and not e.holds and not e.unwanted and len(e.sum) > 1
+        for e in elements if e.tag in CONTAINERS and not e.holds and not e.article and not e.unwanted and len(e.sum) > 1
     }
 
 

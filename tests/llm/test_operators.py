@@ -205,6 +205,13 @@ def test_html(spark):
         assert got == {i: f"text {i}" for i in range(8)} | {9: ""}
 
 
+def test_html_copies_keep_the_article(spark):
+    bodies = ["<article><div><p>one</p></div><ul><li>two</ul></article>", "<div role=main><section>one</section>two</div>", "<main><table><tr><td>one</table><figure>two</figure></main>"]
+    rows = [(10 * k + i, f"http://h{k}.example/x", f"<body><div>box</div>{body}") for k, body in enumerate(bodies) for i in range(6)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.text for r in html.extract(pages).collect()} == {"one\n\ntwo"}
+
+
 def test_pipeline(spark):
     import __spark_entry__ as entry
     import corpus_pipeline as c
