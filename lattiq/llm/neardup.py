@@ -13,7 +13,8 @@
 5. Components of the confirmed links, joined back to all members of the classes.
 
 At the link threshold a band agrees with probability 0.85 ** 6, so that all 56 bands miss has
-probability below 1e-11 (short sets with few distinct bins: about 1e-6).
+probability below 1e-11 (short sets with few distinct bins: about 1e-6). At the level 80 of the
+pipeline's stage it is 0.8 ** 6, and the probability of a miss is 4e-8.
 
 Defined results: null or word-less texts have the empty set, link with nothing and are kept; rows with
 a null doc_id link with nothing, have a null component and are kept; rows that repeat a doc_id count as
@@ -33,8 +34,8 @@ from lattiq.llm.graph import components
 WORDS, LEVEL = 5, 85
 ROWS, BANDS, BLOCK = 6, 56, 384
 BINS = ROWS * BANDS
-#: Share of equal bins below which two sets of SURE shingles or more can't reach the level.
-FAR, SURE = 0.6, 64
+#: Two sets of SURE shingles or more whose share of equal bins is so many deviations below the level are ruled out.
+DEVIATIONS, SURE = 5.6, 64
 _R, _EMPTY = 0x9E3779B97F4A7C15, np.uint32(0xFFFFFFFF)
 
 
@@ -104,6 +105,12 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return key
 
 
+def far(level: int) -> float:
+    """Share of equal bins below which two sets of SURE shingles or more can't reach the level; 0.6 at level 85."""
+    p = level / 100
+    return p - DEVIATIONS * (p * (1 - p) / SURE) ** 0.5
+
+
 def _labels(n: int):
     parent = list(range(n))
 
@@ -132,7 +139,7 @@ def confirm(left: list[np.ndarray], right: list[np.ndarray] | None, level: int =
         same[:] = 0
         for k in range(BINS):
             same += sig[:, k][:, None] == sig[:, k][None, :]
-        near &= (same >= FAR * BINS) | (np.minimum(size[:, None], size[None, :]) < SURE)
+        near &= (same >= far(level) * BINS) | (np.minimum(size[:, None], size[None, :]) < SURE)
     i, j = np.nonzero(near)
     order = np.argsort(-same[i, j], kind="stable")
     parent, find = _labels(n)

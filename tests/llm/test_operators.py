@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lattiq.llm import decontaminate, graph, html, language, mixing, neardup, quality, suffixes, tokens, toxicity, vectors
 from lattiq.llm.common import new_path
@@ -92,6 +93,22 @@ def test_near_duplicates_brute(spark):
     assert {r.doc_id: r.component_id for r in got.collect()} == dict(enumerate(low))
 
 
+def test_pipeline_drops_near_duplicates_from_080(spark):
+    import corpus_pipeline as c
+
+    rng, texts = random.Random(7), []
+    for _ in range(20):  # n shingles each; a changed tail of k words changes k of them
+        n = rng.choice([64, 100, 300])
+        w = [f"u{rng.randrange(10**9)}" for _ in range(n + 4)]
+        for share in (0.82, 0.78):
+            k = round(n * (1 - share) / (1 + share))
+            texts += [" ".join(w), " ".join(w[: n + 4 - k] + [f"v{i}" for i in range(k)])]
+            w = [x + "z" for x in w]
+    left = c.drop_near_duplicates(spark, documents(spark, texts).withColumn("doc_id", F.coalesce("doc_id", F.lit(9))), "")
+    assert {r.doc_id for r in left.select("doc_id").collect()} == {i for i in range(len(texts)) if i % 4 != 1}
+    assert neardup.far(85) == pytest.approx(0.6, abs=1e-3) and neardup.far(80) < 0.53
+
+
 def test_mixing(spark, docs, nothing):
     plan = mixing.mix_plan(docs).collect()
     assert len(plan) == 10 and all(r.copies <= 3 for r in plan)
