@@ -91,6 +91,36 @@ def cp_predict(x: np.ndarray, factors: list[np.ndarray], out_shape) -> np.ndarra
     return ((x.reshape(len(x), -1) @ khatri_rao(factors[:n_in])) @ khatri_rao(factors[n_in:]).T).reshape(len(x), *out_shape)
 
 
+def cp_regression_sums(xx: np.ndarray, xy: np.ndarray, yy: float, x_shape, rank: int, penalty: float, steps: int = 150, tol: float = 1e-6, seed: int = 42):
+    """cp_regression for a matrix target, from X'X, X'Y and the sum of squares of Y alone: the same factors and objectives."""
+    rng = np.random.default_rng(seed)
+    n_in, n_out = len(x_shape), xy.shape[1]
+    factors = [rng.normal(size=(d, rank)) * 0.5 for d in (*x_shape, n_out)]
+    objectives: list[float] = []
+    for _ in range(steps):
+        for k, f in enumerate(factors):
+            if k < n_in:
+                # basis[:, d, r] maps entry (d, r) of the factor to the flat weights of term r
+                basis = np.zeros((int(np.prod(x_shape)), f.shape[0], rank))
+                for d in range(f.shape[0]):
+                    unit = np.zeros_like(f)
+                    unit[d] = 1
+                    basis[:, d] = khatri_rao([unit if j == k else g for j, g in enumerate(factors[:n_in])])
+                out = factors[n_in]
+                gram = np.einsum("idr,ij,jes,rs->dres", basis, xx, basis, out.T @ out, optimize=True).reshape(f.size, f.size)
+                right = np.einsum("idr,io,or->dr", basis, xy, out, optimize=True).ravel()
+            else:
+                w = khatri_rao(factors[:n_in])
+                gram = np.kron(np.eye(n_out), w.T @ xx @ w)
+                right = (xy.T @ w).ravel()
+            factors[k] = np.linalg.solve(gram + penalty * np.eye(f.size), right).reshape(f.shape)
+        w = khatri_rao(factors[:n_in]) @ factors[n_in].T
+        objectives.append(float(yy - 2 * np.sum(w * xy) + np.sum(w * (xx @ w)) + penalty * sum(np.sum(f**2) for f in factors)))
+        if len(objectives) > 1 and abs(objectives[-2] - objectives[-1]) <= tol * max(objectives[-2], 1e-12):
+            break
+    return factors, objectives
+
+
 def affinity_propagation(x: np.ndarray, damping: float = 0.5, steps: int = 200, stable: int = 15) -> np.ndarray:
     """Labels by message passing; preference: the median similarity."""
     n = len(x)

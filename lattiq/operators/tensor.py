@@ -8,6 +8,7 @@ no matrix grows with the entities.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +38,29 @@ def leading(long: DataFrame, mode: str, rank: int) -> tuple[list, np.ndarray]:
     return names, vector * np.sign(vector[np.abs(vector).argmax(0), np.arange(vector.shape[1])])
 
 
+def summed(rows: DataFrame, partial) -> dict[int, float]:
+    """Sums over all rows of the entries of an array that ``partial`` makes of a pandas batch."""
+
+    def run(batches):
+        total = None
+        for b in batches:
+            if len(b):
+                got = np.asarray(partial(b), float).ravel()
+                total = got if total is None else total + got
+        if total is not None:
+            at = np.flatnonzero(total)
+            yield pd.DataFrame({"k": at, "v": total[at]})
+
+    return {r["k"]: r["v"] for r in rows.mapInPandas(run, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()}
+
+
+def filled(sums: dict[int, float], shape) -> np.ndarray:
+    out = np.zeros(int(np.prod(shape)))
+    for k, v in sums.items():
+        out[k] = v
+    return out.reshape(shape)
+
+
 def unfold(t: np.ndarray, mode: int) -> np.ndarray:
     return np.moveaxis(t, mode, 0).reshape(t.shape[mode], -1)
 

@@ -502,38 +502,57 @@ def fe_ridge_cv(s, d):
     return _design(s, d).where("dev").groupBy("feature").applyInPandas(run, "feature string, alpha double, beta array<double>, n long")
 
 
-def _flat(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows (window, entity) with X (features, lags) and Y (features); unseen targets are zero after centring."""
-    names, f = np.unique(rows["feature"].astype(str), return_inverse=True)
-    key, r = np.unique(rows["win"].to_numpy().astype(np.int64) * (1 << 40) + rows["entity"].to_numpy(), return_inverse=True)
-    x, y, seen = np.zeros((len(key), len(names), 2)), np.zeros((len(key), len(names))), np.zeros((len(key), len(names)), bool)
-    x[r, f] = np.array([[v or 0.0 for v in z] for z in rows["x"]], float)
-    y[r, f], seen[r, f] = rows["y"].fillna(0), rows["y"].notna()
-    return x, y, seen
+def _moments(w: DataFrame, names: list) -> dict:
+    """Sums over all rows (window, entity) of X = (features, lags), missing as zero, and Y = (features):
+    X'X, and by target, over its seen cells, n, the sums of y, y^2, X, X y and X'X."""
+    at, size = {f: k for k, f in enumerate(names)}, 2 * len(names)
+
+    def partial(rows: pd.DataFrame) -> np.ndarray:
+        x, y = np.zeros((len(rows), len(names), 2)), np.full((len(rows), len(names)), np.nan)
+        for i, cells in enumerate(rows["cells"]):
+            for c in cells:
+                x[i, at[c["feature"]]] = [v if v is not None and v == v else 0.0 for v in c["x"]]
+                y[i, at[c["feature"]]] = np.nan if c["y"] is None else c["y"]
+        x, m = x.reshape(len(x), -1), ~np.isnan(y)
+        y = np.where(m, y, 0)
+        seen = [np.concatenate([[m[:, j].sum(), y[:, j].sum(), (y[:, j] ** 2).sum()], x.T @ m[:, j], x.T @ y[:, j], (x[m[:, j]].T @ x[m[:, j]]).ravel()]) for j in range(len(names))]
+        return np.concatenate([(x.T @ x).ravel(), *seen])
+
+    rows = w.groupBy("win", "entity").agg(F.collect_list(F.struct("feature", "x", "y")).alias("cells")).select("cells")
+    total = tensor.filled(tensor.summed(rows, partial), (size * size + len(names) * (3 + 2 * size + size * size),))
+    by = total[size * size :].reshape(len(names), -1)
+    return {"all": total[: size * size].reshape(size, size), "n": by[:, 0], "y": by[:, 1], "yy": by[:, 2], "x": by[:, 3 : 3 + size], "xy": by[:, 3 + size : 3 + 2 * size], "xx": by[:, 3 + 2 * size :].reshape(-1, size, size)}
+
+
+def _left(t: dict, mean: np.ndarray, beta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """By target, over its seen cells: X'(y - mean - X beta) as columns, and the sum of squares of the rest."""
+    right = t["xy"] - mean[:, None] * t["x"]
+    gram = np.einsum("jab,bj->ja", t["xx"], beta)
+    squares = t["yy"] - 2 * mean * t["y"] + mean**2 * t["n"] - 2 * np.einsum("ja,aj->j", right, beta) + np.einsum("ja,aj->j", gram, beta)
+    return (right - gram).T, squares
 
 
 def _cp_scores(s, d, ensemble: bool) -> DataFrame:
-    """One model for each share of the entities (16 shares), so no task holds the whole panel."""
-    w = holdout(windows3(s, d)).withColumn("share", F.pmod(F.xxhash64("entity"), F.lit(16)).cast("int"))
-
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
-        (x, y, m), (u, v, k) = _flat(rows[rows["dev"]]), _flat(rows[~rows["dev"]])
-        if x.shape[1:] != u.shape[1:]:
-            return pd.DataFrame({"share": [], "r2": [], "steps": []})
-        mean = (y * m).sum(0) / (m.sum(0) + 1e-8)
-        base, after = np.zeros_like(y), np.zeros_like(v)
-        if ensemble:
-            for j in range(y.shape[1]):
-                beta = models.ridge(x.reshape(len(x), -1), np.where(m, y - mean, 0)[:, j], 100.0)
-                base[:, j], after[:, j] = x.reshape(len(x), -1) @ beta, u.reshape(len(u), -1) @ beta
-        rest = np.where(m, y - mean - base, 0)
-        scale = np.sqrt((rest[m] ** 2).mean()) if m.any() else 1.0
-        factors, objectives = models.cp_regression(x, rest / (scale + 1e-8), 3, 10.0, 40, 1e-5)
-        p = mean + after + (0.5 if ensemble else 1.0) * scale * models.cp_predict(u, factors, v.shape[1:])
-        spread = ((v[k] - v[k].mean()) ** 2).sum() if k.any() else 0.0
-        return pd.DataFrame({"share": [int(key[0])], "r2": [float(1 - ((v[k] - p[k]) ** 2).sum() / spread) if spread > 1e-8 else None], "steps": [len(objectives)]})
-
-    return w.select("share", "entity", "feature", "win", "dev", "x", "y").groupBy("share").applyInPandas(run, "share int, r2 double, steps int")
+    """(r2, steps): one model of the whole panel, solved on the driver from sums over all rows."""
+    w = holdout(windows3(s, d)).select("entity", "feature", "win", "dev", "x", "y").persist()
+    try:
+        names = sorted(r["feature"] for r in w.select("feature").distinct().collect())
+        dev, after = _moments(w.where("dev"), names), _moments(w.where("not dev"), names)
+    finally:
+        w.unpersist()
+    size = 2 * len(names)
+    mean, beta = dev["y"] / (dev["n"] + 1e-8), np.zeros((size, len(names)))
+    if ensemble:
+        beta = np.linalg.solve(dev["all"] + 100.0 * np.eye(size), _left(dev, mean, beta)[0])
+    right, squares = _left(dev, mean, beta)
+    scale = np.sqrt(max(squares.sum(), 0.0) / dev["n"].sum()) if dev["n"].sum() else 1.0
+    by = scale + 1e-8
+    factors, objectives = models.cp_regression_sums(dev["all"], right / by, float(squares.sum()) / by**2, (len(names), 2), 3, 10.0)
+    beta = beta + (0.5 if ensemble else 1.0) * scale * tensor.khatri_rao(factors[:2]) @ factors[2].T
+    n = after["n"].sum()
+    spread = after["yy"].sum() - after["y"].sum() ** 2 / n if n else 0.0
+    r2 = float(1 - _left(after, mean, beta)[1].sum() / spread) if spread > 1e-8 else None
+    return s.createDataFrame([(r2, len(objectives))], "r2 double, steps int")
 
 
 query("cp_regression")(lambda s, d: _cp_scores(s, d, False))

@@ -88,3 +88,30 @@ def test_queries_against_sql(spark, name):
 def test_iterative_queries_run(spark):
     for name in ("tucker_index", "cp_rank1_index", "masked_tucker_impute", "cp_regression", "affinity_clusters"):
         assert queries.QUERIES[name](spark, SF).count() > 0
+
+
+def flat_panel(spark):
+    """The windows as NumPy arrays (x, y, seen, dev)."""
+    w = queries.holdout(queries.windows3(spark, SF)).toPandas()
+    names, f = np.unique(w["feature"].astype(str), return_inverse=True)
+    _, r = np.unique(w["win"].to_numpy().astype(np.int64) * (1 << 40) + w["entity"].to_numpy(), return_inverse=True)
+    x, y, dev = np.zeros((r.max() + 1, len(names), 2)), np.full((r.max() + 1, len(names)), np.nan), np.zeros(r.max() + 1, bool)
+    x[r, f] = np.nan_to_num(np.array([list(v) for v in w["x"]], float))
+    y[r, f], dev[r] = w["y"], w["dev"]
+    return x, np.nan_to_num(y), ~np.isnan(y), dev
+
+
+@pytest.mark.parametrize("name", ["cp_regression", "ridge_cp_ensemble"])
+def test_cp_regression_is_of_the_whole_panel(spark, name):
+    x, y, m, dev = flat_panel(spark)
+    u, v, k, x, y, m = x[~dev], y[~dev], m[~dev], x[dev], y[dev], m[dev]
+    mean = (y * m).sum(0) / (m.sum(0) + 1e-8)
+    flat, part = lambda t: t.reshape(len(t), -1), name == "ridge_cp_ensemble"
+    beta = models.ridge(flat(x), np.where(m, y - mean, 0), 100.0) * part
+    rest = np.where(m, y - mean - flat(x) @ beta, 0)
+    scale = np.sqrt((rest[m] ** 2).mean())
+    factors, steps = models.cp_regression(x, rest / (scale + 1e-8), 3, 10.0, 150, 1e-6)
+    p = mean + flat(u) @ beta + (0.5 if part else 1) * scale * models.cp_predict(u, factors, v.shape[1:])
+    got = queries.QUERIES[name](spark, SF).collect()
+    assert len(got) == 1 and got[0].steps == len(steps)
+    assert got[0].r2 == pytest.approx(1 - ((v - p)[k] ** 2).sum() / ((v[k] - v[k].mean()) ** 2).sum(), abs=1e-6)
