@@ -61,6 +61,75 @@ def filled(sums: dict[int, float], shape) -> np.ndarray:
     return out.reshape(shape)
 
 
+def entity_gramian(long: DataFrame) -> tuple[list, list, np.ndarray]:
+    """Features, periods and G over pairs of cells (feature, period): products summed over all entities, missing as zero.
+
+    G holds all that the factors of the two bounded modes depend on; the entities stay in Spark.
+    """
+    long = long.where("value IS NOT NULL")
+    features, periods = (sorted(r[0] for r in long.select(c).distinct().collect()) for c in ("feature", "period"))
+    at = {cell: k for k, cell in enumerate((f, p) for f in features for p in periods)}
+
+    def partial(rows):
+        x = np.zeros((len(rows), len(at)))
+        for i, cells in enumerate(rows["cells"]):
+            for c in cells:
+                x[i, at[c["feature"], c["period"]]] = c["value"]
+        return x.T @ x
+
+    rows = long.groupBy("entity").agg(F.collect_list(F.struct("feature", "period", "value")).alias("cells")).select("cells")
+    return features, periods, filled(summed(rows, partial), (len(at), len(at)))
+
+
+def _starts(g: np.ndarray, shape, ranks) -> list[np.ndarray]:
+    """Leading eigenvectors of the Gramians of the features and periods, signs fixed by the largest entry."""
+    g = g.reshape(*shape, *shape)
+    out = []
+    for m, r in zip((np.einsum("fpgp->fg", g), np.einsum("fpfq->pq", g)), ranks):
+        value, vector = np.linalg.eigh(m)
+        vector = vector[:, np.argsort(-value)[:r]]
+        out.append(vector * np.sign(vector[np.abs(vector).argmax(0), np.arange(vector.shape[1])]))
+    return out
+
+
+def cp_rank1_gramian(g: np.ndarray, shape, steps: int = 500, tol: float = 1e-6):
+    """Weight, feature and period factor of ``cp`` of rank one, and errors, from ``entity_gramian``."""
+    b, c = (u[:, 0] for u in _starts(g, shape, (1, 1)))
+    norm, weight, errors = np.trace(g) or 1.0, 0.0, []
+    for _ in range(steps):
+        cell = np.kron(b, c)
+        v = (g @ cell).reshape(shape) / (np.sqrt(max(cell @ g @ cell, 0.0)) or 1.0)
+        b = v @ c
+        b = b / (np.linalg.norm(b) or 1.0)
+        c = b @ v
+        weight = float(np.linalg.norm(c))
+        c = c / (weight or 1.0)
+        errors.append(float(np.sqrt(max(norm - weight**2, 0.0) / norm)))
+        if len(errors) > 1 and abs(errors[-2] - errors[-1]) < tol:
+            break
+    return weight, b, c, errors
+
+
+def tucker_gramian(g: np.ndarray, shape, ranks, steps: int = 500, tol: float = 1e-6):
+    """Feature and period factor of ``tucker`` of ranks (entity, feature, period), and errors, from ``entity_gramian``."""
+    b, c = _starts(g, shape, ranks[1:])
+    norm, errors = np.trace(g) or 1.0, []
+    for _ in range(steps):
+        q = np.kron(b, c)
+        value, vector = np.linalg.eigh(q.T @ g @ q)
+        keep = np.argsort(-value)[: ranks[0]]
+        keep = keep[value[keep] > 1e-12 * norm]
+        z = ((q @ vector[:, keep]) / np.sqrt(value[keep])).T @ g  # the tensor with the entity mode reduced
+        z = z.reshape(-1, *shape)
+        b = np.linalg.svd(unfold(mode_product(z, c.T, 2), 1), full_matrices=False)[0][:, : ranks[1]]
+        c = np.linalg.svd(unfold(mode_product(z, b.T, 1), 2), full_matrices=False)[0][:, : ranks[2]]
+        core = mode_product(mode_product(z, b.T, 1), c.T, 2)
+        errors.append(float(np.sqrt(max(norm - np.sum(core**2), 0.0) / norm)))
+        if len(errors) > 1 and abs(errors[-2] - errors[-1]) < tol:
+            break
+    return b, c, errors
+
+
 def unfold(t: np.ndarray, mode: int) -> np.ndarray:
     return np.moveaxis(t, mode, 0).reshape(t.shape[mode], -1)
 

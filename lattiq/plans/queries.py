@@ -355,31 +355,19 @@ def scaled1(s, d):
 
 @query("tucker_index")
 def tucker_index(s, d):
-    """(period, index): mean absolute loading of the leading time factors."""
-    names, u = tensor.leading(scaled1(s, d), "period", 3)
-    return s.createDataFrame([(int(p), float(v)) for p, v in zip(names, np.abs(u).mean(1))], "period int, index double")
+    """(period, index): mean absolute loading of three time factors, by orthogonal iteration."""
+    features, periods, g = tensor.entity_gramian(scaled1(s, d))
+    n = len(features)
+    u = tensor.tucker_gramian(g, (n, len(periods)), (n, min(n, 12), 3))[1]
+    return s.createDataFrame([(int(p), float(v)) for p, v in zip(periods, np.abs(u).mean(1))], "period int, index double")
 
 
 @query("cp_rank1_index")
 def cp_rank1_index(s, d):
-    """(period, signed, index): rank-one factorisation; the entity factor is a grouped sum in Spark."""
-    rows = scaled1(s, d)
-    periods, u = tensor.leading(rows, "period", 1)
-    features, f = tensor.leading(rows, "feature", 1)
-    c, b = dict(zip(periods, u[:, 0])), dict(zip(features, f[:, 0]))
-    lookup = lambda m, key: F.create_map(*[F.lit(x) for kv in m.items() for x in (kv[0], float(kv[1]))])[F.col(key)]
-    weight = 1.0
-    for _ in range(3):
-        a = rows.groupBy("entity").agg(F.sum(F.col("value") * lookup(b, "feature") * lookup(c, "period")).alias("a"))
-        size = a.agg(F.sqrt(F.sum(F.col("a") ** 2))).first()[0] or 1.0
-        joined = rows.join(a.withColumn("a", F.col("a") / size), "entity")
-        got = joined.groupBy("period").agg(F.sum(F.col("value") * F.col("a") * lookup(b, "feature")).alias("v")).collect()
-        weight = sum(r["v"] ** 2 for r in got) ** 0.5 or 1.0
-        c = {r["period"]: r["v"] / weight for r in got}
-        got = joined.groupBy("feature").agg(F.sum(F.col("value") * F.col("a") * lookup(c, "period")).alias("v")).collect()
-        norm = sum(r["v"] ** 2 for r in got) ** 0.5 or 1.0
-        b = {r["feature"]: r["v"] / norm for r in got}
-    return s.createDataFrame([(int(p), float(weight * v), float(abs(weight * v))) for p, v in sorted(c.items())], "period int, signed double, index double")
+    """(period, signed, index): rank-one factorisation, iterated until the fit stands still."""
+    features, periods, g = tensor.entity_gramian(scaled1(s, d))
+    weight, _, c, _ = tensor.cp_rank1_gramian(g, (len(features), len(periods)))
+    return s.createDataFrame([(int(p), float(weight * v), float(abs(weight * v))) for p, v in zip(periods, c)], "period int, signed double, index double")
 
 
 def _impute(s, d, solve) -> DataFrame:

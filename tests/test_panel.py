@@ -115,3 +115,17 @@ def test_cp_regression_is_of_the_whole_panel(spark, name):
     got = queries.QUERIES[name](spark, SF).collect()
     assert len(got) == 1 and got[0].steps == len(steps)
     assert got[0].r2 == pytest.approx(1 - ((v - p)[k] ** 2).sum() / ((v[k] - v[k].mean()) ** 2).sum(), abs=1e-6)
+
+
+def test_indices_are_of_the_whole_decomposition(spark):
+    rows = queries.scaled1(spark, SF).toPandas()
+    (_, e), (_, f), (periods, p) = (np.unique(rows[c].to_numpy(), return_inverse=True) for c in ("entity", "feature", "period"))
+    t = np.zeros((e.max() + 1, f.max() + 1, p.max() + 1))
+    t[e, f, p] = rows["value"]
+    w, factors, errors = tensor.cp(t, 1)
+    got = {r.period: r["index"] for r in queries.QUERIES["cp_rank1_index"](spark, SF).collect()}
+    assert [got[x] for x in periods] == pytest.approx(np.abs(w[0] * factors[2][:, 0]), abs=1e-6)
+    n = t.shape[1]
+    _, factors, errors = tensor.tucker(t, (n, n, 3))
+    got = {r.period: r["index"] for r in queries.QUERIES["tucker_index"](spark, SF).collect()}
+    assert [got[x] for x in periods] == pytest.approx(np.abs(factors[2]).mean(1), abs=1e-6)
