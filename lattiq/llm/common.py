@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -15,6 +17,10 @@ from pyspark.sql import functions as F
 #: Words as the contracts define them: runs of anything but ASCII white space.
 WORD_REGEX = r"[^\x20\x09-\x0D]+"
 
+#: Bytes of text that a kernel works on at once; a longer text is worked through in parts.
+PIECE = 256 << 10
+_BASE = 0x9E3779B97F4A7C15
+
 _own_root: str | None = None
 _written: list[str] = []
 
@@ -107,7 +113,7 @@ def raw_text(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[offs[0] : offs[-1]], offs - offs[0]
 
 
-def pieces(offsets: np.ndarray, size: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def pieces(offsets: np.ndarray, size: int = PIECE) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``size`` bytes; a longer text is a range of its own, never cut."""
     start, n = 0, len(offsets) - 1
     while start < n:
@@ -116,6 +122,32 @@ def pieces(offsets: np.ndarray, size: int = 4 << 20) -> Iterator[tuple[int, int]
         start = min(end, n)
 
 
+def released(batches):
+    """Passes batches on; when the task ends, memory that was freed goes back to the system, as workers are reused."""
+    try:
+        yield from batches
+    finally:
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def arrow_map(df: DataFrame, kernel, schema) -> DataFrame:
+    """mapInArrow whose tasks give back their memory."""
+    return df.mapInArrow(lambda batches: released(kernel(batches)), schema)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession, keep: list[str]):
+    """Deletes the tables written inside, but for those that ``keep`` names at the end."""
+    before = set(_written)
+    try:
+        yield
+    finally:
+        for path in [p for p in _written if p not in before and not any(k in p for k in keep)]:
+            drop_path(spark, path)
+
+
 def powers(base: int, n: int) -> np.ndarray:
     """base ** i modulo 2 ** 64 for i < n."""
     out = np.full(n, base, np.uint64)
@@ -133,3 +165,27 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0xC4CEB9FE1A85EC53)
     x ^= x >> np.uint64(33)
     return x
+
+
+def span_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray, part: int = PIECE) -> np.ndarray:
+    """A 64-bit hash of data[begin:end] of each span; spans are disjoint and ascending.
+
+    Polynomials modulo 2 ** 64 over mixed symbols, from prefix sums of ``part`` symbols at a time, so
+    that only these, not all of a long text, are held as wide numbers.
+    """
+    out = np.zeros(len(begin), np.uint64)
+    size = min(part, len(data))
+    up, down = powers(_BASE, size), powers(pow(_BASE, -1, 1 << 64), size)
+    for at in range(0, len(data), part):
+        stop = min(at + part, len(data))
+        first, last = np.searchsorted(end, at, "right"), np.searchsorted(begin, stop, "left")
+        if first >= last:
+            continue
+        prefix = np.zeros(stop - at + 1, np.uint64)
+        np.cumsum(mix64(data[at:stop] + np.uint64(1)) * up[: stop - at], out=prefix[1:])
+        b, e = np.maximum(begin[first:last], at) - at, np.minimum(end[first:last], stop) - at
+        got = (prefix[e] - prefix[b]) * down[np.minimum(b, size - 1)]
+        if begin[first] < at:  # goes on from the part before
+            got[:1] *= np.uint64(pow(_BASE, at - int(begin[first]), 1 << 64))
+        out[first:last] += got
+    return mix64(out + (end - begin).astype(np.uint64))

@@ -8,7 +8,8 @@ positions are averaged. Gates use x / (1 + |x|) in place of exponentials.
 
 Defined results: a null text or one without a letter is ``und`` with score 0; null languages are not
 learned; if no language is known at all, everything is ``und`` with score 0; repeated rows get equal
-results.
+results; a null doc_id is labelled like any other; a text of any length is labelled whole, 8192 windows
+at a time; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattiq.llm.common import fold, pieces, raw_text, table
+from lattiq.llm.common import arrow_map, fold, pieces, raw_text, table
 
 HIDDEN, WINDOW = 12, 64
 #: Training documents to a language at most (about: chosen by hash), and windows to a document.
@@ -147,16 +148,17 @@ class Network:
         k = -(-lengths // WINDOW)
         row = np.repeat(np.arange(len(lengths)), k)
         nth = np.arange(len(row)) - np.repeat(np.cumsum(k) - k, k)
-        start, end = offsets[row] + nth * WINDOW, np.minimum(offsets[row] + (nth + 1) * WINDOW, offsets[row + 1])
         total = np.zeros((len(lengths), len(self.languages)))
         for i in range(0, len(row), 8192):
-            s, e = start[i : i + 8192], end[i : i + 8192]
+            of = row[i : i + 8192]
+            s = offsets[of] + nth[i : i + 8192] * WINDOW
+            e = np.minimum(s + WINDOW, offsets[of + 1])
             at = s + np.arange(WINDOW)[:, None]
             live = at < e
             p = self.positions(data[np.minimum(at, len(data) - 1)], live)
             sums = np.where(live[..., None], p, 0).sum(0)
             for j in range(total.shape[1]):
-                total[:, j] += np.bincount(row[i : i + 8192], sums[:, j], len(lengths))
+                total[:, j] += np.bincount(of, sums[:, j], len(lengths))
         return total / np.maximum(lengths, 1)[:, None]
 
 
@@ -181,7 +183,8 @@ def sample_windows(docs: DataFrame, folds: int = FOLDS, held: int = HELD) -> Dat
                     pieces_of.append(data[s : min(b, s + WINDOW)].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(langs, pa.string()), pa.array(pieces_of, pa.binary())], names=["doc_id", "lang", "piece"])
 
-    return chosen.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").mapInArrow(cut, "doc_id long, lang string, piece binary")
+    chosen = chosen.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
+    return arrow_map(chosen, cut, "doc_id long, lang string, piece binary")
 
 
 def fit(docs: DataFrame, folds: int = FOLDS, held: int = HELD) -> Network:
@@ -215,7 +218,7 @@ def predict(docs: DataFrame, net: Network) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(names[best].tolist(), pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"))
-    return rows.mapInArrow(labelled, "doc_id long, lang_pred string, score double")
+    return arrow_map(rows, labelled, "doc_id long, lang_pred string, score double")
 
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:

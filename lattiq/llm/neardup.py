@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattiq.llm.common import Stash, mix64, pieces, powers, raw_text, table
+from lattiq.llm.common import Stash, arrow_map, mix64, pieces, raw_text, span_hashes, table
 from lattiq.llm.graph import components
 
 WORDS, LEVEL = 5, 85
@@ -36,7 +36,7 @@ ROWS, BANDS, BLOCK = 6, 56, 384
 BINS = ROWS * BANDS
 #: Two sets of SURE shingles or more whose share of equal bins is so many deviations below the level are ruled out.
 DEVIATIONS, SURE = 5.6, 64
-_R, _EMPTY = 0x9E3779B97F4A7C15, np.uint32(0xFFFFFFFF)
+_EMPTY = np.uint32(0xFFFFFFFF)
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -51,8 +51,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> tuple
     first[offsets] = True
     b = np.flatnonzero(inside & (first[:-1] | np.concatenate([[True], ~inside[:-1]])))
     e = np.flatnonzero(inside & (first[1:] | np.concatenate([~inside[1:], [True]]))) + 1
-    prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(low + np.uint64(1)) * powers(_R, len(low)))])
-    word = mix64((prefix[e] - prefix[b]) * powers(pow(_R, -1, 1 << 64), len(low))[b] + (e - b).astype(np.uint64))
+    word = span_hashes(low, b, e)
     row = np.searchsorted(offsets, b, "right") - 1
     count = np.bincount(row, minlength=n)
     start = np.cumsum(count) - count
@@ -163,7 +162,7 @@ def digests(docs: DataFrame, words: int = WORDS) -> DataFrame:
     def rows(batches):
         for batch in batches:
             data, offsets = raw_text(batch.column("text"))
-            for lo, hi in pieces(offsets, 1 << 20):
+            for lo, hi in pieces(offsets):
                 h, at = shingles(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1], words)
                 sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(h ^ np.uint64(salt)))]) for salt in (0x51, 0xA7)]
                 d1, d2 = ((s[at[1:]] - s[at[:-1]]).view(np.int64) for s in sums)
@@ -173,7 +172,7 @@ def digests(docs: DataFrame, words: int = WORDS) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(cut), pa.array(keys[n > 0].ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(n), pa.array(d1), pa.array(d2), lists], names=["doc_id", "n", "d1", "d2", "keys"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, "doc_id long, n long, d1 long, d2 long, keys array<long>")
+    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), rows, "doc_id long, n long, d1 long, d2 long, keys array<long>")
 
 
 def families(reps: DataFrame) -> DataFrame:
@@ -195,12 +194,12 @@ def confirmed(docs: DataFrame, family: DataFrame, words: int, level: int) -> Dat
     def sets(batches):
         for batch in batches:
             data, offsets = raw_text(batch.column("text"))
-            for lo, hi in pieces(offsets, 1 << 20):
+            for lo, hi in pieces(offsets):
                 h, at = shingles(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1], words)
                 lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(h.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([*[batch.column(k).slice(lo, hi - lo) for k in ("id", "family", "block", "blocks")], lists], names=["id", "family", "block", "blocks", "shingles"])
 
-    made = rows.mapInArrow(sets, "id long, family long, block int, blocks int, shingles array<long>")
+    made = arrow_map(rows, sets, "id long, family long, block int, blocks int, shingles array<long>")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     tiles = made.withColumn("o", other).select("id", "family", "block", F.least("block", "o").alias("lo"), F.greatest("block", "o").alias("hi"), "shingles")
 

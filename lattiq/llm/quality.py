@@ -1,14 +1,16 @@
 """Quality classifier: a generalised additive model with pairwise interactions.
 
-One pass over the texts turns each whole document into a row of FEATURES (array operations over raw
-bytes in Arrow batches), kept as a narrow written table. Labelled rows, a bounded sample of them, are
-fetched to fit the model: features are binned at quantiles, cyclic boosting visits one feature after
-another and adds a shallow tree over its bins to the feature's lookup table, then does the same for
-the pairs of features that explain most of what is left. Scoring adds table entries of bins.
-
-Defined results: null and empty texts have all-zero features and are scored like others; labels that
-are null are ignored; without training rows of both classes every score is the share of good ones
-(0.5 without any); repeated rows score alike.
+A document becomes a row of FEATURES (array operations over raw bytes in Arrow batches). Labelled rows, a
+bounded sample of them, are fetched to fit the model: features are binned at quantiles, cyclic boosting
+visits one feature after another and adds a shallow tree over its bins to the feature's lookup table,
+then does the same for the pairs of features that explain most of what is left. Scoring adds table
+entries of bins, in one pass over the texts.
+
+Defined results: null and empty texts have all-zero features and are scored like others; a null doc_id is
+scored and never learned from; labels that are null are ignored, repeated ones count each; without
+training rows of both classes every score is the share of good ones (0.5 without any); repeated rows
+score alike; texts of any length are read whole, in parts of PIECE bytes; an empty table gives an
+empty result; further columns are ignored by ``score`` and kept by ``keep_good``.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattiq.llm.common import Stash, fold, mix64, pieces, powers, raw_text, table
+from lattiq.llm.common import PIECE, arrow_map, fold, mix64, pieces, raw_text, span_hashes, table
 
 #: Labelled rows that the model is fitted on, at most (about: chosen by hash).
 TRAINING_ROWS = 60_000
@@ -53,32 +55,34 @@ def _distinct(keys: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """A row of FEATURES for every text. Wide numbers are held a word or a part of PIECE bytes, not a byte."""
     offsets = offsets - offsets[0]
     lengths = np.diff(offsets)
     n, out = len(lengths), np.zeros((len(lengths), len(FEATURES)))
     if not len(data):
         return out
-    row = np.repeat(np.arange(n), lengths)
     kind = KIND[data]
-    counts = np.bincount(row * 16 + kind, minlength=16 * n).reshape(n, 16)
+    counts = np.zeros(16 * n, np.int64)
+    for at in range(0, len(data), PIECE):
+        part = kind[at : at + PIECE]
+        row = np.searchsorted(offsets, np.arange(at, at + len(part)), "right") - 1 if n > 1 else 0
+        counts += np.bincount(row * 16 + part.astype(np.int64), minlength=16 * n)
+    counts = counts.reshape(n, 16)
     some = np.maximum(lengths, 1)
     for i, k in ((1, _LOWER), (2, _UPPER), (3, _DIGIT), (4, _BEYOND), (5, _PUNCT), (6, _SYMBOL), (7, _BANG), (8, _BAR), (9, _LINE)):
         out[:, i] = counts[:, k] / some
     out[:, 0] = np.log1p(lengths)
-    prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(data + np.uint64(1)) * powers(0x9E3779B97F4A7C15, len(data)))])
-    back = powers(pow(0x9E3779B97F4A7C15, -1, 1 << 64), len(data))
     first_of_row = np.zeros(len(data), bool)
     first_of_row[offsets[:-1][lengths > 0]] = True
 
-    def runs(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def runs(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         begin = inside & (first_of_row | np.concatenate([[True], ~inside[:-1]]))
         end = inside & np.concatenate([~inside[1:] | first_of_row[1:], [True]])
         b, e = np.flatnonzero(begin), np.flatnonzero(end) + 1
-        return b, e, (prefix[e] - prefix[b]) * back[b]
+        return b, e, np.searchsorted(offsets, b, "right") - 1, span_hashes(data, b, e)
 
-    b, e, word = runs(kind < _LINE)
+    b, e, of, word = runs(kind < _LINE)
     if len(b):
-        of = row[b]
         words = np.bincount(of, minlength=n)
         at_least = np.maximum(words, 1)
         out[:, 10] = np.bincount(of, e - b, n) / at_least
@@ -89,23 +93,17 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         out[:, 12] = np.where(pairs > 0, _distinct(pair, of[1:][same], n) / np.maximum(pairs, 1), 1)
         out[:, 14] = np.bincount(of, (kind[e - 1] >= _PUNCT) & (kind[e - 1] <= _BAR), n) / at_least
         out[:, 15] = np.log1p(words)
-    b, e, line = runs(kind != _LINE)
-    lines = np.bincount(row[b], minlength=n)
-    out[:, 13] = np.where(lines > 0, _distinct(line, row[b], n) / np.maximum(lines, 1), 1)
+    b, e, of, line = runs(kind != _LINE)
+    lines = np.bincount(of, minlength=n)
+    out[:, 13] = np.where(lines > 0, _distinct(line, of, n) / np.maximum(lines, 1), 1)
     return out
 
 
-def featured(docs: DataFrame) -> DataFrame:
-    """(doc_id, x) of every row; x has a value for each of FEATURES."""
-
-    def rows(batches):
-        for batch in batches:
-            data, offsets = raw_text(batch.column("text"))
-            for lo, hi in pieces(offsets):
-                x = features(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1])
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "x"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, "doc_id long, x array<double>")
+def _by_piece(batch: pa.RecordBatch):
+    """(first row, end, features) of the pieces of a batch."""
+    data, offsets = raw_text(batch.column("text"))
+    for lo, hi in pieces(offsets):
+        yield lo, hi, features(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1])
 
 
 # ---------------------------------------------------------------- the model
@@ -221,43 +219,51 @@ def fit(x: np.ndarray, y: np.ndarray) -> Additive:
 # ---------------------------------------------------------------- over Spark
 
 
-def fit_labelled(rows: DataFrame, labels: DataFrame, target: str = "quality", folds: int = FOLDS, held: int = HELD) -> Additive:
-    """Fits on labelled rows (doc_id, x) outside the held fold, TRAINING_ROWS of them at most."""
-    known = labels.where(F.col(target).isin(0, 1) & (fold(F.col("doc_id"), folds) != held)).select("doc_id", F.col(target).cast("int").alias("y"))
-    share = min(1.0, TRAINING_ROWS / max(known.count(), 1))
+def fit_labelled(docs: DataFrame, labels: DataFrame, target: str = "quality", folds: int = FOLDS, held: int = HELD, most: int = TRAINING_ROWS) -> Additive:
+    """Fits on labelled documents outside the held fold, about ``most`` of them at most, chosen by a hash of doc_id.
+
+    The chosen labels are so few that they are broadcast; only their documents' texts are looked at.
+    """
+    known = labels.where(F.col(target).isin(0, 1) & (fold(F.col("doc_id"), folds) != held)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(target).cast("int").alias("y"))
+    share = min(1.0, most / max(known.count(), 1))
     known = known.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) < int(share * (1 << 30)))
-    got = rows.select("doc_id", "x").join(known, "doc_id").select("doc_id", "x", "y").toPandas().sort_values("doc_id", kind="stable")
+
+    def rows(batches):
+        for batch in batches:
+            for lo, hi, x in _by_piece(batch):
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), batch.column("y").slice(lo, hi - lo), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "y", "x"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id")
+    got = arrow_map(texts.select("doc_id", "text", "y"), rows, "doc_id long, y int, x array<double>").toPandas()
     x = np.array(got["x"].tolist(), np.float64).reshape(len(got), len(FEATURES))
-    return fit(x, got["y"].to_numpy(np.float64))
+    order = np.lexsort((*x.T, got["y"], got["doc_id"]))  # one order however the rows were dealt
+    return fit(x[order], got["y"].to_numpy(np.float64)[order])
 
 
-def score(rows: DataFrame, model: Additive) -> DataFrame:
-    """(doc_id, score) of rows (doc_id, x)."""
+def score(docs: DataFrame, model: Additive) -> DataFrame:
+    """(doc_id, score) of every row."""
 
     def scored(batches):
         for batch in batches:
-            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.score(x))], names=["doc_id", "score"])
+            for lo, hi, x in _by_piece(batch):
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(model.score(x))], names=["doc_id", "score"])
 
-    return rows.mapInArrow(scored, "doc_id long, score double")
+    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), scored, "doc_id long, score double")
 
 
 def keep_good(docs: DataFrame, model: Additive, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that reach the threshold, with all their columns."""
-
     names = docs.columns
 
     def kept(batches):
         for batch in batches:
-            data, offsets = raw_text(batch.column("text"))
-            for lo, hi in pieces(offsets):
-                good = model.score(features(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1])) >= threshold
-                yield batch.select(names).slice(lo, hi - lo).filter(pa.array(good))
+            for lo, hi, x in _by_piece(batch):
+                yield batch.select(names).slice(lo, hi - lo).filter(pa.array(model.score(x) >= threshold))
 
-    return docs.mapInArrow(kept, docs.schema)
+    return arrow_map(docs, kept, docs.schema)
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = Stash(featured(table(spark, sf_dir, "documents")), "quality").df
-    scored = score(rows, fit_labelled(rows, table(spark, sf_dir, "labels")))
+    docs = table(spark, sf_dir, "documents")
+    scored = score(docs, fit_labelled(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", (fold(F.col("doc_id"), FOLDS) == HELD).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

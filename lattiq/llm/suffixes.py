@@ -37,8 +37,8 @@ from lattiq.llm.common import mix64, pieces, powers, raw_text, table
 
 LENGTH, GRAM = 50, 16
 SHARD_BYTES, MEMORY = 4 << 20, 1 << 25
-#: Segments that a task remembers; with more it starts anew and only passes on more of them.
-SEEN = 1 << 18
+#: Bytes of segments that a task remembers; with more it starts anew and only passes on more of them.
+SEEN = 32 << 20
 _R = 0x9E3779B97F4A7C15
 
 
@@ -102,6 +102,10 @@ def _queue(n: int) -> np.ndarray:
         return out
 
 
+def _starts(pos: np.ndarray, first_of_run: np.ndarray) -> np.ndarray:
+    return pos[first_of_run[pos] == pos]
+
+
 def suffix_order(s: np.ndarray, level: int = 0) -> np.ndarray:
     """Starts of the suffixes of s in ascending order; the last symbol is the smallest and occurs once."""
     n = len(s)
@@ -110,6 +114,7 @@ def suffix_order(s: np.ndarray, level: int = 0) -> np.ndarray:
     narrow = np.uint16 if s.max() < 1 << 16 else np.int64  # sorted by radix
     differs = np.append(s[1:] != s[:-1], True)
     nxt = np.flatnonzero(differs)
+    first_of_run = np.repeat(np.append(0, nxt[:-1] + 1), np.diff(nxt, prepend=-1))
     at = np.repeat(nxt, np.diff(nxt, prepend=-1))
     small = np.ones(n, bool)  # the suffix is smaller than the next
     small[: n - 1] = s[at[:-1]] < s[np.minimum(at[:-1] + 1, n - 1)]
@@ -141,19 +146,29 @@ def suffix_order(s: np.ndarray, level: int = 0) -> np.ndarray:
                 out[tail[c] - 1 - nth] = pos
                 tail[kinds] -= count
 
+        def runs(pos):
+            """The suffixes that start earlier in the run of equal symbols that ends at each of pos: all of the
+            shortest way back first, each in the order of pos. They follow in the same bucket."""
+            back = pos - first_of_run[pos]
+            if not back.any():
+                return pos[:0]
+            k = np.repeat(np.arange(len(pos)), back)
+            step = np.arange(len(k)) - np.repeat(np.cumsum(back) - back, back) + 1
+            by = np.argsort(step, kind="stable")
+            return (pos[k] - step)[by]
+
+        # a bucket takes all of its runs at once, then gives the suffixes before them to other buckets
         for c in np.flatnonzero(size):
-            done = heads[c]
-            while done < head[c]:
-                upto = head[c]
-                push(out[done:upto], True)
-                done = upto
+            more = runs(out[heads[c] : head[c]])
+            out[head[c] : head[c] + len(more)] = more
+            head[c] += len(more)
+            push(_starts(out[heads[c] : head[c]], first_of_run), True)
             push(order[first[c] : first[c + 1]], True)
         for c in np.flatnonzero(size)[::-1]:
-            done = ends[c]
-            while done > tail[c]:
-                upto = tail[c]
-                push(out[upto:done][::-1], False)
-                done = upto
+            more = runs(out[tail[c] : ends[c]][::-1])
+            out[tail[c] - len(more) : tail[c]] = more[::-1]
+            tail[c] -= len(more)
+            push(_starts(out[tail[c] : ends[c]][::-1], first_of_run), False)
             push(out[heads[c] : head[c]][::-1], False)
         out[0] = n - 1
         return out
@@ -211,12 +226,18 @@ def least_documents(segments: list[bytes], lows: np.ndarray) -> list[np.ndarray]
 # ---------------------------------------------------------------- over Spark
 
 
-def _segments(batch: pa.RecordBatch):
+def _segments(batch: pa.RecordBatch, part: int = 1 << 20):
     """Arrays (row, start, bytes, key) of the segments of a batch's texts, piece by piece, with the piece's bytes."""
     data, offsets = raw_text(batch.column("text"))
-    for lo, hi in pieces(offsets, 1 << 20):
-        row, start, n, key = run_keys(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1])
-        yield data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], lo + row, row, start, n, key.view(np.int64)
+    for lo, hi in pieces(offsets, part):
+        mine, cut = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+        got = [run_keys(mine[at : at + part + LENGTH - 1], np.array([0, min(part + LENGTH - 1, len(mine) - at)])) for at in range(0, len(mine), part)] if hi == lo + 1 and len(mine) > part else []
+        if got:  # a long text in parts that overlap, so that every window lies in one of them
+            row, n, key = (np.concatenate([x[k] for x in got]) for k in (0, 2, 3))
+            start = np.concatenate([x[1] + i * part for i, x in enumerate(got)])
+        else:
+            row, start, n, key = run_keys(mine, cut)
+        yield mine, cut, lo + row, row, start, n, key.view(np.int64)
 
 
 def _keys(batches):
@@ -270,6 +291,7 @@ def _found(batches):
     """(doc_id, text_no, start, n, segment): segments of wanted keys; a null segment is one that a smaller document
     of this task has too, so that it goes whole, or a run of such."""
     seen: dict[bytes, int] = {}
+    held = 0
     for batch in batches:
         batch = batch.filter(pc.and_(pc.greater(batch.column("text_no"), 0), batch.column("keys").is_valid()))
         ids, no = batch.column("doc_id").to_numpy(), batch.column("text_no").to_numpy()
@@ -296,8 +318,11 @@ def _found(batches):
                 if low is not None and low < doc:
                     segments.append(None)
                     continue
-                if len(seen) >= SEEN:
+                if held >= SEEN:
                     seen.clear()
+                    held = 0
+                if low is None or not held:
+                    held += size + 150  # and what an entry takes
                 seen[x] = doc
                 segments.append(x)
             # neighbouring null segments of a text become one

@@ -12,8 +12,8 @@ the length of every plane, then per document its id, a null flag and its number
 offset and length as two unsigned 64-bit integers.
 
 Defined results: a null or empty text is the end id alone; null doc_ids come first; rows with equal
-doc_id are written one after the other; an empty table gives no shard and no rows; further columns
-are ignored.
+doc_id are written one after the other, in the order of their texts (null first); a text of any length
+is encoded whole; an empty table gives no shard and no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,16 +29,15 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from lattiq.llm.common import mix64, new_path, pieces, powers, raw_text, table
+from lattiq.llm.common import arrow_map, new_path, pieces, raw_text, span_hashes, table
 
 MAGIC = b"LQBP0001"
 #: Ids to a block, and the level of compression of a plane.
 BLOCK, LEVEL = 16384, 3
 END_ID = 0
 VOCABULARY = "byte_bpe_50k.json"
-#: Pre-tokens a worker remembers before it starts anew; bounds its memory, not its results.
-REMEMBERED = 400_000
-_BASE, _MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
+#: Pre-tokens a worker remembers before it starts anew (about 40 bytes each); bounds its memory, not its results.
+REMEMBERED = 800_000
 _SPACE, _LETTER, _NUMBER, _OTHER = 0, 1, 2, 3
 
 
@@ -110,18 +109,18 @@ class Encoder:
         names = self.library.get_vocab()
         self.id_bytes = np.zeros(max(names.values()) + 1, np.int64)
         self.id_bytes[list(names.values())] = [len(x) for x in names]
-        self.base, self.inverse = powers(_BASE, 1), powers(pow(_BASE, -1, 1 << 64), 1)
         self.forget()
 
     def forget(self) -> None:
-        self.slots: dict[int, int] = {}
+        self.keys, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # keys ascending
         self.begins, self.flat, self.used = np.zeros(1, np.int64), np.zeros(1 << 16, np.uint32), 0
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, np.uint32) for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, keys: list[int], words: list[str]) -> None:
-        """Words with one blank before them are encoded as one text, as they split apart again."""
+    def learn(self, keys: np.ndarray, words: list[str]) -> None:
+        """Ids of new words, with ascending keys. Those with one blank before them are encoded as one text, as they
+        split apart again."""
         joined = np.array([len(w) > 1 and w[0] == " " and not w[1].isspace() for w in words])
         run, rest = np.flatnonzero(joined).tolist(), np.flatnonzero(~joined).tolist()
         parts, lengths = [], []
@@ -139,7 +138,10 @@ class Encoder:
             self.flat = np.concatenate([self.flat[: self.used], np.zeros(max(ends[-1], 2 * len(self.flat)) - self.used, np.uint32)])
         self.flat[self.used : ends[-1]] = np.concatenate(parts)
         first = len(self.begins) - 1
-        self.slots.update(zip([keys[i] for i in run + rest], range(first, first + len(keys)), strict=True))
+        slots = np.empty(len(keys), np.int32)
+        slots[run + rest] = np.arange(first, first + len(keys))
+        at = np.searchsorted(self.keys, keys)
+        self.keys, self.slots = np.insert(self.keys, at, keys), np.insert(self.slots, at, slots)
         self.begins, self.used = np.concatenate([self.begins, ends]), int(ends[-1])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -157,19 +159,17 @@ class Encoder:
         firsts[bounds[:-1][sizes > 0]] = True
         start = np.flatnonzero(token_starts(codes, firsts, self.classes))
         end = np.append(start[1:], len(codes))
-        if len(self.base) < len(codes) + 1:
-            self.base, self.inverse = powers(_BASE, len(codes) + 1), powers(pow(_BASE, -1, 1 << 64), len(codes) + 1)
-        prefix = np.zeros(len(codes) + 1, np.uint64)
-        np.cumsum(mix64(codes) * self.base[: len(codes)], out=prefix[1:])
-        keys = mix64((prefix[end] - prefix[start]) * self.inverse[start] + (end - start).astype(np.uint64))
+        keys = span_hashes(codes, start, end)
         distinct, first, where = np.unique(keys, return_index=True, return_inverse=True)
-        if len(self.slots) > REMEMBERED:
+        if len(self.keys) > REMEMBERED:
             self.forget()
-        keys = distinct.tolist()
-        new = [i for i, k in enumerate(keys) if k not in self.slots]
-        if new:
-            self.learn([keys[i] for i in new], [text[start[first[i]] : end[first[i]]] for i in new])
-        slot = np.fromiter((self.slots[k] for k in keys), np.int64, len(keys))[where]
+        at = np.searchsorted(self.keys, distinct)
+        new = np.ones(len(distinct), bool)
+        inside = at < len(self.keys)
+        new[inside] = self.keys[at[inside]] != distinct[inside]
+        if new.any():
+            self.learn(distinct[new], [text[a:b] for a, b in zip(start[first[new]].tolist(), end[first[new]].tolist())])
+        slot = self.slots[np.searchsorted(self.keys, distinct)][where]
         length = self.begins[slot + 1] - self.begins[slot]
         out_end = np.cumsum(length)
         pick = np.arange(out_end[-1]) + np.repeat(self.begins[slot] - (out_end - length), length)
@@ -319,8 +319,9 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None, end
             where.move(attempt, f"{name}.bin")
             yield pa.RecordBatch.from_pydict({"shard": pa.array([task.partitionId()], pa.int64()), "n_docs": pa.array([n_docs], pa.int64()), "n_ids": pa.array([n_ids], pa.int64())})
 
-    dealt = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    rows = dealt.mapInArrow(shard, "shard long, n_docs long, n_ids long").collect()
+    # rows of one doc_id lie in one partition, in the order of their texts
+    dealt = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = arrow_map(dealt, shard, "shard long, n_docs long, n_ids long").collect()
     manifest, start = [], 0
     for r in sorted(rows, key=lambda r: r["shard"]):
         manifest.append({"path": f"{folder}/shard-{r['shard']:07d}.bin", "start": start, "n_docs": r["n_docs"], "n_ids": r["n_ids"]})
@@ -353,7 +354,7 @@ def read_tokens(spark: SparkSession, manifest: list[dict], with_ids: bool = True
 
     if len(manifest) > 1:
         entries = entries.repartitionByRange(len(manifest), "start")
-    return entries.mapInArrow(read, fields)
+    return arrow_map(entries, read, fields)
 
 
 def op5_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:

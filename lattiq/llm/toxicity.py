@@ -2,8 +2,9 @@
 
 Texts are folded to SYMBOLS symbols (letters, digits, a blank for everything that separates words, a
 few classes of bytes beyond ASCII). Over all labelled training documents, tasks count n-grams of
-ORDER symbols by class; Spark adds the counts up. There are at most SYMBOLS ** ORDER n-grams, so
-tables and model have a fixed bound, while the counts follow the corpus.
+ORDER symbols by class; Spark adds the counts up and works out the model, context by context. There are
+at most SYMBOLS ** ORDER n-grams, so tables and model have a fixed bound (a byte each on the driver),
+while the counts follow the corpus.
 
 The two models, toxic and ordinary, hold counts of their own at the top order only; below it both
 back off to shared continuation counts of both classes. A rare expression thus falls back to the
@@ -12,8 +13,11 @@ log-likelihoods, normalised by length, over the whole text and over its most tox
 regression on a share of the training documents that the counts leave out turns both into a
 probability.
 
-Defined results: null and empty texts score as the blank text; labels that are null are ignored;
-without training rows of both classes every score is the share of toxic ones (0 without any).
+Defined results: null and empty texts score as the blank text; labels that are null are ignored, repeated
+ones count each; a null doc_id is scored and never learned from; without training rows of both classes
+every score is the share of toxic ones (0 without any); repeated rows score alike; a text of any length
+is scored whole, PIECE codes at a time; an empty table gives an empty result; further columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattiq.llm.common import fold, pieces, raw_text, table
+from lattiq.llm.common import PIECE, Stash, arrow_map, fold, pieces, raw_text, table
 
 SYMBOLS, BITS, ORDER = 32, 5, 5
 DISCOUNT = 0.75
@@ -69,16 +73,11 @@ def codes_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return codes[keep], np.concatenate([[0], np.cumsum(lengths + 1)])
 
 
-def log_ratio(codes: np.ndarray, ordinary: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """log p_toxic - log p_ordinary of every n-gram, in STEP-ths, from counts of the n-grams seen."""
-    size = SYMBOLS**ORDER
-    seen = np.zeros(size, bool)
-    seen[codes] = True
-    cont = {}
-    types = seen
-    for k in range(ORDER - 1, 0, -1):  # distinct symbols before each k-gram
-        cont[k] = types.reshape(SYMBOLS, -1).sum(0, dtype=np.float32)
-        types = cont[k] > 0
+def shared_backoff(types: np.ndarray) -> np.ndarray:
+    """Probabilities of all (ORDER - 1)-grams from how many distinct symbols were seen before each of them."""
+    cont = {ORDER - 1: types.astype(np.float32)}
+    for k in range(ORDER - 2, 0, -1):
+        cont[k] = (cont[k + 1] > 0).reshape(SYMBOLS, -1).sum(0, dtype=np.float32)
     p = np.full(SYMBOLS, 1 / SYMBOLS, np.float32)
     for k in range(1, ORDER):
         c = cont[k].reshape(-1, SYMBOLS)
@@ -87,23 +86,27 @@ def log_ratio(codes: np.ndarray, ordinary: np.ndarray, toxic: np.ndarray) -> np.
         with np.errstate(divide="ignore", invalid="ignore"):
             mine = np.maximum(c - DISCOUNT, 0) / total + DISCOUNT * kinds / total * lower
         p = np.where(total > 0, mine, lower).ravel()
-    lower = p[codes & (SYMBOLS ** (ORDER - 1) - 1)]
-    context, logs = codes >> BITS, []
-    for counts in (ordinary, toxic):
-        total = np.bincount(context, counts, SYMBOLS ** (ORDER - 1))
-        kinds = np.bincount(context, counts > 0, SYMBOLS ** (ORDER - 1))
-        weight = np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1)
-        own = np.maximum(counts - DISCOUNT, 0) / np.maximum(total[context], 1)
-        logs.append((np.log(weight), np.log(own + weight[context] * lower)))
-    # an n-gram unseen in both classes has the weights of its context times the same shared probability
-    steps = lambda k: np.clip(np.rint((logs[1][k] - logs[0][k]) * STEP), -127, 127).astype(np.int8)
-    out = np.repeat(steps(0), SYMBOLS)
-    out[codes] = steps(1)
-    return out
+    return p
+
+
+def probabilities(counts: np.ndarray, lower: np.ndarray) -> np.ndarray:
+    """(contexts, SYMBOLS) of one class, from its counts and the shared probabilities below, both of that shape."""
+    total, kinds = counts.sum(1, keepdims=True), (counts > 0).sum(1, keepdims=True)
+    weight = np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1)
+    return np.maximum(counts - DISCOUNT, 0) / np.maximum(total, 1) + weight * lower
+
+
+def log_ratios(contexts: np.ndarray, ordinary: np.ndarray, toxic: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """log p_toxic - log p_ordinary, in STEP-ths, of every symbol after each context."""
+    lower = shared.reshape(-1, SYMBOLS)[contexts & (SYMBOLS ** (ORDER - 2) - 1)]
+    logs = np.log(probabilities(toxic, lower)) - np.log(probabilities(ordinary, lower))
+    return np.clip(np.rint(logs * STEP), -127, 127).astype(np.int8)
 
 
 def features(data: np.ndarray, offsets: np.ndarray, ratios: np.ndarray) -> np.ndarray:
     """Per text: the log-ratio a symbol over its most toxic window and over all of it."""
+    if len(offsets) == 2 and len(data) > PIECE:
+        return _long_features(data, ratios)
     codes, starts = codes_of(data, offsets)
     total = np.concatenate([[0], np.cumsum(ratios[codes], dtype=np.int64)])
     n = np.diff(starts)
@@ -113,6 +116,26 @@ def features(data: np.ndarray, offsets: np.ndarray, ratios: np.ndarray) -> np.nd
     return np.column_stack([best / (WINDOW * STEP), mean / STEP])
 
 
+def _long_features(data: np.ndarray, ratios: np.ndarray) -> np.ndarray:
+    """``features`` of one text, PIECE codes at a time; windows look WINDOW codes beyond their part."""
+    n, total, best = len(data) + 1, 0, None
+    for at in range(0, n, PIECE):
+        stop = min(at + PIECE + WINDOW, n)
+        symbols = np.zeros(stop - at + ORDER - 1, np.int32)  # blanks before the text and one after it
+        first = max(at - ORDER + 1, 0)
+        part = FOLD[data[first:stop]]
+        symbols[first - at + ORDER - 1 :][: len(part)] = part
+        codes = np.zeros(stop - at, np.int32)
+        for k in range(ORDER):
+            codes |= symbols[ORDER - 1 - k :][: len(codes)] << (BITS * k)
+        sums = np.concatenate([[0], np.cumsum(ratios[codes], dtype=np.int64)])
+        mine = np.arange(min(PIECE, n - at))
+        total += int(sums[len(mine)])
+        got = int((sums[np.minimum(mine + WINDOW, len(codes))] - sums[mine]).max())
+        best = got if best is None else max(best, got)
+    return np.array([[best / (WINDOW * STEP), total / n / STEP]])
+
+
 def logistic(x: np.ndarray, y: np.ndarray, steps: int = 60, ridge: float = 1e-2) -> np.ndarray:
     """Weights and intercept by damped Newton steps."""
     x = np.column_stack([x, np.ones(len(x))])
@@ -163,18 +186,58 @@ def count_ngrams(rows: DataFrame) -> DataFrame:
                 zero = np.zeros(len(c), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(zero if k else m), pa.array(m if k else zero)], names=["code", "ordinary", "toxic"])
 
-    counted = rows.select("text", "y").mapInArrow(count, "code int, ordinary long, toxic long")
+    counted = arrow_map(rows.select("text", "y"), count, "code int, ordinary long, toxic long")
     return counted.groupBy("code").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
 
 
+def ratio_table(counts: DataFrame) -> np.ndarray | None:
+    """The log-ratios of all SYMBOLS ** ORDER n-grams, a byte each, from counts (code, ordinary, toxic); None without
+    counts of both classes.
+
+    Spark adds up the types below the top order and works out a row of SYMBOLS bytes for each context seen; the
+    driver gets at most SYMBOLS ** (ORDER - 1) rows of either.
+    """
+    total = counts.agg(F.sum("ordinary").alias("o"), F.sum("toxic").alias("t")).first()
+    if not total["o"] or not total["t"]:
+        return None
+    size = SYMBOLS ** (ORDER - 1)
+    suffixes = counts.groupBy(F.col("code").bitwiseAND(F.lit(size - 1)).alias("k")).agg(F.count("*").cast("int").alias("n")).toPandas()
+    types = np.zeros(size, np.int32)
+    types[suffixes["k"].to_numpy()] = suffixes["n"].to_numpy()
+    shared = shared_backoff(types)
+    sent = counts.sparkSession.sparkContext.broadcast(shared)
+
+    def rows(batches):
+        for batch in batches:
+            context = batch.column("context").to_numpy().astype(np.int64)
+            seen = batch.column("seen")
+            at = np.repeat(np.arange(len(context)), seen.value_lengths().to_numpy(zero_copy_only=False))
+            symbol, *both = (x.to_numpy(zero_copy_only=False) for x in seen.flatten().flatten())
+            dense = np.zeros((2, len(context), SYMBOLS))
+            for k in range(2):
+                dense[k, at, symbol] = both[k]
+            got = log_ratios(context, dense[0], dense[1], sent.value)
+            yield pa.RecordBatch.from_arrays([batch.column("context"), pa.array([x.tobytes() for x in got], pa.binary())], names=["context", "ratios"])
+
+    grouped = counts.select(F.shiftright("code", BITS).alias("context"), F.struct(F.col("code").bitwiseAND(F.lit(SYMBOLS - 1)).alias("s"), "ordinary", "toxic").alias("x"))
+    grouped = grouped.groupBy("context").agg(F.collect_list("x").alias("seen"))  # SYMBOLS entries at most
+    got = arrow_map(grouped, rows, "context int, ratios binary").toPandas()
+    sent.unpersist()
+    out = np.zeros((size, SYMBOLS), np.int8)  # an unseen context says nothing
+    out[got["context"].to_numpy()] = np.frombuffer(b"".join(got["ratios"]), np.int8).reshape(-1, SYMBOLS)
+    return out.ravel()
+
+
 def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", folds: int = FOLDS, held: int = HELD) -> Model:
     rows = _labelled(docs, labels, target, folds, held)
     left_out = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(LEFT_OUT)) == 0
-    counts = count_ngrams(rows.where(~left_out)).toPandas()  # at most SYMBOLS ** ORDER rows
-    codes, ordinary, toxic = (counts[c].to_numpy() for c in ("code", "ordinary", "toxic"))
-    if not ordinary.sum() or not toxic.sum():
-        return Model(None, None, float(toxic.sum() > 0))
-    ratios = log_ratio(codes.astype(np.int64), ordinary.astype(np.float64), toxic.astype(np.float64))
+    counts = Stash(count_ngrams(rows.where(~left_out)), "ngrams")
+    ratios = ratio_table(counts.df)
+    if ratios is None:
+        toxic = counts.df.agg(F.sum("toxic")).first()[0]
+        counts.drop()
+        return Model(None, None, float(bool(toxic)))
+    counts.drop()
     n = labels.where(F.col(target).isin(0, 1)).count() / LEFT_OUT
     few = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 20)) < F.lit(int(min(1.0, CALIBRATION_ROWS / max(n, 1)) * (1 << 20)))
     sent = docs.sparkSession.sparkContext.broadcast(ratios)
@@ -186,7 +249,7 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", folds: int =
                 x = features(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1], sent.value)
                 yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1]), batch.column("y").slice(lo, hi - lo)], names=["a", "b", "y"])
 
-    sample = rows.where(left_out & few).select("text", "y").mapInArrow(featured, "a double, b double, y int").toPandas()
+    sample = arrow_map(rows.where(left_out & few).select("text", "y"), featured, "a double, b double, y int").toPandas()
     sent.unpersist()
     y = sample["y"].to_numpy(np.float64)
     if not 0 < y.sum() < len(y):
@@ -205,7 +268,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 s = sent.value.score(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1])
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(s)], names=["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scored, "doc_id long, score double")
+    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), scored, "doc_id long, score double")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
