@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lattiq.llm import decontaminate, mixing, neardup, quality, tokens
-from lattiq.llm.common import Stash, new_path, table
+from lattiq.llm.common import Stash, new_path, scratch, table
 
 #: The models and files of the stages have no SQL; the tests hold run() against the stages' plain forms.
 ORACLE_SQL = None
@@ -22,8 +22,7 @@ NEAR = 80
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
-    rows = Stash(quality.featured(docs), "quality").df
-    return quality.keep_good(docs, quality.fit_labelled(rows, table(spark, sf_dir, "labels")))
+    return quality.keep_good(docs, quality.fit_labelled(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +56,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The stages one after the other; a stage's own tables, and the stage before it, go when it is written."""
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = Stash(stage(spark, docs, sf_dir), f"stage-{name}").df
+        with scratch(spark, keep=["stage-", "tokens-"]):
+            made = Stash(stage(spark, docs, sf_dir), f"stage-{name}")
+        if last is not None:
+            last.drop()
+        docs, last = made.df, made
     return docs
