@@ -1,18 +1,24 @@
 """Main text of web pages by removal of site templates.
 
-A page is parsed into elements and text blocks. Every container element has a hash of its subtree
-(tags, classes, text); Spark counts, per host, on how many pages each occurs. A container that recurs
-on many pages of its host is template and is deleted, unless it holds, is or is part of the article. Elements
-that by name, role or class are navigation, notices, adverts, comments and the like are deleted as
-well, since such parts can differ on every page. What is left of the article (of the body, if a page
-names none) is the text.
+A page is parsed into elements and text blocks. Every block element, be it nav, div or paragraph, has a
+hash of its subtree (tags, classes, text). Spark counts, per host, on how many distinct pages each hash
+occurs (exact copies of a page count once). A subtree that recurs on MIN_PAGES pages and on MIN_SHARE of
+its host's pages is template and is deleted. In a second step go elements that are menus, forms, notices,
+adverts, comments and the like by tag, role or whole class tokens, since such parts can differ on every
+page. Neither step deletes the article, or what holds it; inline elements are never looked at by name. What
+is left of the article (of the body, if a page names none) is the text.
+
+Where templates would take more than half of a named article, it is the article that recurs, as in mirrors,
+and it stays whole; where they would leave a page without article no text at all, the largest of
+them stays.
 
 The recurring hashes go to the tasks as one sorted array if there are at most BROADCAST_HASHES of
-them; beyond that they are joined to the pages by page_id.
+them; beyond that, each page's own ones are joined to it by a hash of its html.
 
-Defined results: a null or empty page has empty text; pages without a host in the url share the host
-""; unclosed and stray tags are repaired as browsers do in simple cases; character references are
-decoded; a repeated row is extracted alike and counts again as a page.
+Defined results: a null or empty page has empty text; pages without a host in the url (or a null url) share
+the host ""; unclosed and stray tags are repaired as browsers do in simple cases; character references
+are decoded; repeated rows, null page_ids and ties are extracted alike, and count as one page; a page of any
+length is read whole; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,10 +32,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattiq.llm.common import Stash, table
+from lattiq.llm.common import Stash, arrow_map, table
 
-#: A subtree is template from so many pages of its host and from this share of them.
-MIN_PAGES, MIN_SHARE = 5, 0.2
+#: A subtree is template from so many distinct pages of its host and from this share of them.
+MIN_PAGES, MIN_SHARE = 5, 0.4
 BROADCAST_HASHES = 1 << 20
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
@@ -38,14 +44,11 @@ _ATTR = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe xmp noframes".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
-CONTAINERS = frozenset("aside center details div dl fieldset figure footer form header menu nav ol section table ul".split())
 UNWANTED = frozenset("nav footer aside form script style noscript template iframe head title svg button select textarea dialog menu object canvas audio video xmp noframes option".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert dialog alertdialog menu menubar toolbar".split())
-_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu|breadcrumbs?|sidebar|footer|cookies?|consent|gdpr|notice|notification|newsletter|subscribe|subscription|popup|modal|overlay|share|sharing|social|related|recommended|comments?|commentlist|respond|disqus|replies|login|signup|search|pagination|pager|toolbar|widget|masthead|skip\w*)(?:$|[\s_-])",
-    re.I,
-)
-_HEADER = re.compile(r"(?:^|[\s_-])(?:site|page|global|top)?[_-]?header(?:$|[\s_-])", re.I)
+#: Words of class and id tokens that name parts beside the article, and words that may stand with them.
+NAMES = frozenset("ad ads adverts advert advertising advertisement sponsor sponsored sponsors promo promos promotion banner nav navbar navigation menu menus breadcrumb breadcrumbs sidebar footer cookie cookies consent gdpr notice notices notification newsletter subscribe subscription popup modal overlay share sharing social related recommended comment comments commentlist respond disqus replies login signup search pagination pager toolbar widget widgets masthead skip skiplink".split())
+BESIDE = frozenset("site page top bottom main global left right primary secondary list box bar block area section container wrapper wrap inner outer links link buttons button posts articles items item form panel".split())
 #: What an opening tag closes when left open, up to the nearest of the second set.
 _CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"}),
@@ -55,28 +58,27 @@ _FLOW = BLOCKS - {"li", "dd", "dt", "tr", "td", "th", "option", "body", "html",
 
 
 class Element:
-    __slots__ = ("tag", "parent", "unwanted", "article", "holds", "sum", "hash", "mark")
+    """``own``: unwanted by itself; ``article``: marked as article; ``skip``: inline and not shown."""
+
+    __slots__ = ("tag", "parent", "own", "header", "article", "skip", "text", "sum", "hash")
 
     def __init__(self, tag, parent, attrs):
-        self.tag, self.parent, self.holds, self.hash = tag, parent, False, None
-        names = f"{attrs.get('class') or ''} {attrs.get('id') or ''}".strip()
-        self.article = tag in ("article", "main") or attrs.get("role") in ("main", "article")
-        inside = parent is not None and parent.article
-        self.unwanted = (
-            tag in UNWANTED or attrs.get("role") in ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true"
-            or re.search(r"display\s*:\s*none", attrs.get("style") or "") is not None
-            or tag not in ("body", "html") and bool(_NAMES.search(names)) or not inside and (tag == "header" or bool(_HEADER.search(names)))
-        )
-        if self.unwanted:
-            self.article = False
-        elif self.article:
-            up = parent
-            while up is not None and not up.holds:
-                up.holds, up = True, up.parent
-        self.article = self.article or inside and not self.unwanted
-        self.unwanted = self.unwanted or parent is not None and parent.unwanted
-        self.mark = f"<{tag} {' '.join(sorted((attrs.get('class') or '').split()))}>"
-        self.sum = [self.mark]
+        self.tag, self.parent, self.hash, self.text = tag, parent, None, 0
+        block = tag in BLOCKS
+        tokens = f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower().split() if block and attrs else ()
+        hidden = bool(attrs) and ("hidden" in attrs or attrs.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", attrs.get("style") or "") is not None)
+        own = tag in UNWANTED or hidden or attrs.get("role") in ROLES
+        self.skip = own and not block or parent is not None and parent.skip and not block
+        self.own = own or tag not in ("body", "html") and any(map(_beside, tokens))
+        self.header = tag == "header" or any(set(re.split("[_-]+", t)) <= {"header", *BESIDE} and "header" in t for t in tokens)
+        self.article = (tag in ("article", "main") or attrs.get("role") in ("main", "article")) and not self.own
+        self.sum = [f"<{tag} {' '.join(sorted((attrs.get('class') or '').split()))}>"]
+
+
+def _beside(token: str) -> bool:
+    """Whether a class token as a whole names a part beside the article: has-sidebar doesn't, sidebar-left does."""
+    parts = [p for p in re.split("[_-]+", token) if p and not p.isdigit()]
+    return any(p in NAMES for p in parts) and all(p in NAMES or p in BESIDE for p in parts)
 
 
 def parse(page: str) -> tuple[list[tuple[Element, str]], list[Element]]:
@@ -89,11 +91,15 @@ def parse(page: str) -> tuple[list[tuple[Element, str]], list[Element]]:
             words = " ".join(html_lib.unescape("".join(text)).split())
             text.clear()
             if words:
-                blocks.append((holder(), words))
+                blocks.append((stack[-1], words))
                 stack[-1].sum.append(words)
+                stack[-1].text += len(words)
 
-    def holder():
-        return stack[-1]
+    def read(raw):
+        if stack[-1].skip:
+            stack[-1].sum.append(raw)
+        else:
+            text.append(raw)
 
     def close(k):
         while len(stack) > k:
@@ -101,6 +107,8 @@ def parse(page: str) -> tuple[list[tuple[Element, str]], list[Element]]:
             e.hash = hashlib.blake2b("\x00".join(e.sum).encode("utf-8", "replace"), digest_size=8).digest()
             if e.parent is not None:
                 e.parent.sum.append(e.hash.hex())
+                e.parent.text += e.text
+            e.sum = None
 
     at, raw = 0, None
     while at < len(page):
@@ -111,15 +119,15 @@ def parse(page: str) -> tuple[list[tuple[Element, str]], list[Element]]:
             continue
         m = _TAG.search(page, at)
         if not m:
-            text.append(page[at:])
+            read(page[at:])
             break
         if m.start() > at:
-            text.append(page[at : m.start()])
+            read(page[at : m.start()])
         at = m.end()
         name = m[2] or m[5]
         if not name:
             if m[0].startswith("<![CDATA["):
-                text.append(html_lib.escape(m[0][9:].removesuffix("]]>")))
+                read(html_lib.escape(m[0][9:].removesuffix("]]>")))
             continue
         tag, closing = name.lower(), bool(m[1] or m[4])
         if closing:
@@ -131,14 +139,12 @@ def parse(page: str) -> tuple[list[tuple[Element, str]], list[Element]]:
             if k > 0:
                 if tag not in BLOCKS and any(e.tag in BLOCKS for e in stack[k + 1 :]):
                     continue  # misnested inline end: the blocks stay open
-                if stack[k].unwanted != stack[k].parent.unwanted or tag in CONTAINERS:
-                    flush()
                 close(k)
             elif tag == "p":
                 flush()
             continue
         if tag == "br":
-            text.append("\n")
+            read("\n")
             continue
         if tag in BLOCKS:
             flush()
@@ -162,8 +168,6 @@ def parse(page: str) -> tuple[list[tuple[Element, str]], list[Element]]:
         if tag in VOID or (m[3] or m[6] or "").endswith("/") and tag not in BLOCKS:
             continue
         e = Element(tag, stack[-1], attrs)
-        if e.unwanted and not stack[-1].unwanted:
-            flush()
         stack.append(e)
         elements.append(e)
     flush()
@@ -171,76 +175,132 @@ def parse(page: str) -> tuple[list[tuple[Element, str]], list[Element]]:
     return blocks, elements
 
 
-def subtree_keys(host: str, elements: list[Element]) -> dict[Element, int]:
-    """64-bit keys of host and subtree of the containers that may be template: those outside the article."""
-    return {
-        e: int.from_bytes(hashlib.blake2b(host.encode() + b"\x00" + e.hash, digest_size=8).digest(), "little", signed=True)
-        for e in elements if e.tag in CONTAINERS and not e.holds and not e.article and not e.unwanted and len(e.sum) > 1
-    }
+def judge(elements: list[Element]) -> tuple[set[Element], set[Element], set[Element]]:
+    """What is unwanted, what lies in an article, and articles with all that holds them.
+
+    Articles are the marked elements outside unwanted ones; if all marked ones lie in unwanted ones, the one with
+    most text.
+    """
+    under, marked = set(), []  # ``elements`` has parents first
+    for e in elements:
+        if e.own or e.parent in under:
+            under.add(e)
+        if e.article:
+            marked.append(e)
+    articles = [e for e in marked if e not in under] or sorted(marked, key=lambda e: -e.text)[:1]
+    holds = set(articles)
+    for e in articles:
+        while e.parent is not None and e.parent not in holds:
+            e = e.parent
+            holds.add(e)
+    unwanted, inside, named = set(), set(), set(articles)
+    for e in elements:
+        within = e in named or e.parent in inside
+        if within:
+            inside.add(e)
+        if e.parent in unwanted or e not in holds and (e.own or e.header and not within):
+            unwanted.add(e)
+    return unwanted, inside, holds
+
+
+def subtree_keys(host: str, elements: list[Element], holds: set[Element]) -> tuple[list[Element], np.ndarray]:
+    """The block elements that may be template, and 64-bit keys of host and subtree: all but those that hold or are
+    an article."""
+    some = [e for e in elements if e.text and e.tag in BLOCKS and e.tag not in ("html", "body") and e not in holds]
+    salt = hashlib.blake2b(host.encode(), digest_size=8).digest()
+    keys = b"".join(hashlib.blake2b(salt + e.hash, digest_size=8).digest() for e in some)
+    return some, np.frombuffer(keys, np.int64)
 
 
 def extract_text(page: str | None, host: str = "", template=None) -> str:
-    """The main text; ``template`` tells whether a key of subtree_keys is template."""
+    """The main text; ``template`` tells which of an array of keys of subtree_keys are template."""
     if not page:
         return ""
     blocks, elements = parse(page)
-    gone = {e for e, k in subtree_keys(host, elements).items() if template(k)} if template else set()
-    article = any(e.article for e in elements)
-    out = []
-    for e, words in blocks:
-        if e.unwanted or article and not e.article:
-            continue
-        up = e
-        while gone and up is not None and up not in gone:
-            up = up.parent
-        if not gone or up is None:
-            out.append(words)
-    return "\n\n".join(out)
+    unwanted, inside, holds = judge(elements)
+    gone = set()
+    if template is not None:
+        some, keys = subtree_keys(host, elements, holds)
+        gone = {some[i] for i in np.flatnonzero(template(keys))}
+    wanted = [(e, words) for e, words in blocks if e not in unwanted and (not inside or e in inside)]
+    if not gone:
+        return "\n\n".join(words for _, words in wanted)
+    by, size = [], {}
+    for e, words in wanted:
+        top = None
+        while e is not None:
+            top = e if e in gone else top
+            e = e.parent
+        by.append(top)
+        size[top] = size.get(top, 0) + len(words)
+    left = size.get(None, 0)
+    kept = {None}
+    if inside and 2 * left < sum(size.values()):
+        kept |= set(size)
+    elif not left and size:
+        kept.add(max(size, key=size.get))
+    return "\n\n".join(words for (_, words), top in zip(wanted, by) if top in kept)
 
 
 def _host(url):
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1))
 
 
-def template_keys(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """(key) of the subtrees that recur on many pages of their host."""
+def page_keys(pages: DataFrame) -> DataFrame:
+    """(host, page, key), once for each distinct page of a host: hashes of host, html and subtrees."""
 
     def keys(batches):
         for batch in batches:
-            host_out, key_out = [], []
-            for host, page in zip(batch.column("host").to_pylist(), batch.column("html")):
-                found = {*subtree_keys(host, parse(page.as_py() or "")[1]).values()}
-                host_out += [host] * len(found)
-                key_out += found
-            yield pa.RecordBatch.from_arrays([pa.array(host_out, pa.string()), pa.array(key_out, pa.int64())], names=["host", "key"])
+            which, found = [], []
+            for i, (host, page) in enumerate(zip(batch.column("name").to_pylist(), batch.column("html"))):
+                elements = parse(page.as_py() or "")[1]
+                mine = np.unique(subtree_keys(host, elements, judge(elements)[2])[1])
+                which.append(np.full(len(mine), i))
+                found.append(mine)
+            which = np.concatenate(which) if which else np.zeros(0, np.int64)
+            cols = [batch.column(c).take(pa.array(which)) for c in ("host", "page")]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(np.concatenate(found) if found else np.zeros(0, np.int64))], names=["host", "page", "key"])
 
-    rows = pages.select(_host(F.col("url")).alias("host"), "html")
-    counts = rows.mapInArrow(keys, "host string, key long").groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
-    totals = rows.groupBy("host").agg(F.count("*").alias("pages"))
-    return counts.join(totals, "host").where(F.col("n") >= F.col("pages") * min_share).select("host", "key")
+    rows = pages.select(_host(F.col("url")).alias("name"), "html").select("name", F.xxhash64("name").alias("host"), F.xxhash64("html").alias("page"), "html")
+    return arrow_map(rows, keys, "host long, page long, key long").distinct()
+
+
+def template_keys(pages: DataFrame, found: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+    """(key) of the subtrees that recur on many distinct pages of their host."""
+    counts = found.groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
+    distinct = pages.select(F.xxhash64(_host(F.col("url"))).alias("host"), F.xxhash64("html").alias("page")).distinct()
+    totals = distinct.groupBy("host").agg(F.count("*").alias("pages"))
+    return counts.join(totals, "host").where(F.col("n") >= F.col("pages") * min_share).select("key").distinct()
 
 
 def extract(pages: DataFrame, broadcast_hashes: int = BROADCAST_HASHES, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """(page_id, url, text, n_chars) of every page."""
-    recurring = Stash(template_keys(pages, min_pages, min_share), "templates").df
-    fields = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", _host(F.col("url")).alias("host"))
+    found = Stash(page_keys(pages), "subtrees")
+    recurring = Stash(template_keys(pages, found.df, min_pages, min_share), "templates").df
+    fields = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", _host(F.col("url")).alias("host"), F.xxhash64("html").alias("page"))
     sent = None
     if recurring.count() <= broadcast_hashes:
-        sent = pages.sparkSession.sparkContext.broadcast(np.sort(recurring.select("key").toPandas()["key"].to_numpy(np.int64)))
-    else:  # the keys of a host, at most subtrees of a page / min_share of them, go along with its pages
-        by_host = recurring.groupBy("host").agg(F.collect_set("key").alias("keys"))
-        fields = fields.join(by_host, "host", "left").select("page_id", "url", "html", "host", "keys")
+        found.drop()
+        sent = pages.sparkSession.sparkContext.broadcast(np.sort(recurring.toPandas()["key"].to_numpy(np.int64)))
+        fields = fields.drop("page")
+    else:  # a page's own template keys, at most its block elements, go along with it
+        mine = found.df.join(recurring, "key").groupBy("page").agg(F.collect_set("key").alias("keys"))
+        fields = fields.hint("merge").join(mine, "page", "left").select("page_id", "url", "html", "host", "keys")
 
     def texts(batches):
-        known = {int(k) for k in sent.value} if sent is not None else set()
         for batch in batches:
             out = []
             for i, host in enumerate(batch.column("host").to_pylist()):
-                mine = known if sent is not None else set(batch.column("keys")[i].as_py() or ())
-                out.append(extract_text(batch.column("html")[i].as_py(), host, mine.__contains__ if mine else None))
+                known = sent.value if sent is not None else np.sort(np.array(batch.column("keys")[i].as_py() or (), np.int64))
+
+                def template(keys, known=known):
+                    at = np.searchsorted(known, keys)
+                    return known[np.minimum(at, len(known) - 1)] == keys
+
+                out.append(extract_text(batch.column("html")[i].as_py(), host, template if len(known) else None))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return fields.mapInArrow(texts, "page_id long, url string, text string, n_chars long")
+    return arrow_map(fields, texts, "page_id long, url string, text string, n_chars long")
 
 
 def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
