@@ -8,8 +8,8 @@
    with the members, not with their square. Components of the star edges are families: two sets
    that share a bucket are in one family, whichever was the centre.
 4. Links are confirmed within families on full sets. Families are cut into blocks of BLOCK members and
-   every pair of blocks is a task; signatures rule out pairs that are far apart, pairs already
-   joined in the block need no test, and a task returns a spanning star, never all pairs.
+   every pair of blocks is a task, which compares all its pairs exactly and returns a spanning star,
+   never all links.
 5. Components of the confirmed links, joined back to all members of the classes.
 
 At the link threshold a band agrees with probability 0.85 ** 6, so that all 56 bands miss has
@@ -18,7 +18,8 @@ pipeline's stage it is 0.8 ** 6, and the probability of a miss is 4e-8.
 
 Defined results: null or word-less texts have the empty set, link with nothing and are kept; rows with
 a null doc_id link with nothing, have a null component and are kept; rows that repeat a doc_id count as
-one document; an empty table gives an empty result; further columns are ignored.
+one document, which links with whatever any of its texts links with; a text of any length is read whole; an
+empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,13 +30,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattiq.llm.common import Stash, arrow_map, mix64, pieces, raw_text, span_hashes, table
-from lattiq.llm.graph import components
+from lattiq.llm.graph import components, smallest_reachable
 
 WORDS, LEVEL = 5, 85
 ROWS, BANDS, BLOCK = 6, 56, 384
 BINS = ROWS * BANDS
-#: Two sets of SURE shingles or more whose share of equal bins is so many deviations below the level are ruled out.
-DEVIATIONS, SURE = 5.6, 64
 _EMPTY = np.uint32(0xFFFFFFFF)
 
 
@@ -104,53 +103,37 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return key
 
 
-def far(level: int) -> float:
-    """Share of equal bins below which two sets of SURE shingles or more can't reach the level; 0.6 at level 85."""
-    p = level / 100
-    return p - DEVIATIONS * (p * (1 - p) / SURE) ** 0.5
-
-
-def _labels(n: int):
-    parent = list(range(n))
-
-    def find(x):
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    return parent, find
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray], part: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of every set of ``left`` with every one of ``right``, by products of 0/1 matrices
+    over ``part`` shingles at a time; a shingle of one set only is left out."""
+    every = left + right
+    of = np.repeat(np.arange(len(every)), [len(x) for x in every])
+    _, column, times = np.unique(np.concatenate(every), return_inverse=True, return_counts=True)
+    some = times[column] > 1
+    of, column = of[some], column[some]
+    by = np.argsort(column, kind="stable")
+    of, column = of[by], column[by]
+    column = np.cumsum(np.append(0, column[1:] != column[:-1])) if len(column) else column
+    out = np.zeros((len(left), len(right)), np.float32)
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, part):
+        mine = slice(*np.searchsorted(column, [at, at + part]))
+        has = np.zeros((len(every), part), np.float32)
+        has[of[mine], column[mine] - at] = 1
+        out += has[: len(left)] @ has[len(left) :].T
+    return out
 
 
 def confirm(left: list[np.ndarray], right: list[np.ndarray] | None, level: int = LEVEL) -> list[tuple[int, int]]:
-    """A spanning forest, as pairs of positions, of the links among ``left`` (or left and right)."""
-    every = left + (right or [])
-    n, m = len(every), len(left)
-    size = np.array([len(x) for x in every])
-    big = np.maximum(size[:, None], size[None, :])
-    near = 100 * np.minimum(size[:, None], size[None, :]) >= level * big
-    near &= np.triu(np.ones((n, n), bool), 1)
-    if right is not None:
-        near[:m, :m] = near[m:, m:] = False
-    same = np.full((n, n), BINS, np.int16)
-    if n > 8:
-        sig = signatures(np.concatenate(every), np.concatenate([[0], np.cumsum(size)])).astype(np.uint8)
-        same[:] = 0
-        for k in range(BINS):
-            same += sig[:, k][:, None] == sig[:, k][None, :]
-        near &= (same >= far(level) * BINS) | (np.minimum(size[:, None], size[None, :]) < SURE)
-    i, j = np.nonzero(near)
-    order = np.argsort(-same[i, j], kind="stable")
-    parent, find = _labels(n)
-    out = []
-    for a, b in zip(i[order].tolist(), j[order].tolist()):
-        x, y = find(a), find(b)
-        if x != y:
-            both = len(np.intersect1d(every[a], every[b], assume_unique=True))
-            if 100 * both >= level * (size[a] + size[b] - both):
-                parent[max(x, y)] = min(x, y)
-                out.append((a, b))
-    return out
+    """A spanning forest, as pairs of positions, of the components of the links among ``left`` (or left and right).
+
+    Every pair of sets is compared exactly, at every size."""
+    other = left if right is None else right
+    m, n = len(left), len(left) + len(right or [])
+    sizes, others = (np.array([len(x) for x in y]) for y in (left, other))
+    both = shared_counts(left, other).astype(np.int64)
+    i, j = np.nonzero(100 * both >= level * (sizes[:, None] + others[None, :] - both))
+    root = smallest_reachable(n, i, j if right is None else j + m)
+    return [(a, int(root[a])) for a in np.flatnonzero(root != np.arange(n)).tolist()]
 
 
 # ---------------------------------------------------------------- over Spark
@@ -189,7 +172,7 @@ def confirmed(docs: DataFrame, family: DataFrame, words: int, level: int) -> Dat
     blocks = family.join(sizes, "family").where("members > 1").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
     blocks = blocks.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    rows = texts.hint("merge").join(blocks, "id")  # one plan at every size.select("id", "family", "block", "blocks", "text")
+    rows = texts.hint("merge").join(blocks, "id").select("id", "family", "block", "blocks", "text")  # one plan at every size
 
     def sets(batches):
         for batch in batches:
@@ -209,7 +192,8 @@ def confirmed(docs: DataFrame, family: DataFrame, words: int, level: int) -> Dat
         values = t.column("shingles").combine_chunks()
         flat, at = values.flatten().to_numpy().view(np.uint64), np.concatenate([[0], np.cumsum(values.value_lengths().to_numpy(zero_copy_only=False))])
         order = np.argsort(ids, kind="stable")
-        order = order[np.concatenate([[True], ids[order][1:] != ids[order][:-1]])] if len(ids) else order
+        sets = {}  # a row that repeats is left out; texts of one doc_id are members of their own
+        order = np.array([i for i in order if sets.setdefault((ids[i], flat[at[i] : at[i + 1]].tobytes()), i) == i], np.int64)
         one, two = order[block[order] != hi], order[block[order] == hi]
         if not len(one):
             one, two = two, None
@@ -225,10 +209,15 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, level: int = LEVEL) ->
     """(doc_id, n_shingles, component_id, kept) of every row."""
     rows = Stash(digests(docs, words), "digests").df
     some = rows.where("n > 0 and doc_id is not null")
-    classes = Stash(some.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep")), "classes").df
-    reps = some.join(classes.select("rep"), F.col("doc_id") == F.col("rep"), "left_semi").select(F.col("doc_id").alias("rep"), "keys").dropDuplicates(["rep"])
+    key = ["n", "d1", "d2"]
+    classes = Stash(some.groupBy(*key).agg(F.min("doc_id").alias("rep")), "classes").df
+    reps = some.join(classes, [*(some[k] == classes[k] for k in key), F.col("doc_id") == F.col("rep")], "left_semi").select(F.col("doc_id").alias("rep"), "keys").distinct()
     family = Stash(families(reps), "families").df
-    links = Stash(confirmed(docs, family, words, level), "confirmed").df
+    links = confirmed(docs, family, words, level)
+    # a doc_id with several sets is one document: it links their classes
+    ends = some.groupBy("doc_id").agg(F.min(F.struct(*key)).alias("x"), F.max(F.struct(*key)).alias("y")).where("x <> y").select("doc_id")
+    several = some.join(ends, "doc_id", "left_semi").select("doc_id", *key).distinct().join(classes, key).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    links = Stash(links.union(several), "confirmed").df
     joined = components(links)
     whole = classes.join(joined, F.col("rep") == F.col("id"), "left").select("n", "d1", "d2", F.coalesce("component", "rep").alias("component_id"))
     member = rows.select("doc_id", "n", "d1", "d2")

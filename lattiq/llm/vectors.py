@@ -9,7 +9,13 @@ and one edge of a spanning forest, never the links themselves.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components, and rows
 with null label or null vec_id, link with nothing and are kept (a null vec_id has a null component);
-vectors of different lengths link with nothing; an empty table gives an empty result.
+vectors of different lengths link with nothing; vectors are scaled by their largest component first, so
+that no finite one over- or underflows; rows that repeat a vec_id are one vector if they are equal, else
+all of them share its links; equal vectors link with each other; an empty table gives an empty result;
+further columns are ignored.
+
+Every pair of blocks of a label is compared, so the work, and the rows sent, grow with the square of the
+largest label's classes.
 """
 
 from __future__ import annotations
@@ -20,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattiq.llm.common import Stash, table
-from lattiq.llm.graph import components
+from lattiq.llm.graph import components, smallest_reachable
 
 LEVEL, TILE = 0.93, 1536
 _SLACK = 1e-9  # rounding of the bound itself
@@ -36,8 +42,9 @@ def quantise(u: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def linked(x: np.ndarray, y: np.ndarray | None, level: float) -> tuple[np.ndarray, np.ndarray, int]:
     """Positions (i, j) with cosine >= level among x (i < j), or between x and y; and how many pairs
     were computed in full."""
+    x = x / np.abs(x).max(1, keepdims=True)
+    z = x if y is None else y / np.abs(y).max(1, keepdims=True)
     unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
-    z = x if y is None else y
     (a, s, e), (b, t, f) = quantise(unit(x)), quantise(unit(z))
     kind = np.float32 if x.shape[1] * 127 * 127 < 1 << 24 else np.float64  # products of codes stay exact
     upper = (a.astype(kind) @ b.astype(kind).T).astype(np.float64)
@@ -57,19 +64,6 @@ def linked(x: np.ndarray, y: np.ndarray | None, level: float) -> tuple[np.ndarra
     return i[ok], j[ok], len(i)
 
 
-def smallest_reachable(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """For each of n nodes the smallest one it reaches by the links."""
-    low = np.arange(n)
-    while True:
-        new = low.copy()
-        np.minimum.at(new, i, low[j])
-        np.minimum.at(new, j, low[i])
-        new = new[new]
-        if (new == low).all():
-            return low
-        low = new
-
-
 def near_vectors(vectors: DataFrame, level: float = LEVEL) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row."""
     x = F.col("x")
