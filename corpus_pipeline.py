@@ -8,6 +8,7 @@ every copy of a document in the mix.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lattiq.llm import decontaminate, mixing, neardup, quality, tokens
 from lattiq.llm.common import Stash, new_path, scratch, table
@@ -21,28 +22,42 @@ NEAR = 80
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects go.
+
+    Null and empty texts are scored like others; repeated rows and ties stay or go together; a null doc_id is judged
+    by its text; without usable labels all stay; an empty table stays empty; further columns are kept."""
     return quality.keep_good(docs, quality.fit_labelled(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
-    gone = neardup.near_duplicates(docs, level=NEAR).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group of near-duplicates stays: all rows of its smallest doc_id.
+
+    Null and empty texts and null doc_ids are nobody's duplicates and stay; repeated rows are one document; an empty
+    table stays empty; further columns are kept."""
+    gone = neardup.near_duplicates(docs, level=NEAR).where("not kept").select(F.col("doc_id").alias("gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go, with all rows of their doc_id.
+
+    Null and empty texts and null doc_ids stay; an empty table, or an empty benchmark, takes nothing away; further
+    columns are kept."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it.
+
+    Documents of a source without words are not taken; null sources are one source; null texts have size 0; repeated
+    rows are drawn one by one; an empty table stays empty; further columns are kept."""
     return mixing.mix(docs)
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token shards of the mix, read back."""
+    """Token shards of the mix, read back: a row for each copy, further columns are left out.
+
+    Null and empty texts are the end id alone; null doc_ids come first; an empty table gives no rows."""
     return tokens.read_tokens(spark, tokens.write_tokens(docs, new_path(spark, "tokens")), with_ids=False)
 
 
