@@ -5,21 +5,23 @@ window of LENGTH bytes has the least hash of its GRAM-byte substrings as key, an
 equal key make one segment. Of equal texts only the first document's is cut; the others go whole. Keys
 that occur in one document only are left out. A task passes on a segment only where it first meets it,
 and settles the later documents that hold it itself, so a passage that a third of all documents share
-comes once from each task. Within a shard the segments are suffix-sorted by induced sorting: suffixes left
-of larger ones are ranked by recursion on their named substrings, all others are induced bucket by bucket
-from queues kept in one array, which lies in a file of the task's own folder beyond MEMORY suffixes.
-Runs of suffixes whose common prefix reaches LENGTH are equal windows; each takes the smallest document
-of its run.
+comes once from each task. Within a shard the segments are suffix-sorted by induced sorting: the leftmost-smaller
+suffixes are named by their substrings and ranked by prefix doubling where names repeat; all others are
+induced bucket by bucket from queues kept in one array, a bucket's runs of one symbol at once. The array
+lies in a file of the task's own folder beyond MEMORY suffixes. Runs of suffixes whose common prefix
+reaches LENGTH are equal windows; each takes the smallest document of its run.
 
-Differences from the named method: the queues hold positions, and a symbol before a position is read
-from the text, in place of tuples that carry symbols and common-prefix values; common prefixes are only
-compared with LENGTH after sorting; the names of the first level are ranked by prefix doubling.
+This is not the named method in full: the queues hold positions, and a symbol before a position is read
+from the text, in place of disk-backed priority queues of tuples that carry symbols and common-prefix
+values; there is no recursion, as prefix doubling ranks the names; common prefixes are only compared with
+LENGTH after sorting; a shard's text and its ranks are in memory. See README for figures.
 
 Equal texts are known by their 128-bit MD5.
 
 Defined results: null texts are empty; texts shorter than LENGTH keep all bytes; rows with a null doc_id
 are not compared and keep all bytes; rows that repeat a doc_id are copies of one document and don't count
-against each other.
+against each other; a text of any length is cut whole, in overlapping parts; an empty table gives an empty
+result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattiq.llm.common import mix64, pieces, powers, raw_text, table
+from lattiq.llm.common import mix64, pieces, raw_text, table
 
 LENGTH, GRAM = 50, 16
 SHARD_BYTES, MEMORY = 4 << 20, 1 << 25
@@ -42,14 +44,20 @@ SEEN = 32 << 20
 _R = 0x9E3779B97F4A7C15
 
 
+def octets(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on as one number; a view of the bytes."""
+    data = np.ascontiguousarray(data)
+    return np.ndarray((max(len(data) - 7, 0),), "<u8", data, strides=(1,))
+
+
 def run_keys(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Segments of texts: row, start in the row, bytes, and key."""
     offsets = offsets - offsets[0]
     none = np.zeros(0, np.int64)
     if len(data) < LENGTH:
         return none, none, none, np.zeros(0, np.uint64)
-    prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(data + np.uint64(1)) * powers(_R, len(data)))])
-    low = mix64((prefix[GRAM:] - prefix[:-GRAM]) * powers(pow(_R, -1, 1 << 64), len(data))[: len(data) - GRAM + 1])
+    eight = octets(data)
+    low = mix64(mix64(eight[:-8] * np.uint64(_R)) + eight[8:])  # of GRAM bytes
     width, span = LENGTH - GRAM + 1, 1
     while span * 2 <= width:
         low = np.minimum(low[:-span], low[span:])
@@ -102,10 +110,6 @@ def _queue(n: int) -> np.ndarray:
         return out
 
 
-def _starts(pos: np.ndarray, first_of_run: np.ndarray) -> np.ndarray:
-    return pos[first_of_run[pos] == pos]
-
-
 def suffix_order(s: np.ndarray, level: int = 0) -> np.ndarray:
     """Starts of the suffixes of s in ascending order; the last symbol is the smallest and occurs once."""
     n = len(s)
@@ -114,7 +118,8 @@ def suffix_order(s: np.ndarray, level: int = 0) -> np.ndarray:
     narrow = np.uint16 if s.max() < 1 << 16 else np.int64  # sorted by radix
     differs = np.append(s[1:] != s[:-1], True)
     nxt = np.flatnonzero(differs)
-    first_of_run = np.repeat(np.append(0, nxt[:-1] + 1), np.diff(nxt, prepend=-1))
+    begins = np.append(True, differs[:-1])
+    first_of_run = np.repeat(np.append(0, nxt[:-1] + 1), np.diff(nxt, prepend=-1)).astype(np.int32 if n < 1 << 31 else np.int64)
     at = np.repeat(nxt, np.diff(nxt, prepend=-1))
     small = np.ones(n, bool)  # the suffix is smaller than the next
     small[: n - 1] = s[at[:-1]] < s[np.minimum(at[:-1] + 1, n - 1)]
@@ -149,9 +154,10 @@ def suffix_order(s: np.ndarray, level: int = 0) -> np.ndarray:
         def runs(pos):
             """The suffixes that start earlier in the run of equal symbols that ends at each of pos: all of the
             shortest way back first, each in the order of pos. They follow in the same bucket."""
+            pos = pos[~begins[pos]]
+            if not len(pos):
+                return pos
             back = pos - first_of_run[pos]
-            if not back.any():
-                return pos[:0]
             k = np.repeat(np.arange(len(pos)), back)
             step = np.arange(len(k)) - np.repeat(np.cumsum(back) - back, back) + 1
             by = np.argsort(step, kind="stable")
@@ -162,13 +168,15 @@ def suffix_order(s: np.ndarray, level: int = 0) -> np.ndarray:
             more = runs(out[heads[c] : head[c]])
             out[head[c] : head[c] + len(more)] = more
             head[c] += len(more)
-            push(_starts(out[heads[c] : head[c]], first_of_run), True)
+            every = out[heads[c] : head[c]]
+            push(every[begins[every]], True)
             push(order[first[c] : first[c + 1]], True)
         for c in np.flatnonzero(size)[::-1]:
             more = runs(out[tail[c] : ends[c]][::-1])
             out[tail[c] - len(more) : tail[c]] = more[::-1]
             tail[c] -= len(more)
-            push(_starts(out[tail[c] : ends[c]][::-1], first_of_run), False)
+            every = out[tail[c] : ends[c]][::-1]
+            push(every[begins[every]], False)
             push(out[heads[c] : head[c]][::-1], False)
         out[0] = n - 1
         return out
@@ -202,19 +210,18 @@ def least_documents(segments: list[bytes], lows: np.ndarray) -> list[np.ndarray]
     lengths = np.array([len(x) for x in segments])
     text = np.zeros(int((lengths + 1).sum()) + 1, np.uint16)
     starts = np.cumsum(lengths + 1) - lengths - 1
-    for at, x in zip(starts, segments):
-        text[at : at + len(x)] = np.frombuffer(x, np.uint8).astype(np.uint16) + 2
-        text[at + len(x)] = 1
+    raw = np.frombuffer(b"\0".join(segments) + bytes(2 + LENGTH), np.uint8)
+    text[:-1] = raw[: len(text) - 1]
+    text[:-1] += 2
+    text[starts + lengths] = 1
     order = suffix_order(text)
     segment = np.append(np.repeat(np.arange(len(segments)), lengths + 1), len(segments) - 1)
     whole = np.arange(len(text)) - starts[segment] <= lengths[segment] - LENGTH
     order = np.asarray(order[whole[order]])
     equal = np.ones(max(len(order) - 1, 0), bool)
-    octets = np.zeros(len(text), np.uint64)  # eight bytes from each position; windows hold text only
-    for k in range(8):
-        octets[: len(text) - k] |= (text[k:] - 2).astype(np.uint64) % 256 << np.uint64(8 * k)
+    eight = octets(raw)  # windows hold text only
     for k in [*range(0, LENGTH - 8, 8), LENGTH - 8]:
-        part = octets[order + k]
+        part = eight[order + k]
         equal &= part[1:] == part[:-1]
     begin = np.flatnonzero(np.append(True, ~equal))
     low = np.minimum.reduceat(lows[segment[order]], begin)
