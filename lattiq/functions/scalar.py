@@ -40,3 +40,28 @@ def adaptive_threshold(size: Column, share: float = 0.05, floor: int = 100, cap:
 def flag(text: Column) -> Column:
     """A stored flag as boolean."""
     return ~F.lower(F.trim(text.cast("string"))).isin("false", "0", "no", "none", "")
+
+
+def feature_threshold(entities: Column, periods: Column, density: Column, share: float = 0.05, floor: int = 10, cap: int = 200) -> Column:
+    """The least number of cells for a score of one feature."""
+    size = F.floor(F.round(entities * periods * density * share, 9)).cast("int")
+    return F.greatest(F.lit(floor), F.least(F.lit(cap), size)).cast("int")
+
+
+def floor_at(x: Column, low: float) -> Column:
+    """``x``, or ``low`` if it is below; NULL stays."""
+    return F.when(x.isNotNull(), F.greatest(x, F.lit(low)))
+
+
+def lenient_date(text: Column, form: str = "yyyy-MM-dd") -> Column:
+    """A date, NULL where the text is none."""
+    return F.try_to_timestamp(text, F.lit(form)).cast("date")
+
+
+def strict_date(text: Column, form: str = "yyyy-MM-dd") -> Column:
+    """A date; text that is none is an error when the query runs."""
+    return F.to_timestamp(text, form).cast("date")
+
+
+def name_or_number(name: Column, i: Column) -> Column:
+    return F.coalesce(name, F.concat(F.lit("feat_"), i.cast("string")))

@@ -155,6 +155,11 @@ def affinity_propagation(x: np.ndarray, damping: float = 0.5, steps: int = 200,
 
 
 def adjusted_mutual_information(a, b) -> float:
+    """Of two labelings; places where either label is missing (None or NaN) are left out."""
+    known = [x is not None and x == x and y is not None and y == y for x, y in zip(a, b)]
+    a, b = (np.array([x for x, k in zip(v, known) if k]) for v in (a, b))
+    if not len(a):
+        return float("nan")
     _, a = np.unique(a, return_inverse=True)
     _, b = np.unique(b, return_inverse=True)
     n, table = len(a), np.zeros((a.max() + 1, b.max() + 1))
@@ -177,6 +182,17 @@ def normal_p(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2))
 
 
+def wilcoxon_p(w: float, n: int, ties: float = 0.0) -> float:
+    """Two-sided p-value of the smaller rank sum; ``ties`` is the sum of t ** 3 - t over groups of t equal ranks."""
+    if n <= 50 and not ties:
+        ways = [1] + [0] * (n * (n + 1) // 2)  # in how many ways ranks 1 to n add up to each sum
+        for k in range(1, n + 1):
+            for total in range(len(ways) - 1, k - 1, -1):
+                ways[total] += ways[total - k]
+        return min(1.0, 2 * sum(ways[: int(w) + 1]) / 2**n)
+    return normal_p((w - n * (n + 1) / 4) / math.sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48))
+
+
 def student_p(t: float, df: float) -> float:
     """Two-sided p-value, by the continued fraction of the incomplete beta function."""
     x, a, b = df / (df + t * t), df / 2, 0.5

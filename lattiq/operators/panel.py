@@ -52,11 +52,6 @@ def keep_last(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def covered(long: DataFrame, features: int) -> DataFrame:
-    """Entities with a value of every feature."""
-    return long.groupBy("entity").agg(F.count_distinct("feature").alias("n")).where(F.col("n") == features).select("entity")
-
-
 def starts(long: DataFrame) -> DataFrame:
     return long.groupBy("entity").agg(F.min("period").alias("first_period"))
 
@@ -70,21 +65,23 @@ def missing_share(long: DataFrame, entities: bool) -> DataFrame:
     return seen.join(F.broadcast(axes), F.lit(True)).select(key, (cells - F.col("seen")).alias("missing"), ((cells - F.col("seen")) / cells).alias("rate"))
 
 
-def lookback(dense: DataFrame, lags: int, drop_last: bool = True) -> DataFrame:
+def lookback(dense: DataFrame, lags: int, drop_last: bool = True, long: DataFrame | None = None) -> DataFrame:
     """(entity, feature, win, x, y, observed): x are the values of ``lags`` periods, y that after them.
 
-    ``win`` counts from the first period. Windows whose target is missing for every cell are dropped;
-    with ``drop_last`` the last period is never a target.
+    ``win`` counts from the first period. Windows whose target is missing for every cell are dropped, by a semi-join
+    with the periods that have a value; ``long``, the cells before densifying, gives these without the grid. With
+    ``drop_last`` the last period is never a target.
     """
     w = Window.partitionBy("entity", "feature").orderBy("period")
-    base = dense.agg(F.min("period").alias("lo"), F.max("period").alias("hi"))
+    base = (dense if long is None else long).agg(F.min("period").alias("lo"), F.max("period").alias("hi"))
     x = F.array(*[F.lag("value", k).over(w) for k in range(lags, 0, -1)])
     rows = dense.withColumn("x", x).join(F.broadcast(base), F.lit(True))
     rows = rows.withColumn("win", F.col("period") - F.col("lo") - lags).where(F.col("win") >= 0)
     if drop_last:
         rows = rows.where(F.col("period") < F.col("hi"))
-    some = F.count("value").over(Window.partitionBy("win")) > 0
-    rows = rows.withColumn("_some", some).where("_some")
+    seen = long if long is not None else dense.where("value IS NOT NULL")  # a row to a period: which ones have a value
+    some = seen.where("value IS NOT NULL").select("period").distinct()
+    rows = rows.join(F.broadcast(some), "period", "left_semi")
     return rows.select("entity", "feature", "win", "x", F.col("value").alias("y"), F.col("value").isNotNull().alias("observed"))
 
 
@@ -94,6 +91,20 @@ def folds(n: int, k: int = 3) -> list[tuple[int, int]]:
     return [(n - (k - i) * test, n - (k - i - 1) * test) for i in range(k)]
 
 
+def places(df: DataFrame, value: str, parts: int = 64) -> DataFrame:
+    """(value, n, before): the distinct values of a numeric column, how many rows hold each, and how many rows hold
+    a smaller one. Values are dealt to ``parts`` ranges, whose bounds are literals of the plan; only the ranges' counts
+    are added up in one task."""
+    values = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n"))
+    cuts = sorted(set(values.approxQuantile(value, [k / parts for k in range(1, parts)], 0.005)))
+    part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(value))) if cuts else F.lit(0)
+    values = values.withColumn("part", part)
+    inside = F.sum("n").over(Window.partitionBy("part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
+    sums = values.groupBy("part").agg(F.sum("n").alias("all"))
+    earlier = sums.select("part", F.coalesce(F.sum("all").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("earlier"))
+    return values.withColumn("inside", F.coalesce(inside, F.lit(0))).join(F.broadcast(earlier), "part").select(value, "n", (F.col("inside") + F.col("earlier")).alias("before"))
+
+
 def r2(df: DataFrame, by: list[str], y: str = "y", p: str = "p", least: int = 1) -> DataFrame:
     """Masked R2: NULL with fewer than ``least`` observations or no spread of y."""
     seen = df.where(F.col(y).isNotNull() & F.col(p).isNotNull())

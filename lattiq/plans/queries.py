@@ -68,8 +68,9 @@ def p3(s, d):
 
 
 def windows3(s, d, lags: int = 2) -> DataFrame:
-    dense = panel.densify(p3(s, d)).withColumn("value", scalar.log_modulus(F.col("value")))
-    return panel.lookback(dense, lags)
+    long = p3(s, d)
+    dense = panel.densify(long).withColumn("value", scalar.log_modulus(F.col("value")))
+    return panel.lookback(dense, lags, long=long)
 
 
 # ------------------------------------------------------------ scalars, scans, filters
@@ -117,9 +118,13 @@ def coverage_filter(s, d):
     return per.join(F.broadcast(n), F.col("n") == F.col("all"), "left_semi").select("entity")
 
 
-@query("late_start_filter", f"WITH {P2} SELECT entity, min(period) AS first_period FROM p2 GROUP BY 1 HAVING min(period) <= 1993 * 4")
+@query("late_start_filter", f"WITH {P2}, lo AS (SELECT min(period) AS lo FROM p2) SELECT entity, feature, period, round(value, 2) AS value FROM p2, lo WHERE entity NOT IN (SELECT entity FROM p2, lo GROUP BY entity, lo HAVING min(period) > lo + 1)")
 def late_start_filter(s, d):
-    return panel.starts(p2(s, d)).where(F.col("first_period") <= 1993 * 4)
+    """The rows of entities whose first row is not later than the second period of the panel."""
+    rows = p2(s, d)
+    lo = F.broadcast(rows.agg(F.min("period").alias("lo")))
+    late = panel.starts(rows).join(lo, F.col("first_period") > F.col("lo") + 1, "left_semi").select("entity")
+    return rows.join(late, "entity", "left_anti").select("entity", "feature", "period", F.round("value", 2).alias("value"))
 
 
 @query("common_start", f"WITH {P1} SELECT max(m) AS start FROM (SELECT min(period) AS m FROM p1 GROUP BY entity)")
@@ -127,10 +132,22 @@ def common_start(s, d):
     return panel.starts(p1(s, d)).agg(F.max("first_period").alias("start"))
 
 
-@query("incomplete_dropped", f"WITH {P2}, {grid('p2')} SELECT entity, count(*) AS cells FROM dense GROUP BY 1 HAVING count(value) * 2 >= count(*)")
+@query("aligned_start", f"WITH {P3} SELECT entity, feature, period, round(value, 6) AS value FROM p3 WHERE period >= (SELECT max(m) FROM (SELECT min(period) AS m FROM p3 GROUP BY entity))")
+def aligned_start(s, d):
+    """The panel from the latest first period of all its entities on."""
+    rows = p3(s, d)
+    start = panel.starts(rows).agg(F.max("first_period").alias("start"))
+    return rows.join(F.broadcast(start), F.col("period") >= F.col("start"), "left_semi").select("entity", "feature", "period", r6("value"))
+
+
+@query("incomplete_dropped", f"""WITH {P1}, {grid('p1')}, bad AS (SELECT DISTINCT entity FROM dense WHERE value IS NULL OR (feature = 'qty' AND value < 200))
+SELECT entity, feature, period, round(value, 6) AS value FROM dense WHERE entity NOT IN (SELECT entity FROM bad)""")
 def incomplete_dropped(s, d):
-    dense = panel.densify(p2(s, d))
-    return dense.groupBy("entity").agg(F.count("*").alias("cells"), F.count("value").alias("seen")).where("seen * 2 >= cells").select("entity", "cells")
+    """The grid without entities that miss any cell; a quantity below 200 counts as missing here, so that some do."""
+    kept = p1(s, d).withColumn("value", F.when((F.col("feature") != "qty") | (F.col("value") >= 200), F.col("value")))
+    dense = panel.densify(kept)
+    gaps = dense.where("value IS NULL").select("entity").distinct()
+    return dense.join(gaps, "entity", "left_anti").select("entity", "feature", "period", r6("value"))
 
 
 @query("complete_rows", f"WITH {P2} SELECT entity, period FROM p2 GROUP BY 1, 2 HAVING count(*) = 2 AND sum(CASE WHEN feature = 'total' THEN value END) > 200000")
@@ -147,9 +164,10 @@ def semi_join_taxonomy(s, d):
     return panels.read(s, d, "customer").join(asia, F.col("c_nationkey") == F.col("n_nationkey"), "left_semi").select("c_custkey")
 
 
-@query("anti_join", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("anti_join", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
 def anti_join(s, d):
-    return panels.read(s, d, "customer").join(panels.read(s, d, "orders"), F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey")
+    urgent = panels.read(s, d, "orders").where("o_orderpriority = '1-URGENT'")
+    return panels.read(s, d, "customer").join(urgent, F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey")
 
 
 @query("label_lookup", "SELECT s_suppkey, n_name FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey")
@@ -159,8 +177,12 @@ def label_lookup(s, d):
 
 @query("entity_index", f"WITH {P1} SELECT entity, CAST(row_number() OVER (ORDER BY CAST(entity AS VARCHAR)) - 1 AS INTEGER) AS idx FROM (SELECT DISTINCT entity FROM p1)")
 def entity_index(s, d):
-    keys = p1(s, d).select("entity").distinct()
-    return keys.withColumn("idx", (F.row_number().over(Window.orderBy(F.col("entity").cast("string"))) - 1).cast("int"))
+    """Keys are ranked among those with the same first three characters, after the counts of smaller beginnings."""
+    keys = p1(s, d).select("entity").distinct().withColumn("name", F.col("entity").cast("string")).withColumn("head", F.substring("name", 1, 3))
+    heads = keys.groupBy("head").agg(F.count("*").alias("n"))
+    before = heads.select("head", F.coalesce(F.sum("n").over(Window.orderBy("head").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy("head").orderBy("name"))
+    return keys.withColumn("place", place).join(F.broadcast(before), "head").select("entity", (F.col("place") - 1 + F.col("before")).cast("int").alias("idx"))
 
 
 @query("nunique_taxonomy", "SELECT r_name, count(DISTINCT n_nationkey) AS nations, count(DISTINCT c_custkey) AS customers FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
@@ -288,10 +310,11 @@ for _key in ("feature", "entity"):
 
 
 @query("missing_report", f"""WITH {P2}, {grid('p2')} SELECT entity, round(avg(CASE WHEN value IS NULL THEN 1.0 ELSE 0 END), 6) AS overall,
-round(avg(CASE WHEN feature = 'total' THEN CASE WHEN value IS NULL THEN 1.0 ELSE 0 END END), 6) AS total FROM dense GROUP BY 1""")
+round(avg(CASE WHEN feature = 'total' THEN CASE WHEN value IS NULL THEN 1.0 ELSE 0 END END), 6) AS total,
+round(avg(CASE WHEN feature = 'orders' THEN CASE WHEN value IS NULL THEN 1.0 ELSE 0 END END), 6) AS orders FROM dense GROUP BY 1""")
 def missing_report(s, d):
     gap = F.col("value").isNull().cast("double")
-    return panel.densify(p2(s, d)).groupBy("entity").agg(F.round(F.avg(gap), SIX).alias("overall"), F.round(F.avg(F.when(F.col("feature") == "total", gap)), SIX).alias("total"))
+    return panel.densify(p2(s, d)).groupBy("entity").agg(F.round(F.avg(gap), SIX).alias("overall"), *[F.round(F.avg(F.when(F.col("feature") == f, gap)), SIX).alias(f) for f in ("total", "orders")])
 
 
 @query("worst_entities_topk", f"WITH {P3}, {grid('p3')} SELECT entity, count(*) - count(value) AS missing FROM dense GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5")
@@ -304,12 +327,19 @@ def masked_feature_mean(s, d):
     return windows3(s, d).groupBy("feature").agg(F.round(F.sum("y") / (F.count("y") + 1e-8), SIX).alias("mean"))
 
 
-@query("firm_feature_means", WINDOWS + HOLD + """SELECT entity, feature, round(coalesce(avg(y) FILTER (win < n), avg(avg(y) FILTER (win < n)) OVER (PARTITION BY feature)), 4) AS mean
-FROM windows, h GROUP BY entity, feature""")
+@query("firm_feature_means", WINDOWS + HOLD + """, f AS (SELECT feature, sum(y) FILTER (win < n) / (count(y) FILTER (win < n) + 1e-8) AS fallback FROM windows, h GROUP BY 1)
+SELECT entity, feature, round(coalesce(avg(y) FILTER (win < n), any_value(fallback)), 6) AS mean FROM windows JOIN f USING (feature), h GROUP BY entity, feature""")
 def firm_feature_means(s, d):
-    """Means of the development windows; a cell never seen there falls back to its feature's mean of means."""
-    means = holdout(windows3(s, d)).groupBy("entity", "feature").agg(F.avg(F.when(F.col("dev"), F.col("y"))).alias("m"))
-    return means.select("entity", "feature", F.round(F.coalesce("m", F.avg("m").over(Window.partitionBy("feature"))), 4).alias("mean"))
+    """Means of the development windows; a cell never seen there falls back to the mean of its feature's seen cells."""
+    return train_means(holdout(windows3(s, d))).select("entity", "feature", F.round("mean", SIX).alias("mean"))
+
+
+def train_means(w: DataFrame) -> DataFrame:
+    """(entity, feature, mean) of the development cells of windows with ``dev``; sums first, so no group is held."""
+    y = F.when(F.col("dev"), F.col("y"))
+    sums = w.groupBy("entity", "feature").agg(F.sum(y).alias("s"), F.count(y).alias("n"))
+    by_feature = sums.groupBy("feature").agg((F.sum("s") / (F.sum("n") + 1e-8)).alias("fallback"))
+    return sums.join(F.broadcast(by_feature), "feature").select("entity", "feature", F.when(F.col("n") > 0, F.col("s") / F.col("n")).otherwise(F.col("fallback")).alias("mean"))
 
 
 @query("group_feature_means", "SELECT c_nationkey, round(avg(c_acctbal), 6) AS balance, count(*) AS n FROM customer GROUP BY 1")
@@ -444,12 +474,16 @@ def delta_r2(s, d):
     return a.join(b, "feature").select("feature", F.round(F.col("other") - F.col("r2"), SIX).alias("delta"))
 
 
-@query("ar1_persistence", f"""WITH {P2}, seen AS (SELECT entity, feature, value AS y, lag(value) OVER (PARTITION BY entity, feature ORDER BY period) AS x FROM p2),
+@query("ar1_persistence", f"""WITH {P2}, seen AS (SELECT entity, feature, value AS y, lag(value) OVER (PARTITION BY entity, feature ORDER BY period) AS x FROM p2
+  WHERE period < (SELECT min(period) + floor(0.8 * (max(period) - min(period) + 1)) FROM p2)),
 rho AS (SELECT entity, feature, greatest(-1, least(1, covar_samp(y, x) / var_samp(x))) AS r FROM seen WHERE x IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 7 AND var_samp(x) >= 1e-12)
 SELECT feature, count(*) AS n, round(avg(r), 6) AS rho FROM rho GROUP BY 1""")
 def ar1_persistence(s, d):
+    """Persistence of the development periods, the first four fifths: a gap is skipped, so the lag is the last seen value."""
+    rows = p2(s, d)
+    end = rows.agg((F.min("period") + F.floor(0.8 * (F.max("period") - F.min("period") + 1))).alias("end"))
     x = F.lag("value").over(Window.partitionBy("entity", "feature").orderBy("period"))
-    seen = p2(s, d).withColumn("x", x).where("x IS NOT NULL")
+    seen = rows.join(F.broadcast(end), F.col("period") < F.col("end"), "left_semi").withColumn("x", x).where("x IS NOT NULL")
     rho = seen.groupBy("entity", "feature").agg(F.count("*").alias("n"), F.covar_samp("value", "x").alias("c"), F.var_samp("x").alias("v")).where("n >= 7 AND v >= 1e-12")
     return rho.groupBy("feature").agg(F.count("*").alias("n"), F.round(F.avg(scalar.clip(F.col("c") / F.col("v"), -1, 1)), SIX).alias("rho"))
 
@@ -467,27 +501,23 @@ def _design(s, d) -> DataFrame:
 
 
 @query("ridge_loo_by_feature")
-def ridge_loo_by_feature(s, d):
-    """Penalty by generalised leave-one-out and coefficients, from the 2 x 2 sums of each feature."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        x, y = np.array(rows["x"].tolist()), rows["y"].to_numpy()
-        alpha = models.ridge_loo(x, y, [0.1, 1, 10, 100, 1000])
-        return pd.DataFrame({"feature": [rows["feature"].iloc[0]], "alpha": [float(alpha)], "beta": [models.ridge(x, y, alpha).tolist()]})
-
-    return _design(s, d).where("dev").groupBy("feature").applyInPandas(run, "feature string, alpha double, beta array<double>")
-
-
-@query("fe_ridge_cv")
-def fe_ridge_cv(s, d):
-    """Fixed-effects ridge by feature: entity means and penalty from inner training folds."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["win", "entity"])
-        got = models.fixed_effects_ridge(rows["entity"].to_numpy(), rows["win"].to_numpy(), np.array(rows["x"].tolist()), rows["y"].to_numpy(), 10.0 ** np.arange(-2, 5), int(rows["win"].max()) + 1)
-        return pd.DataFrame({"feature": [rows["feature"].iloc[0]], "alpha": [float(got["alpha"])], "beta": [got["beta"].tolist()], "n": [len(rows)]})
-
-    return _design(s, d).where("dev").groupBy("feature").applyInPandas(run, "feature string, alpha double, beta array<double>, n long")
+def ridge_loo_by_feature(s, d, alphas=(0.1, 1.0, 10.0, 100.0, 1000.0)):
+    """(feature, alpha, beta): the penalty by leave-one-out errors, over a feature's two lags.
+
+    A first sum gives each feature's Gram matrix; with its inverses as literals of a small table, a row's leverage and
+    residual are plain columns, and their squares are summed."""
+    w = _design(s, d).where("dev").select("feature", F.col("x")[0].alias("a"), F.col("x")[1].alias("b"), "y")
+    sums = w.groupBy("feature").agg(*[F.sum(F.col(p) * F.col(q)).alias(p + q) for p, q in ("aa", "ab", "bb", "ay", "by")])
+    each = sums.select("*", F.explode(F.array(*map(F.lit, alphas))).alias("alpha"))
+    aa, bb = F.col("aa") + F.col("alpha"), F.col("bb") + F.col("alpha")
+    det = aa * bb - F.col("ab") ** 2
+    solved = each.select("feature", "alpha", (bb / det).alias("i"), (-F.col("ab") / det).alias("j"), (aa / det).alias("k"), ((bb * F.col("ay") - F.col("ab") * F.col("by")) / det).alias("p"), ((aa * F.col("by") - F.col("ab") * F.col("ay")) / det).alias("q"))
+    rows = w.join(F.broadcast(solved), "feature")  # a row for each feature and penalty
+    leverage = F.col("i") * F.col("a") ** 2 + 2 * F.col("j") * F.col("a") * F.col("b") + F.col("k") * F.col("b") ** 2
+    rest = (F.col("y") - F.col("p") * F.col("a") - F.col("q") * F.col("b")) / F.greatest(1 - leverage, F.lit(1e-12))
+    errors = rows.groupBy("feature", "alpha").agg(F.avg(rest**2).alias("e"), F.first(F.array("p", "q")).alias("beta"))
+    best = errors.groupBy("feature").agg(F.min(F.struct("e", "alpha", "beta")).alias("m"))
+    return best.select("feature", "m.alpha", "m.beta")
 
 
 def _moments(w: DataFrame, names: list) -> dict:
@@ -567,10 +597,8 @@ def ols_band(s, d):
 
 
 def average_rank(t: DataFrame, x: str) -> DataFrame:
-    """Average ranks of a column: ranks of its distinct values, joined back, so rows aren't sorted in one task."""
-    values = t.groupBy(x).agg(F.count("*").alias("_c"))
-    low = F.coalesce(F.sum("_c").over(Window.orderBy(x).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return t.join(values.select(x, (low + (F.col("_c") + 1) / 2).alias(f"rank_{x}")), x)
+    """Average ranks of a column: places of its distinct values, by ranges, joined back."""
+    return t.join(panel.places(t, x).select(x, (F.col("before") + (F.col("n") + 1) / 2).alias(f"rank_{x}")), x)
 
 
 @query("spearman_rho", PAIRS + ", r AS (SELECT rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2 AS ra, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2 AS rb FROM t) SELECT count(*) AS n, round(corr(ra, rb), 6) AS rho FROM r")
@@ -600,10 +628,12 @@ def wilcoxon_w(s, d):
 
 @query("wilcoxon_p")
 def wilcoxon_p(s, d):
+    """Two-sided: exact for at most 50 differences without ties, else by the normal form with its correction for ties."""
     r = wilcoxon_w(s, d).first()
     n, w = r["n"], min(r["w_plus"], r["w_minus"])
-    z = (w - n * (n + 1) / 4) / np.sqrt(n * (n + 1) * (2 * n + 1) / 24)
-    return s.createDataFrame([(n, float(w), float(models.normal_p(float(z))))], "n long, w double, p double")
+    z = _pairs(s, d).select(F.abs(F.col("a") / 100000 - F.col("b")).alias("m")).where("m <> 0").groupBy("m").agg(F.count("*").alias("t"))
+    ties = z.where("t > 1").agg(F.sum(F.col("t") ** 3 - F.col("t"))).first()[0] or 0.0
+    return s.createDataFrame([(n, float(w), models.wilcoxon_p(float(w), n, float(ties)))], "n long, w double, p double")
 
 
 @query("bh_adjust", """WITH p AS (SELECT n_nationkey AS k, (n_nationkey * 7 % 25 + 1) / 30.0 AS p FROM nation), r AS (SELECT *, p * count(*) OVER () / rank() OVER (ORDER BY p) AS q FROM p)
@@ -710,34 +740,11 @@ def ami_score(s, d):
     return s.createDataFrame([(int(label.max()) + 1, float(ami))], "clusters int, ami double")
 
 
-@query("subset_search")
-def subset_search(s, d):
-    """Seeded trials of column subsets, clustered and scored against the regions, dealt over tasks."""
-    p = p1(s, d).join(panels.read(s, d, "supplier").select(F.col("s_suppkey").alias("entity"), "s_nationkey"), "entity")
-    wide = p.groupBy("s_nationkey").pivot("feature", ["discount", "price", "qty"]).agg(F.avg("value"))
-    more = p.groupBy("s_nationkey").agg(F.stddev_pop("value").alias("sd"), F.max("value").alias("top"))
-    t = wide.join(more, "s_nationkey").join(panels.read(s, d, "nation"), F.col("n_nationkey") == F.col("s_nationkey")).toPandas().sort_values("s_nationkey").fillna(0)
-    x = t[["discount", "price", "qty", "sd", "top"]].to_numpy(float)
-    x = (x - x.mean(0)) / np.where(x.std(0) > 0, x.std(0), 1)
-    y = t["n_regionkey"].to_numpy()
-
-    def run(batches):
-        for b in batches:
-            rows = []
-            for trial in b["id"]:
-                pick = np.sort(np.random.default_rng(int(trial)).choice(x.shape[1], 3, replace=False))
-                label = models.affinity_propagation(x[:, pick])
-                rows.append((int(trial), pick.tolist(), int(label.max()) + 1, models.adjusted_mutual_information(label, y)))
-            yield pd.DataFrame(rows, columns=["trial", "picked", "clusters", "ami"])
-
-    return s.range(0, 64, 1, 8).mapInPandas(run, "trial long, picked array<int>, clusters int, ami double")
-
-
-TRIALS = "WITH t AS (SELECT CAST(l_orderkey * 10 + l_linenumber AS BIGINT) AS trial, l_returnflag AS mode, l_linenumber % 2 * 2 + 2 AS lookback, round(l_extendedprice, 2) AS score FROM lineitem WHERE l_orderkey <= 500)"
+TRIALS = "WITH t AS (SELECT CAST(l_orderkey * 10 + l_linenumber AS BIGINT) AS trial, l_returnflag AS mode, l_linenumber % 2 * 2 + 2 AS lookback, round(l_extendedprice, 2) AS score FROM lineitem)"
 
 
 def _trials(s, d):
-    t = panels.read(s, d, "lineitem").where("l_orderkey <= 500")
+    t = panels.read(s, d, "lineitem")
     return t.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("trial"), F.col("l_returnflag").alias("mode"), (F.col("l_linenumber") % 2 * 2 + 2).alias("lookback"), F.round("l_extendedprice", 2).alias("score"))
 
 

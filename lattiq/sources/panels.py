@@ -12,16 +12,6 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def read_csv(spark: SparkSession, path: str, schema: str, date_format: str = "yyyy-MM-dd") -> DataFrame:
-    """Typed scan; dates and numbers that don't parse become NULL."""
-    return spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").option("dateFormat", date_format).csv(path)
-
-
-def write_windows(df: DataFrame, path: str) -> None:
-    """The window cache, laid out by mode and lookback."""
-    df.write.partitionBy("mode", "lookback").mode("overwrite").parquet(path)
-
-
 def unpivot(wide: DataFrame, features: list[str]) -> DataFrame:
     """Wide panel (entity, period, features) as coordinates; NULL and NaN cells are absent."""
     long = wide.unpivot(["entity", "period"], features, "feature", "value")

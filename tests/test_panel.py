@@ -1,9 +1,12 @@
+import glob
+import os
+
 import numpy as np
 import pytest
 
 from lattiq.functions import scalar
 from lattiq.operators import models, panel, tensor
-from lattiq.plans import queries
+from lattiq.plans import cleaning, evaluation, queries, results  # noqa: F401
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
@@ -68,21 +71,131 @@ def test_models():
     assert models.student_p(2.0, 10) == pytest.approx(0.07339, abs=1e-4)
 
 
-@pytest.mark.parametrize("name", ["per_feature_r2", "density_grouping_sets", "mode_gramian_period", "wilcoxon_w", "missing_by_entity"])
-def test_queries_against_sql(spark, name):
+def differences(spark, sf, names):
+    """The queries whose rows differ from those of their SQL."""
     import duckdb
 
-    con = duckdb.connect()
-    for t in ("events", "orders", "lineitem"):
-        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
-    want = con.sql(queries.ORACLE_SQL[name])
-    got = queries.QUERIES[name](spark, SF)
-    assert sorted(got.columns) == sorted(want.columns)
-    order = sorted(got.columns)
+    con, out = duckdb.connect(), []
+    for path in sorted(glob.glob(f"{sf}/*.parquet")):
+        con.sql(f"CREATE VIEW {os.path.basename(path)[:-8]} AS SELECT * FROM '{path}'")
     text = lambda v: None if v is None else f"{v:.5f}" if isinstance(v, float) else str(v)
-    mine = sorted(str([text(r[c]) for c in order]) for r in got.collect())
-    theirs = sorted(str([text(r[want.columns.index(c)]) for c in order]) for r in want.fetchall())
-    assert mine == theirs
+    for name in names:
+        want, got = con.sql(queries.ORACLE_SQL[name]), queries.QUERIES[name](spark, sf)
+        order = sorted(got.columns)
+        mine = sorted(str([text(r[c]) for c in order]) for r in got.collect())
+        theirs = sorted(str([text(r[want.columns.index(c)]) for c in order]) for r in want.fetchall()) if order == sorted(want.columns) else None
+        out += [name] * (mine != theirs)
+    return out
+
+
+def test_queries_against_sql(spark):
+    assert differences(spark, SF, sorted(queries.ORACLE_SQL)) == []
+
+
+def test_filters_keep_some_and_drop_some(spark):
+    sf = "/root/testdata/sf0.01"
+    for name, table in (("late_start_filter", queries.p2), ("aligned_start", queries.p3), ("incomplete_dropped", queries.p1), ("missing_rate_filter", queries.p2)):
+        assert 0 < queries.QUERIES[name](spark, sf).count() < table(spark, sf).count()
+    assert 0 < queries.QUERIES["anti_join"](spark, sf).count() < 1500
+
+
+def test_fixed_effects_against_rows(spark):
+    """Penalties, coefficients and held-out scores equal those from the rows themselves."""
+    w = queries.windows3(spark, SF)
+    got = {r["feature"]: r for r in evaluation.fixed_effects(w, least=25)}
+    t = w.toPandas()
+    names = sorted(t["feature"].unique())
+    n_dev = int(0.8 * t["win"].nunique())
+    x = np.zeros((0, 0))
+    wide = {(r.entity, r.win): np.zeros((2, len(names))) for r in t.itertuples()}
+    for r in t.itertuples():
+        wide[r.entity, r.win][:, names.index(r.feature)] = np.nan_to_num(np.array(list(r.x), float))
+    for name in names:
+        rows = t[(t["feature"] == name) & t["y"].notna()].sort_values(["win", "entity"])
+        x = np.array([wide[e, k].ravel() for e, k in zip(rows["entity"], rows["win"])])
+        y, e, k = rows["y"].to_numpy(float), rows["entity"].to_numpy(), rows["win"].to_numpy()
+        dev = k < n_dev
+        want = models.fixed_effects_ridge(e[dev], k[dev], x[dev], y[dev], evaluation.ALPHAS, n_dev)
+        assert got[name]["alpha"] == want["alpha"] and got[name]["beta"] == pytest.approx(want["beta"], abs=1e-6)
+        means = rows[dev].groupby("entity")["y"].mean()
+        m = np.array([means.get(i, y[dev].mean()) for i in e[~dev]])
+        v = y[~dev]
+        assert got[name]["test_r2"] == pytest.approx(1 - ((v - m - x[~dev] @ want["beta"]) ** 2).sum() / ((v - v.mean()) ** 2).sum(), abs=1e-6)
+
+
+def test_decompositions_are_of_the_whole_tensor(spark):
+    rows = queries.scaled1(spark, SF).toPandas()
+    (names, e), (_, f), (_, p) = (np.unique(rows[c].to_numpy(), return_inverse=True) for c in ("entity", "feature", "period"))
+    t = np.zeros((e.max() + 1, f.max() + 1, p.max() + 1))
+    t[e, f, p] = rows["value"]
+    core, factors, errors = tensor.tucker(t, evaluation.RANKS)
+    got = queries.QUERIES["tucker_core"](spark, SF).collect()
+    assert got[0].error == pytest.approx(errors[-1], abs=1e-4)
+    assert np.sqrt(sum(r.value**2 for r in got)) == pytest.approx(np.linalg.norm(core), rel=1e-3)
+    full = np.zeros(t.shape)
+    for r in queries.QUERIES["tucker_reconstruction"](spark, SF).collect():
+        full[list(names).index(r.entity), sorted(set(rows["feature"])).index(r.feature), sorted(set(rows["period"])).index(r.period)] = r.value
+    assert tensor.relative_error(t, full) == pytest.approx(errors[-1], abs=1e-3)
+
+
+def test_multi_output_ridge():
+    rng = np.random.default_rng(0)
+    x, w = rng.normal(size=(40, 5)), rng.normal(size=(5, 3))
+    y = x @ w + 4 + 0.1 * rng.normal(size=(40, 3))
+    alpha, beta, start = evaluation.multi_output_ridge(x, y, [0.1, 1.0, 10.0, 100.0])
+
+    def left_out(a):
+        errors = []
+        for i in range(40):
+            keep = np.arange(40) != i
+            u, v = x[keep], y[keep]
+            b = models.ridge(u - u.mean(0), v - v.mean(0), a)
+            errors.append((y[i] - v.mean(0) - (x[i] - u.mean(0)) @ b) ** 2)
+        return np.mean(errors)
+
+    assert alpha == min([0.1, 1.0, 10.0, 100.0], key=left_out) and np.allclose(beta, w, atol=0.1) and np.allclose(start, 4, atol=0.1)
+
+
+def test_subset_search_runs_all_trials(spark):
+    rows = evaluation.subset_search(spark, SF, trials=200).collect()
+    assert {r.trial for r in rows} == set(range(200)) and all(len(set(r.picked)) == 6 for r in rows)
+    assert all(r.hit == (r.ami > 0.25 and abs(r.clusters - 5) <= 2) for r in rows)
+
+
+def test_sinks_caches_and_guards(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 2, 1.5, "1995-02-28"), ("a", 4, None, "bad"), ("b", 2, 2.5, None)], "mode string, lookback int, v double, day string")
+    results.write_csv(rows, f"{tmp_path}/csv")
+    back = results.read_csv(spark, f"{tmp_path}/csv", "mode string, lookback int, v double, day date").collect()
+    assert sorted(str(r.day) for r in back) == ["1995-02-28", "None", "None"] and sum(r.v or 0 for r in back) == 4
+    assert results.load_windows(spark, f"{tmp_path}/cache", "a", 2) is None
+    results.write_windows(rows, f"{tmp_path}/cache")
+    assert results.load_windows(spark, f"{tmp_path}/cache", "a", 2).first().v == 1.5 and results.load_windows(spark, f"{tmp_path}/cache", "b", 4) is None
+    assert results.variant("x", "ratios", True) == "x/ratios_mean" and results.variant("x", "ratios", False) == "x/ratios_median"
+    assert results.non_empty(rows, "rows") is rows and results.complete(rows.where("v > 0"), "v", "v").count() == 2
+    for bad in (lambda: results.non_empty(rows.limit(0), "rows"), lambda: results.complete(rows, "v", "v")):
+        with pytest.raises(ValueError):
+            bad()
+    with pytest.raises(Exception, match="(?i)parse|timestamp"):
+        rows.select(scalar.strict_date(F.col("day"))).collect()
+    trials = spark.createDataFrame([(1, "a", 0.5), (2, "a", 0.7), (3, "a", 0.7)], "trial int, mode string, score double")
+    results.append_trials(trials, f"{tmp_path}/store")
+    results.append_trials(trials.withColumn("trial", F.col("trial") + 10), f"{tmp_path}/store")
+    store = spark.read.parquet(f"{tmp_path}/store")
+    assert store.count() == 6 and results.open_trials(spark.range(15).withColumnRenamed("id", "trial"), store).count() == 9
+    assert [r.trial for r in results.top_trials(trials, ["mode"], 2).orderBy("place").collect()] == [2, 3]
+    assert results.top_trials(trials, ["mode"], 1, ascending=True).first().trial == 1
+    with pytest.raises(ValueError):
+        results.top_trials(trials, ["mode"], 4)
+    assert results.archive_trials(spark, f"{tmp_path}/store", "1") and results.archive_trials(spark, f"{tmp_path}/store", "2") is None
+    cases = [([0.1, None, -0.5], True), ([0.1, 0.2, None], False), ([0.3, None, None], True), ([-0.2, 0.0, 0.4], False), ([-0.3, -0.2, 0.4], True)]
+    got = spark.createDataFrame([(i, x) for i, (x, _) in enumerate(cases)], "i int, s array<double>").select("i", results.pruned(F.col("s")).alias("cut")).collect()
+    assert [r.cut for r in sorted(got)] == [x for _, x in cases]
+
+
+def test_p_values_and_missing_labels():
+    assert models.wilcoxon_p(0, 5) == pytest.approx(2 / 32) and models.wilcoxon_p(3, 6) == pytest.approx(2 * 5 / 64)
+    assert models.wilcoxon_p(100.0, 60) == pytest.approx(models.normal_p((100 - 915) / np.sqrt(60 * 61 * 121 / 24)))
+    assert models.adjusted_mutual_information([0, 0, 1, 1, 5, 6], [3, 3, 4, 4, None, float("nan")]) == pytest.approx(1)
 
 
 def test_iterative_queries_run(spark):
