@@ -115,14 +115,7 @@ def tucker_gramian(g: np.ndarray, shape, ranks, steps: int = 500, tol: float = 1
     b, c = _starts(g, shape, ranks[1:])
     norm, errors = np.trace(g) or 1.0, []
     for _ in range(steps):
-        q = np.kron(b, c)
-        value, vector = np.linalg.eigh(q.T @ g @ q)
-        keep = np.argsort(-value)[: ranks[0]]
-        keep = keep[value[keep] > 1e-12 * norm]
-        z = ((q @ vector[:, keep]) / np.sqrt(value[keep])).T @ g  # the tensor with the entity mode reduced
-        z = z.reshape(-1, *shape)
-        b = np.linalg.svd(unfold(mode_product(z, c.T, 2), 1), full_matrices=False)[0][:, : ranks[1]]
-        c = np.linalg.svd(unfold(mode_product(z, b.T, 1), 2), full_matrices=False)[0][:, : ranks[2]]
+        _, z, b, c = _tucker_step(g, shape, ranks, b, c)
         core = mode_product(mode_product(z, b.T, 1), c.T, 2)
         errors.append(float(np.sqrt(max(norm - np.sum(core**2), 0.0) / norm)))
         if len(errors) > 1 and abs(errors[-2] - errors[-1]) < tol:
@@ -130,6 +123,135 @@ def tucker_gramian(g: np.ndarray, shape, ranks, steps: int = 500, tol: float = 1
     return b, c, errors
 
 
+def _tucker_step(g: np.ndarray, shape, ranks, b: np.ndarray, c: np.ndarray):
+    """The entity factor as columns that cells are multiplied by, the tensor with that mode reduced, the next b and c."""
+    q = np.kron(b, c)
+    value, vector = np.linalg.eigh(q.T @ g @ q)
+    keep = np.argsort(-value)[: ranks[0]]
+    keep = keep[value[keep] > 1e-12 * (np.trace(g) or 1.0)]
+    a = (q @ vector[:, keep]) / np.sqrt(value[keep])
+    z = (a.T @ g).reshape(len(keep), *shape)
+    b = np.linalg.svd(unfold(mode_product(z, c.T, 2), 1), full_matrices=False)[0][:, : ranks[1]]
+    c = np.linalg.svd(unfold(mode_product(z, b.T, 1), 2), full_matrices=False)[0][:, : ranks[2]]
+    return a, z, b, c
+
+
+class MaskedTucker:
+    """A sweep of ``tucker`` over a tensor that is known by its ``entity_gramian`` alone.
+
+    ``sweep`` gives the next state and the matrix that turns an entity's cells into their reconstruction."""
+
+    def __init__(self, shape, ranks):
+        self.shape, self.ranks = shape, ranks
+
+    def start(self, g: np.ndarray, seed: int):
+        return _starts(g, self.shape, self.ranks[1:])
+
+    def sweep(self, g: np.ndarray, state):
+        a, z, b, c = _tucker_step(g, self.shape, self.ranks, *state)
+        return (b, c), a @ z.reshape(len(z), len(g)) @ np.kron(b @ b.T, c @ c.T)
+
+
+class MaskedCP:
+    """A sweep of ``cp``, as ``MaskedTucker`` is one of ``tucker``."""
+
+    def __init__(self, shape, rank):
+        self.shape, self.rank = shape, rank
+
+    def start(self, g: np.ndarray, seed: int):
+        rng = np.random.default_rng(seed)
+        return [np.concatenate([u, rng.normal(size=(len(u), self.rank - u.shape[1]))], 1) for u in _starts(g, self.shape, (self.rank, self.rank))]
+
+    def sweep(self, g: np.ndarray, state):
+        b, c = state
+        ridge = 1e-12 * np.eye(self.rank)
+        a = np.linalg.solve((b.T @ b) * (c.T @ c) + ridge, khatri_rao([b, c]).T).T
+        aa, xa = a.T @ g @ a, (g @ a).reshape(*self.shape, self.rank)
+        b = np.linalg.solve(aa * (c.T @ c) + ridge, np.einsum("flr,lr->rf", xa, c)).T
+        c = np.linalg.solve(aa * (b.T @ b) + ridge, np.einsum("flr,fr->rl", xa, b)).T
+        return (b, c), a @ khatri_rao([b, c]).T
+
+
+#: Bytes of Gramians that one pass over the rows sums at once.
+PASS_BYTES = 64 << 20
+
+
+def _refill(t: np.ndarray, maps: list[np.ndarray]) -> np.ndarray:
+    """The last reconstruction of entities' cells (NaN: missing), refilled from each map's; without maps, zeros refill."""
+    seen = ~np.isnan(t)
+    full = np.where(seen, t, 0.0)
+    for k, m in enumerate(maps):
+        full = (np.where(seen, t, full) if k else full) @ m
+    return full
+
+
+def _by_window(batch: pd.DataFrame):
+    for win, at in batch.groupby("win").indices.items():
+        yield int(win), at, np.array([[np.nan if v is None else v for v in x] for x in batch["x"].iloc[at]], float)
+
+
+def impute(rows: DataFrame, model, steps: int, tol: float, seed: int = 42) -> DataFrame:
+    """(win, entity, x, observed, error, failed): masked factorisations, one for each whole window.
+
+    ``rows`` has a row for each window and entity, x being its cells in the order of the model's shape, NULL where
+    missing. A pass over the rows sums each open window's Gramian of refilled cells; the driver makes of it the next
+    matrix from cells to reconstruction, and tasks refill a row by applying its window's matrices one after the
+    other, so that nothing that grows with the entities is kept between passes. A window ends when its error over
+    observed cells changes by less than ``tol``; one that can't be solved gets zeros for what is missing, and error 1.
+    """
+    size = int(np.prod(model.shape))
+    todo = sorted(r["win"] for r in rows.select("win").distinct().collect())
+    share = max(1, PASS_BYTES // (8 * size * size))
+    done: dict[int, tuple[list, float, bool]] = {}
+    for first in range(0, len(todo), share):
+        done |= _maps(rows, todo[first : first + share], model, size, steps, tol, seed)
+
+    def run(batches):
+        for b in batches:
+            for win, at, t in _by_window(b):
+                maps, error, failed = done[win]
+                full, seen = _refill(t, maps), ~np.isnan(t)
+                yield pd.DataFrame({"win": win, "entity": b["entity"].iloc[at].to_numpy(), "x": list(full), "observed": list(seen), "error": error, "failed": failed})
+
+    return rows.mapInPandas(run, "win int, entity long, x array<double>, observed array<boolean>, error double, failed boolean")
+
+
+def _maps(rows: DataFrame, wins: list[int], model, size: int, steps: int, tol: float, seed: int) -> dict[int, tuple[list, float, bool]]:
+    """By window: the matrices of its sweeps, the last error, whether it failed."""
+    maps, errors, states, norms, done = {w: [] for w in wins}, {w: [] for w in wins}, {}, {}, {}
+    while len(done) < len(wins):
+        active = [w for w in wins if w not in done]
+        place = {w: k for k, w in enumerate(active)}
+
+        def partial(b: pd.DataFrame, place=place) -> np.ndarray:
+            out = np.zeros((len(place), size * size + 2))
+            for win, _, t in _by_window(b):
+                seen, full = ~np.isnan(t), _refill(t, maps[win])
+                x = np.where(seen, t, full)
+                out[place[win]] += [*(x.T @ x).ravel(), np.sum((t - full)[seen] ** 2), seen.sum()]
+            return out
+
+        sums = filled(summed(rows.where(F.col("win").isin(active)), partial), (len(active), size * size + 2))
+        for win, s in zip(active, sums):
+            g = s[:-2].reshape(size, size)
+            if win not in norms:
+                scale = np.sqrt(np.trace(g) / s[-1]) + 1e-8 if s[-1] else 1.0
+                norms[win] = (np.sqrt(np.trace(g)) or 1.0, scale)
+            else:
+                errors[win].append(float(np.sqrt(s[-2]) / norms[win][0]))
+            e = errors[win]
+            if len(e) == steps or len(e) > 1 and abs(e[-2] - e[-1]) < tol:
+                done[win] = (maps[win], e[-1], False)
+                continue
+            try:
+                g = g / norms[win][1] ** 2
+                states[win], m = model.sweep(g, states[win] if win in states else model.start(g, seed + win))
+                maps[win].append(m)
+            except np.linalg.LinAlgError:
+                done[win] = ([], 1.0, True)
+    return done
+
+
 def unfold(t: np.ndarray, mode: int) -> np.ndarray:
     return np.moveaxis(t, mode, 0).reshape(t.shape[mode], -1)
 

@@ -359,7 +359,9 @@ def standard_scaler(s, d):
 
 @query("tensor_coo", f"WITH {P1} SELECT entity, feature, period, round(value, 4) AS value FROM p1")
 def tensor_coo(s, d):
-    return p1(s, d).select("entity", "feature", "period", F.round("value", 4).alias("value"))
+    """Observed cells; values are scaled, rounded and scaled back as doubles, without a detour over their decimal text."""
+    scaled = F.floor(F.abs("value") * 1e4 + 0.5) / 1e4
+    return p1(s, d).select("entity", "feature", "period", (F.signum("value") * scaled).alias("value"))
 
 
 @query("slice_norms", f"WITH {P1} SELECT period, round(sqrt(sum(value * value)), 4) AS norm FROM p1 GROUP BY 1")
@@ -400,46 +402,30 @@ def cp_rank1_index(s, d):
     return s.createDataFrame([(int(p), float(weight * v), float(abs(weight * v))) for p, v in zip(periods, c)], "period int, signed double, index double")
 
 
-def _impute(s, d, solve) -> DataFrame:
-    """Masked factorisation of each window in blocks of 64 entities; one group is one small array."""
-    w = windows3(s, d)
-    parts = p3(s, d).agg(F.ceil(F.count_distinct("entity") / 64).alias("parts"))
-    w = w.join(F.broadcast(parts), F.lit(True)).select("win", F.pmod(F.xxhash64("entity"), F.col("parts")).alias("part"), "entity", "feature", "x")
-
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
-        e, ei = np.unique(rows["entity"], return_inverse=True)
-        f, fi = np.unique(rows["feature"].astype(str), return_inverse=True)
-        lags = len(rows["x"].iloc[0])
-        t = np.full((len(e), len(f), lags), np.nan)
-        t[ei, fi] = np.array([[np.nan if v is None else v for v in x] for x in rows["x"]], float)
-        mask = ~np.isnan(t)
-        scale = np.sqrt(np.mean(t[mask] ** 2)) + 1e-8 if mask.any() else 1.0
-        try:
-            full, error, failed = *solve(np.where(mask, t, 0) / scale, mask, 42 + int(key[0])), False
-        except np.linalg.LinAlgError:
-            full, error, failed = np.where(mask, t, 0) / scale, 1.0, True
-        i, j, k = (x.ravel() for x in np.indices(t.shape))
-        return pd.DataFrame({"win": key[0], "entity": e[i], "feature": f[j], "lag": lags - k, "x": (full * scale).ravel(), "observed": mask.ravel(), "error": error, "failed": failed})
-
-    return w.groupBy("win", "part").applyInPandas(run, "win int, entity long, feature string, lag int, x double, observed boolean, error double, failed boolean")
+def _impute(s, d, model, steps: int) -> DataFrame:
+    """Masked factorisation of each whole window of all entities, its cells in long form."""
+    lags = 2
+    w = windows3(s, d, lags)
+    names = sorted(r["feature"] for r in w.select("feature").distinct().collect())
+    cells = F.array_sort(F.collect_list(F.struct("feature", "x")))
+    rows = w.groupBy("win", "entity").agg(cells.alias("cells")).select("win", "entity", F.flatten(F.transform("cells", lambda c: c["x"])).alias("x")).persist()
+    try:
+        out = tensor.impute(rows, model((len(names), lags)), steps, 1e-3)
+    finally:
+        rows.unpersist()
+    cells = out.select("win", "entity", "error", "failed", F.posexplode(F.arrays_zip("x", "observed")).alias("at", "c"))
+    feature = F.array(*map(F.lit, names))[F.floor(F.col("at") / lags).cast("int")]
+    return cells.select("win", "entity", feature.alias("feature"), (lags - F.col("at") % lags).alias("lag"), "c.x", "c.observed", "error", "failed")
 
 
 @query("masked_tucker_impute")
 def masked_tucker_impute(s, d):
-    def solve(t, mask, seed):
-        core, factors, errors = tensor.tucker(t, [min(2, n) for n in t.shape], 30, 1e-3, mask)
-        return tensor.rebuild_tucker(core, factors), errors[-1]
-
-    return _impute(s, d, solve)
+    return _impute(s, d, lambda shape: tensor.MaskedTucker(shape, [2, *(min(2, n) for n in shape)]), 30)
 
 
 @query("masked_cp_impute")
 def masked_cp_impute(s, d):
-    def solve(t, mask, seed):
-        w, factors, errors = tensor.cp(t, 2, 20, 1e-3, mask, seed)
-        return tensor.rebuild_cp(w, factors), errors[-1]
-
-    return _impute(s, d, solve)
+    return _impute(s, d, lambda shape: tensor.MaskedCP(shape, 2), 20)
 
 
 # ------------------------------------------------------------ forecasts and scores

@@ -242,3 +242,47 @@ def test_indices_are_of_the_whole_decomposition(spark):
     _, factors, errors = tensor.tucker(t, (n, n, 3))
     got = {r.period: r["index"] for r in queries.QUERIES["tucker_index"](spark, SF).collect()}
     assert [got[x] for x in periods] == pytest.approx(np.abs(factors[2]).mean(1), abs=1e-6)
+
+
+def whole_windows(spark, got):
+    """(win, cells with NaN, imputed cells, error) of every window, as NumPy arrays."""
+    w = queries.windows3(spark, SF).toPandas()
+    got = got.toPandas()
+    assert not got["failed"].any()
+    for win, rows in w.groupby("win"):
+        out = got[got["win"] == win]
+        (es, e), (fs, f) = (np.unique(rows[c].to_numpy().astype(str), return_inverse=True) for c in ("entity", "feature"))
+        t, full = np.full((len(es), len(fs), 2), np.nan), np.full((len(es), len(fs), 2), np.nan)
+        t[e, f] = np.array([list(x) for x in rows["x"]], float)
+        at = np.searchsorted(es, out["entity"].to_numpy().astype(str)), np.searchsorted(fs, out["feature"].to_numpy().astype(str)), 2 - out["lag"]
+        full[at] = out["x"]
+        assert len(out) == t.size and (~np.isnan(t[at]) == out["observed"]).all()
+        yield win, t, full, out["error"].iloc[0]
+
+
+@pytest.mark.parametrize("name", ["masked_tucker_impute", "masked_cp_impute"])
+def test_imputation_is_of_whole_windows(spark, name):
+    n = 0
+    for win, t, full, error in whole_windows(spark, queries.QUERIES[name](spark, SF)):
+        mask = ~np.isnan(t)
+        scale = np.sqrt(np.mean(t[mask] ** 2)) + 1e-8 if mask.any() else 1.0
+        x = np.where(mask, t, 0) / scale
+        if name == "masked_tucker_impute":
+            core, factors, errors = tensor.tucker(x, (2, 2, 2), 30, 1e-3, mask)
+            want = tensor.rebuild_tucker(core, factors)
+        else:
+            w, factors, errors = tensor.cp(x, 2, 20, 1e-3, mask, 42 + win)
+            want = tensor.rebuild_cp(w, factors)
+        assert full == pytest.approx(want * scale, rel=1e-4, abs=1e-4) and error == pytest.approx(errors[-1], abs=1e-5)
+        n += 1
+    assert n > 10
+
+
+def test_imputation_edges(spark):
+    rows = [(0, 1, [None, None, None, None]), (0, 2, [None, None, None, None]), (1, 1, [1.0, 2.0, 3.0, 4.0])]
+    df = spark.createDataFrame(rows, "win int, entity long, x array<double>")
+    for model in (tensor.MaskedTucker((2, 2), [2, 2, 2]), tensor.MaskedCP((2, 2), 2)):
+        got = {(r.win, r.entity): r for r in tensor.impute(df, model, 5, 1e-3).collect()}
+        assert got[0, 1].x == [0.0] * 4 and got[0, 1].observed == [False] * 4 and got[0, 2].error in (0.0, 1.0)
+        assert got[1, 1].x == pytest.approx([1, 2, 3, 4], abs=1e-3) and got[1, 1].error < 1e-3
+        assert tensor.impute(df.where("win > 5"), model, 5, 1e-3).count() == 0
