@@ -355,6 +355,22 @@ def test_language(spark, docs, nothing):
     assert language.predict(nothing, net).count() == 0 and language.fit(nothing).languages == []
 
 
+def test_held_out_accuracy(spark):
+    """Models of the registered queries, on documents that they did not learn from."""
+    import __spark_entry__ as entry
+
+    d = "/root/testdata/sf0.01"
+    labels, docs = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("labels", "documents"))
+    run = lambda name, truth: entry.queries()[name](spark, d).where("held_out").join(truth, "doc_id").collect()
+    good = run("op1_quality", labels.where("quality is not null").select("doc_id", "quality"))
+    assert len(good) > 50 and np.mean([r.predicted == r.quality for r in good]) > 0.95
+    lang = run("op3_language", docs.where("lang is not null").select("doc_id", "lang"))
+    assert len(lang) > 200 and np.mean([r.lang_pred == r.lang for r in lang]) > 0.98
+    bad = run("op7_toxicity", labels.where("toxic is not null").select("doc_id", "toxic"))
+    caught = sum(r.predicted == r.toxic == 1 for r in bad)
+    assert caught > 0.9 * sum(r.predicted for r in bad) and caught > 0.5 * sum(r.toxic for r in bad)
+
+
 def test_html(spark):
     page = "<html><head><title>t</title></head><body><nav>menu</nav><div class='cookie-notice'>c</div>{}<article><header><h1>A &amp; B</h1></header><p>one\n two<br>three<p>four <b>five</b></article><section class=comments><article>bad</article></section><footer>f</footer>"
     assert html.extract_text(page.format("")) == "A & B\n\none two three\n\nfour five"
