@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lattiq.llm import decontaminate, html, language, mixing, neardup, quality, suffixes, tokens, toxicity, vectors
+from lattiq.llm import decontaminate, html, language, mixing, neardup, quality, runs, spelling, suffixes, tokencount, tokens, toxicity, vectors
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_suffixes": suffixes.op8_suffixes,
     "op9_vectors": vectors.op9_vectors,
     "op10_mixing": mixing.op10_mixing,
+    "op11_runs": runs.op11_runs,
+    "op12_token_counts": tokencount.op12_token_counts,
+    "op13_spelling": spelling.op13_spelling,
 }
 
 ORACLE_SQL = {
