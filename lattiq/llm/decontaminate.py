@@ -1,20 +1,22 @@
 """Benchmark decontamination by SimHash of item-sized windows, in DataFrame operations only.
 
 Words are runs of letters and digits of the lower-cased text; shingles are WORDS words in a row, weighted
-by how often they occur. A window has as many shingles as the items of one size. A window that is
-similar enough to an item shares a shingle with it, so windows are taken where a document has a
-shingle of an item, lined up with that shingle's place in the item: a lossless way to leave out the
-windows that share nothing. Each window gets a 64-bit SimHash. The items' fingerprints are indexed by
-BLOCKS blocks, each with all values within BLOCK_RADIUS bits of it; a fingerprint within RADIUS bits
-agrees with a listed value in one block at least, so the index finds all of them. Candidates are
-verified by the exact weighted Jaccard similarity of their shingles.
+by how often they occur. A window has as many shingles as the items of one size. Of a window that is similar
+enough to an item, at least the level's share of an item's size are shingles of the item, wherever they stand in either. So
+the places in a document that hold a shingle of items of one size are numbered, each is joined to the one that
+makes the count full, and where these lie in one window's width every start that covers both is taken: all
+windows that can reach the level, in whatever order an item's passages come. Each window gets a 64-bit SimHash.
+The items' fingerprints are indexed by BLOCKS blocks, each with all values within BLOCK_RADIUS bits of it; a
+fingerprint within RADIUS bits agrees with a listed value in one block at least, so the index finds all of them.
+Candidates are verified by the exact weighted Jaccard similarity of their shingles.
 
 RADIUS is 19. Sets of similarity 0.8 differ in 9.7 of the 64 bits on average, with a deviation of 2.9, so that a
 window at the level itself is missed with a probability below 1 in 1,000, one at 0.85 below 1 in
 20,000; a random window meets about a fifth of the items of its size in the index (71 % with the
 blocks of 8 bits and radius 2 that a RADIUS of 23 takes).
 
-Windows are rows, one for all windows of a document that hold the same shingles in the same order. The
+Windows are rows, one for all windows of a document that hold the same shingles in the same order; their shingles come
+from the document's in parts of PART, so that no row holds more than a window or a document. The
 benchmark's side of a join is broadcast only if that side itself is counted to have at most BROADCAST_ROWS
 rows; else the joins shuffle.
 
@@ -28,7 +30,7 @@ kept by ``clean``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lattiq.llm.common import Stash, table
@@ -38,6 +40,8 @@ WORDS, LEVEL = 5, 0.8
 BLOCKS, BLOCK_BITS, BLOCK_RADIUS = 5, 13, 3
 RADIUS = BLOCKS * (BLOCK_RADIUS + 1) - 1
 BROADCAST_ROWS = 500_000
+#: Shingles of a document that are joined to windows as one array.
+PART = 512
 
 
 def shingles(text: Column, words: int = WORDS) -> Column:
@@ -92,17 +96,25 @@ def leaks(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, level: floa
     def side(df: DataFrame, rows: int) -> DataFrame:
         return F.broadcast(df) if rows <= broadcast_rows else df
 
-    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    anchors = items.select("m", F.posexplode("t").alias("off", "h")).distinct()
-    at = texts.select("doc_id", F.posexplode(shingles(F.col("text"), words)).alias("pos", "h"))
-    starts = at.join(side(anchors, size["shingles"] or 0), "h").select("doc_id", "m", (F.col("pos") - F.col("off")).alias("start")).distinct()
-    wanted = starts.groupBy("doc_id").agg(F.collect_set(F.struct("m", "start")).alias("wanted"))
+    key = ["doc_id", "version"]  # rows may repeat an id with other texts
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), "text")
+    anchors = items.select("m", F.explode("t").alias("h")).distinct()
+    at = texts.select(*key, F.posexplode(shingles(F.col("text"), words)).alias("pos", "h"))
+    hits = at.join(side(anchors, size["shingles"] or 0), "h").select(*key, "m", "pos")
+    hits = Stash(hits.withColumn("nth", F.dense_rank().over(Window.partitionBy(*key, "m").orderBy("pos"))), "hits").df
+    need = F.ceil(F.col("m") * level - 1e-9).cast("int")  # also of a window that an end of the text cuts
+    full = hits.select(*key, "m", "pos", (F.col("nth") + need - 1).alias("nth")).join(hits.withColumnRenamed("pos", "far"), [*key, "m", "nth"]).where(F.col("far") < F.col("pos") + F.col("m"))
+    starts = Stash(full.select(*key, "m", F.explode(F.sequence(F.col("far") - F.col("m") + 1, "pos")).alias("start")).distinct(), "starts").df
 
     # a row for each window; of windows of a document with the same shingles, the first
-    held = texts.hint("merge").join(wanted, "doc_id").select("doc_id", "wanted", shingles(F.col("text"), words).alias("s"))
-    w = held.select("doc_id", "s", F.explode("wanted").alias("w")).select("doc_id", "w.m", "w.start", "s")
-    cut = F.slice("s", F.greatest("start", F.lit(0)) + 1, F.least("m", F.col("m") + F.col("start")))
-    w = w.select("doc_id", "m", "start", cut.alias("s"))
+    part = lambda x: F.floor(x / PART).cast("int")
+    spans = starts.select("*", F.explode(F.sequence(part(F.greatest("start", F.lit(0))), part(F.col("start") + F.col("m") - 1))).alias("part"))
+    wanted = spans.groupBy(*key).agg(F.collect_set("part").alias("parts"))
+    held = texts.hint("merge").join(wanted, key).select(*key, "parts", shingles(F.col("text"), words).alias("s"))
+    held = held.select(*key, F.explode(F.transform("parts", lambda p: F.struct(p.alias("part"), F.slice("s", p * PART + 1, PART).alias("s")))).alias("p")).select(*key, "p.part", "p.s")
+    low, high = F.greatest("start", F.col("part") * PART), F.least(F.col("start") + F.col("m"), (F.col("part") + 1) * PART)
+    cut = spans.join(held, [*key, "part"]).select(*key, "m", "start", F.struct("part", F.slice("s", low - F.col("part") * PART + 1, high - low).alias("s")).alias("p"))
+    w = cut.groupBy(*key, "m", "start").agg(F.flatten(F.transform(F.array_sort(F.collect_set("p")), lambda p: p["s"])).alias("s"))
     first = w.groupBy("doc_id", "m", F.xxhash64("s").alias("content")).agg(F.min(F.struct("start", "s")).alias("b"))
     windows = first.select("doc_id", "m", "b.start", "b.s").select("*", repeated(F.col("s")).alias("more_s"), simhash(F.col("s")).alias("fp"))
     windows = Stash(windows, "windows").df

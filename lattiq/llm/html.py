@@ -2,15 +2,15 @@
 
 A page is parsed into elements and text blocks. Every block element, be it nav, div or paragraph, has a
 hash of its subtree (tags, classes, text). Spark counts, per host, on how many distinct pages each hash
-occurs (exact copies of a page count once). A subtree that recurs on MIN_PAGES pages and on MIN_SHARE of
-its host's pages is template and is deleted. In a second step go elements that are menus, forms, notices,
+occurs (exact copies of a page count once). A subtree that recurs on MIN_PAGES pages of its host, however many the
+host has, is template and is deleted. In a second step go elements that are menus, forms, notices,
 adverts, comments and the like by tag, role or whole class tokens, since such parts can differ on every
-page. Neither step deletes the article, or what holds it; inline elements are never looked at by name. What
-is left of the article (of the body, if a page names none) is the text.
+page. Nothing in an article that a page names, nor what holds it, is counted or deleted as template; inline
+elements are never looked at by name. What is left of the article (of the body, if a page names none) is the text.
 
-Where templates would take more than half of a named article, it is the article that recurs, as in mirrors,
-and it stays whole; where they would leave a page without article no text at all, the largest of
-them stays.
+On a page that names no article, near copies of the page make its own paragraphs recur. Of the recurring subtrees there,
+those under one parent that have the most text together therefore stay if that is more than MIRROR times what no
+template takes.
 
 The recurring hashes go to the tasks as one sorted array if there are at most BROADCAST_HASHES of
 them; beyond that, each page's own ones are joined to it by a hash of its html.
@@ -34,8 +34,10 @@ from pyspark.sql import functions as F
 
 from lattiq.llm.common import Stash, arrow_map, table
 
-#: A subtree is template from so many distinct pages of its host and from this share of them.
-MIN_PAGES, MIN_SHARE = 5, 0.4
+#: A subtree is template from so many distinct pages of its host on.
+MIN_PAGES = 5
+#: Recurring text of so many times the rest of a page without article is the article.
+MIRROR = 2
 BROADCAST_HASHES = 1 << 20
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
@@ -203,10 +205,10 @@ def judge(elements: list[Element]) -> tuple[set[Element], set[Element], set[Elem
     return unwanted, inside, holds
 
 
-def subtree_keys(host: str, elements: list[Element], holds: set[Element]) -> tuple[list[Element], np.ndarray]:
-    """The block elements that may be template, and 64-bit keys of host and subtree: all but those that hold or are
-    an article."""
-    some = [e for e in elements if e.text and e.tag in BLOCKS and e.tag not in ("html", "body") and e not in holds]
+def subtree_keys(host: str, elements: list[Element], inside: set[Element], holds: set[Element]) -> tuple[list[Element], np.ndarray]:
+    """The block elements that may be template, and 64-bit keys of host and subtree: all but those that hold, are or lie
+    in an article."""
+    some = [e for e in elements if e.text and e.tag in BLOCKS and e.tag not in ("html", "body") and e not in holds and e not in inside]
     salt = hashlib.blake2b(host.encode(), digest_size=8).digest()
     keys = b"".join(hashlib.blake2b(salt + e.hash, digest_size=8).digest() for e in some)
     return some, np.frombuffer(keys, np.int64)
@@ -220,25 +222,27 @@ def extract_text(page: str | None, host: str = "", template=None) -> str:
     unwanted, inside, holds = judge(elements)
     gone = set()
     if template is not None:
-        some, keys = subtree_keys(host, elements, holds)
+        some, keys = subtree_keys(host, elements, inside, holds)
         gone = {some[i] for i in np.flatnonzero(template(keys))}
     wanted = [(e, words) for e, words in blocks if e not in unwanted and (not inside or e in inside)]
     if not gone:
         return "\n\n".join(words for _, words in wanted)
-    by, size = [], {}
+    by, left, groups = [], 0, {}
     for e, words in wanted:
         top = None
         while e is not None:
             top = e if e in gone else top
             e = e.parent
         by.append(top)
-        size[top] = size.get(top, 0) + len(words)
-    left = size.get(None, 0)
+        if top is None:
+            left += len(words)
+        else:
+            groups[top.parent] = groups.get(top.parent, 0) + len(words)
     kept = {None}
-    if inside and 2 * left < sum(size.values()):
-        kept |= set(size)
-    elif not left and size:
-        kept.add(max(size, key=size.get))
+    if groups:
+        most = max(groups, key=groups.get)
+        if groups[most] > MIRROR * left:
+            kept |= {top for top in by if top is not None and top.parent is most}
     return "\n\n".join(words for (_, words), top in zip(wanted, by) if top in kept)
 
 
@@ -254,7 +258,7 @@ def page_keys(pages: DataFrame) -> DataFrame:
             which, found = [], []
             for i, (host, page) in enumerate(zip(batch.column("name").to_pylist(), batch.column("html"))):
                 elements = parse(page.as_py() or "")[1]
-                mine = np.unique(subtree_keys(host, elements, judge(elements)[2])[1])
+                mine = np.unique(subtree_keys(host, elements, *judge(elements)[1:])[1])
                 which.append(np.full(len(mine), i))
                 found.append(mine)
             which = np.concatenate(which) if which else np.zeros(0, np.int64)
@@ -265,18 +269,15 @@ def page_keys(pages: DataFrame) -> DataFrame:
     return arrow_map(rows, keys, "host long, page long, key long").distinct()
 
 
-def template_keys(pages: DataFrame, found: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def template_keys(found: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     """(key) of the subtrees that recur on many distinct pages of their host."""
-    counts = found.groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
-    distinct = pages.select(F.xxhash64(_host(F.col("url"))).alias("host"), F.xxhash64("html").alias("page")).distinct()
-    totals = distinct.groupBy("host").agg(F.count("*").alias("pages"))
-    return counts.join(totals, "host").where(F.col("n") >= F.col("pages") * min_share).select("key").distinct()
+    return found.groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages).select("key").distinct()
 
 
-def extract(pages: DataFrame, broadcast_hashes: int = BROADCAST_HASHES, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def extract(pages: DataFrame, broadcast_hashes: int = BROADCAST_HASHES, min_pages: int = MIN_PAGES) -> DataFrame:
     """(page_id, url, text, n_chars) of every page."""
     found = Stash(page_keys(pages), "subtrees")
-    recurring = Stash(template_keys(pages, found.df, min_pages, min_share), "templates").df
+    recurring = Stash(template_keys(found.df, min_pages), "templates").df
     fields = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", _host(F.col("url")).alias("host"), F.xxhash64("html").alias("page"))
     sent = None
     if recurring.count() <= broadcast_hashes:
