@@ -14,18 +14,6 @@ def ridge(x: np.ndarray, y: np.ndarray, alpha: float) -> np.ndarray:
     return np.linalg.solve(x.T @ x + alpha * np.eye(x.shape[1]), x.T @ y)
 
 
-def ridge_loo(x: np.ndarray, y: np.ndarray, alphas) -> float:
-    """The penalty with the least leave-one-out error, by the singular values."""
-    u, s, _ = np.linalg.svd(x, full_matrices=False)
-
-    def error(a):
-        shrink = s**2 / (s**2 + a)
-        rest = y - u @ (shrink * (u.T @ y))
-        return float(np.mean((rest / np.maximum(1 - (u**2 @ shrink), 1e-12)) ** 2))
-
-    return min(alphas, key=error)
-
-
 def fixed_effects_ridge(entity, win, x, y, alphas, n_win: int, least: int = 25) -> dict:
     """Ridge after taking off entity means of the training windows; the penalty by inner expanding folds."""
 
@@ -39,7 +27,7 @@ def fixed_effects_ridge(entity, win, x, y, alphas, n_win: int, least: int = 25)
         errors = []
         for end, upto in folds(n_win):
             train, val = win < end, (win >= end) & (win < upto)
-            if train.sum() < least or not val.any():
+            if train.sum() < least or val.sum() < least:
                 continue
             m = demean(train)
             errors.append(np.mean((y[val] - m[val] - x[val] @ ridge(x[train], (y - m)[train], a)) ** 2))
@@ -50,13 +38,13 @@ def fixed_effects_ridge(entity, win, x, y, alphas, n_win: int, least: int = 25)
     return {"alpha": pick, "beta": ridge(x, y - m, pick), "means": m}
 
 
-def cp_regression(x: np.ndarray, y: np.ndarray, rank: int, penalty: float, steps: int = 150, tol: float = 1e-6, seed: int = 42):
+def cp_regression(x: np.ndarray, y: np.ndarray, rank: int, penalty: float, steps: int = 150, tol: float = 1e-6, seed: int = 42, start: list[np.ndarray] | None = None):
     """Y ~ <X, W> with W = sum of rank-one tensors over the modes of X, then those of Y.
 
     Each factor in turn is a ridge solution with the others held. Returns factors and objectives."""
     rng = np.random.default_rng(seed)
     n_in = x.ndim - 1
-    factors = [rng.normal(size=(d, rank)) * 0.5 for d in (*x.shape[1:], *y.shape[1:])]
+    factors = [f.copy() for f in start] if start else [rng.normal(size=(d, rank)) * 0.5 for d in (*x.shape[1:], *y.shape[1:])]
     flat_y = y.reshape(len(y), -1)
     objectives: list[float] = []
 
@@ -86,6 +74,95 @@ def cp_regression(x: np.ndarray, y: np.ndarray, rank: int, penalty: float, steps
     return factors, objectives
 
 
+class StructuredCp:
+    """``cp_regression`` of windows (entities, features, lags) on targets (entities, features), from sums over entities.
+
+    The entities' factors are linear in the entities' own cells, since a ridge solution lies in the span of its
+    data: the factor of the inputs is x P and that of the targets y Q, where x are an entity's cells (features x periods), y its
+    training targets (features x windows), and P and Q are bounded. What a sweep needs of all entities are the products of
+    cells, ``gxx`` and ``gyy``, so one pass over the panel serves all sweeps; the factor of the inputs' entities is solved by
+    its dual, a system of training windows x rank. ``starts`` are the places of all windows' first inputs, of which
+    the first ``train`` train; ``weight`` multiplies a window's inputs.
+    """
+
+    def __init__(self, gxx: np.ndarray, gyy: np.ndarray, shape: tuple[int, int], starts: np.ndarray, weight: np.ndarray, lags: int, train: int, rank: int, penalty: float, steps: int = 150, tol: float = 1e-6, seed: int = 42):
+        (n_f, n_p), rng = shape, np.random.default_rng(seed)
+        self.starts, self.weight, self.lags, self.train = starts, weight, lags, train
+        b, c, e = (rng.normal(size=(d, rank)) * 0.5 for d in (n_f, lags, n_f))
+        q = rng.normal(size=(n_f * train, rank)) * 0.5
+        self.first = (b, c, q, e)
+        t0, w0, one = starts[:train], weight[:train], np.eye(rank)
+        cells = gxx.reshape(n_f, n_p, n_f, n_p)
+        yy, self.objectives = np.trace(gyy), []
+        gq = (gyy @ q).reshape(n_f, train, rank)
+        dd = q.T @ gyy @ q
+        for _ in range(steps):
+            h = dd * (e.T @ e)
+            g = np.einsum("ftr,fr->tr", gq, e)
+            # the inputs' entities, by their dual
+            m = np.einsum("fr,fpgq,gr->rpq", b, cells, b, optimize=True)
+            k = np.zeros((rank, train, train))
+            for i in range(lags):
+                for j in range(lags):
+                    k += c[i, :, None, None] * c[j, :, None, None] * m[:, t0 + i][:, :, t0 + j]
+            k *= w0[:, None] * w0
+            system = (h[:, None, :, None] * k.transpose(1, 0, 2)[None]).reshape(rank * train, rank * train)
+            dual = np.linalg.solve(system + penalty * np.eye(rank * train), g.T.ravel()).reshape(rank, train).T
+            spread = np.zeros((n_p, rank))
+            for i in range(lags):
+                spread[t0 + i] += w0[:, None] * dual * c[i]
+            p = (b[:, None] * spread).reshape(n_f * n_p, rank)
+            v = (gxx @ p).reshape(n_f, n_p, rank)
+            # features and lags of the inputs
+            lagged = np.stack([v[:, t0 + i] for i in range(lags)], 2) * w0[:, None, None]  # features, windows, lags, rank
+            u = np.einsum("ftlr,lr->tfr", lagged, c)
+            b = np.linalg.solve(np.einsum("tfr,tgs,rs->frgs", u, u, h, optimize=True).reshape(b.size, b.size) + penalty * np.eye(b.size), np.einsum("tfr,tr->fr", u, g).ravel()).reshape(b.shape)
+            u = np.einsum("ftlr,fr->tlr", lagged, b)
+            c = np.linalg.solve(np.einsum("tfr,tgs,rs->frgs", u, u, h, optimize=True).reshape(c.size, c.size) + penalty * np.eye(c.size), np.einsum("tfr,tr->fr", u, g).ravel()).reshape(c.shape)
+            s = np.einsum("tlr,lr->tr", u, c)
+            # entities and features of the targets
+            ss = s.T @ s
+            q = np.linalg.solve(ss * (e.T @ e) + penalty * one, (e[:, None] * s).reshape(n_f * train, rank).T).T
+            gq, dd = (gyy @ q).reshape(n_f, train, rank), q.T @ gyy @ q
+            e = np.linalg.solve(ss * dd + penalty * one, np.einsum("ftr,tr->rf", gq, s)).T
+            fit = yy - 2 * np.einsum("ftr,fr,tr->", gq, e, s) + np.sum(ss * dd * (e.T @ e))
+            norms = np.sum(p * v.reshape(p.shape)) + np.trace(dd) + sum(np.sum(x**2) for x in (b, c, e))
+            self.objectives.append(float(fit + penalty * norms))
+            if len(self.objectives) > 1 and abs(self.objectives[-2] - self.objectives[-1]) <= tol * max(self.objectives[-2], 1e-12):
+                break
+        self.b, self.c, self.e, self.p, self.q = b, c, e, p, q
+        lagged = np.stack([v[:, starts + i] for i in range(lags)], 2) * weight[:, None, None]
+        self.scores = np.einsum("ftlr,fr,lr->tr", lagged, b, c)  # of all windows
+
+    def predict(self, y: np.ndarray) -> np.ndarray:
+        """(entities, features, windows) from the entities' training targets (entities, features x windows), missing as zero."""
+        return np.einsum("nr,fr,tr->nft", y @ self.q, self.e, self.scores, optimize=True)
+
+
+class DualRidge:
+    """Ridge with intercept from all inputs of a window to all targets, by products between windows.
+
+    ``kx`` has them for the inputs of all windows, ``ky`` for the training targets; the first ``train`` windows train. The
+    penalty has the least leave-one-out error. Coefficients, which would be as many as inputs times targets, are never
+    made: a prediction is ``shares`` (windows x training windows) times a target's training values."""
+
+    def __init__(self, kx: np.ndarray, ky: np.ndarray, train: int, alphas):
+        centre = np.eye(train) - 1 / train
+        inner = centre @ kx[:train, :train] @ centre
+        value, vector = np.linalg.eigh(inner)
+        value = np.maximum(value, 0)
+        yc = centre @ ky @ centre
+
+        def left(a: float) -> np.ndarray:
+            """From training targets to their leave-one-out errors."""
+            fit = (vector * (value / (value + a))) @ vector.T
+            return (centre - fit) / np.maximum(1 - np.diag(fit) - 1 / train, 1e-12)[:, None]
+
+        self.alpha = min(alphas, key=lambda a: float(np.sum(left(a) * (left(a) @ yc))))
+        across = (kx[:, :train] - kx[:train, :train].mean(0)) @ centre
+        self.shares = across @ (vector / (value + self.alpha)) @ vector.T @ centre + 1 / train
+
+
 def cp_predict(x: np.ndarray, factors: list[np.ndarray], out_shape) -> np.ndarray:
     n_in = x.ndim - 1
     return ((x.reshape(len(x), -1) @ khatri_rao(factors[:n_in])) @ khatri_rao(factors[n_in:]).T).reshape(len(x), *out_shape)
@@ -193,6 +270,13 @@ def wilcoxon_p(w: float, n: int, ties: float = 0.0) -> float:
     return normal_p((w - n * (n + 1) / 4) / math.sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48))
 
 
+def spearman_p(rho: float, n: int) -> float:
+    """Two-sided p-value of a rank correlation, by the t distribution."""
+    if abs(rho) >= 1:
+        return 0.0
+    return student_p(rho * math.sqrt((n - 2) / (1 - rho * rho)), n - 2)
+
+
 def student_p(t: float, df: float) -> float:
     """Two-sided p-value, by the continued fraction of the incomplete beta function."""
     x, a, b = df / (df + t * t), df / 2, 0.5

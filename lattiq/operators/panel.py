@@ -111,3 +111,26 @@ def r2(df: DataFrame, by: list[str], y: str = "y", p: str = "p", least: int = 1)
     out = seen.groupBy(*by).agg(F.count("*").alias("n"), F.sum((F.col(y) - F.col(p)) ** 2).alias("sse"), F.var_pop(y).alias("v"))
     spread = F.col("n") * F.col("v")
     return out.select(*by, "n", F.when((F.col("n") >= least) & (spread > 1e-8), 1 - F.col("sse") / F.when(spread > 1e-8, spread)).alias("r2"))
+
+
+def ranked(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """Average ranks within groups as ``rank_<value>``, and how many rows share each as ``ties_<value>``."""
+    ties = F.count("*").over(Window.partitionBy(*by, value))
+    return df.withColumn(f"ties_{value}", ties).withColumn(f"rank_{value}", F.rank().over(Window.partitionBy(*by).orderBy(value)) + (F.col(f"ties_{value}") - 1) / 2)
+
+
+def step_up(tests: DataFrame, p: str, name: str) -> DataFrame:
+    """Benjamini-Hochberg adjustment of the p-values of a small table of tests, as column ``name``; NULL stays NULL."""
+    known = Window.partitionBy(F.col(p).isNull())
+    q = F.col(p) * F.count("*").over(known) / F.row_number().over(known.orderBy(p))
+    least = F.min("_q").over(known.orderBy(F.desc(p)).rangeBetween(Window.unboundedPreceding, 0))
+    return tests.withColumn("_q", q).withColumn(name, F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), least))).drop("_q")
+
+
+def ar1(long: DataFrame, least: int = 8, spread: float = 1e-12) -> DataFrame:
+    """(feature, n, rho): mean over entities of the slope of a value on the entity's last seen one, within [-1, 1]; of
+    entities with ``least`` values and some spread. A gap is skipped."""
+    x = F.lag("value").over(Window.partitionBy("entity", "feature").orderBy("period"))
+    pairs = long.where("value IS NOT NULL").withColumn("x", x).where("x IS NOT NULL")
+    each = pairs.groupBy("entity", "feature").agg(F.count("*").alias("n"), F.covar_samp("value", "x").alias("c"), F.var_samp("x").alias("v")).where((F.col("n") >= least - 1) & (F.col("v") >= spread))
+    return each.groupBy("feature").agg(F.count("*").alias("n"), F.avg(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("c") / F.col("v")))).alias("rho"))

@@ -8,10 +8,12 @@ no matrix grows with the entities.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lattiq.operators import cells
+
 
 def gramian(long: DataFrame, mode: str) -> DataFrame:
     """(i, j, g): sums over all other indices of the products of values at mode indices i <= j.
@@ -25,60 +27,13 @@ def gramian(long: DataFrame, mode: str) -> DataFrame:
     return pairs.groupBy("i", F.col("b.i").alias("j")).agg(F.sum(F.col("v") * F.col("b.v")).alias("g"))
 
 
-def leading(long: DataFrame, mode: str, rank: int) -> tuple[list, np.ndarray]:
-    """Indices of a bounded mode and its leading eigenvectors, signs fixed by the largest entry."""
-    rows = gramian(long, mode).collect()  # the square of the mode's size
-    names = sorted({r["i"] for r in rows} | {r["j"] for r in rows})
-    at = {x: k for k, x in enumerate(names)}
-    g = np.zeros((len(names), len(names)))
-    for r in rows:
-        g[at[r["i"]], at[r["j"]]] = g[at[r["j"]], at[r["i"]]] = r["g"]
-    value, vector = np.linalg.eigh(g)
-    vector = vector[:, np.argsort(-value)[:rank]]
-    return names, vector * np.sign(vector[np.abs(vector).argmax(0), np.arange(vector.shape[1])])
-
-
-def summed(rows: DataFrame, partial) -> dict[int, float]:
-    """Sums over all rows of the entries of an array that ``partial`` makes of a pandas batch."""
-
-    def run(batches):
-        total = None
-        for b in batches:
-            if len(b):
-                got = np.asarray(partial(b), float).ravel()
-                total = got if total is None else total + got
-        if total is not None:
-            at = np.flatnonzero(total)
-            yield pd.DataFrame({"k": at, "v": total[at]})
-
-    return {r["k"]: r["v"] for r in rows.mapInPandas(run, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()}
-
-
-def filled(sums: dict[int, float], shape) -> np.ndarray:
-    out = np.zeros(int(np.prod(shape)))
-    for k, v in sums.items():
-        out[k] = v
-    return out.reshape(shape)
-
-
 def entity_gramian(long: DataFrame) -> tuple[list, list, np.ndarray]:
     """Features, periods and G over pairs of cells (feature, period): products summed over all entities, missing as zero.
 
     G holds all that the factors of the two bounded modes depend on; the entities stay in Spark.
     """
-    long = long.where("value IS NOT NULL")
-    features, periods = (sorted(r[0] for r in long.select(c).distinct().collect()) for c in ("feature", "period"))
-    at = {cell: k for k, cell in enumerate((f, p) for f in features for p in periods)}
-
-    def partial(rows):
-        x = np.zeros((len(rows), len(at)))
-        for i, cells in enumerate(rows["cells"]):
-            for c in cells:
-                x[i, at[c["feature"], c["period"]]] = c["value"]
-        return x.T @ x
-
-    rows = long.groupBy("entity").agg(F.collect_list(F.struct("feature", "period", "value")).alias("cells")).select("cells")
-    return features, periods, filled(summed(rows, partial), (len(at), len(at)))
+    a = cells.axes(long)
+    return list(a.features), list(range(a.first, a.first + a.periods)), cells.cell_gramian(cells.by_entity(long, a), a)
 
 
 def _starts(g: np.ndarray, shape, ranks) -> list[np.ndarray]:
@@ -145,7 +100,9 @@ class MaskedTucker:
         self.shape, self.ranks = shape, ranks
 
     def start(self, g: np.ndarray, seed: int):
-        return _starts(g, self.shape, self.ranks[1:])
+        """Random orthonormal factors of the window's seed."""
+        rng = np.random.default_rng(seed)
+        return [np.linalg.qr(rng.normal(size=(n, r)))[0] for n, r in zip(self.shape, self.ranks[1:])]
 
     def sweep(self, g: np.ndarray, state):
         a, z, b, c = _tucker_step(g, self.shape, self.ranks, *state)
@@ -176,80 +133,116 @@ class MaskedCP:
 PASS_BYTES = 64 << 20
 
 
-def _refill(t: np.ndarray, maps: list[np.ndarray]) -> np.ndarray:
-    """The last reconstruction of entities' cells (NaN: missing), refilled from each map's; without maps, zeros refill."""
-    seen = ~np.isnan(t)
-    full = np.where(seen, t, 0.0)
-    for k, m in enumerate(maps):
-        full = (np.where(seen, t, full) if k else full) @ m
-    return full
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` worked out once: in the shared folder of spark.checkpoint.dir where it is set, else in memory and on disk."""
+    if df.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir"):
+        return df.checkpoint()
+    return df.persist()
+
 
+def _arrays(batch: pa.RecordBatch, name: str, size: int) -> np.ndarray:
+    return np.asarray(batch.column(name).flatten().to_numpy(zero_copy_only=False), float).reshape(-1, size)
 
-def _by_window(batch: pd.DataFrame):
-    for win, at in batch.groupby("win").indices.items():
-        yield int(win), at, np.array([[np.nan if v is None else v for v in x] for x in batch["x"].iloc[at]], float)
 
+def _lists(x: np.ndarray, kind) -> pa.Array:
+    return pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), pa.array(x.ravel(), kind))
 
-def impute(rows: DataFrame, model, steps: int, tol: float, seed: int = 42) -> DataFrame:
+
+def impute(rows: DataFrame, model, steps: int, tol: float, seed: int = 42, fill: bool = False) -> DataFrame:
     """(win, entity, x, observed, error, failed): masked factorisations, one for each whole window.
 
     ``rows`` has a row for each window and entity, x being its cells in the order of the model's shape, NULL where
-    missing. A pass over the rows sums each open window's Gramian of refilled cells; the driver makes of it the next
-    matrix from cells to reconstruction, and tasks refill a row by applying its window's matrices one after the
-    other, so that nothing that grows with the entities is kept between passes. A window ends when its error over
-    observed cells changes by less than ``tol``; one that can't be solved gets zeros for what is missing, and error 1.
+    missing. A pass sums each open window's Gramian of refilled cells; the driver makes of it the next matrix from cells
+    to reconstruction; the next pass applies it to the rows, whose reconstructions are kept from pass to pass. A window
+    ends when its error over observed cells changes by less than ``tol``; one that can't be solved gets zeros for what
+    is missing, and error 1. The reconstruction takes the place of all cells, with ``fill`` of the missing ones only.
     """
     size = int(np.prod(model.shape))
     todo = sorted(r["win"] for r in rows.select("win").distinct().collect())
     share = max(1, PASS_BYTES // (8 * size * size))
-    done: dict[int, tuple[list, float, bool]] = {}
-    for first in range(0, len(todo), share):
-        done |= _maps(rows, todo[first : first + share], model, size, steps, tol, seed)
-
-    def run(batches):
-        for b in batches:
-            for win, at, t in _by_window(b):
-                maps, error, failed = done[win]
-                full, seen = _refill(t, maps), ~np.isnan(t)
-                yield pd.DataFrame({"win": win, "entity": b["entity"].iloc[at].to_numpy(), "x": list(full), "observed": list(seen), "error": error, "failed": failed})
-
-    return rows.mapInPandas(run, "win int, entity long, x array<double>, observed array<boolean>, error double, failed boolean")
+    parts = [_imputed(rows, todo[k : k + share], model, size, steps, tol, seed, fill) for k in range(0, len(todo), share)] or [_imputed(rows, [], model, size, steps, tol, seed, fill)]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
-def _maps(rows: DataFrame, wins: list[int], model, size: int, steps: int, tol: float, seed: int) -> dict[int, tuple[list, float, bool]]:
-    """By window: the matrices of its sweeps, the last error, whether it failed."""
-    maps, errors, states, norms, done = {w: [] for w in wins}, {w: [] for w in wins}, {}, {}, {}
+def _imputed(rows: DataFrame, wins: list[int], model, size: int, steps: int, tol: float, seed: int, fill: bool) -> DataFrame:
+    state = kept(rows.where(F.col("win").isin(wins)).select(F.col("win").cast("int").alias("win"), F.col("entity").cast("long").alias("entity"), "x", F.transform("x", lambda v: F.lit(0.0)).alias("full")))
+    errors, states, norms, done, first = {w: [] for w in wins}, {}, {}, {}, True
     while len(done) < len(wins):
         active = [w for w in wins if w not in done]
-        place = {w: k for k, w in enumerate(active)}
-
-        def partial(b: pd.DataFrame, place=place) -> np.ndarray:
-            out = np.zeros((len(place), size * size + 2))
-            for win, _, t in _by_window(b):
-                seen, full = ~np.isnan(t), _refill(t, maps[win])
-                x = np.where(seen, t, full)
-                out[place[win]] += [*(x.T @ x).ravel(), np.sum((t - full)[seen] ** 2), seen.sum()]
-            return out
-
-        sums = filled(summed(rows.where(F.col("win").isin(active)), partial), (len(active), size * size + 2))
+        sums = cells.summed(state.where(F.col("win").isin(active)), _window_sums({w: k for k, w in enumerate(active)}, size), len(active) * (size * size + 2)).reshape(len(active), -1)
+        maps = {}
         for win, s in zip(active, sums):
             g = s[:-2].reshape(size, size)
-            if win not in norms:
+            if first:
                 scale = np.sqrt(np.trace(g) / s[-1]) + 1e-8 if s[-1] else 1.0
                 norms[win] = (np.sqrt(np.trace(g)) or 1.0, scale)
             else:
                 errors[win].append(float(np.sqrt(s[-2]) / norms[win][0]))
             e = errors[win]
             if len(e) == steps or len(e) > 1 and abs(e[-2] - e[-1]) < tol:
-                done[win] = (maps[win], e[-1], False)
+                done[win] = (e[-1], False)
                 continue
             try:
                 g = g / norms[win][1] ** 2
-                states[win], m = model.sweep(g, states[win] if win in states else model.start(g, seed + win))
-                maps[win].append(m)
+                states[win], maps[win] = model.sweep(g, states[win] if win in states else model.start(g, seed + win))
             except np.linalg.LinAlgError:
-                done[win] = ([], 1.0, True)
-    return done
+                maps[win] = None
+                done[win] = (1.0, True)
+        first = False
+        if maps:
+            before, state = state, kept(state.mapInArrow(_mapped(maps, size), state.schema))
+            state.count()
+            before.unpersist()
+    ends = {w: done[w] for w in wins}
+
+    def out(batches):
+        for b in batches:
+            if not len(b):
+                continue
+            x, full, win = _arrays(b, "x", size), _arrays(b, "full", size), b.column("win").to_pylist()
+            seen = ~np.isnan(x)
+            value = np.where(seen & (fill or np.array([ends[w][1] for w in win])[:, None]), x, full)
+            yield pa.RecordBatch.from_arrays([b.column("win"), b.column("entity"), _lists(value, pa.float64()), _lists(seen, pa.bool_()), pa.array([ends[w][0] for w in win], pa.float64()), pa.array([ends[w][1] for w in win], pa.bool_())], names=["win", "entity", "x", "observed", "error", "failed"])
+
+    return state.mapInArrow(out, "win int, entity long, x array<double>, observed array<boolean>, error double, failed boolean")
+
+
+def _window_sums(place: dict[int, int], size: int):
+    """Adds up, by window: the Gramian of refilled cells, the squares of what observed ones differ by, their number."""
+
+    def add(batch, total):
+        x, full, wins = _arrays(batch, "x", size), _arrays(batch, "full", size), np.asarray(batch.column("win"))
+        out = total.reshape(len(place), -1)
+        for win in np.unique(wins).tolist():
+            mine = wins == win
+            t, f = x[mine], full[mine]
+            seen = ~np.isnan(t)
+            r = np.where(seen, t, f)
+            out[place[win], :-2] += (r.T @ r).ravel()
+            out[place[win], -2:] += [np.sum((t - f)[seen] ** 2), seen.sum()]
+
+    return add
+
+
+def _mapped(maps: dict, size: int):
+    """Puts each window's refilled cells through its map; without one (None) the reconstruction is zero."""
+
+    def run(batches):
+        for b in batches:
+            if not len(b):
+                continue
+            x, full, wins = _arrays(b, "x", size), _arrays(b, "full", size).copy(), np.asarray(b.column("win"))
+            for win in np.unique(wins).tolist():
+                if win in maps:
+                    mine = wins == win
+                    refilled = np.where(np.isnan(x[mine]), full[mine], x[mine])
+                    full[mine] = refilled @ maps[win] if maps[win] is not None else 0.0
+            yield pa.RecordBatch.from_arrays([b.column("win"), b.column("entity"), b.column("x"), _lists(full, pa.float64())], names=["win", "entity", "x", "full"])
+
+    return run
 
 
 def unfold(t: np.ndarray, mode: int) -> np.ndarray:
@@ -267,13 +260,15 @@ def khatri_rao(ms: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def tucker(t: np.ndarray, ranks, steps: int = 500, tol: float = 1e-6, mask: np.ndarray | None = None):
-    """Higher-order orthogonal iteration; missing cells are refilled from each reconstruction.
+def tucker(t: np.ndarray, ranks, steps: int = 500, tol: float = 1e-6, mask: np.ndarray | None = None, start: list | None = None):
+    """Higher-order orthogonal iteration; missing cells are refilled from each reconstruction. ``start`` gives the first
+    factors of all modes but the first one.
     Returns core, factors, and the relative error over observed cells by iteration."""
     mask = np.ones(t.shape, bool) if mask is None else mask
     x = np.where(mask, t, 0.0)
     norm = np.linalg.norm(x[mask]) or 1.0
     factors = [np.linalg.svd(unfold(x, k), full_matrices=False)[0][:, :r] for k, r in enumerate(ranks)]
+    factors = factors[:1] + list(start) if start else factors
     errors: list[float] = []
     for _ in range(steps):
         for k in range(t.ndim):

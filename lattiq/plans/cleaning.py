@@ -83,9 +83,9 @@ def observation_mask(s, d):
     return panel.densify(p3(s, d)).select("entity", "feature", "period", F.col("value").isNotNull().alias("observed"))
 
 
-@query("indexed_cells", f"WITH {P1}, i AS (SELECT entity, CAST(row_number() OVER (ORDER BY CAST(entity AS VARCHAR)) - 1 AS INTEGER) AS idx FROM (SELECT DISTINCT entity FROM p1)) SELECT idx, feature, period, round(value, 6) AS value FROM p1 JOIN i USING (entity)")
+@query("indexed_cells", f"WITH {P1}, i AS (SELECT entity, CAST(row_number() OVER (ORDER BY CAST(entity AS VARCHAR)) - 1 AS INTEGER) AS idx FROM (SELECT DISTINCT entity FROM p1)) SELECT idx, feature, period, value FROM p1 JOIN i USING (entity)")
 def indexed_cells(s, d):
-    return p1(s, d).join(entity_index(s, d), "entity").select("idx", "feature", "period", r6("value"))
+    return p1(s, d).join(entity_index(s, d), "entity").select("idx", "feature", "period", "value")
 
 
 # ------------------------------------------------------------ density reports

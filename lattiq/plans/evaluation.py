@@ -1,197 +1,192 @@
-"""The final evaluation: fixed-effects ridge against tensor regression, decompositions with errors, subset search.
-
-Models over all entities are solved on the driver from sums that tasks make of all rows; their size is that of the
-features and lags. The structured regression, whose weights run over entities, works on the means of each nation's
-suppliers, so that its size is that of the taxonomy.
-"""
+"""The final evaluation: fixed-effects ridge against tensor regression, decompositions with errors, subset search."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattiq.operators import models, panel, tensor
-from lattiq.plans.queries import p1, query, scaled1, windows3
+from lattiq.functions import scalar
+from lattiq.operators import contest, models, panel, tensor
+from lattiq.operators.cells import cell_gramian
+from lattiq.plans.queries import LOG, P3, grid, p1, p3, query, scaled1
 from lattiq.sources import panels
 
-ALPHAS = [10.0**k for k in range(-2, 5)]
-
+#: Rank and penalty of the tensor regression, by input mode and lookback.
+CONFIGURATIONS = {("levels", 2): (8, 98.1655), ("levels", 4): (5, 67.3035), ("surprise", 2): (43, 52.4373), ("surprise", 4): (49, 85.3185)}
 
-def _folds(w: DataFrame) -> tuple[list[tuple[int, int]], int]:
-    """(end of training, end of validation) of the folds over the development windows; and how many these are."""
-    n = int(0.8 * w.agg(F.count_distinct("win")).first()[0])
-    return panel.folds(n), n
 
+def logged(s, d) -> DataFrame:
+    """The third panel with log-modulus values."""
+    return p3(s, d).withColumn("value", scalar.log_modulus(F.col("value")))
 
-def effect_sums(w: DataFrame, names: list, lags: int, cuts: list[tuple[int, int]]) -> dict:
-    """Sums for fixed-effects regressions of every feature on all features and lags.
 
-    A cut (a, b) trains on windows before a and is scored on those from a to b; entity means of the training windows are
-    taken off the targets, or the feature's training mean where an entity has none. By cut, side (0 trains, 1 is
-    scored) and feature: n, the sum of squares, X'r, X'X of residuals r, and sum and squares of the targets.
-    An entity's windows are one row of a task: periods x features cells.
-    """
-    k, p = len(names), len(names) * lags
-    at = {f: i for i, f in enumerate(names)}
-    means = np.zeros((len(cuts), k))
-    ends = F.array(*[F.lit(a) for a, _ in cuts])
-    first = w.where("observed").select("feature", "y", F.posexplode(ends).alias("cut", "end"), "win").where("win < end").groupBy("cut", "feature").agg(F.avg("y").alias("m"))
-    for r in first.collect():  # a row for each cut and feature
-        means[r["cut"], at[r["feature"]]] = r["m"]
-    size = 2 + p + p * p + 2
-
-    def partial(rows: pd.DataFrame) -> np.ndarray:
-        out = np.zeros((len(cuts), 2, k, size))
-        for cells in rows["cells"]:
-            wins = sorted({c["win"] for c in cells})
-            row = {x: i for i, x in enumerate(wins)}
-            x, y = np.zeros((len(wins), lags, k)), np.full((len(wins), k), np.nan)
-            for c in cells:
-                x[row[c["win"]], :, at[c["feature"]]] = [0.0 if v is None or v != v else v for v in c["x"]]
-                y[row[c["win"]], at[c["feature"]]] = np.nan if c["y"] is None else c["y"]
-            x, wins = x.reshape(len(wins), p), np.array(wins)  # oldest lag first, features within a lag
-            seen = ~np.isnan(y)
-            for i, (a, b) in enumerate(cuts):
-                for j in range(k):
-                    train = seen[:, j] & (wins < a)
-                    m = y[train, j].mean() if train.any() else means[i, j]
-                    for side, mine in enumerate((train, seen[:, j] & (wins >= a) & (wins < b))):
-                        if mine.any():
-                            u, t = x[mine], y[mine, j]
-                            r = t - m
-                            out[i, side, j] += np.concatenate([[len(t), r @ r], u.T @ r, (u.T @ u).ravel(), [t.sum(), t @ t]])
-        return out
-
-    rows = w.groupBy("entity").agg(F.collect_list(F.struct("win", "feature", "x", "y")).alias("cells")).select("cells")
-    s = tensor.filled(tensor.summed(rows, partial), (len(cuts), 2, k, size))
-    return {"n": s[..., 0], "rr": s[..., 1], "xr": s[..., 2 : 2 + p], "xx": s[..., 2 + p : 2 + p + p * p].reshape(*s.shape[:3], p, p), "y": s[..., -2], "yy": s[..., -1]}
-
-
-def _error(s: dict, i: int, j: int, beta: np.ndarray) -> float:
-    """The sum of squares of a cut's scored side."""
-    return float(s["rr"][i, 1, j] - 2 * beta @ s["xr"][i, 1, j] + beta @ s["xx"][i, 1, j] @ beta)
-
-
-def fixed_effects(w: DataFrame, lags: int = 2, least: int | None = None) -> list[dict]:
-    """By feature: penalty by inner folds (mean squared error, the first least one), coefficients, scores.
-
-    A feature with fewer training cells than its threshold keeps to the entity means; without evidence from any fold the
-    penalty is 100.
-    """
-    inner, n_dev = _folds(w)
-    n_all = w.agg(F.max("win")).first()[0] + 1
-    names = sorted(r["feature"] for r in w.select("feature").distinct().collect())
-    s = effect_sums(w, names, lags, [*inner, (n_dev, n_all)])
-    p, last, out = len(names) * lags, len(inner), []
-    entities = w.agg(F.count_distinct("entity")).first()[0]
-
-    def solve(i, j, alpha):
-        return np.linalg.solve(s["xx"][i, 0, j] + alpha * np.eye(p), s["xr"][i, 0, j])
-
-    for j, name in enumerate(names):
-        density = s["n"][last, 0, j] / max(1, entities * n_dev)
-        need = least if least is not None else int(max(10, min(200, 0.05 * entities * n_dev * density)))
-        alpha, best, scores = 100.0, np.inf, []
-        for a in ALPHAS:
-            errors = [_error(s, i, j, solve(i, j, a)) / s["n"][i, 1, j] for i in range(last) if s["n"][i, 0, j] >= need and s["n"][i, 1, j] > 0]
-            if errors and np.mean(errors) < best:
-                best, alpha = float(np.mean(errors)), a
-        beta = solve(last, j, alpha) if s["n"][last, 0, j] >= need else np.zeros(p)
-
-        def r2(i, beta):
-            n, spread = s["n"][i, 1, j], s["yy"][i, 1, j] - s["y"][i, 1, j] ** 2 / max(s["n"][i, 1, j], 1)
-            return float(1 - _error(s, i, j, beta) / spread) if n and spread > 1e-8 else None
-
-        for i in range(last):
-            scores.append(r2(i, solve(i, j, alpha) if s["n"][i, 0, j] >= need else np.zeros(p)))
-        known = [x for x in scores if x is not None]
-        out.append({"feature": name, "alpha": alpha, "n": int(s["n"][last, 0, j]), "beta": beta.tolist(), "cv_r2": float(np.mean(known)) if known else None, "test_r2": r2(last, beta)})
-    return out
+@query("fe_ridge_cv")
+def fe_ridge_cv(s, d, lags: int = 2):
+    """Fixed-effects ridge of every feature on all features and lags: penalty and coefficients of the development windows,
+    and scores of the folds and of the held-out windows."""
+    p = contest.load(logged(s, d))
+    try:
+        f = contest.fit(p, cell_gramian(p.rows, p.axes), "levels", lags, 1, 1.0)
+        rows, _ = contest.scores(contest.predictions(p.rows, p.axes, f), f, p)
+    finally:
+        p.drop()
+    out = [(r["feature"], a, b.tolist(), r["ridge_cv_r2"], r["ridge_test_r2"]) for r, a, b in zip(rows, f.alphas[-1], f.betas[-1])]
+    return s.createDataFrame(out, "feature string, alpha double, beta array<double>, cv_r2 double, test_r2 double")
 
 
-@query("fe_ridge_cv")
-def fe_ridge_cv(s, d):
-    """Fixed-effects ridge of every feature on all features and lags, its penalty by inner expanding folds."""
-    w = windows3(s, d).persist()
+@query("comparison_predictions")
+def comparison_predictions(s, d, mode: str = "levels", lags: int = 2):
+    """(cut, entity, feature, win, y, ridge, cp): forecasts of both models, fitted on the whole panel, for every seen cell of
+    the folds' scored windows and of the held-out ones (cut 3)."""
+    p = contest.load(logged(s, d))
     try:
-        rows = fixed_effects(w)
+        f = contest.fit(p, cell_gramian(p.rows, p.axes), mode, lags, *CONFIGURATIONS[mode, lags])
     finally:
-        w.unpersist()
-    return s.createDataFrame([(str(r["feature"]), r["alpha"], r["n"], r["beta"], r["cv_r2"], r["test_r2"]) for r in rows], "feature string, alpha double, n long, beta array<double>, cv_r2 double, test_r2 double")
+        p.drop()
+    return contest.predictions(p.rows, p.axes, f)
 
 
-# ------------------------------------------------------------ structured regression, over a taxonomy
+SCORES = "ridge_cv_r2 double, cp_cv_r2 double, ridge_test_r2 double, cp_test_r2 double, delta double"
 
 
-def nation_windows(s, d, lags: int = 2) -> DataFrame:
-    """Windows of the z-scored panel of nations: the mean over a nation's suppliers by feature and quarter."""
-    nation = panels.read(s, d, "supplier").select(F.col("s_suppkey").alias("entity"), F.col("s_nationkey").alias("nation"))
-    long = p1(s, d).join(nation, "entity").groupBy(F.col("nation").alias("entity"), "feature", "period").agg(F.avg("value").alias("value"))
-    return panel.lookback(panel.densify(panel.zscore(long, ["feature"])), lags, drop_last=False, long=long)
+def _persistence(s, d, lags: int) -> dict[str, float]:
+    """By feature: AR(1) persistence of the targets of the development windows."""
+    long = logged(s, d)
+    ends = long.agg(F.min("period").alias("lo"), F.max("period").alias("hi")).first()
+    seen = sorted(r[0] for r in long.where("value IS NOT NULL").select("period").distinct().collect())
+    targets = [p for p in seen if ends["lo"] + lags <= p < ends["hi"]]
+    dev = targets[: int(0.8 * len(targets))]
+    if not dev:
+        return {}
+    return {r["feature"]: r["rho"] for r in panel.ar1(long.where(F.col("period").between(dev[0], dev[-1]))).collect()}
 
 
-def nation_arrays(w: DataFrame):
-    """(features, x (T, N, F, L), y (T, N, F), seen) of nation windows; bounded by nations, features and periods."""
-    t = w.toPandas()
-    wins, ti = np.unique(t["win"].to_numpy(), return_inverse=True)
-    _, ei = np.unique(t["entity"].to_numpy(), return_inverse=True)
-    names, fi = np.unique(t["feature"].astype(str).to_numpy(), return_inverse=True)
-    shape = (len(wins), ei.max() + 1, len(names))
-    x, y = np.zeros((*shape, len(t["x"].iloc[0]))), np.full(shape, np.nan)
-    x[ti, ei, fi] = [[0.0 if v is None or v != v else v for v in row] for row in t["x"]]
-    y[ti, ei, fi] = t["y"].to_numpy(float)
-    return names, x, np.nan_to_num(y), ~np.isnan(y)
+def compared(s, d, configurations=None) -> tuple[list[dict], list[dict]]:
+    """Scores by configuration and feature, with persistence, and pooled ones by configuration."""
+    configurations = configurations or CONFIGURATIONS
+    rows, totals = contest.compared(logged(s, d), configurations)
+    rho = {lags: _persistence(s, d, lags) for lags in {lags for _, lags in configurations}}
+    return [r | {"ar1_rho": rho[r["lookback"]].get(r["feature"])} for r in rows], totals
 
 
-def structured(x, y, seen, train, rank: int = 3, penalty: float = 10.0) -> np.ndarray:
-    """Predictions of the tensor regression of windows on windows: means by entity and feature (by feature where an
-    entity has none) and RMS come from the training windows, and missing targets count as the mean."""
-    m = seen[train]
-    by_feature = (y[train] * m).sum((0, 1)) / (m.sum((0, 1)) + 1e-8)
-    n = m.sum(0)
-    mean = np.where(n > 0, (y[train] * m).sum(0) / np.maximum(n, 1), by_feature)
-    rest = np.where(m, y[train] - mean, 0)
-    scale = np.sqrt((rest[m] ** 2).mean()) + 1e-8 if m.any() else 1.0
-    factors, _ = models.cp_regression(x[train], rest / scale, rank, penalty, 150, 1e-6)
-    return mean + scale * models.cp_predict(x, factors, y.shape[1:])
+BY_FEATURE = f"mode string, lookback int, feature string, {SCORES}, ar1_rho double"
+POOLED = "mode string, lookback int, ridge_cv_mean double, cp_cv_mean double, ridge_test_r2 double, cp_test_r2 double, delta double"
 
 
-def _by_feature(y, p, seen) -> list[float | None]:
-    out = []
-    for j in range(y.shape[2]):
-        v, q = y[..., j][seen[..., j]], p[..., j][seen[..., j]]
-        spread = ((v - v.mean()) ** 2).sum() if len(v) else 0.0
-        out.append(float(1 - ((v - q) ** 2).sum() / spread) if spread > 1e-8 else None)
-    return out
+def table_of(s, rows: list[dict], schema: str) -> DataFrame:
+    names = [x.split()[0] for x in schema.split(", ")]
+    return s.createDataFrame([tuple(r.get(n) for n in names) for r in rows], schema)
+
+
+@query("cp_vs_ridge")
+def cp_vs_ridge(s, d):
+    """By configuration and feature: scores of both models on the whole panel, the gain, and the feature's persistence."""
+    return table_of(s, compared(s, d)[0], BY_FEATURE)
+
+
+@query("comparison_summary")
+def comparison_summary(s, d):
+    """By configuration: pooled scores of both models over folds and held-out windows."""
+    return table_of(s, compared(s, d)[1], POOLED)
 
 
 @query("cp_structured")
 def cp_structured(s, d):
-    """(feature, cv_r2, test_r2) of the structured tensor regression: folds over development windows, then the held-out ones."""
-    names, x, y, seen = nation_arrays(nation_windows(s, d))
-    n = int(0.8 * len(x))
-    scores = []
-    for end, upto in panel.folds(n):
-        p = structured(x, y, seen, np.arange(end))
-        scores.append(_by_feature(y[end:upto], p[end:upto], seen[end:upto]))
-    test = _by_feature(y[n:], structured(x, y, seen, np.arange(n))[n:], seen[n:])
-    mean = [float(np.mean([v for v in column if v is not None])) if any(v is not None for v in column) else None for column in zip(*scores)]
-    return s.createDataFrame([(str(f), c, t) for f, c, t in zip(names, mean, test)], "feature string, cv_r2 double, test_r2 double")
+    """(feature, cv_r2, test_r2) of the structured tensor regression of the whole panel, levels and two lags."""
+    rows = contest.compared(logged(s, d), {("levels", 2): CONFIGURATIONS["levels", 2]})[0]
+    return table_of(s, [{"feature": r["feature"], "cv_r2": r["cp_cv_r2"], "test_r2": r["cp_test_r2"]} for r in rows], "feature string, cv_r2 double, test_r2 double")
 
 
-@query("cp_vs_ridge")
-def cp_vs_ridge(s, d):
-    """Held-out R2 of both models on the nations' panel, paired by feature, and the gain."""
-    w = nation_windows(s, d)
-    ridge = s.createDataFrame([(str(r["feature"]), r["cv_r2"], r["test_r2"]) for r in fixed_effects(w)], "feature string, ridge_cv_r2 double, ridge_test_r2 double")
-    cp = cp_structured(s, d).withColumnsRenamed({"cv_r2": "cp_cv_r2", "test_r2": "cp_test_r2"})
-    return cp.join(ridge, "feature").withColumn("delta", F.col("cp_test_r2") - F.col("ridge_test_r2"))
+def significance(rows: DataFrame, first: str = "cp_test_r2", second: str = "ridge_test_r2", least: int = 5) -> DataFrame:
+    """(mode, lookback, n, mean_delta, rho, rho_p, rho_adjusted, w, w_p, w_adjusted) of scores by feature.
+
+    Within a configuration: rank correlation of persistence and gain, signed ranks of the pairs of scores, each
+    from ``least`` pairs on. P-values are adjusted over the configurations. All ranks are within configurations, and
+    there are as many of these as rows in the result.
+    """
+    by = ["mode", "lookback"]
+    known = rows.where(F.col(first).isNotNull() & F.col(second).isNotNull()).withColumn("d", F.col(first) - F.col(second))
+    ranked = panel.ranked(panel.ranked(known.where("ar1_rho IS NOT NULL"), by, "ar1_rho"), by, "d")
+    rho = ranked.groupBy(*by).agg(F.count("*").alias("n"), F.corr("rank_ar1_rho", "rank_d").alias("rho")).withColumn("rho", F.when(F.col("n") >= least, F.nanvl("rho", F.lit(None))))
+    signed = panel.ranked(known.where("d <> 0").withColumn("m", F.abs("d")), by, "m")
+    sums = signed.groupBy(*by).agg(F.sum(F.when(F.col("d") > 0, F.col("rank_m")).otherwise(0.0)).alias("up"), F.sum(F.when(F.col("d") < 0, F.col("rank_m")).otherwise(0.0)).alias("down"), F.count("*").alias("pairs"), F.sum(F.col("ties_m") * F.col("ties_m") - 1).alias("ties"))
+    every = known.groupBy(*by).agg(F.count("*").alias("compared"), F.avg("d").alias("mean_delta"))
+    t = every.join(rho, by, "left").join(sums.withColumn("w", F.least("up", "down")), by, "left")
+    t = t.withColumn("w", F.when(F.col("compared") >= least, F.col("w")))
+
+    def with_p(batches):
+        for b in batches:
+            b["rho_p"] = [None if not r == r or r is None else models.spearman_p(float(r), int(n)) for r, n in zip(b["rho"], b["n"])]
+            b["w_p"] = [None if not w == w or w is None else models.wilcoxon_p(float(w), int(n), float(ties)) for w, n, ties in zip(b["w"], b["pairs"], b["ties"])]
+            yield b
+
+    columns = "mode string, lookback int, n long, mean_delta double, rho double, w double, pairs long, ties double"
+    t = t.select("mode", "lookback", "n", "mean_delta", "rho", "w", "pairs", F.col("ties").cast("double").alias("ties")).mapInPandas(with_p, columns + ", rho_p double, w_p double")
+    t = panel.step_up(panel.step_up(t, "rho_p", "rho_adjusted"), "w_p", "w_adjusted")
+    return t.select("mode", "lookback", "n", "mean_delta", "rho", "rho_p", "rho_adjusted", "w", "w_p", "w_adjusted")
+
+
+@query("comparison_tests")
+def comparison_tests(s, d):
+    """By configuration: how the gain goes with persistence, and whether the models' scores differ."""
+    return significance(cp_vs_ridge(s, d))
+
+
+LAGS = (2, 3, 4, 5, 6)
+LOGGED = f"WITH {P3}, {grid('p3')}, logged AS (SELECT entity, feature, period, {LOG.format('value')} AS value FROM dense)"
+FORECASTS_SQL = LOGGED + f""", base AS (SELECT entity, feature, period, value AS y, {', '.join(f'coalesce(lag(value, {k}) OVER w, 0) AS l{k}' for k in range(1, 7))} FROM logged WINDOW w AS (PARTITION BY entity, feature ORDER BY period)),
+f AS (SELECT feature, L, y, l1 AS a, ({' + '.join(f'CASE WHEN L >= {k} THEN l{k} ELSE 0 END' for k in range(1, 7))}) / L AS b FROM base, (VALUES {', '.join(f'({k})' for k in LAGS)}) v(L)
+  WHERE y IS NOT NULL AND period - (SELECT min(period) FROM p3) >= L AND period < (SELECT max(period) FROM p3)),
+r AS (SELECT L, feature, round((sum((y - a) * (y - a)) - sum((y - b) * (y - b))) / (count(y) * var_pop(y)), 9) AS d FROM f GROUP BY 1, 2),
+t AS (SELECT DISTINCT L, period FROM (SELECT DISTINCT period FROM logged WHERE value IS NOT NULL), (VALUES {', '.join(f'({k})' for k in LAGS)}) v(L) WHERE period - (SELECT min(period) FROM p3) >= L AND period < (SELECT max(period) FROM p3)),
+cut AS (SELECT L, max(period) AS hi, min(period) AS lo FROM (SELECT *, row_number() OVER (PARTITION BY L ORDER BY period) AS i, count(*) OVER (PARTITION BY L) AS n FROM t) WHERE i <= floor(0.8 * n) GROUP BY 1),
+pairs AS (SELECT L, entity, feature, value AS y, lag(value) OVER (PARTITION BY L, entity, feature ORDER BY period) AS x FROM logged JOIN cut ON period BETWEEN lo AND hi WHERE value IS NOT NULL),
+ar AS (SELECT L, feature, round(avg(greatest(-1, least(1, c))), 9) AS rho FROM (SELECT L, entity, feature, covar_samp(y, x) / var_samp(x) AS c FROM pairs WHERE x IS NOT NULL GROUP BY 1, 2, 3 HAVING count(*) >= 7 AND var_samp(x) >= 1e-12) GROUP BY 1, 2),
+k AS (SELECT L, feature, d, rank() OVER (PARTITION BY L ORDER BY rho) + (count(*) OVER (PARTITION BY L, rho) - 1) / 2 AS ra, rank() OVER (PARTITION BY L ORDER BY d) + (count(*) OVER (PARTITION BY L, d) - 1) / 2 AS rd,
+  rank() OVER (PARTITION BY L ORDER BY abs(d)) + (count(*) OVER (PARTITION BY L, abs(d)) - 1) / 2 AS rm FROM r JOIN ar USING (L, feature)),
+s AS (SELECT L, count(*) AS n, avg(d) AS mean_delta, corr(ra, rd) AS rho, least(sum(CASE WHEN d > 0 THEN rm ELSE 0 END), sum(CASE WHEN d < 0 THEN rm ELSE 0 END)) AS w FROM k GROUP BY 1),
+p AS (SELECT *, CASE w WHEN 0 THEN 2 WHEN 1 THEN 4 WHEN 2 THEN 6 WHEN 3 THEN 10 WHEN 4 THEN 14 WHEN 5 THEN 20 WHEN 6 THEN 26 ELSE 32 END / 32.0 AS w_p FROM s),
+q AS (SELECT *, w_p * count(*) OVER () / (rank() OVER (ORDER BY w_p) + count(*) OVER (PARTITION BY w_p) - 1) AS q FROM p)"""
+
+
+def forecast_scores(s, d) -> DataFrame:
+    """(mode, lookback, feature, persistence, mean, ar1_rho): scores of two plain forecasts, by lookback and feature."""
+    dense = panel.densify(logged(s, d))
+    w = Window.partitionBy("entity", "feature").orderBy("period")
+    ends = dense.agg(F.min("period").alias("lo"), F.max("period").alias("hi"))
+    lagged = dense.withColumn("x", F.array(*[F.coalesce(F.lag("value", k).over(w), F.lit(0.0)) for k in range(1, max(LAGS) + 1)])).join(F.broadcast(ends), F.lit(True))
+    each = lagged.where("value IS NOT NULL AND period < hi").select("feature", F.col("value").alias("y"), "x", (F.col("period") - F.col("lo")).alias("at"), F.explode(F.array(*map(F.lit, LAGS))).alias("lookback")).where("at >= lookback")
+    total = F.aggregate(F.slice("x", F.lit(1), F.col("lookback")), F.lit(0.0), lambda acc, v: acc + v)
+    rows = each.select("lookback", "feature", "y", F.col("x")[0].alias("a"), (total / F.col("lookback")).alias("b"))
+    gain = lambda p: 1 - F.sum((F.col("y") - F.col(p)) ** 2) / (F.count("y") * F.var_pop("y"))
+    out = rows.groupBy("lookback", "feature").agg(gain("a").alias("persistence"), gain("b").alias("mean"))
+    rho = [(k, f, v) for k in LAGS for f, v in _persistence(s, d, k).items()]
+    return out.join(F.broadcast(s.createDataFrame(rho, "lookback int, feature string, ar1_rho double")), ["lookback", "feature"]).select(F.lit("levels").alias("mode"), "lookback", "feature", "persistence", F.round(F.col("mean") - F.col("persistence"), 9).alias("gain"), F.round("ar1_rho", 9).alias("ar1_rho"))
+
+
+def _forecast_tests(s, d) -> DataFrame:
+    rows = forecast_scores(s, d).withColumn("none", F.lit(0.0))
+    return significance(rows, "gain", "none")
+
+
+@query("forecast_tests", FORECASTS_SQL + " SELECT CAST(L AS INTEGER) AS lookback, n, round(mean_delta, 6) AS mean_delta, round(rho, 6) AS rho, round(w, 1) AS w, round(CAST(w_p AS DOUBLE), 6) AS w_p FROM p")
+def forecast_tests(s, d):
+    """By lookback: the gain of the window's mean over persistence, its rank correlation with the feature's persistence,
+    and the exact test of signed ranks (five features)."""
+    return _forecast_tests(s, d).select("lookback", "n", *[F.round(c, 6).alias(c) for c in ("mean_delta", "rho")], F.round("w", 1).alias("w"), F.round("w_p", 6).alias("w_p"))
+
+
+@query("bh_adjust", FORECASTS_SQL + " SELECT CAST(L AS INTEGER) AS lookback, round(CAST(least(1, min(q) OVER (ORDER BY w_p DESC)) AS DOUBLE), 6) AS adjusted FROM q")
+def bh_adjust(s, d):
+    """Step-up adjustment of the tests' p-values over the lookbacks."""
+    return _forecast_tests(s, d).select("lookback", F.round("w_adjusted", 6).alias("adjusted"))
 
 
 def multi_output_ridge(x: np.ndarray, y: np.ndarray, alphas) -> tuple[float, np.ndarray, np.ndarray]:
-    """(penalty, coefficients, intercept) of all outputs at once; the penalty by leave-one-out errors."""
+    """(penalty, coefficients, intercept) of all outputs at once; the penalty by leave-one-out errors. The primal form of
+    ``models.DualRidge``, for its test."""
     mx, my = x.mean(0), y.mean(0)
     u, sv, vt = np.linalg.svd(x - mx, full_matrices=False)
     z = u.T @ (y - my)
@@ -209,13 +204,9 @@ def multi_output_ridge(x: np.ndarray, y: np.ndarray, alphas) -> tuple[float, np.
 
 @query("ridge_multi_output")
 def ridge_multi_output(s, d):
-    """(alpha, r2): one ridge with intercept from all inputs of a window to all its targets, on the nations' panel."""
-    _, x, y, seen = nation_arrays(nation_windows(s, d))
-    n, flat = int(0.8 * len(x)), lambda t: t.reshape(len(t), -1)
-    alpha, beta, start = multi_output_ridge(flat(x[:n]), flat(y[:n]), [0.1, 1.0, 10.0, 100.0])
-    p, k = flat(x[n:]) @ beta + start, flat(seen[n:])
-    v = flat(y[n:])[k]
-    return s.createDataFrame([(float(alpha), float(1 - ((v - p[k]) ** 2).sum() / ((v - v.mean()) ** 2).sum()))], "alpha double, r2 double")
+    """(alpha, r2): one ridge with intercept from all inputs of a window to all its targets, of the whole panel."""
+    alpha, r2 = contest.wide_ridge(logged(s, d), 2, [0.1, 1.0, 10.0, 100.0])
+    return s.createDataFrame([(alpha, r2)], "alpha double, r2 double")
 
 
 # ------------------------------------------------------------ decompositions with core, errors and reconstruction

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lattiq.functions import scalar
-from lattiq.operators import models, panel, tensor
+from lattiq.operators import contest, models, panel, tensor
+from lattiq.operators.cells import dense, summed
 from lattiq.sources import panels
 
 QUERIES = {}
@@ -17,10 +18,10 @@ SIX = 6
 
 #: The panels as SQL.
 P1 = """p1w AS (SELECT l_suppkey AS entity, CAST(year(l_shipdate) * 4 + quarter(l_shipdate) - 1 AS INTEGER) AS period, sum(l_quantity) AS qty,
-  sum(l_extendedprice) AS price, avg(l_discount) AS discount FROM lineitem GROUP BY 1, 2),
+  CAST(sum(CAST(l_extendedprice AS DECIMAL(18, 2))) AS DOUBLE) AS price, CAST(sum(CAST(l_discount AS DECIMAL(18, 2))) AS DOUBLE) / count(l_discount) AS discount FROM lineitem GROUP BY 1, 2),
 p1 AS (SELECT entity, f AS feature, period, value FROM p1w UNPIVOT (value FOR f IN (qty, price, discount)))"""
 P2 = """p2w AS (SELECT o_custkey AS entity, CAST(year(o_orderdate) * 4 + quarter(o_orderdate) - 1 AS INTEGER) AS period,
-  sum(o_totalprice) AS total, CAST(count(*) AS DOUBLE) AS orders FROM orders GROUP BY 1, 2),
+  CAST(sum(CAST(o_totalprice AS DECIMAL(18, 2))) AS DOUBLE) AS total, CAST(count(*) AS DOUBLE) AS orders FROM orders GROUP BY 1, 2),
 p2 AS (SELECT entity, f AS feature, period, value FROM p2w UNPIVOT (value FOR f IN (total, orders)))"""
 P3 = """p3 AS (SELECT user_id AS entity, event_type AS feature, CAST(CAST(ts AS DATE) - DATE '1970-01-01' AS INTEGER) AS period, sum(value) AS value
   FROM events GROUP BY 1, 2, 3)"""
@@ -141,13 +142,13 @@ def aligned_start(s, d):
 
 
 @query("incomplete_dropped", f"""WITH {P1}, {grid('p1')}, bad AS (SELECT DISTINCT entity FROM dense WHERE value IS NULL OR (feature = 'qty' AND value < 200))
-SELECT entity, feature, period, round(value, 6) AS value FROM dense WHERE entity NOT IN (SELECT entity FROM bad)""")
+SELECT entity, feature, period, value FROM dense WHERE entity NOT IN (SELECT entity FROM bad)""")
 def incomplete_dropped(s, d):
     """The grid without entities that miss any cell; a quantity below 200 counts as missing here, so that some do."""
     kept = p1(s, d).withColumn("value", F.when((F.col("feature") != "qty") | (F.col("value") >= 200), F.col("value")))
     dense = panel.densify(kept)
     gaps = dense.where("value IS NULL").select("entity").distinct()
-    return dense.join(gaps, "entity", "left_anti").select("entity", "feature", "period", r6("value"))
+    return dense.join(gaps, "entity", "left_anti").select("entity", "feature", "period", "value")
 
 
 @query("complete_rows", f"WITH {P2} SELECT entity, period FROM p2 GROUP BY 1, 2 HAVING count(*) = 2 AND sum(CASE WHEN feature = 'total' THEN value END) > 200000")
@@ -357,11 +358,10 @@ def standard_scaler(s, d):
 # ------------------------------------------------------------ tensors
 
 
-@query("tensor_coo", f"WITH {P1} SELECT entity, feature, period, round(value, 4) AS value FROM p1")
+@query("tensor_coo", f"WITH {P1} SELECT entity, feature, period, value FROM p1")
 def tensor_coo(s, d):
-    """Observed cells; values are scaled, rounded and scaled back as doubles, without a detour over their decimal text."""
-    scaled = F.floor(F.abs("value") * 1e4 + 0.5) / 1e4
-    return p1(s, d).select("entity", "feature", "period", (F.signum("value") * scaled).alias("value"))
+    """Observed cells, unrounded: sums are exact, and a mean is one division of exact numbers."""
+    return p1(s, d).select("entity", "feature", "period", "value")
 
 
 @query("slice_norms", f"WITH {P1} SELECT period, round(sqrt(sum(value * value)), 4) AS norm FROM p1 GROUP BY 1")
@@ -387,10 +387,11 @@ def scaled1(s, d):
 
 @query("tucker_index")
 def tucker_index(s, d):
-    """(period, index): mean absolute loading of three time factors, by orthogonal iteration."""
+    """(period, index): mean absolute loading of the time factors, by orthogonal iteration; at most 12 entity and 12 feature
+    factors and 49 time factors."""
     features, periods, g = tensor.entity_gramian(scaled1(s, d))
-    n = len(features)
-    u = tensor.tucker_gramian(g, (n, len(periods)), (n, min(n, 12), 3))[1]
+    shape = (len(features), len(periods))
+    u = tensor.tucker_gramian(g, shape, (12, min(shape[0], 12), min(shape[1], 49)))[1]
     return s.createDataFrame([(int(p), float(v)) for p, v in zip(periods, np.abs(u).mean(1))], "period int, index double")
 
 
@@ -408,11 +409,8 @@ def _impute(s, d, model, steps: int) -> DataFrame:
     w = windows3(s, d, lags)
     names = sorted(r["feature"] for r in w.select("feature").distinct().collect())
     cells = F.array_sort(F.collect_list(F.struct("feature", "x")))
-    rows = w.groupBy("win", "entity").agg(cells.alias("cells")).select("win", "entity", F.flatten(F.transform("cells", lambda c: c["x"])).alias("x")).persist()
-    try:
-        out = tensor.impute(rows, model((len(names), lags)), steps, 1e-3)
-    finally:
-        rows.unpersist()
+    rows = w.groupBy("win", "entity").agg(cells.alias("cells")).select("win", "entity", F.flatten(F.transform("cells", lambda c: c["x"])).alias("x"))
+    out = tensor.impute(rows, model((len(names), lags)), steps, 1e-3)
     cells = out.select("win", "entity", "error", "failed", F.posexplode(F.arrays_zip("x", "observed")).alias("at", "c"))
     feature = F.array(*map(F.lit, names))[F.floor(F.col("at") / lags).cast("int")]
     return cells.select("win", "entity", feature.alias("feature"), (lags - F.col("at") % lags).alias("lag"), "c.x", "c.observed", "error", "failed")
@@ -506,26 +504,30 @@ def ridge_loo_by_feature(s, d, alphas=(0.1, 1.0, 10.0, 100.0, 1000.0)):
     return best.select("feature", "m.alpha", "m.beta")
 
 
-def _moments(w: DataFrame, names: list) -> dict:
-    """Sums over all rows (window, entity) of X = (features, lags), missing as zero, and Y = (features):
-    X'X, and by target, over its seen cells, n, the sums of y, y^2, X, X y and X'X."""
-    at, size = {f: k for k, f in enumerate(names)}, 2 * len(names)
-
-    def partial(rows: pd.DataFrame) -> np.ndarray:
-        x, y = np.zeros((len(rows), len(names), 2)), np.full((len(rows), len(names)), np.nan)
-        for i, cells in enumerate(rows["cells"]):
-            for c in cells:
-                x[i, at[c["feature"]]] = [v if v is not None and v == v else 0.0 for v in c["x"]]
-                y[i, at[c["feature"]]] = np.nan if c["y"] is None else c["y"]
-        x, m = x.reshape(len(x), -1), ~np.isnan(y)
-        y = np.where(m, y, 0)
-        seen = [np.concatenate([[m[:, j].sum(), y[:, j].sum(), (y[:, j] ** 2).sum()], x.T @ m[:, j], x.T @ y[:, j], (x[m[:, j]].T @ x[m[:, j]]).ravel()]) for j in range(len(names))]
-        return np.concatenate([(x.T @ x).ravel(), *seen])
-
-    rows = w.groupBy("win", "entity").agg(F.collect_list(F.struct("feature", "x", "y")).alias("cells")).select("cells")
-    total = tensor.filled(tensor.summed(rows, partial), (size * size + len(names) * (3 + 2 * size + size * size),))
-    by = total[size * size :].reshape(len(names), -1)
-    return {"all": total[: size * size].reshape(size, size), "n": by[:, 0], "y": by[:, 1], "yy": by[:, 2], "x": by[:, 3 : 3 + size], "xy": by[:, 3 + size : 3 + 2 * size], "xx": by[:, 3 + 2 * size :].reshape(-1, size, size)}
+def _moments(p: contest.Panel, d: contest.Design, parts: list[tuple[int, int]]) -> list[dict]:
+    """For each part (a, b) of the windows, sums over all its rows (window, entity) of X = (features, lags), missing as zero,
+    and Y = (features): X'X, and by target, over its seen cells, n, the sums of y, y^2, X, X y and X'X."""
+    k = len(p.axes.features)
+    size = k * d.lags
+    order = np.arange(size).reshape(d.lags, k).T.ravel()  # from lags x features to features x lags
+    wide, cells = size * size + k * (3 + 2 * size + size * size), p.axes.size
+
+    def add(batch, total):
+        for _, v in dense(batch, cells):
+            v = v.reshape(len(v), k, -1)
+            inputs, targets = d.inputs(v)[:, :, order], d.targets(v).transpose(0, 2, 1)
+            for out, (a, b) in zip(total.reshape(len(parts), wide), parts):
+                x, y = inputs[:, a:b].reshape(-1, size), targets[:, a:b].reshape(-1, k)
+                m = ~np.isnan(y)
+                y = np.where(m, y, 0)
+                seen = [np.concatenate([[m[:, j].sum(), y[:, j].sum(), (y[:, j] ** 2).sum()], x.T @ m[:, j], x.T @ y[:, j], (x[m[:, j]].T @ x[m[:, j]]).ravel()]) for j in range(k)]
+                out += np.concatenate([(x.T @ x).ravel(), *seen])
+
+    out = []
+    for total in summed(p.rows, add, len(parts) * wide).reshape(len(parts), wide):
+        by = total[size * size :].reshape(k, -1)
+        out.append({"all": total[: size * size].reshape(size, size), "n": by[:, 0], "y": by[:, 1], "yy": by[:, 2], "x": by[:, 3 : 3 + size], "xy": by[:, 3 + size : 3 + 2 * size], "xx": by[:, 3 + 2 * size :].reshape(-1, size, size)})
+    return out
 
 
 def _left(t: dict, mean: np.ndarray, beta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -538,12 +540,14 @@ def _left(t: dict, mean: np.ndarray, beta: np.ndarray) -> tuple[np.ndarray, np.n
 
 def _cp_scores(s, d, ensemble: bool) -> DataFrame:
     """(r2, steps): one model of the whole panel, solved on the driver from sums over all rows."""
-    w = holdout(windows3(s, d)).select("entity", "feature", "win", "dev", "x", "y").persist()
+    p = contest.load(p3(s, d).withColumn("value", scalar.log_modulus(F.col("value"))))
     try:
-        names = sorted(r["feature"] for r in w.select("feature").distinct().collect())
-        dev, after = _moments(w.where("dev"), names), _moments(w.where("not dev"), names)
+        d2 = contest.design(p, "levels", 2)
+        n_dev = int(0.8 * len(d2.starts))
+        dev, after = _moments(p, d2, [(0, n_dev), (n_dev, len(d2.starts))])
     finally:
-        w.unpersist()
+        p.drop()
+    names = p.axes.features
     size = 2 * len(names)
     mean, beta = dev["y"] / (dev["n"] + 1e-8), np.zeros((size, len(names)))
     if ensemble:
@@ -622,16 +626,6 @@ def wilcoxon_p(s, d):
     return s.createDataFrame([(n, float(w), models.wilcoxon_p(float(w), n, float(ties)))], "n long, w double, p double")
 
 
-@query("bh_adjust", """WITH p AS (SELECT n_nationkey AS k, (n_nationkey * 7 % 25 + 1) / 30.0 AS p FROM nation), r AS (SELECT *, p * count(*) OVER () / rank() OVER (ORDER BY p) AS q FROM p)
-SELECT k, round(CAST(least(1, min(q) OVER (ORDER BY p DESC)) AS DOUBLE), 6) AS adjusted FROM r""")
-def bh_adjust(s, d):
-    """Step-up adjustment of one p-value to a configuration; the table of tests is small by nature."""
-    p = panels.read(s, d, "nation").select(F.col("n_nationkey").alias("k"), ((F.col("n_nationkey") * 7 % 25 + 1) / 30.0).alias("p"))
-    q = F.col("p") * F.count("*").over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) / F.rank().over(Window.orderBy("p"))
-    low = F.min("q").over(Window.orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0))
-    return p.withColumn("q", q).select("k", F.round(F.least(F.lit(1.0), low), SIX).alias("adjusted"))
-
-
 SERIES = f"WITH {P3}, a AS (SELECT period, sum(value) AS v FROM p3 WHERE feature = (SELECT min(feature) FROM p3) GROUP BY 1), b AS (SELECT period, sum(value) AS v FROM p3 WHERE feature = (SELECT max(feature) FROM p3) GROUP BY 1)"
 
 
