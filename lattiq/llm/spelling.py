@@ -4,9 +4,9 @@ A rare-first prefix filter over bigrams finds the pairs. One edit touches at mos
 the bigrams of every word are ordered by how many words of the vocabulary have them, rarest first, and by their place
 among equal ones, then of the three first bigrams of each word at least one is the same undamaged bigram in both.
 (The order is by the bigram alone, since an edit can shift its place; the place limits the join.) A replaced code
-point leaves all places, an inserted one moves those behind it by one. The join is therefore an equality of bigram,
-length and place: each word is asked for at its own length and place, and at one more for either. Candidates are
-verified by their edit distance, if their sets of letters (as bits) differ in at most two, as those of near words do.
+point leaves all places, an inserted one moves those behind it by one. And of the two halves of the shorter word one
+is as it was. The join is therefore an equality of bigram, half and length, for equal lengths also of the place, and
+each word is asked for at its own length and at one more. Candidates are verified by their edit distance.
 
 Everything is DataFrame operations: words are counted with partial sums in every task, so that a word in all documents
 is no hot key; the order of bigrams is a table of at most 90 x 90 rows, whatever the corpus. Roots are found by
@@ -55,12 +55,6 @@ def bigrams(word: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.length(word) - 2), lambda i: F.struct(F.substring(word, i + 1, F.lit(2)).alias("gram"), i.alias("at")))
 
 
-def letters(word: Column) -> Column:
-    """The set of a word's code points, modulo 64, as bits."""
-    bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), F.ascii(F.substring(word, i, F.lit(1))) % 64)
-    return F.aggregate(F.sequence(F.lit(1), F.length(word)), F.lit(0).cast("long"), lambda acc, i: acc.bitwiseOR(bit(i)))
-
-
 def near_pairs(words: DataFrame) -> DataFrame:
     """(a, b): the pairs of words that differ by exactly one inserted, deleted or replaced code point, each once, the shorter
     one (of equal lengths the smaller one) first. ``words`` has distinct words of four code points at least."""
@@ -68,12 +62,22 @@ def near_pairs(words: DataFrame) -> DataFrame:
     order = every.select("word", "g.gram").distinct().groupBy("gram").agg(F.count("*").alias("words"))
     first = every.select("word", "g.gram", "g.at").join(F.broadcast(order), "gram")
     rare = first.groupBy("word").agg(F.slice(F.array_sort(F.collect_list(F.struct("words", "gram", "at"))), 1, PREFIX).alias("p"))
-    rare = rare.select("word", F.length("word").alias("size"), letters(F.col("word")).alias("set"), F.explode("p").alias("p")).select("word", "size", "set", "p.gram", "p.at")
-    asked = F.array(*[F.struct((F.col("size") + longer).alias("size"), (F.col("at") + moved).alias("at")) for longer, moved in ((0, 0), (1, 0), (1, 1))])
-    left = rare.select(F.col("word").alias("a"), F.col("size").alias("own"), F.col("set").alias("mine"), "gram", F.explode(asked).alias("q")).select("a", "own", "mine", "gram", "q.size", "q.at")
-    alike = F.bit_count(F.col("mine").bitwiseXOR(F.col("set"))) <= 2
-    found = left.join(rare.withColumnRenamed("word", "b"), ["gram", "size", "at"]).where(alike).where((F.col("own") < F.col("size")) | (F.col("a") < F.col("b")))
-    return found.where(F.levenshtein("a", "b", 1) == 1).select("a", "b").distinct()
+    rare = rare.select("word", F.explode("p").alias("p")).select("word", "p.gram", "p.at")
+    word, n = F.col("word"), F.length("word")
+
+    def halves(role: str, size: Column, place: Column) -> list[Column]:
+        """Keys for a pair whose shorter word has ``size`` code points: by what is before its middle, and behind it."""
+        k = F.floor(size / 2).cast("int")
+        parts = (F.substring(word, F.lit(1), k), F.substring(word, n - (size - k) + 1, size - k))
+        return [F.xxhash64(F.lit(f"{role}{i}"), "gram", size, part, place) for i, part in enumerate(parts)]
+
+    any_place = F.lit(-1)
+    same = halves("same", n, F.col("at"))
+    left = rare.select(F.col("word").alias("a"), F.col("at").alias("place"), F.explode(F.array(*same, *halves("one", n, any_place))).alias("key"))
+    right = rare.select(F.col("word").alias("b"), "at", F.explode(F.array(*same, *halves("one", n - 1, any_place))).alias("key"))
+    longer, moved = F.length("b") - F.length("a"), F.col("at") - F.col("place")
+    near = ((longer == 0) & (F.col("a") < F.col("b"))) | ((longer == 1) & moved.between(0, 1))
+    return left.join(right, "key").where(near).where(F.levenshtein("a", "b", 1) == 1).select("a", "b").distinct()
 
 
 def roots(forms: DataFrame) -> DataFrame:
