@@ -10,13 +10,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def densify(long: DataFrame) -> DataFrame:
-    """Every entity x feature x period in the range of periods, with NULL where no cell is.
+def densify(long: DataFrame, between: tuple[int, int] | None = None) -> DataFrame:
+    """Every entity x feature x period in the range of periods (found, or given as ``between``), with NULL where no cell is.
 
     The sequence of periods and the list of features are single rows, so the grid is exploded from the
     entities and needs no product of tables.
     """
     axes = long.agg(F.min("period").alias("lo"), F.max("period").alias("hi"), F.array_sort(F.collect_set("feature")).alias("features"))
+    if between is not None:
+        axes = axes.withColumns({"lo": F.lit(between[0]), "hi": F.lit(between[1])})
     grid = long.select("entity").distinct().join(F.broadcast(axes), F.lit(True))
     grid = grid.select("entity", F.explode("features").alias("feature"), "lo", "hi")
     grid = grid.select("entity", "feature", F.explode(F.sequence("lo", "hi")).alias("period"))
