@@ -9,9 +9,15 @@ while the counts follow the corpus.
 The two models, toxic and ordinary, hold counts of their own at the top order only; below it both
 back off to shared continuation counts of both classes. A rare expression thus falls back to the
 same probability in either model and is no evidence. A document gets the difference of the
-log-likelihoods, normalised by length, over the whole text and over its most toxic window; a logistic
-regression on a share of the training documents that the counts leave out turns both into a
-probability.
+log-likelihoods, normalised by length, over the whole text and over its most toxic window.
+
+Stems that are made of common syllables look ordinary to so short contexts. So a second pair of models is over words, by
+their beginnings of SHORT and of LONG symbols: how many documents of a class hold each, discounted, backing off to the
+shared share of both classes. Beginnings that at least MIN_DOCUMENTS toxic documents hold and whose log-ratio is at
+least STRONG, the MAX_STRONG strongest, are kept as a table; a document gets the log-ratios of its words
+there, a word.
+
+A logistic regression on a share of the training documents that the counts leave out turns these into a probability.
 
 Defined results: null and empty texts score as the blank text; labels that are null are ignored, repeated
 ones count each; a null doc_id is scored and never learned from; without training rows of both classes
@@ -38,6 +44,10 @@ CALIBRATION_ROWS = 40_000
 LEFT_OUT = 6
 STEP = 16  # the log-ratio table keeps sixteenths
 THRESHOLD, FOLDS, HELD = 0.7, 3, 1
+SHORT, LONG = 5, 8
+MIN_DOCUMENTS, STRONG = 5, 1.0
+#: Beginnings of words in the model at most (16 bytes each).
+MAX_STRONG = 1 << 20
 
 
 def _fold_table() -> np.ndarray:
@@ -73,6 +83,62 @@ def codes_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return codes[keep], np.concatenate([[0], np.cumsum(lengths + 1)])
 
 
+def beginnings(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the beginnings of all words, SHORT and, of longer words, LONG symbols; and the row of each."""
+    data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
+    keys, rows = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for at in range(0, len(data), PIECE):
+        low = max(at - 1, 0)
+        part = FOLD[data[low : at + PIECE + LONG]]
+        starts = np.flatnonzero(part[: at + PIECE - low] > 0) + low
+        row = np.searchsorted(offsets, starts, "right") - 1
+        first = (starts == offsets[row]) | (part[np.maximum(starts - low - 1, 0)] == 0)
+        keep = first & (starts >= at)
+        starts, row = starts[keep], row[keep]
+        code, alive = np.zeros(len(starts), np.int64), np.ones(len(starts), bool)
+        for k in range(LONG):
+            place = starts + k
+            alive &= place < offsets[row + 1]
+            symbol = part[np.minimum(place - low, len(part) - 1)]
+            alive &= symbol > 0
+            code = code << BITS | np.where(alive, symbol, 0)
+            if k + 1 == SHORT:
+                keys.append(code | SHORT << 56)
+                rows.append(row)
+                longer = alive.copy()
+        longer &= (code & ((1 << BITS * (LONG - SHORT)) - 1)) > 0
+        keys.append(code[longer] | LONG << 56)
+        rows.append(row[longer])
+    return np.concatenate(keys), np.concatenate(rows)
+
+
+class Strong:
+    """Log-ratios of beginnings of words, looked up behind a table of flags."""
+
+    def __init__(self, keys: np.ndarray, ratios: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.ratios = keys[order], ratios[order]
+        self.flags = np.zeros(1 << 20, bool)
+        self.flags[self.flag(keys)] = True
+
+    @staticmethod
+    def flag(keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(44)).astype(np.int64)
+
+    def evidence(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """The log-ratios of each text's words, a beginning."""
+        keys, rows = beginnings(data, offsets)
+        n = np.bincount(rows, minlength=len(offsets) - 1)
+        some = np.flatnonzero(self.flags[self.flag(keys)])
+        at = np.searchsorted(self.keys, keys[some])
+        hit = np.zeros(len(some), bool)
+        if len(self.keys):
+            at = np.minimum(at, len(self.keys) - 1)
+            hit = self.keys[at] == keys[some]
+        total = np.bincount(rows[some[hit]], self.ratios[at[hit]], minlength=len(offsets) - 1)
+        return total / np.maximum(n, 1)
+
+
 def shared_backoff(types: np.ndarray) -> np.ndarray:
     """Probabilities of all (ORDER - 1)-grams from how many distinct symbols were seen before each of them."""
     cont = {ORDER - 1: types.astype(np.float32)}
@@ -103,8 +169,13 @@ def log_ratios(contexts: np.ndarray, ordinary: np.ndarray, toxic: np.ndarray, sh
     return np.clip(np.rint(logs * STEP), -127, 127).astype(np.int8)
 
 
-def features(data: np.ndarray, offsets: np.ndarray, ratios: np.ndarray) -> np.ndarray:
-    """Per text: the log-ratio a symbol over its most toxic window and over all of it."""
+def features(data: np.ndarray, offsets: np.ndarray, ratios: np.ndarray, strong: Strong) -> np.ndarray:
+    """Per text: the log-ratio a symbol over its most toxic window and over all of it; that of its words, as a root, since few
+    toxic ones among many words are telling."""
+    return np.column_stack([_symbol_features(data, offsets, ratios), np.sqrt(strong.evidence(data, offsets))])
+
+
+def _symbol_features(data: np.ndarray, offsets: np.ndarray, ratios: np.ndarray) -> np.ndarray:
     if len(offsets) == 2 and len(data) > PIECE:
         return _long_features(data, ratios)
     codes, starts = codes_of(data, offsets)
@@ -117,7 +188,7 @@ def features(data: np.ndarray, offsets: np.ndarray, ratios: np.ndarray) -> np.nd
 
 
 def _long_features(data: np.ndarray, ratios: np.ndarray) -> np.ndarray:
-    """``features`` of one text, PIECE codes at a time; windows look WINDOW codes beyond their part."""
+    """Those of one text, PIECE codes at a time; windows look WINDOW codes beyond their part."""
     n, total, best = len(data) + 1, 0, None
     for at in range(0, n, PIECE):
         stop = min(at + PIECE + WINDOW, n)
@@ -150,13 +221,13 @@ def logistic(x: np.ndarray, y: np.ndarray, steps: int = 60, ridge: float = 1e-2)
 
 
 class Model:
-    def __init__(self, ratios: np.ndarray | None, weights: np.ndarray | None, prior: float):
-        self.ratios, self.weights, self.prior = ratios, weights, prior
+    def __init__(self, ratios: np.ndarray | None, strong: Strong | None, weights: np.ndarray | None, prior: float):
+        self.ratios, self.strong, self.weights, self.prior = ratios, strong, weights, prior
 
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         if self.ratios is None:
             return np.full(len(offsets) - 1, self.prior)
-        x = features(data, offsets, self.ratios)
+        x = features(data, offsets, self.ratios, self.strong)
         return 1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -30, 30)))
 
 
@@ -190,6 +261,46 @@ def count_ngrams(rows: DataFrame) -> DataFrame:
     return counted.groupBy("code").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
 
 
+def count_beginnings(rows: DataFrame) -> DataFrame:
+    """(key, ordinary, toxic): how many documents of (text, y) hold each beginning of a word."""
+
+    def count(batches):
+        held = np.zeros(0, np.int64), np.zeros((0, 2), np.int64)
+        for batch in batches:
+            y = batch.column("y").to_numpy(zero_copy_only=False) == 1
+            data, offsets = raw_text(batch.column("text"))
+            for lo, hi in pieces(offsets):
+                keys, at = beginnings(data, offsets[lo : hi + 1])
+                distinct, where = np.unique(keys, return_inverse=True)
+                pairs = np.unique(at * max(len(distinct), 1) + where)  # once a document
+                doc, key = np.divmod(pairs, max(len(distinct), 1))
+                toxic = np.bincount(key[y[lo + doc]], minlength=len(distinct))
+                n = np.stack([np.bincount(key, minlength=len(distinct)) - toxic, toxic], 1)
+                every, back = np.unique(np.concatenate([held[0], distinct]), return_inverse=True)
+                total = np.zeros((len(every), 2), np.int64)
+                np.add.at(total, back, np.concatenate([held[1], n]))
+                held = every, total
+        for i in range(0, len(held[0]), 1 << 16):
+            k, n = held[0][i : i + (1 << 16)], held[1][i : i + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n[:, 0].copy()), pa.array(n[:, 1].copy())], names=["key", "ordinary", "toxic"])
+
+    counted = arrow_map(rows.select("text", "y"), count, "key long, ordinary long, toxic long")
+    return counted.groupBy("key").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
+
+
+def strong_beginnings(counts: DataFrame) -> Strong:
+    """The telling ones of ``count_beginnings``."""
+    o, t = F.col("ordinary"), F.col("toxic")
+    sums = counts.agg(F.sum(o).alias("no"), F.sum(t).alias("nt"), F.count_if(o > 0).alias("ko"), F.count_if(t > 0).alias("kt")).first()
+    if not sums["no"] or not sums["nt"]:
+        return Strong(np.zeros(0, np.int64), np.zeros(0))
+    shared = (o + t) / float(sums["no"] + sums["nt"])
+    p = lambda n, total, kinds: F.greatest(n - DISCOUNT, F.lit(0.0)) / float(total) + DISCOUNT * kinds / total * shared
+    ratio = F.log(p(t, sums["nt"], sums["kt"]) / p(o, sums["no"], sums["ko"]))
+    got = counts.where(t >= MIN_DOCUMENTS).select("key", ratio.alias("ratio")).where(F.col("ratio") >= STRONG).orderBy(F.desc("ratio"), "key").limit(MAX_STRONG).toPandas()
+    return Strong(got["key"].to_numpy(np.int64), got["ratio"].to_numpy(np.float64))
+
+
 def ratio_table(counts: DataFrame) -> np.ndarray | None:
     """The log-ratios of all SYMBOLS ** ORDER n-grams, a byte each, from counts (code, ordinary, toxic); None without
     counts of both classes.
@@ -236,25 +347,28 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", folds: int =
     if ratios is None:
         toxic = counts.df.agg(F.sum("toxic")).first()[0]
         counts.drop()
-        return Model(None, None, float(bool(toxic)))
+        return Model(None, None, None, float(bool(toxic)))
     counts.drop()
+    words = Stash(count_beginnings(rows.where(~left_out)), "beginnings")
+    strong = strong_beginnings(words.df)
+    words.drop()
     n = labels.where(F.col(target).isin(0, 1)).count() / LEFT_OUT
     few = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 20)) < F.lit(int(min(1.0, CALIBRATION_ROWS / max(n, 1)) * (1 << 20)))
-    sent = docs.sparkSession.sparkContext.broadcast(ratios)
+    sent = docs.sparkSession.sparkContext.broadcast((ratios, strong))
 
     def featured(batches):
         for batch in batches:
             data, offsets = raw_text(batch.column("text"))
             for lo, hi in pieces(offsets):
-                x = features(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1], sent.value)
-                yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1]), batch.column("y").slice(lo, hi - lo)], names=["a", "b", "y"])
+                x = features(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], *sent.value)
+                yield pa.RecordBatch.from_arrays([*map(pa.array, x.T.copy()), batch.column("y").slice(lo, hi - lo)], names=["a", "b", "c", "y"])
 
-    sample = arrow_map(rows.where(left_out & few).select("text", "y"), featured, "a double, b double, y int").toPandas()
+    sample = arrow_map(rows.where(left_out & few).select("text", "y"), featured, "a double, b double, c double, y int").toPandas()
     sent.unpersist()
     y = sample["y"].to_numpy(np.float64)
     if not 0 < y.sum() < len(y):
-        return Model(ratios, np.array([4.0, 0.0, -4.0]), 0.5)
-    return Model(ratios, logistic(sample[["a", "b"]].to_numpy(), y), 0.5)
+        return Model(ratios, strong, np.array([4.0, 0.0, 2.0, -4.0]), 0.5)
+    return Model(ratios, strong, logistic(sample[["a", "b", "c"]].to_numpy(), y), 0.5)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -265,7 +379,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             data, offsets = raw_text(batch.column("text"))
             for lo, hi in pieces(offsets):
-                s = sent.value.score(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1])
+                s = sent.value.score(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(s)], names=["doc_id", "score"])
 
     return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), scored, "doc_id long, score double")

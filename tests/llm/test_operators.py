@@ -273,6 +273,38 @@ def test_additive_learns():
     assert ((model.score(x[2000:]) > 0.5) == y[2000:]).mean() > 0.9
 
 
+STRONG = toxicity.Strong(np.array([toxicity.SHORT << 56 | 1 << 20 | 2 << 15, toxicity.LONG << 56 | 7]), np.array([2.0, 1.5]))
+
+
+def test_beginnings_of_words_against_brute_force(monkeypatch):
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("abcdé.  x") for _ in range(rng.randrange(60))).encode() for _ in range(300)] + [b"", b"  ", b"a" * 50]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.append(0, np.cumsum([len(t) for t in texts]))
+    want = []
+    for row, t in enumerate(texts):
+        folded = toxicity.FOLD[np.frombuffer(t, np.uint8)].tolist()
+        words = "".join(map(chr, folded)).split(chr(0))
+        for w in filter(None, words):
+            code = lambda n, w=w: sum(ord(c) << 5 * (n - 1 - k) for k, c in enumerate(w[:n])) | n << 56
+            want += [(row, code(5))] + ([(row, code(8))] if len(w) > 5 else [])
+    for piece in (toxicity.PIECE, 7, 64):
+        monkeypatch.setattr(toxicity, "PIECE", piece)
+        keys, rows = toxicity.beginnings(data, offsets)
+        assert sorted(zip(rows.tolist(), keys.tolist())) == sorted(want)
+    strong = toxicity.Strong(np.array([want[0][1], 5]), np.array([3.0, 1.0]))
+    mine = [k for r, k in want if r == want[0][0]]
+    assert strong.evidence(data, offsets)[want[0][0]] == pytest.approx(3 * mine.count(want[0][1]) / len(mine))
+    assert toxicity.Strong(np.zeros(0, np.int64), np.zeros(0)).evidence(data, offsets).tolist() == [0.0] * len(texts)
+
+
+def test_toxic_documents_are_recalled(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    found = toxicity.op7_toxicity(spark, sf).where("held_out").join(labels.where("toxic IS NOT NULL"), "doc_id")
+    both, said, true = found.agg(F.sum(F.col("predicted") * F.col("toxic")), F.sum("predicted"), F.sum("toxic")).first()
+    assert both > 0.93 * said and both > 0.75 * true and docs.count() > true
+
+
 def test_kneser_ney_sums_to_one():
     rng = np.random.default_rng(0)
     shared = toxicity.shared_backoff((rng.random(32**4) < 0.01) * rng.integers(1, 9, 32**4))
@@ -322,14 +354,14 @@ def test_long_texts_are_read_whole(spark, monkeypatch):
     offsets = np.array([0, 0, 700, 700, len(data)])
     rows = [np.array([0, len(data)]), offsets]
     ratios = rng.integers(-127, 128, 32**5).astype(np.int8)
-    want = [(quality.features(data, o), neardup.shingles(data, o)) for o in rows], toxicity.features(data, rows[0], ratios)
+    want = [(quality.features(data, o), neardup.shingles(data, o)) for o in rows], toxicity.features(data, rows[0], ratios, STRONG)
     for part in (64, 1000, 4097):
         from lattiq.llm import common
 
         monkeypatch.setattr(common.span_hashes, "__defaults__", (part,))
         for module in (quality, toxicity):
             monkeypatch.setattr(module, "PIECE", part)
-        got = [(quality.features(data, o), neardup.shingles(data, o)) for o in rows], toxicity.features(data, rows[0], ratios)
+        got = [(quality.features(data, o), neardup.shingles(data, o)) for o in rows], toxicity.features(data, rows[0], ratios, STRONG)
         for (f, (h, at)), (g, (k, cut)) in zip(want[0], got[0]):
             assert np.allclose(f, g) and (h == k).all() and (at == cut).all()
         assert np.allclose(want[1], got[1])
