@@ -239,8 +239,14 @@ def adjusted_mutual_information(a, b) -> float:
         return float("nan")
     _, a = np.unique(a, return_inverse=True)
     _, b = np.unique(b, return_inverse=True)
-    n, table = len(a), np.zeros((a.max() + 1, b.max() + 1))
+    table = np.zeros((a.max() + 1, b.max() + 1))
     np.add.at(table, (a, b), 1)
+    return table_information(table)
+
+
+def table_information(table: np.ndarray) -> float:
+    """Adjusted mutual information from the counts of pairs of labels."""
+    n = int(table.sum())
     ra, cb = table.sum(1), table.sum(0)
     entropy = lambda c: -sum(x / n * math.log(x / n) for x in c if x)
     mi = sum(table[i, j] / n * math.log(n * table[i, j] / (ra[i] * cb[j])) for i, j in zip(*np.nonzero(table)))

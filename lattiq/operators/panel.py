@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lattiq.operators.folders import kept
+
 
 def densify(long: DataFrame, between: tuple[int, int] | None = None) -> DataFrame:
     """Every entity x feature x period in the range of periods (found, or given as ``between``), with NULL where no cell is.
@@ -93,18 +95,20 @@ def folds(n: int, k: int = 3) -> list[tuple[int, int]]:
     return [(n - (k - i) * test, n - (k - i - 1) * test) for i in range(k)]
 
 
-def places(df: DataFrame, value: str, parts: int = 64) -> DataFrame:
-    """(value, n, before): the distinct values of a numeric column, how many rows hold each, and how many rows hold
-    a smaller one. Values are dealt to ``parts`` ranges, whose bounds are literals of the plan; only the ranges' counts
-    are added up in one task."""
-    values = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n"))
-    cuts = sorted(set(values.approxQuantile(value, [k / parts for k in range(1, parts)], 0.005)))
-    part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(value))) if cuts else F.lit(0)
-    values = values.withColumn("part", part)
-    inside = F.sum("n").over(Window.partitionBy("part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
-    sums = values.groupBy("part").agg(F.sum("n").alias("all"))
-    earlier = sums.select("part", F.coalesce(F.sum("all").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("earlier"))
-    return values.withColumn("inside", F.coalesce(inside, F.lit(0))).join(F.broadcast(earlier), "part").select(value, "n", (F.col("inside") + F.col("earlier")).alias("before"))
+def numbered(df: DataFrame, *order) -> DataFrame:
+    """``df`` with ``nth``, the place of each row from 0 on in an order. Rows are dealt by range and sorted where they are; only the
+    ranges' counts are added up in one task."""
+    at = kept(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part, inside = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = at.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return at.join(F.broadcast(before), part == F.col("_part")).withColumn("nth", inside + F.col("_before")).drop("_at", "_part", "_before")
+
+
+def places(df: DataFrame, value: str) -> DataFrame:
+    """(value, n, before): the distinct values of a column, how many rows hold each, and how many rows hold a smaller one."""
+    rows = numbered(df.where(F.col(value).isNotNull()).select(value), value)
+    return rows.groupBy(value).agg(F.count("*").alias("n"), F.min("nth").alias("before"))
 
 
 def r2(df: DataFrame, by: list[str], y: str = "y", p: str = "p", least: int = 1) -> DataFrame:

@@ -13,18 +13,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattiq.operators import cells
+from lattiq.operators.folders import kept
 
 
 def gramian(long: DataFrame, mode: str) -> DataFrame:
-    """(i, j, g): sums over all other indices of the products of values at mode indices i <= j.
+    """(i, j, g): sums over all other indices of the products of values at indices i <= j of a bounded mode, features or
+    periods, for the pairs that some entity has together; one matrix of the mode's size from each task."""
+    a = cells.axes(long)
+    shape = (len(a.features), a.periods)
+    names = list(a.features) if mode == "feature" else [a.first + k for k in range(a.periods)]
+    n = len(names)
 
-    A fibre along the mode is collected as an array, whose length is the size of the mode.
-    """
-    rest = [c for c in ("entity", "feature", "period") if c != mode]
-    fibres = long.where("value IS NOT NULL").groupBy(*rest).agg(F.array_sort(F.collect_list(F.struct(F.col(mode).alias("i"), F.col("value").alias("v")))).alias("f"))
-    a = fibres.select(F.posexplode("f").alias("at", "a"), "f")
-    pairs = a.select(F.col("a.i").alias("i"), F.col("a.v").alias("v"), F.explode(F.slice("f", F.col("at") + 1, F.size("f"))).alias("b"))
-    return pairs.groupBy("i", F.col("b.i").alias("j")).agg(F.sum(F.col("v") * F.col("b.v")).alias("g"))
+    def add(batch, total):
+        for _, v in cells.dense(batch, a.size):
+            v = v.reshape(len(v), *shape)
+            x = (v.transpose(0, 2, 1) if mode == "feature" else v).reshape(-1, n)
+            seen = (~np.isnan(x)).astype(float)
+            x = np.nan_to_num(x)
+            total.reshape(2, n, n)[...] += [x.T @ x, seen.T @ seen]
+
+    g, together = cells.summed(cells.by_entity(long, a), add, 2 * n * n).reshape(2, n, n)
+    rows = [(names[i], names[j], float(g[i, j])) for i in range(n) for j in range(i, n) if together[i, j]]
+    kind = "string" if mode == "feature" else "int"
+    return long.sparkSession.createDataFrame(rows, f"i {kind}, j {kind}, g double")
 
 
 def entity_gramian(long: DataFrame) -> tuple[list, list, np.ndarray]:
@@ -39,12 +50,12 @@ def entity_gramian(long: DataFrame) -> tuple[list, list, np.ndarray]:
 def _starts(g: np.ndarray, shape, ranks) -> list[np.ndarray]:
     """Leading eigenvectors of the Gramians of the features and periods, signs fixed by the largest entry."""
     g = g.reshape(*shape, *shape)
-    out = []
-    for m, r in zip((np.einsum("fpgp->fg", g), np.einsum("fpfq->pq", g)), ranks):
-        value, vector = np.linalg.eigh(m)
-        vector = vector[:, np.argsort(-value)[:r]]
-        out.append(vector * np.sign(vector[np.abs(vector).argmax(0), np.arange(vector.shape[1])]))
-    return out
+    return [_leading(m, r) for m, r in zip((np.einsum("fpgp->fg", g), np.einsum("fpfq->pq", g)), ranks)]
+
+
+def _leading(g: np.ndarray, rank: int) -> np.ndarray:
+    vector = np.linalg.eigh(g)[1][:, ::-1][:, :rank]
+    return vector * np.sign(vector[np.abs(vector).argmax(0), np.arange(vector.shape[1])])
 
 
 def cp_rank1_gramian(g: np.ndarray, shape, steps: int = 500, tol: float = 1e-6):
@@ -86,9 +97,114 @@ def _tucker_step(g: np.ndarray, shape, ranks, b: np.ndarray, c: np.ndarray):
     keep = keep[value[keep] > 1e-12 * (np.trace(g) or 1.0)]
     a = (q @ vector[:, keep]) / np.sqrt(value[keep])
     z = (a.T @ g).reshape(len(keep), *shape)
+    return a, z, *_bounded_factors(z, c, ranks)
+
+
+def _bounded_factors(z: np.ndarray, c: np.ndarray, ranks) -> tuple[np.ndarray, np.ndarray]:
+    """The next feature and period factors, from the tensor with its entity mode reduced."""
     b = np.linalg.svd(unfold(mode_product(z, c.T, 2), 1), full_matrices=False)[0][:, : ranks[1]]
-    c = np.linalg.svd(unfold(mode_product(z, b.T, 1), 2), full_matrices=False)[0][:, : ranks[2]]
-    return a, z, b, c
+    return b, np.linalg.svd(unfold(mode_product(z, b.T, 1), 2), full_matrices=False)[0][:, : ranks[2]]
+
+
+#: Cells (features x periods) up to which their Gramian is gathered: one pass instead of one or two for each step.
+GRAM_CELLS = 2048
+
+
+def mode_starts(rows: DataFrame, a: cells.Axes, ranks) -> tuple[np.ndarray, np.ndarray, float]:
+    """Leading eigenvectors of the feature and period Gramians, and the squared norm, from one pass."""
+    n_f, n_p = len(a.features), a.periods
+
+    def add(batch, total):
+        for _, x in cells.dense(batch, a.size):
+            x = np.nan_to_num(x).reshape(-1, n_f, n_p)
+            total[: n_f * n_f].reshape(n_f, n_f)[...] += np.einsum("nfp,ngp->fg", x, x, optimize=True)
+            total[n_f * n_f :].reshape(n_p, n_p)[...] += np.einsum("nfp,nfq->pq", x, x, optimize=True)
+
+    sums = cells.summed(rows, add, n_f * n_f + n_p * n_p)
+    both = sums[: n_f * n_f].reshape(n_f, n_f), sums[n_f * n_f :].reshape(n_p, n_p)
+    return *(_leading(g, r) for g, r in zip(both, ranks)), float(np.trace(both[0])) or 1.0
+
+
+def _projected(rows: DataFrame, a: cells.Axes, q: np.ndarray, gram: bool) -> np.ndarray:
+    """Over all entities' cells x, with y = x q: the sum of y'y if ``gram``, else of y'x."""
+    k, size = q.shape[1], a.size
+
+    def add(batch, total):
+        for _, x in cells.dense(batch, size):
+            x = np.nan_to_num(x)
+            y = x @ q
+            total.reshape(k, -1)[...] += y.T @ (y if gram else x)
+
+    return cells.summed(rows, add, k * (k if gram else size)).reshape(k, -1)
+
+
+def tucker_contracted(rows: DataFrame, a: cells.Axes, ranks, steps: int = 500, tol: float = 1e-6):
+    """``tucker_gramian`` without the Gramian of cells: a step takes two passes, whose sums are as large as the projected cells
+    squared, and as the cells times the entity rank."""
+    shape = (len(a.features), a.periods)
+    b, c, norm = mode_starts(rows, a, ranks[1:])
+    errors = []
+    for _ in range(steps):
+        q = np.kron(b, c)
+        value, vector = np.linalg.eigh(_projected(rows, a, q, True))
+        keep = np.argsort(-value)[: ranks[0]]
+        keep = keep[value[keep] > 1e-12 * norm]
+        z = _projected(rows, a, (q @ vector[:, keep]) / np.sqrt(value[keep]), False).reshape(len(keep), *shape)
+        b, c = _bounded_factors(z, c, ranks)
+        core = mode_product(mode_product(z, b.T, 1), c.T, 2)
+        errors.append(float(np.sqrt(max(norm - np.sum(core**2), 0.0) / norm)))
+        if len(errors) > 1 and abs(errors[-2] - errors[-1]) < tol:
+            break
+    return b, c, errors
+
+
+def cp_rank1_contracted(rows: DataFrame, a: cells.Axes, steps: int = 500, tol: float = 1e-6):
+    """``cp_rank1_gramian`` without the Gramian of cells: a step takes one pass, whose sum is as large as the cells."""
+    shape = (len(a.features), a.periods)
+    b, c, norm = mode_starts(rows, a, (1, 1))
+    b, c, weight, errors = b[:, 0], c[:, 0], 0.0, []
+    for _ in range(steps):
+        cell = np.kron(b, c)
+        v = _projected(rows, a, cell[:, None], False)[0]
+        v = v.reshape(shape) / (np.sqrt(max(v @ cell, 0.0)) or 1.0)
+        b = v @ c
+        b = b / (np.linalg.norm(b) or 1.0)
+        c = b @ v
+        weight = float(np.linalg.norm(c))
+        c = c / (weight or 1.0)
+        errors.append(float(np.sqrt(max(norm - weight**2, 0.0) / norm)))
+        if len(errors) > 1 and abs(errors[-2] - errors[-1]) < tol:
+            break
+    return weight, b, c, errors
+
+
+def tucker_factors(long: DataFrame, ranks, gram_cells: int = GRAM_CELLS):
+    """(axes, feature factor, period factor, errors) of the Tucker model of a panel; ``ranks`` of entities, features, periods
+    are cut to the sizes of the bounded modes."""
+    a = cells.axes(long)
+    shape = (len(a.features), a.periods)
+    ranks = (ranks[0], min(shape[0], ranks[1]), min(shape[1], ranks[2]))
+    rows = cells.by_entity(long, a)
+    if a.size <= gram_cells:
+        return a, *tucker_gramian(cells.cell_gramian(rows, a), shape, ranks)
+    rows = rows.persist()
+    try:
+        return a, *tucker_contracted(rows, a, ranks)
+    finally:
+        rows.unpersist()
+
+
+def cp_rank1(long: DataFrame, gram_cells: int = GRAM_CELLS):
+    """(axes, weight, feature factor, period factor, errors) of the rank-one model of a panel."""
+    a = cells.axes(long)
+    rows = cells.by_entity(long, a)
+    if a.size <= gram_cells:
+        return a, *cp_rank1_gramian(cells.cell_gramian(rows, a), (len(a.features), a.periods))
+    rows = rows.persist()
+    try:
+        return a, *cp_rank1_contracted(rows, a)
+    finally:
+        rows.unpersist()
 
 
 class MaskedTucker:
@@ -133,13 +249,6 @@ class MaskedCP:
 PASS_BYTES = 64 << 20
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """``df`` worked out once: in the shared folder of spark.checkpoint.dir where it is set, else in memory and on disk."""
-    if df.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir"):
-        return df.checkpoint()
-    return df.persist()
-
-
 def _arrays(batch: pa.RecordBatch, name: str, size: int) -> np.ndarray:
     return np.asarray(batch.column(name).flatten().to_numpy(zero_copy_only=False), float).reshape(-1, size)
 

@@ -334,15 +334,6 @@ def open_trials(s, d):
     return results.open_trials(space, space.where("lag = 1 AND penalty < 50"))
 
 
-@query("best_match", """WITH t AS (SELECT 'region' AS level, count(DISTINCT n_regionkey) AS groups FROM nation UNION ALL SELECT 'nation', count(DISTINCT n_nationkey) FROM nation UNION ALL SELECT 'segment', count(DISTINCT c_mktsegment) FROM customer UNION ALL SELECT 'type', count(DISTINCT p_type) FROM part)
-SELECT level, groups, abs(groups - 22) AS gap FROM t QUALIFY row_number() OVER (ORDER BY abs(groups - 22), level) = 1""")
-def best_match(s, d, clusters: int = 22):
-    """The taxonomy level whose number of groups is the nearest to a number of clusters."""
-    n = lambda t, c, name: panels.read(s, d, t).agg(F.count_distinct(c).alias("groups")).select(F.lit(name).alias("level"), "groups")
-    t = n("nation", "n_regionkey", "region").unionByName(n("nation", "n_nationkey", "nation")).unionByName(n("customer", "c_mktsegment", "segment")).unionByName(n("part", "p_type", "type"))
-    return t.withColumn("gap", F.abs(F.col("groups") - clusters)).orderBy("gap", "level").limit(1)
-
-
 @query("trials_by_rank", """WITH t AS (SELECT CAST(l_orderkey * 10 + l_linenumber AS BIGINT) AS trial, l_returnflag AS mode, CAST(l_linenumber % 2 * 2 + 2 AS INTEGER) AS lookback, round(l_extendedprice, 2) AS score FROM lineitem)
 SELECT mode, lookback, trial, CAST(row_number() OVER (PARTITION BY mode, lookback ORDER BY score, trial) AS INTEGER) AS place FROM t QUALIFY place <= 3""")
 def trials_by_rank(s, d):

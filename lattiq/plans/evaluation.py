@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattiq.functions import scalar
 from lattiq.operators import contest, models, panel, tensor
-from lattiq.operators.cells import cell_gramian
+from lattiq.operators.cells import axes, by_entity, cell_gramian, dense
 from lattiq.plans.queries import LOG, P3, grid, p1, p3, query, scaled1
 from lattiq.sources import panels
 
@@ -259,6 +260,31 @@ def tucker_reconstruction(s, d):
     return rows.mapInPandas(run, "entity long, feature string, period int, value double")
 
 
+@query("cp_reconstruction")
+def cp_reconstruction(s, d, rank: int = 2):
+    """(entity, feature, period, value, model): every cell and its value in the CP model of the whole panel, entity by entity: the
+    entity's loadings are the least squares of its cells on the products of the other two factors."""
+    long = scaled1(s, d)
+    a = axes(long)
+    _, _, _, z = reduced(long)
+    _, (_, b, c), _ = tensor.cp(z, rank)
+    k = tensor.khatri_rao([b, c])
+    back = np.linalg.solve((b.T @ b) * (c.T @ c) + 1e-12 * np.eye(rank), k.T)
+    names, size = np.array([str(f) for f in a.features], object), a.size
+
+    def run(batches):
+        for batch in batches:
+            ids = np.asarray(batch.column("entity"))
+            for at, x in dense(batch, size):
+                model = np.nan_to_num(x) @ k @ back
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(ids[at], size)), pa.array(np.tile(np.repeat(names, a.periods), len(x)), pa.string()), pa.array(np.tile(np.arange(a.periods) + a.first, len(x) * len(names)).astype(np.int32)), pa.array(x.ravel(), from_pandas=True), pa.array(model.ravel())],
+                    names=["entity", "feature", "period", "value", "model"],
+                )
+
+    return by_entity(long, a).mapInArrow(run, "entity long, feature string, period int, value double, model double")
+
+
 @query("cp_index")
 def cp_index(s, d, ranks=(1, 2, 3)):
     """(rank, period, index, error): the time factor of CP models; beyond rank one the absolute mean over its components."""

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lattiq.functions import scalar
-from lattiq.operators import contest, models, panel, tensor
+from lattiq.operators import affinity, contest, models, panel, tensor
 from lattiq.operators.cells import dense, summed
 from lattiq.sources import panels
 
@@ -178,12 +178,9 @@ def label_lookup(s, d):
 
 @query("entity_index", f"WITH {P1} SELECT entity, CAST(row_number() OVER (ORDER BY CAST(entity AS VARCHAR)) - 1 AS INTEGER) AS idx FROM (SELECT DISTINCT entity FROM p1)")
 def entity_index(s, d):
-    """Keys are ranked among those with the same first three characters, after the counts of smaller beginnings."""
-    keys = p1(s, d).select("entity").distinct().withColumn("name", F.col("entity").cast("string")).withColumn("head", F.substring("name", 1, 3))
-    heads = keys.groupBy("head").agg(F.count("*").alias("n"))
-    before = heads.select("head", F.coalesce(F.sum("n").over(Window.orderBy("head").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    place = F.row_number().over(Window.partitionBy("head").orderBy("name"))
-    return keys.withColumn("place", place).join(F.broadcast(before), "head").select("entity", (F.col("place") - 1 + F.col("before")).cast("int").alias("idx"))
+    """Keys numbered in the order of their names, by ranges."""
+    keys = p1(s, d).select("entity").distinct().withColumn("name", F.col("entity").cast("string"))
+    return panel.numbered(keys, "name").select("entity", F.col("nth").cast("int").alias("idx"))
 
 
 @query("nunique_taxonomy", "SELECT r_name, count(DISTINCT n_nationkey) AS nations, count(DISTINCT c_custkey) AS customers FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
@@ -389,18 +386,15 @@ def scaled1(s, d):
 def tucker_index(s, d):
     """(period, index): mean absolute loading of the time factors, by orthogonal iteration; at most 12 entity and 12 feature
     factors and 49 time factors."""
-    features, periods, g = tensor.entity_gramian(scaled1(s, d))
-    shape = (len(features), len(periods))
-    u = tensor.tucker_gramian(g, shape, (12, min(shape[0], 12), min(shape[1], 49)))[1]
-    return s.createDataFrame([(int(p), float(v)) for p, v in zip(periods, np.abs(u).mean(1))], "period int, index double")
+    a, _, u, _ = tensor.tucker_factors(scaled1(s, d), (12, 12, 49))
+    return s.createDataFrame([(a.first + k, float(v)) for k, v in enumerate(np.abs(u).mean(1))], "period int, index double")
 
 
 @query("cp_rank1_index")
 def cp_rank1_index(s, d):
     """(period, signed, index): rank-one factorisation, iterated until the fit stands still."""
-    features, periods, g = tensor.entity_gramian(scaled1(s, d))
-    weight, _, c, _ = tensor.cp_rank1_gramian(g, (len(features), len(periods)))
-    return s.createDataFrame([(int(p), float(weight * v), float(abs(weight * v))) for p, v in zip(periods, c)], "period int, signed double, index double")
+    a, weight, _, c, _ = tensor.cp_rank1(scaled1(s, d))
+    return s.createDataFrame([(a.first + k, float(weight * v), float(abs(weight * v))) for k, v in enumerate(c)], "period int, signed double, index double")
 
 
 def _impute(s, d, model, steps: int) -> DataFrame:
@@ -426,6 +420,17 @@ def masked_cp_impute(s, d):
     return _impute(s, d, lambda shape: tensor.MaskedCP(shape, 2), 20)
 
 
+@query("imputed_modes")
+def imputed_modes(s, d):
+    """(mode, win, entity, feature, lag, x, error): imputed inputs in both modes, over their window's RMS of seen cells or in its
+    scale; the error over seen cells, relative to their norm, is that of the reconstruction."""
+    out = masked_tucker_impute(s, d)
+    seen = windows3(s, d).select("win", F.explode("x").alias("v")).groupBy("win").agg((F.coalesce(F.sqrt(F.avg(F.col("v") * F.col("v"))), F.lit(1.0)) + 1e-8).alias("rms"))
+    out = out.join(F.broadcast(seen), "win")  # a row to a period
+    modes = F.explode(F.array(F.struct(F.lit("levels").alias("mode"), F.col("x").alias("v")), F.struct(F.lit("surprise").alias("mode"), (F.col("x") / F.col("rms")).alias("v"))))
+    return out.select("win", "entity", "feature", "lag", "error", modes.alias("m")).select("m.mode", "win", "entity", "feature", "lag", F.col("m.v").alias("x"), "error")
+
+
 # ------------------------------------------------------------ forecasts and scores
 
 R2 = "CASE WHEN count(*) FILTER (y IS NOT NULL) >= 1 THEN 1 - sum((y - p) * (y - p)) / nullif(count(y) * var_pop(y), 0) END"
@@ -478,30 +483,63 @@ def ridge_one_regressor(s, d):
     return w.groupBy("feature").agg(F.round(F.sum(F.col("x") * F.col("y")) / (F.sum(F.col("x") ** 2) + 1), SIX).alias("beta"))
 
 
-def _design(s, d) -> DataFrame:
-    """Development windows with an observed target; unseen lags count as zero."""
-    w = holdout(windows3(s, d))
-    return w.where("observed").select("entity", "feature", "win", "dev", F.transform("x", lambda v: F.coalesce(v, F.lit(0.0))).alias("x"), "y")
+@query("ridge_loo_by_feature")
+def ridge_loo_by_feature(s, d, alphas=(0.1, 1.0, 10.0, 100.0, 1000.0), lags: int = 2):
+    """(feature, n, alpha, beta): the penalty by leave-one-out errors of the development windows, over all features and lags (lags
+    within a feature, the oldest first).
 
+    A first pass sums each feature's products; with their inverses a second one adds up the squares of every
+    row's leave-one-out errors, for all penalties at once."""
+    p = contest.load(p3(s, d).withColumn("value", scalar.log_modulus(F.col("value"))))
+    try:
+        w = contest.design(p, "levels", lags)
+        n_dev, k, cells = int(0.8 * len(w.starts)), len(p.axes.features), p.axes.size
+        (m,) = _moments(p, w, [(0, n_dev)])
+        order = np.arange(k * lags).reshape(lags, k).T.ravel()
+        inverse = np.stack([[np.linalg.inv(m["xx"][j] + a * np.eye(k * lags)) for a in alphas] for j in range(k)])
+        beta = np.einsum("japq,jq->jap", inverse, m["xy"])
+
+        def add(batch, total):
+            out = total.reshape(k, len(alphas))
+            for _, v in dense(batch, cells):
+                v = v.reshape(len(v), k, -1)
+                x, y = w.inputs(v)[:, :n_dev, order].reshape(-1, k * lags), w.targets(v)[:, :, :n_dev].transpose(0, 2, 1).reshape(-1, k)
+                for j in range(k):
+                    seen = ~np.isnan(y[:, j])
+                    u, t = x[seen], y[seen, j]
+                    for i in range(len(alphas)):
+                        own = np.einsum("np,pq,nq->n", u, inverse[j, i], u, optimize=True)
+                        out[j, i] += np.sum(((t - u @ beta[j, i]) / np.maximum(1 - own, 1e-12)) ** 2)
+
+        errors = summed(p.rows, add, k * len(alphas)).reshape(k, -1)
+    finally:
+        p.drop()
+    best = errors.argmin(1)
+    return s.createDataFrame([(str(f), int(m["n"][j]), float(alphas[best[j]]), beta[j, best[j]].tolist()) for j, f in enumerate(p.axes.features)], "feature string, n long, alpha double, beta array<double>")
 
-@query("ridge_loo_by_feature")
-def ridge_loo_by_feature(s, d, alphas=(0.1, 1.0, 10.0, 100.0, 1000.0)):
-    """(feature, alpha, beta): the penalty by leave-one-out errors, over a feature's two lags.
-
-    A first sum gives each feature's Gram matrix; with its inverses as literals of a small table, a row's leverage and
-    residual are plain columns, and their squares are summed."""
-    w = _design(s, d).where("dev").select("feature", F.col("x")[0].alias("a"), F.col("x")[1].alias("b"), "y")
-    sums = w.groupBy("feature").agg(*[F.sum(F.col(p) * F.col(q)).alias(p + q) for p, q in ("aa", "ab", "bb", "ay", "by")])
-    each = sums.select("*", F.explode(F.array(*map(F.lit, alphas))).alias("alpha"))
-    aa, bb = F.col("aa") + F.col("alpha"), F.col("bb") + F.col("alpha")
-    det = aa * bb - F.col("ab") ** 2
-    solved = each.select("feature", "alpha", (bb / det).alias("i"), (-F.col("ab") / det).alias("j"), (aa / det).alias("k"), ((bb * F.col("ay") - F.col("ab") * F.col("by")) / det).alias("p"), ((aa * F.col("by") - F.col("ab") * F.col("ay")) / det).alias("q"))
-    rows = w.join(F.broadcast(solved), "feature")  # a row for each feature and penalty
-    leverage = F.col("i") * F.col("a") ** 2 + 2 * F.col("j") * F.col("a") * F.col("b") + F.col("k") * F.col("b") ** 2
-    rest = (F.col("y") - F.col("p") * F.col("a") - F.col("q") * F.col("b")) / F.greatest(1 - leverage, F.lit(1e-12))
-    errors = rows.groupBy("feature", "alpha").agg(F.avg(rest**2).alias("e"), F.first(F.array("p", "q")).alias("beta"))
-    best = errors.groupBy("feature").agg(F.min(F.struct("e", "alpha", "beta")).alias("m"))
-    return best.select("feature", "m.alpha", "m.beta")
+
+@query("ridge_by_feature")
+def ridge_by_feature(s, d, alpha: float = 10.0, least: int = 25, lags: int = 2):
+    """(feature, n, beta, r2): ridge of each feature on all features and lags without intercept, targets less their mean, fitted
+    on the development windows, scored on the later ones; a feature with fewer than ``least`` cells has no model."""
+    p = contest.load(p3(s, d).withColumn("value", scalar.log_modulus(F.col("value"))))
+    try:
+        w = contest.design(p, "levels", lags)
+        n_dev = int(0.8 * len(w.starts))
+        dev, after = _moments(p, w, [(0, n_dev), (n_dev, len(w.starts))])
+    finally:
+        p.drop()
+    mean, out = dev["y"] / (dev["n"] + 1e-8), []
+    for j, f in enumerate(p.axes.features):
+        if dev["n"][j] < least:
+            out.append((str(f), int(dev["n"][j]), None, None))
+            continue
+        beta = np.linalg.solve(dev["xx"][j] + alpha * np.eye(len(dev["xx"][j])), dev["xy"][j] - mean[j] * dev["x"][j])
+        n = after["n"][j]
+        spread = after["yy"][j] - after["y"][j] ** 2 / n if n else 0.0
+        left = after["yy"][j] - 2 * mean[j] * after["y"][j] + mean[j] ** 2 * n - 2 * beta @ (after["xy"][j] - mean[j] * after["x"][j]) + beta @ after["xx"][j] @ beta
+        out.append((str(f), int(dev["n"][j]), beta.tolist(), float(1 - left / spread) if spread > 1e-8 else None))
+    return s.createDataFrame(out, "feature string, n long, beta array<double>, r2 double")
 
 
 def _moments(p: contest.Panel, d: contest.Design, parts: list[tuple[int, int]]) -> list[dict]:
@@ -666,6 +704,50 @@ def loglik_independence(s, d):
     return _bins(s, d).where("p > 0").agg(F.round(F.sum(F.col("p") * F.log(F.col("p") / (F.col("pi") * F.col("pj")))), SIX).alias("kl"))
 
 
+@query("independence_null")
+def independence_null(s, d, draws: int = 200, level: float = 0.95):
+    """(statistic, value, quantile, share): both statistics, their quantile over random pairings, and the share of pairings
+    that reach them.
+
+    One pass counts the pairs of bins. A random pairing of all rows has the same bins on either side, so its table is a draw
+    from the multivariate hypergeometric distribution with these margins, and no row has to be shuffled; tasks draw the
+    tables, each by the seed of its number."""
+    t = _pairs(s, d)
+    e = t.agg(F.min("a").alias("la"), F.max("a").alias("ha"), F.min("b").alias("lb"), F.max("b").alias("hb"))
+    bin_of = lambda x, lo, hi: F.least(F.lit(5), F.floor(6 * (F.col(x) - F.col(lo)) / (F.col(hi) - F.col(lo))).cast("int"))
+    rows = t.join(F.broadcast(e), F.lit(True)).select("k", bin_of("a", "la", "ha").alias("i"), bin_of("b", "lb", "hb").alias("j"))
+    found = np.zeros((6, 6))
+    for r in rows.groupBy("i", "j").count().collect():  # bins x bins
+        found[r["i"], r["j"]] = r["count"]
+    n, by_i, by_j = int(found.sum()), found.sum(1), found.sum(0)
+
+    def statistics(p):
+        p = p / n
+        free = np.outer(p.sum(1), p.sum(0))
+        return float(np.abs(p - free).sum()), float(np.sum(p[p > 0] * np.log(p[p > 0] / free[p > 0])))
+
+    def drawn(batches):
+        for b in batches:
+            out = [(int(x), *statistics(_pairing(np.random.default_rng([42, int(x)]), by_i, by_j))) for x in b["id"]]
+            yield pd.DataFrame(out, columns=["draw", "l1", "kl"])
+
+    null = s.range(0, draws, 1, 8).mapInPandas(drawn, "draw long, l1 double, kl double").toPandas()  # a row to a draw
+    values = dict(zip(("l1", "kl"), statistics(found)))
+    out = [(k, v, float(np.quantile(null[k], level)), float((null[k] >= v).mean())) for k, v in values.items()]
+    return s.createDataFrame(out, "statistic string, value double, quantile double, share double")
+
+
+def _pairing(rng: np.random.Generator, by_i: np.ndarray, by_j: np.ndarray) -> np.ndarray:
+    """The table of bins of a random pairing with these margins: rows are dealt one bin after the other, without replacement,
+    which is the distribution that shuffling all rows gives."""
+    left, out = by_j.astype(np.int64).copy(), np.zeros((len(by_i), len(by_j)))
+    for i, m in enumerate(by_i.astype(np.int64)):
+        got = rng.multivariate_hypergeometric(left, int(m), method="marginals")
+        out[i] = got
+        left -= got
+    return out
+
+
 MI = """WITH c AS (SELECT c_mktsegment AS a, c_nationkey AS b, count(*) AS n FROM customer GROUP BY 1, 2), t AS (SELECT sum(n) AS t FROM c), a AS (SELECT a, sum(n) AS n FROM c GROUP BY 1), b AS (SELECT b, sum(n) AS n FROM c GROUP BY 1)"""
 
 
@@ -700,24 +782,46 @@ def similarity_matrix(s, d):
     return v.join(b, F.col("k") < F.col("j")).select(F.col("k").alias("i"), "j", F.round(-((F.col("x") - F.col("x2")) ** 2 + (F.col("y") - F.col("y2")) ** 2), SIX).alias("sim"))
 
 
-def _table(s, d) -> pd.DataFrame:
-    regions = panels.read(s, d, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_regionkey").alias("region"))
-    return _nations(s, d).join(regions, "k").toPandas().sort_values("k")  # a row to a nation
+def _profiles(s, d) -> DataFrame:
+    """(id, x, region): suppliers with the scaled means and spreads of their panel's features, and their region."""
+    stats = p1(s, d).groupBy("entity", "feature").agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("sd"))
+    cells = stats.select("entity", "feature", F.explode(F.array(F.struct(F.lit("m").alias("kind"), F.col("m").alias("v")), F.struct(F.lit("sd").alias("kind"), F.col("sd").alias("v")))).alias("c")).select("entity", "feature", "c.*")
+    scale = F.broadcast(cells.groupBy("feature", "kind").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("spread")))  # two rows to a feature
+    z = cells.join(scale, ["feature", "kind"]).withColumn("z", F.when(F.col("spread") > 0, (F.col("v") - F.col("mean")) / F.col("spread")).otherwise(0.0))
+    x = z.groupBy("entity").agg(F.transform(F.array_sort(F.collect_list(F.struct("feature", "kind", "z"))), lambda c: c["z"]).alias("x"))
+    places = panels.read(s, d, "supplier").join(panels.read(s, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("entity"), F.col("n_regionkey").alias("region"))
+    return x.join(places, "entity", "left").select(F.col("entity").cast("long").alias("id"), "x", "region")
 
 
 @query("affinity_clusters")
 def affinity_clusters(s, d):
-    t = _table(s, d)
-    label = models.affinity_propagation(t[["x", "y"]].to_numpy())
-    return s.createDataFrame([(int(k), int(c)) for k, c in zip(t["k"], label)], "k int, cluster int")
+    """(id, cluster) of all suppliers, by their profiles."""
+    return affinity.clusters(_profiles(s, d).select("id", "x"))
 
 
 @query("ami_score")
 def ami_score(s, d):
-    t = _table(s, d)
-    label = models.affinity_propagation(t[["x", "y"]].to_numpy())
-    ami = models.adjusted_mutual_information(label, t["region"].to_numpy())
-    return s.createDataFrame([(int(label.max()) + 1, float(ami))], "clusters int, ami double")
+    """(clusters, ami): how the suppliers' clusters go with their regions."""
+    t = affinity_clusters(s, d).join(_profiles(s, d).select("id", "region"), "id").persist()
+    try:
+        found = t.agg(F.count_distinct("cluster")).first()[0]
+        table = t.where("region IS NOT NULL").groupBy("cluster", "region").count().collect()  # clusters x regions
+    finally:
+        t.unpersist()
+    rows, columns = (sorted({r[c] for r in table}) for c in ("cluster", "region"))
+    counts = np.zeros((len(rows), len(columns)))
+    for r in table:
+        counts[rows.index(r["cluster"]), columns.index(r["region"])] = r["count"]
+    return s.createDataFrame([(found, models.table_information(counts))], "clusters long, ami double")
+
+
+@query("best_match")
+def best_match(s, d):
+    """The taxonomy level whose number of groups is the nearest to the number of the suppliers' clusters."""
+    clusters = affinity_clusters(s, d).agg(F.count_distinct("cluster")).first()[0]
+    n = lambda t, c, name: panels.read(s, d, t).agg(F.count_distinct(c).alias("groups")).select(F.lit(name).alias("level"), "groups")
+    t = n("nation", "n_regionkey", "region").unionByName(n("nation", "n_nationkey", "nation")).unionByName(n("customer", "c_mktsegment", "segment")).unionByName(n("part", "p_type", "type"))
+    return t.withColumn("clusters", F.lit(clusters)).withColumn("gap", F.abs(F.col("groups") - clusters)).orderBy("gap", "level").limit(1)
 
 
 TRIALS = "WITH t AS (SELECT CAST(l_orderkey * 10 + l_linenumber AS BIGINT) AS trial, l_returnflag AS mode, l_linenumber % 2 * 2 + 2 AS lookback, round(l_extendedprice, 2) AS score FROM lineitem)"
