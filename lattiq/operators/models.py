@@ -283,9 +283,8 @@ def spearman_p(rho: float, n: int) -> float:
     return student_p(rho * math.sqrt((n - 2) / (1 - rho * rho)), n - 2)
 
 
-def student_p(t: float, df: float) -> float:
-    """Two-sided p-value, by the continued fraction of the incomplete beta function."""
-    x, a, b = df / (df + t * t), df / 2, 0.5
+def incomplete_beta(x: float, a: float, b: float) -> float:
+    """The regularised incomplete beta function, by its continued fraction."""
     if x <= 0 or x >= 1:
         return float(x >= 1)
 
@@ -301,3 +300,13 @@ def student_p(t: float, df: float) -> float:
 
     front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log(1 - x))
     return front * fraction(x, a, b) / a if x < (a + 1) / (a + b + 2) else 1 - front * fraction(1 - x, b, a) / b
+
+
+def student_p(t: float, df: float) -> float:
+    """Two-sided p-value."""
+    return incomplete_beta(df / (df + t * t), df / 2, 0.5)
+
+
+def fisher_p(f: float, above: float, below: float) -> float:
+    """Upper p-value of an F statistic with these degrees of freedom."""
+    return incomplete_beta(below / (below + above * f), below / 2, above / 2) if f > 0 else 1.0

@@ -850,20 +850,77 @@ def ensemble_mean(s, d):
     return both.groupBy("entity", "feature", "win").agg(F.round(F.avg("p"), SIX).alias("p"))
 
 
-@query("parameter_grid", "SELECT CAST(rank AS INTEGER) AS rank, CAST(penalty AS INTEGER) AS penalty, CAST(lookback AS INTEGER) AS lookback FROM (VALUES (5), (10), (15)) a(rank), (VALUES (1), (10), (50), (100)) b(penalty), (VALUES (2), (4)) c(lookback)")
+#: The windows and seen targets that a lookback of 2 or 4 leaves.
+SIZES = f"""WITH {P3}, w AS (SELECT DISTINCT k, period FROM p3, (VALUES (2), (4)) v(k) WHERE period - (SELECT min(period) FROM p3) >= k AND period < (SELECT max(period) FROM p3)),
+sizes AS (SELECT CAST(k AS INTEGER) AS lookback, count(DISTINCT w.period) AS windows, count(*) AS seen FROM w JOIN p3 USING (period) GROUP BY 1)"""
+
+
+def _sizes(s, d) -> DataFrame:
+    """(lookback, windows, seen): what each lookback leaves of the third panel."""
+    long = p3(s, d)
+    ends = long.agg(F.min("period").alias("lo"), F.max("period").alias("hi"))
+    rows = long.join(F.broadcast(ends), F.col("period") < F.col("hi")).select("period", "lo", F.explode(F.array(F.lit(2), F.lit(4))).alias("lookback")).where("period - lo >= lookback")
+    return rows.groupBy("lookback").agg(F.count_distinct("period").alias("windows"), F.count("*").alias("seen"))
+
+
+@query("parameter_grid", SIZES + " SELECT CAST(rank AS INTEGER) AS rank, CAST(penalty AS INTEGER) AS penalty, lookback, windows, seen FROM (VALUES (5), (10), (15)) a(rank), (VALUES (1), (10), (50), (100)) b(penalty), sizes")
 def parameter_grid(s, d):
-    lists = {"rank": [5, 10, 15], "penalty": [1, 10, 50, 100], "lookback": [2, 4]}
-    out = s.range(1)
-    for name, values in lists.items():
+    """Every combination of rank, penalty and lookback, with the windows and seen targets that it has."""
+    out = _sizes(s, d)
+    for name, values in {"rank": [5, 10, 15], "penalty": [1, 10, 50, 100]}.items():
         out = out.withColumn(name, F.explode(F.array(*map(F.lit, values))))
-    return out.drop("id")
+    return out.select("rank", "penalty", "lookback", "windows", "seen")
 
 
 @query("random_trials")
-def random_trials(s, d):
-    """Seeded random search: category, integer and log-uniform draws by trial number."""
+def random_trials(s, d, trials: int = 200):
+    """Seeded random search: category, integer and log-uniform draws by trial number, with the windows and seen targets that
+    each trial has."""
     u = lambda k: F.pmod(F.xxhash64("id", F.lit(k)), F.lit(1 << 30)) / (1 << 30)
-    return s.range(0, 200, 1, 4).select(F.col("id").alias("trial"), F.when(u(1) < 0.5, 2).otherwise(4).alias("lookback"), (5 + F.floor(u(2) * 46)).cast("int").alias("rank"), F.pow(F.lit(10.0), u(3) * 6 - 4).alias("penalty"))
+    drawn = s.range(0, trials, 1, 4).select(F.col("id").alias("trial"), F.when(u(1) < 0.5, 2).otherwise(4).alias("lookback"), (5 + F.floor(u(2) * 46)).cast("int").alias("rank"), F.pow(F.lit(10.0), u(3) * 6 - 4).alias("penalty"))
+    return drawn.join(F.broadcast(_sizes(s, d)), "lookback")  # a row to a lookback
+
+
+@query("granger_tests")
+def granger_tests(s, d, lags: int = 2):
+    """(cause, effect, n, f, p): whether a feature's last values tell more of another one than that one's own do.
+
+    Over all entities and windows in which both and their lags are seen: the regression of the effect on its own lags, and on
+    those of both, each with an intercept; one pass adds up the products of all pairs."""
+    p = contest.load(p3(s, d).withColumn("value", scalar.log_modulus(F.col("value"))))
+    try:
+        w = contest.design(p, "levels", lags)
+        k, size, width = len(p.axes.features), p.axes.size, 2 * lags + 2
+
+        def add(batch, total):
+            out = total.reshape(k, k, width, width)
+            for _, v in dense(batch, size):
+                v = v.reshape(len(v), k, -1)
+                past = np.stack([v[:, :, w.starts + i] for i in range(lags)], 3).transpose(1, 0, 2, 3)  # features, entities, windows, lags
+                now = w.targets(v).transpose(1, 0, 2)
+                for i, j in np.ndindex(k, k):
+                    if i != j:
+                        rows = np.concatenate([np.ones((*now[j].shape, 1)), past[j], past[i], now[j][..., None]], 2).reshape(-1, width)
+                        rows = rows[~np.isnan(rows).any(1)]
+                        out[i, j] += rows.T @ rows
+
+        sums = summed(p.rows, add, k * k * width * width).reshape(k, k, width, width)
+    finally:
+        p.drop()
+    out = []
+    for i, j in np.ndindex(k, k):
+        if i == j:
+            continue
+        m, n = sums[i, j], int(sums[i, j, 0, 0])
+
+        def left(size, m=m):
+            """The sum of squares that the first columns leave."""
+            return float(m[-1, -1] - m[-1, :size] @ np.linalg.lstsq(m[:size, :size], m[:size, -1], rcond=None)[0])
+
+        below = n - width + 1
+        f = (left(lags + 1) - left(width - 1)) / lags / (left(width - 1) / below) if below > 0 and left(width - 1) > 1e-12 else None
+        out.append((str(p.axes.features[i]), str(p.axes.features[j]), n, f, None if f is None else models.fisher_p(f, lags, below)))
+    return s.createDataFrame(out, "cause string, effect string, n long, f double, p double")
 
 
 @query("feature_difference", "SELECT DISTINCT event_type AS feature FROM events EXCEPT SELECT DISTINCT event_type FROM events WHERE value > 1e12 OR event_type LIKE 'c%'")

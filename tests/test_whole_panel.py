@@ -151,3 +151,22 @@ def test_imputed_modes_differ_by_the_scale_of_the_window(spark):
     wide = t.groupBy("win", "entity", "feature", "lag").pivot("mode", ["levels", "surprise"]).max("x").collect()
     assert len(wide) == t.count() / 2 and all(r.levels == pytest.approx(r.surprise * rms[r.win], abs=1e-4) for r in wide)
     assert evaluation.RANKS == (4, 2, 3)
+
+
+def test_granger_tests(spark):
+    t = queries.windows3(spark, SF).toPandas()
+    value = {(r.entity, r.feature, r.win): (list(r.x), r.y) for r in t.itertuples()}
+    names = sorted(t["feature"].unique())
+    for r in queries.QUERIES["granger_tests"](spark, SF).collect():
+        rows = []
+        for (e, f, w), (own, y) in value.items():
+            if f == r.effect:
+                other = value[e, r.cause, w][0]
+                rows.append([1.0, *own, *other, y])
+        rows = np.array(rows, float)
+        rows = rows[~np.isnan(rows).any(1)]
+        left = [((rows[:, -1] - rows[:, :m] @ np.linalg.lstsq(rows[:, :m], rows[:, -1], rcond=None)[0]) ** 2).sum() for m in (3, 5)]
+        assert r.n == len(rows) and r.cause in names
+        if r.n > 6:
+            assert r.f == pytest.approx((left[0] - left[1]) / 2 / (left[1] / (r.n - 5)), rel=1e-5) and 0 <= r.p <= 1
+    assert models.fisher_p(4.0, 2, 20) == pytest.approx(0.03457, abs=1e-4) and models.fisher_p(9.0, 1, 10) == pytest.approx(models.student_p(3.0, 10))
