@@ -253,14 +253,14 @@ def score(docs: DataFrame, model: Additive) -> DataFrame:
 
 def keep_good(docs: DataFrame, model: Additive, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that reach the threshold, with all their columns."""
-    names = docs.columns
+    plain = docs.toDF(*[c if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)])  # names may hold dots
 
     def kept(batches):
         for batch in batches:
             for lo, hi, x in _by_piece(batch):
-                yield batch.select(names).slice(lo, hi - lo).filter(pa.array(model.score(x) >= threshold))
+                yield batch.slice(lo, hi - lo).filter(pa.array(model.score(x) >= threshold))
 
-    return arrow_map(docs, kept, docs.schema)
+    return arrow_map(plain, kept, plain.schema).toDF(*docs.columns)
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
