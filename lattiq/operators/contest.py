@@ -224,9 +224,6 @@ def fit(p: Panel, gxx: np.ndarray, mode: str, lags: int, rank: int, penalty: flo
     return out
 
 
-PREDICTIONS = "cut int, entity long, feature string, win int, y double, ridge double, cp double"
-
-
 def predictions(rows: DataFrame, a: Axes, f: Fitted) -> DataFrame:
     """(cut, entity, feature, win, y, ridge, cp) of every seen cell of the scored windows; ``cp`` is NULL where it wasn't
     fitted. The solved models go to the tasks: features x windows x rank numbers."""
@@ -234,7 +231,6 @@ def predictions(rows: DataFrame, a: Axes, f: Fitted) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            ids = np.asarray(batch.column("entity"))
             for at, v in dense(batch, a.size):
                 v = v.reshape(len(v), k, -1)
                 x, y = f.design.inputs(v), f.design.targets(v)
@@ -248,11 +244,12 @@ def predictions(rows: DataFrame, a: Axes, f: Fitted) -> DataFrame:
                         rest = np.nan_to_num(y[:, :, :start] - m[:, :, None]).reshape(len(v), -1) / by
                         cp = pa.array((m[:, :, None] + scale * f.tensors[i].predict(rest)[:, :, start:end])[e, j, t])
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(e), i if end <= f.cuts[-1][0] else HELD_OUT, np.int32)), pa.array(ids[at][e].astype(np.int64)), pa.array(names[j], pa.string()), pa.array((t + start).astype(np.int32)), pa.array(y[:, :, start:end][e, j, t]), pa.array(ridged[e, j, t]), cp],
+                        [pa.array(np.full(len(e), i if end <= f.cuts[-1][0] else HELD_OUT, np.int32)), batch.column("entity").take(pa.array(at[e])), pa.array(names[j], pa.string()), pa.array((t + start).astype(np.int32)), pa.array(y[:, :, start:end][e, j, t]), pa.array(ridged[e, j, t]), cp],
                         names=["cut", "entity", "feature", "win", "y", "ridge", "cp"],
                     )
 
-    return rows.mapInArrow(run, PREDICTIONS)
+    kind = rows.schema["entity"].dataType.simpleString()
+    return rows.mapInArrow(run, f"cut int, entity {kind}, feature string, win int, y double, ridge double, cp double")
 
 
 def r2(p: str):

@@ -125,6 +125,14 @@ def sparsity_summary(s, d):
     return out
 
 
+@query("density_summary", f"""WITH {P3}, {grid('p3')}, e AS (SELECT entity, count(value) / count(*) AS x FROM dense GROUP BY 1)
+SELECT round(avg(x), 6) AS mean, round(median(x), 6) AS mid, round(min(x), 6) AS low, round(max(x), 6) AS high, count(*) FILTER (x = 0) AS empty FROM e""")
+def density_summary(s, d):
+    """The entities' part of the summary."""
+    names = {"mean": "mean", "median": "mid", "min": "low", "max": "high", "empty": "empty"}
+    return sparsity_summary(s, d).select(*[F.col(f"entity_{k}").alias(v) for k, v in names.items()])
+
+
 @query("top_bottom_features", f"""WITH {P3}, n AS (SELECT feature, count(value) AS n FROM p3 GROUP BY 1),
 r AS (SELECT feature, n, row_number() OVER (ORDER BY n DESC, feature) AS top, row_number() OVER (ORDER BY n, feature) AS bottom FROM n)
 SELECT 'top' AS side, feature, n FROM r WHERE top <= 3 UNION ALL SELECT 'bottom', feature, n FROM r WHERE bottom <= 3""")

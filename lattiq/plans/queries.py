@@ -294,13 +294,6 @@ def density_grouping_sets(s, d):
     return sets.agg(F.count("*").alias("cells"), F.count("value").alias("seen"), F.round(F.count("value") / (F.count("*") + 1e-12), SIX).alias("density"))
 
 
-@query("density_summary", f"""WITH {P3}, {grid('p3')}, e AS (SELECT entity, count(value) / count(*) AS x FROM dense GROUP BY 1)
-SELECT round(avg(x), 6) AS mean, round(median(x), 6) AS mid, round(min(x), 6) AS low, round(max(x), 6) AS high, count(*) FILTER (x = 0) AS empty FROM e""")
-def density_summary(s, d):
-    e = panel.densify(p3(s, d)).groupBy("entity").agg((F.count("value") / F.count("*")).alias("x"))
-    return e.agg(F.round(F.avg("x"), SIX).alias("mean"), F.round(F.median("x"), SIX).alias("mid"), F.round(F.min("x"), SIX).alias("low"), F.round(F.max("x"), SIX).alias("high"), F.count_if(F.col("x") == 0).alias("empty"))
-
-
 for _key in ("feature", "entity"):
     query(f"missing_by_{_key}", f"WITH {P3}, {grid('p3')} SELECT {_key}, count(*) - count(value) AS missing, round((count(*) - count(value)) / count(*), 6) AS rate FROM dense GROUP BY 1")(
         lambda s, d, k=_key: panel.missing_share(p3(s, d), k == "entity").select(k, "missing", r6("rate"))
