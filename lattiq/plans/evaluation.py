@@ -308,7 +308,8 @@ def subset_search(s, d, trials: int = 300_000, sampled: int = 6, level: float =
     """(trial, picked, clusters, ami, hit): the base columns and ``sampled`` others, clustered and scored against the regions.
 
     A trial's columns are drawn by a hash of trial and column. Trials that draw the same columns share one clustering, so
-    all trials are run. A hit has a score above ``level`` and a number of clusters near that of the regions.
+    all trials are run. A hit has a score above ``level`` and a number of clusters near that of one of four taxonomies:
+    regions, nations, market segments, part types.
     """
     p = p1(s, d).join(panels.read(s, d, "supplier").select(F.col("s_suppkey").alias("entity"), F.col("s_nationkey").alias("k")), "entity")
     stats = p.groupBy("k").pivot("feature", ["qty", "price", "discount"]).agg(F.avg("value").alias("avg"), F.stddev_pop("value").alias("sd"), F.min("value").alias("min"), F.max("value").alias("max"))
@@ -317,7 +318,8 @@ def subset_search(s, d, trials: int = 300_000, sampled: int = 6, level: float =
     t = stats.join(money, "k").join(regions, "k").toPandas().sort_values("k").fillna(0)  # a row to a nation
     x = t[BASE + REST].to_numpy(float)
     x = (x - x.mean(0)) / np.where(x.std(0) > 0, x.std(0), 1)
-    y, target = t["region"].to_numpy(), t["region"].nunique()
+    y = t["region"].to_numpy()
+    sizes = [panels.read(s, d, name).agg(F.count_distinct(c)).first()[0] for name, c in (("nation", "n_regionkey"), ("nation", "n_nationkey"), ("customer", "c_mktsegment"), ("part", "p_type"))]
     order = F.array_sort(F.array(*[F.struct(F.xxhash64("id", F.lit(k)).alias("u"), F.lit(k).alias("k")) for k in range(len(REST))]))
     drawn = s.range(trials).select(F.col("id").alias("trial"), F.array_sort(F.transform(F.slice(order, 1, sampled), lambda e: e["k"])).alias("picked"))
 
@@ -330,5 +332,6 @@ def subset_search(s, d, trials: int = 300_000, sampled: int = 6, level: float =
             yield pd.DataFrame(rows, columns=["picked", "clusters", "ami"])
 
     scored = drawn.select("picked").distinct().mapInPandas(run, "picked array<int>, clusters int, ami double")
-    hit = (F.col("ami") > level) & (F.abs(F.col("clusters") - int(target)) <= tolerance)
+    near = F.array_min(F.transform(F.array(*map(F.lit, sizes)), lambda k: F.abs(F.col("clusters") - k)))
+    hit = (F.col("ami") > level) & (near <= tolerance)
     return drawn.join(scored, "picked").select("trial", "picked", "clusters", "ami", hit.alias("hit"))

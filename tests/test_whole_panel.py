@@ -170,3 +170,40 @@ def test_granger_tests(spark):
         if r.n > 6:
             assert r.f == pytest.approx((left[0] - left[1]) / 2 / (left[1] / (r.n - 5)), rel=1e-5) and 0 <= r.p <= 1
     assert models.fisher_p(4.0, 2, 20) == pytest.approx(0.03457, abs=1e-4) and models.fisher_p(9.0, 1, 10) == pytest.approx(models.student_p(3.0, 10))
+
+
+def test_p_values_of_the_registered_queries(spark):
+    t = queries._pairs(spark, SF).toPandas()
+
+    def ranks(x):
+        return np.array([(x < v).sum() + ((x == v).sum() + 1) / 2 for v in x])
+
+    rho = np.corrcoef(ranks(t["a"].to_numpy()), ranks(t["b"].to_numpy()))[0, 1]
+    got = queries.QUERIES["spearman_p"](spark, SF).first()
+    assert got.n == len(t) and got.rho == pytest.approx(rho, abs=1e-6) and got.p == pytest.approx(models.spearman_p(rho, len(t)), rel=1e-3)
+    d = (t["a"] / 100000 - t["b"]).to_numpy()
+    d = d[d != 0]
+    r = ranks(np.abs(d))
+    w, sizes = min(r[d > 0].sum(), r[d < 0].sum()), np.unique(np.abs(d), return_counts=True)[1]
+    got = queries.QUERIES["wilcoxon_p"](spark, SF).first()
+    assert got.w == pytest.approx(w, abs=0.1) and got.p == pytest.approx(models.wilcoxon_p(w, len(d), float((sizes**3 - sizes).sum())), rel=1e-3, abs=1e-12)
+
+
+def test_time_indices_of_several_ranks(spark):
+    rows = queries.scaled1(spark, SF).toPandas()
+    (_, e), (_, f), (periods, p) = (np.unique(rows[c].to_numpy(), return_inverse=True) for c in ("entity", "feature", "period"))
+    t = np.zeros((e.max() + 1, f.max() + 1, p.max() + 1))
+    t[e, f, p] = rows["value"]
+    got = queries.QUERIES["cp_index"](spark, SF).collect()
+    for rank in (1, 2, 3):
+        mine = {r.period: r for r in got if r["rank"] == rank}
+        assert mine[int(periods[0])].error == pytest.approx(tensor.cp(t, rank)[2][-1], abs=5e-3) and len(mine) == len(periods)
+    _, factors, _ = tensor.cp(t, 1)
+    one = np.array([next(r["index"] for r in got if r["rank"] == 1 and r.period == x) for x in periods])
+    assert np.abs(one) == pytest.approx(np.abs(factors[2][:, 0]), abs=1e-3)
+
+
+def test_random_trials_have_the_sizes_of_their_lookback(spark):
+    rows = queries.QUERIES["random_trials"](spark, SF).collect()
+    grid = {r.lookback: (r.windows, r.seen) for r in queries.QUERIES["parameter_grid"](spark, SF).collect()}
+    assert len(rows) == 200 and all(grid[r.lookback] == (r.windows, r.seen) and 5 <= r["rank"] <= 50 for r in rows)
