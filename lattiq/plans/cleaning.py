@@ -342,11 +342,27 @@ def open_trials(s, d):
     return results.open_trials(space, space.where("lag = 1 AND penalty < 50"))
 
 
-@query("trials_by_rank", """WITH t AS (SELECT CAST(l_orderkey * 10 + l_linenumber AS BIGINT) AS trial, l_returnflag AS mode, CAST(l_linenumber % 2 * 2 + 2 AS INTEGER) AS lookback, round(l_extendedprice, 2) AS score FROM lineitem)
-SELECT mode, lookback, trial, CAST(row_number() OVER (PARTITION BY mode, lookback ORDER BY score, trial) AS INTEGER) AS place FROM t QUALIFY place <= 3""")
-def trials_by_rank(s, d):
-    """The three trials of the least score in each group; an error if a group had fewer."""
-    from lattiq.plans.queries import _trials
+RANKED = SEARCH + ", m AS (SELECT trial, any_value(lag) AS lag, round(avg(r2), 6) AS score FROM scores GROUP BY 1)"
+
+
+def ranked_trials(s, d) -> DataFrame:
+    """(trial, lag, score): the trials of the search, by the mean of their folds."""
+    return search_scores(s, d).groupBy("trial").agg(F.first("lag").alias("lag"), F.round(F.avg("r2"), SIX).alias("score"))
+
+
+@query("best_trial", RANKED + " SELECT lag, trial, score FROM m QUALIFY row_number() OVER (PARTITION BY lag ORDER BY score DESC, trial) = 1")
+def best_trial(s, d):
+    """The best trial of each lag, the first of equal ones."""
+    return panel.keep_last(ranked_trials(s, d), ["lag"], [F.desc("score"), F.asc("trial")]).select("lag", "trial", "score")
 
-    t = _trials(s, d).withColumn("lookback", F.col("lookback").cast("int"))
-    return results.top_trials(t, ["mode", "lookback"], 3, ascending=True).select("mode", "lookback", "trial", "place")
+
+@query("topk_trials", RANKED + " SELECT lag, trial, CAST(row_number() OVER (PARTITION BY lag ORDER BY score DESC, trial) AS INTEGER) AS place FROM m QUALIFY place <= 3")
+def topk_trials(s, d):
+    """The three best trials of each lag; an error if one had fewer."""
+    return results.top_trials(ranked_trials(s, d), ["lag"], 3).select("lag", "trial", "place")
+
+
+@query("trials_by_rank", RANKED + " SELECT lag, trial, CAST(row_number() OVER (PARTITION BY lag ORDER BY score, trial) AS INTEGER) AS place FROM m QUALIFY place <= 3")
+def trials_by_rank(s, d):
+    """The three trials of the least score of each lag; an error if one had fewer."""
+    return results.top_trials(ranked_trials(s, d), ["lag"], 3, ascending=True).select("lag", "trial", "place")

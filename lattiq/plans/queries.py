@@ -817,25 +817,6 @@ def best_match(s, d):
     return t.withColumn("clusters", F.lit(clusters)).withColumn("gap", F.abs(F.col("groups") - clusters)).orderBy("gap", "level").limit(1)
 
 
-TRIALS = "WITH t AS (SELECT CAST(l_orderkey * 10 + l_linenumber AS BIGINT) AS trial, l_returnflag AS mode, l_linenumber % 2 * 2 + 2 AS lookback, round(l_extendedprice, 2) AS score FROM lineitem)"
-
-
-def _trials(s, d):
-    t = panels.read(s, d, "lineitem")
-    return t.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("trial"), F.col("l_returnflag").alias("mode"), (F.col("l_linenumber") % 2 * 2 + 2).alias("lookback"), F.round("l_extendedprice", 2).alias("score"))
-
-
-@query("best_trial", TRIALS + " SELECT mode, CAST(lookback AS INTEGER) AS lookback, trial, score FROM t QUALIFY row_number() OVER (PARTITION BY mode, lookback ORDER BY score DESC, trial) = 1")
-def best_trial(s, d):
-    return panel.keep_last(_trials(s, d), ["mode", "lookback"], [F.desc("score"), F.asc("trial")]).select("mode", F.col("lookback").cast("int").alias("lookback"), "trial", "score")
-
-
-@query("topk_trials", TRIALS + " SELECT mode, trial, CAST(row_number() OVER (PARTITION BY mode ORDER BY score DESC, trial) AS INTEGER) AS place FROM t QUALIFY place <= 3")
-def topk_trials(s, d):
-    w = Window.partitionBy("mode").orderBy(F.desc("score"), "trial")
-    return _trials(s, d).withColumn("place", F.row_number().over(w)).where("place <= 3").select("mode", "trial", "place")
-
-
 @query("ensemble_mean", WINDOWS + ", m AS (SELECT entity, feature, win, x2 AS p FROM windows UNION ALL SELECT entity, feature, win, (x1 + x2) / 2 FROM windows) SELECT entity, feature, win, round(avg(p), 6) AS p FROM m GROUP BY 1, 2, 3")
 def ensemble_mean(s, d):
     w = windows3(s, d).select("entity", "feature", F.col("win").cast("int").alias("win"), "x")
