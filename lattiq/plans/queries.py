@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lattiq.functions import scalar
 from lattiq.operators import affinity, contest, models, panel, tensor
 from lattiq.operators.cells import dense, summed
+from lattiq.operators.folders import kept
 from lattiq.sources import panels
 
 QUERIES = {}
@@ -179,7 +180,7 @@ def label_lookup(s, d):
 @query("entity_index", f"WITH {P1} SELECT entity, CAST(row_number() OVER (ORDER BY CAST(entity AS VARCHAR)) - 1 AS INTEGER) AS idx FROM (SELECT DISTINCT entity FROM p1)")
 def entity_index(s, d):
     """Keys numbered in the order of their names, by ranges."""
-    keys = p1(s, d).select("entity").distinct().withColumn("name", F.col("entity").cast("string"))
+    keys = kept(p1(s, d).select("entity").distinct()).withColumn("name", F.col("entity").cast("string"))
     return panel.numbered(keys, "name").select("entity", F.col("nth").cast("int").alias("idx"))
 
 
@@ -624,7 +625,7 @@ def average_rank(t: DataFrame, x: str) -> DataFrame:
 
 @query("spearman_rho", PAIRS + ", r AS (SELECT rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2 AS ra, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2 AS rb FROM t) SELECT count(*) AS n, round(corr(ra, rb), 6) AS rho FROM r")
 def spearman_rho(s, d):
-    t = average_rank(average_rank(_pairs(s, d), "a"), "b")
+    t = average_rank(average_rank(kept(_pairs(s, d)), "a"), "b")  # read for the ranges, the places and the join
     return t.agg(F.count("*").alias("n"), F.round(F.corr("rank_a", "rank_b"), SIX).alias("rho"))
 
 
@@ -642,7 +643,7 @@ r AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs
 @query("wilcoxon_w", WILCOXON)
 def wilcoxon_w(s, d):
     z = _pairs(s, d).select((F.col("a") / 100000 - F.col("b")).alias("d")).where("d <> 0").withColumn("m", F.abs("d"))
-    r = average_rank(z, "m")
+    r = average_rank(kept(z), "m")
     part = lambda c: F.round(F.sum(F.when(c, F.col("rank_m")).otherwise(0.0)), 1)
     return r.agg(F.count("*").alias("n"), part(F.col("d") > 0).alias("w_plus"), part(F.col("d") < 0).alias("w_minus"))
 
