@@ -7,9 +7,12 @@
 3. A bucket gives a star: one candidate edge from its smallest member to each other one, so pairs grow
    with the members, not with their square. Components of the star edges are families: two sets
    that share a bucket are in one family, whichever was the centre.
-4. Links are confirmed within families on full sets. Families are cut into blocks of BLOCK members and
-   every pair of blocks is a task, which compares all its pairs exactly and returns a spanning star,
-   never all links.
+4. Links are confirmed within families on full sets, in two rounds over blocks of BLOCK members. The first
+   is a star of blocks: a task compares one block, and the family's first block, with all of both, so rows sent
+   and pairs compared grow with the family, not with its square. A family that these links join is settled.
+   In another, members of its largest component so far need no further comparison with each other; every
+   other pair of blocks is a task of the second round. Tasks return a spanning star, never all links. So what is
+   compared is members times those outside the largest component: quadratic only in families that fall apart.
 5. Components of the confirmed links, joined back to all members of the classes.
 
 At the link threshold a band agrees with probability 0.85 ** 6, so that all 56 bands miss has
@@ -166,13 +169,13 @@ def families(reps: DataFrame) -> DataFrame:
     return components(stars, "stars").select("id", F.col("component").alias("family"))
 
 
-def confirmed(docs: DataFrame, family: DataFrame, words: int, level: int) -> DataFrame:
-    """(a, b): spanning links of each family, confirmed on full sets, in pairs of blocks."""
-    sizes = family.groupBy("family").agg(F.count("*").alias("members"))
-    blocks = family.join(sizes, "family").where("members > 1").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
-    blocks = blocks.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+def compared(docs: DataFrame, tasks: DataFrame, words: int, level: int) -> DataFrame:
+    """(a, b): spanning links of what each task compares on full sets.
+
+    ``tasks``: (id, family, places), a row for each id and an array of (lo, hi, side). A task (family, lo, hi) compares
+    its rows of side 0 with those of side 1 and, where it has one side only, with each other."""
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    rows = texts.hint("merge").join(blocks, "id").select("id", "family", "block", "blocks", "text")  # one plan at every size
+    rows = texts.hint("merge").join(tasks, "id").select("id", "family", "places", "text")  # one plan at every size
 
     def sets(batches):
         for batch in batches:
@@ -180,31 +183,56 @@ def confirmed(docs: DataFrame, family: DataFrame, words: int, level: int) -> Dat
             for lo, hi in pieces(offsets):
                 h, at = shingles(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1], words)
                 lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(h.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([*[batch.column(k).slice(lo, hi - lo) for k in ("id", "family", "block", "blocks")], lists], names=["id", "family", "block", "blocks", "shingles"])
+                yield pa.RecordBatch.from_arrays([*[batch.column(k).slice(lo, hi - lo) for k in ("id", "family", "places")], lists], names=["id", "family", "places", "shingles"])
 
-    made = arrow_map(rows, sets, "id long, family long, block int, blocks int, shingles array<long>")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    tiles = made.withColumn("o", other).select("id", "family", "block", F.least("block", "o").alias("lo"), F.greatest("block", "o").alias("hi"), "shingles")
+    made = arrow_map(rows, sets, "id long, family long, places array<struct<lo:int,hi:int,side:int>>, shingles array<long>")
+    tiles = made.withColumn("p", F.explode("places")).select("id", "family", "p.lo", "p.hi", "p.side", "shingles")
 
     def tile(t: pa.Table) -> pa.Table:
-        ids, block = t.column("id").to_numpy(), t.column("block").to_numpy()
-        hi = t.column("hi")[0].as_py()
+        ids, side = t.column("id").to_numpy(), t.column("side").to_numpy()
         values = t.column("shingles").combine_chunks()
         flat, at = values.flatten().to_numpy().view(np.uint64), np.concatenate([[0], np.cumsum(values.value_lengths().to_numpy(zero_copy_only=False))])
         order = np.argsort(ids, kind="stable")
         sets = {}  # a row that repeats is left out; texts of one doc_id are members of their own
         order = np.array([i for i in order if sets.setdefault((ids[i], flat[at[i] : at[i + 1]].tobytes()), i) == i], np.int64)
-        one, two = order[block[order] != hi], order[block[order] == hi]
-        if not len(one):
-            one, two = two, None
+        one, two = order[side[order] == 0], order[side[order] == 1]
+        if not len(one) or not len(two):
+            one, two = order, None
         pick = lambda k: [flat[at[i] : at[i + 1]] for i in k]
         names = ids[one] if two is None else np.concatenate([ids[one], ids[two]])
-        links = confirm(pick(one), None if two is None else pick(two), level) if t.column("lo")[0].as_py() == hi or two is not None and len(two) else []
+        links = confirm(pick(one), None if two is None else pick(two), level)
         return pa.table({"a": pa.array([int(names[a]) for a, _ in links], pa.int64()), "b": pa.array([int(names[b]) for _, b in links], pa.int64())})
 
     return tiles.groupBy("family", "lo", "hi").applyInArrow(tile, "a long, b long")
 
 
+def confirmed(docs: DataFrame, family: DataFrame, words: int, level: int, block: int = BLOCK) -> DataFrame:
+    """(a, b): spanning links of each family, confirmed on full sets: a star of blocks, then what it leaves open."""
+    sizes = family.groupBy("family").agg(F.count("*").alias("members"))
+    dealt = family.join(sizes, "family").where("members > 1").withColumn("blocks", F.ceil(F.col("members") / block).cast("int"))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    first = (F.col("block") == 0) & (F.col("blocks") > 1)
+    of = F.when(first, F.sequence(F.lit(1), F.col("blocks") - 1)).otherwise(F.array("block"))
+    place = lambda lo, hi, side: F.struct(lo.alias("lo"), hi.alias("hi"), side.alias("side"))
+    star = dealt.select("id", "family", F.transform(of, lambda o: place(o, o, F.lit(0))).alias("places"))
+    links = Stash(compared(docs, star, words, level), "starred").df
+
+    # what the star has joined, in families of several blocks
+    joined = components(links)
+    large = dealt.where("blocks > 1").select("id", "family", "members").join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    counts = large.groupBy("family", "component").agg(F.count("*").alias("n"))
+    most = counts.groupBy("family").agg(F.max(F.struct("n", "component")).alias("most"))
+    open_ = large.join(most, "family").where("members > most.n").withColumn("inner", F.col("component") == F.col("most.component"))
+    open_ = Stash(open_.select("id", "family", "inner", F.col("most.n").alias("n"), (F.col("members") - F.col("most.n")).alias("outside")), "open").df
+    if open_.isEmpty():
+        return links
+    out, in_ = (F.ceil(F.col(k) / block).cast("int") for k in ("outside", "n"))
+    nth = lambda k: F.pmod(F.xxhash64("id"), k).cast("int")
+    at = open_.select("id", "family", F.when(F.col("inner"), out + nth(in_)).otherwise(nth(out)).alias("at"), F.sequence(F.lit(0), F.when(F.col("inner"), out - 1).otherwise(out + in_ - 1)).alias("others"))
+    pairs = at.select("id", "family", F.transform("others", lambda o: place(F.least("at", o), F.greatest("at", o), (F.col("at") > o).cast("int"))).alias("places"))
+    return links.union(compared(docs, pairs, words, level))
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, level: int = LEVEL) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row."""
     rows = Stash(digests(docs, words), "digests").df

@@ -100,6 +100,28 @@ def test_near_duplicates_of_an_id_with_two_texts(spark):
     assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4)]
 
 
+@pytest.mark.parametrize("apart", [False, True])
+def test_confirmed_in_small_blocks(spark, apart):
+    """One family in many blocks: a chain, groups that fall apart, and single documents, against all pairs."""
+    rng, texts = random.Random(11), []
+    for _ in range(1 if not apart else 4):
+        w = [f"t{rng.randrange(10**6)}" for _ in range(100)]
+        for _ in range(15):  # each a step away from the one before, so that ends of the chain are unlike
+            texts.append(" ".join(w))
+            w[rng.randrange(100)] = f"t{rng.randrange(10**6)}"
+    texts += [" ".join(f"z{rng.randrange(10**6)}" for _ in range(60)) for _ in range(6 if apart else 0)]
+    rng.shuffle(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    family = spark.createDataFrame([(i, 0) for i in range(len(texts))], "id long, family long")
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    n = len(texts)
+    i, j = np.array([(i, j) for i in range(n) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])]).T
+    got = neardup.confirmed(docs, family, 5, 85, block=4).collect()
+    a, b = np.array([(r.a, r.b) for r in got]).T
+    assert (graph.smallest_reachable(n, a, b) == graph.smallest_reachable(n, i, j)).all()
+    assert all(100 * len(sets[x] & sets[y]) >= 85 * len(sets[x] | sets[y]) or graph.smallest_reachable(n, i, j)[x] == graph.smallest_reachable(n, i, j)[y] for x, y in zip(a, b))
+
+
 def test_confirm_is_exact():
     rng = np.random.default_rng(2)
     base = rng.integers(0, 1 << 60, 400).astype(np.uint64)
