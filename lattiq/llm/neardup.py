@@ -106,10 +106,10 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return key
 
 
-def shared_counts(left: list[np.ndarray], right: list[np.ndarray], part: int = 4096) -> np.ndarray:
-    """Sizes of the intersections of every set of ``left`` with every one of ``right``, by products of 0/1 matrices
-    over ``part`` shingles at a time; a shingle of one set only is left out."""
-    every = left + right
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray] | None, part: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of every set of ``left`` with every one of ``right`` (or every other of left), by
+    products of 0/1 matrices over ``part`` shingles at a time; a shingle of one set only is left out."""
+    every = left + (right or [])
     of = np.repeat(np.arange(len(every)), [len(x) for x in every])
     _, column, times = np.unique(np.concatenate(every), return_inverse=True, return_counts=True)
     some = times[column] > 1
@@ -117,12 +117,13 @@ def shared_counts(left: list[np.ndarray], right: list[np.ndarray], part: int = 4
     by = np.argsort(column, kind="stable")
     of, column = of[by], column[by]
     column = np.cumsum(np.append(0, column[1:] != column[:-1])) if len(column) else column
-    out = np.zeros((len(left), len(right)), np.float32)
+    first = 0 if right is None else len(left)
+    out = np.zeros((len(left), len(every) - first), np.float32)
     for at in range(0, int(column[-1]) + 1 if len(column) else 0, part):
         mine = slice(*np.searchsorted(column, [at, at + part]))
         has = np.zeros((len(every), part), np.float32)
         has[of[mine], column[mine] - at] = 1
-        out += has[: len(left)] @ has[len(left) :].T
+        out += has[: len(left)] @ has[first:].T
     return out
 
 
@@ -133,7 +134,7 @@ def confirm(left: list[np.ndarray], right: list[np.ndarray] | None, level: int =
     other = left if right is None else right
     m, n = len(left), len(left) + len(right or [])
     sizes, others = (np.array([len(x) for x in y]) for y in (left, other))
-    both = shared_counts(left, other).astype(np.int64)
+    both = shared_counts(left, right).astype(np.int64)
     i, j = np.nonzero(100 * both >= level * (sizes[:, None] + others[None, :] - both))
     root = smallest_reachable(n, i, j if right is None else j + m)
     return [(a, int(root[a])) for a in np.flatnonzero(root != np.arange(n)).tolist()]
@@ -169,13 +170,11 @@ def families(reps: DataFrame) -> DataFrame:
     return components(stars, "stars").select("id", F.col("component").alias("family"))
 
 
-def compared(docs: DataFrame, tasks: DataFrame, words: int, level: int) -> DataFrame:
-    """(a, b): spanning links of what each task compares on full sets.
-
-    ``tasks``: (id, family, places), a row for each id and an array of (lo, hi, side). A task (family, lo, hi) compares
-    its rows of side 0 with those of side 1 and, where it has one side only, with each other."""
+def member_sets(docs: DataFrame, members: DataFrame, words: int) -> DataFrame:
+    """The members (id, family, blocks, places) with the set of each of their texts as ``shingles``."""
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    rows = texts.hint("merge").join(tasks, "id").select("id", "family", "places", "text")  # one plan at every size
+    columns = ["id", "family", "blocks", "places"]
+    rows = texts.hint("merge").join(members, "id").select(*columns, "text")  # one plan at every size
 
     def sets(batches):
         for batch in batches:
@@ -183,9 +182,16 @@ def compared(docs: DataFrame, tasks: DataFrame, words: int, level: int) -> DataF
             for lo, hi in pieces(offsets):
                 h, at = shingles(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1], words)
                 lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(h.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([*[batch.column(k).slice(lo, hi - lo) for k in ("id", "family", "places")], lists], names=["id", "family", "places", "shingles"])
+                yield pa.RecordBatch.from_arrays([*[batch.column(k).slice(lo, hi - lo) for k in columns], lists], names=[*columns, "shingles"])
+
+    return arrow_map(rows, sets, "id long, family long, blocks int, places array<struct<lo:int,hi:int,side:int>>, shingles array<long>")
 
-    made = arrow_map(rows, sets, "id long, family long, places array<struct<lo:int,hi:int,side:int>>, shingles array<long>")
+
+def compared(made: DataFrame, level: int) -> DataFrame:
+    """(a, b): spanning links of what each task compares on full sets.
+
+    ``made``: (family, places, id, shingles), places being an array of (lo, hi, side). A task (family, lo, hi) compares
+    its rows of side 0 with those of side 1 and, where it has one side only, with each other."""
     tiles = made.withColumn("p", F.explode("places")).select("id", "family", "p.lo", "p.hi", "p.side", "shingles")
 
     def tile(t: pa.Table) -> pa.Table:
@@ -214,8 +220,9 @@ def confirmed(docs: DataFrame, family: DataFrame, words: int, level: int, block:
     first = (F.col("block") == 0) & (F.col("blocks") > 1)
     of = F.when(first, F.sequence(F.lit(1), F.col("blocks") - 1)).otherwise(F.array("block"))
     place = lambda lo, hi, side: F.struct(lo.alias("lo"), hi.alias("hi"), side.alias("side"))
-    star = dealt.select("id", "family", F.transform(of, lambda o: place(o, o, F.lit(0))).alias("places"))
-    links = Stash(compared(docs, star, words, level), "starred").df
+    star = dealt.select("id", "family", "blocks", F.transform(of, lambda o: place(o, o, F.lit(0))).alias("places"))
+    made = Stash(member_sets(docs, star, words), "sets").df  # read by both rounds
+    links = Stash(compared(made, level), "starred").df
 
     # what the star has joined, in families of several blocks
     joined = components(links)
@@ -230,7 +237,7 @@ def confirmed(docs: DataFrame, family: DataFrame, words: int, level: int, block:
     nth = lambda k: F.pmod(F.xxhash64("id"), k).cast("int")
     at = open_.select("id", "family", F.when(F.col("inner"), out + nth(in_)).otherwise(nth(out)).alias("at"), F.sequence(F.lit(0), F.when(F.col("inner"), out - 1).otherwise(out + in_ - 1)).alias("others"))
     pairs = at.select("id", "family", F.transform("others", lambda o: place(F.least("at", o), F.greatest("at", o), (F.col("at") > o).cast("int"))).alias("places"))
-    return links.union(compared(docs, pairs, words, level))
+    return links.union(compared(made.where("blocks > 1").select("id", "shingles").join(pairs, "id"), level))
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, level: int = LEVEL) -> DataFrame:
