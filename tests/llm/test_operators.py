@@ -534,6 +534,13 @@ def test_pipeline(spark):
     for name, stage in c.STAGES[:-1]:
         out = stage(spark, docs, d).persist()
         assert out.columns == docs.columns and out.count() > 0
+        if name == "near_duplicates":  # against all pairs
+            words = {r.doc_id: re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), r.text or "")) for r in docs.collect()}
+            ids = sorted(words)
+            sets = [{tuple(words[i][k : k + 5]) for k in range(max(len(words[i]) - 4, min(len(words[i]), 1)))} for i in ids]
+            links = [(i, j) for i in range(len(ids)) for j in range(i) if sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+            low = graph.smallest_reachable(len(ids), *np.array(links, np.int64).reshape(-1, 2).T)
+            assert sorted(r.doc_id for r in out.collect()) == [ids[i] for i in range(len(ids)) if low[i] == i]
         docs = out
     counts = Counter(r.doc_id for r in docs.collect())
     got = Counter(r.doc_id for r in entry.queries()["pipeline"](spark, d).collect())
