@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from lattiq.llm import decontaminate, mixing, neardup, quality, tokens
 from lattiq.llm.common import Stash, new_path, scratch, table
 
-#: The models and files of the stages have no SQL; the tests hold run() against the stages' plain forms.
+#: The models and files of the stages have no SQL; the tests hold run() against its stages one by one,
+#: and near-duplicates against all pairs.
 ORACLE_SQL = None
 
 
