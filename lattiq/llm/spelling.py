@@ -9,7 +9,9 @@ is as it was. The join is therefore an equality of bigram, half and length, for
 each word is asked for at its own length and at one more. Candidates are verified by their edit distance.
 
 Everything is DataFrame operations: words are counted with partial sums in every task, so that a word in all documents
-is no hot key; the order of bigrams is a table of at most 90 x 90 rows, whatever the corpus. Roots are found by
+is no hot key; the order of bigrams is a table of at most 90 x 90 rows, whatever the corpus. It alone is broadcast: all
+other joins are of tables that grow with the vocabulary, which Parquet makes look small enough to be gathered in the
+driver, so they are sorted and merged. Roots are found by
 following forms in doubled steps; a form is at least twice as frequent as its word, so a chain has no more links
 than the count of the most frequent word has bits.
 
@@ -77,7 +79,7 @@ def near_pairs(words: DataFrame) -> DataFrame:
     right = rare.select(F.col("word").alias("b"), "at", F.explode(F.array(*same, *halves("one", n - 1, any_place))).alias("key"))
     longer, moved = F.length("b") - F.length("a"), F.col("at") - F.col("place")
     near = ((longer == 0) & (F.col("a") < F.col("b"))) | ((longer == 1) & moved.between(0, 1))
-    return left.join(right, "key").where(near).where(F.levenshtein("a", "b", 1) == 1).select("a", "b").distinct()
+    return left.join(right.hint("merge"), "key").where(near).where(F.levenshtein("a", "b", 1) == 1).select("a", "b").distinct()
 
 
 def roots(forms: DataFrame) -> DataFrame:
@@ -85,7 +87,7 @@ def roots(forms: DataFrame) -> DataFrame:
     now = Stash(forms.select("word", F.col("form").alias("root")), "forms")
     while True:
         nxt = now.df.select(F.col("word").alias("root"), F.col("root").alias("further"))
-        after = Stash(now.df.join(nxt, "root", "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")), "forms")
+        after = Stash(now.df.join(nxt.hint("merge"), "root", "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")), "forms")
         now.drop()
         now = after
         if not now.df.where("moved").take(1):
@@ -97,13 +99,13 @@ def variants(docs: DataFrame, typo: int = TYPO, min_length: int = MIN_LENGTH, mi
     words = Stash(vocabulary(docs, typo, min_length, min_count), "words").df
     pairs = near_pairs(words.select("word"))
     both = pairs.select(F.col("a").alias("word"), F.col("b").alias("near")).union(pairs.select("b", "a"))
-    counted = both.join(words.select(F.col("word").alias("near"), F.col("n").alias("near_n")), "near")
+    counted = both.join(words.select(F.col("word").alias("near"), F.col("n").alias("near_n")).hint("merge"), "near")
     best = counted.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("less"), "near")).alias("best"))
-    of = words.join(best, "word", "left")
+    of = words.join(best.hint("merge"), "word", "left")
     enough = -F.col("best.less") >= 2 * F.col("n")
     out = Stash(of.select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(enough, F.col("best.near")).alias("form"), F.when(enough, -F.col("best.less")).alias("form_n")), "variants").df
     ends = roots(out.where("form IS NOT NULL"))
-    return out.join(ends, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return out.join(ends.hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:

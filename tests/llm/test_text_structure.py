@@ -194,3 +194,17 @@ def test_spelling_chains_and_nothing(spark):
     got = {r.word: r for r in spelling.variants(table(spark, [(1, " ".join(words))]), typo=1 << 40).collect()}
     assert {r.root for r in got.values()} == {"house", "other"} and got["houseeeeee"].form == "houseeeee" and got["other"].n_near == 0
     assert spelling.variants(table(spark, [])).count() == 0
+
+
+def test_no_table_of_words_is_gathered_in_the_driver(spark, monkeypatch):
+    plans, real = [], spelling.Stash
+
+    def recorded(df, tag):
+        plans.append(df)
+        return real(df, tag)
+
+    monkeypatch.setattr(spelling, "Stash", recorded)
+    plans.append(spelling.variants(table(spark, [(1, " ".join(["spelled", "spellt"] * 9 + ["spelledd"] * 4))]), typo=1 << 40))
+    lines = [x for p in plans for x in p._jdf.queryExecution().optimizedPlan().toString().split("\n") if re.search(r"\bJoin\b", x)]
+    kinds = Counter((re.search(r"strategy=(\w+)", x) or [0, "none"])[1] for x in lines)
+    assert set(kinds) == {"merge", "broadcast"} and kinds["broadcast"] == sum("gram" in x for x in lines if "broadcast" in x)
