@@ -207,3 +207,23 @@ def test_random_trials_have_the_sizes_of_their_lookback(spark):
     rows = queries.QUERIES["random_trials"](spark, SF).collect()
     grid = {r.lookback: (r.windows, r.seen) for r in queries.QUERIES["parameter_grid"](spark, SF).collect()}
     assert len(rows) == 200 and all(grid[r.lookback] == (r.windows, r.seen) and 5 <= r["rank"] <= 50 for r in rows)
+
+
+@pytest.mark.parametrize("copies", [1, 2])
+def test_affinity_rows_keep_few_messages_and_no_old_rounds(spark, monkeypatch, copies):
+    """Rows are far smaller than all pairs, and each round's are freed."""
+    rng = np.random.default_rng(2)
+    x = np.tile(rng.normal(size=(240 // copies, 2)) + rng.integers(0, 6, (240 // copies, 1)) * 4, (copies, 1))
+    real, most, open_ = affinity.held, [], set()
+
+    def counted(df):
+        got, free = real(df)
+        most.append(got.selectExpr("sum(size(k))").first()[0])
+        open_.add(id(free))
+        assert len(open_) <= 2
+        return got, lambda: (free(), open_.discard(id(free)))
+
+    monkeypatch.setattr(affinity, "held", counted)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "id long, x array<double>")
+    got = [r.cluster for r in affinity.clusters(df, rounds=40).orderBy("id").collect()]
+    assert got == models.affinity_propagation(x, steps=40).tolist() and max(most) < 240 * 240 / 4 and not open_
