@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lattiq.functions import scalar
 from lattiq.operators import contest, models, panel, tensor
-from lattiq.operators.cells import axes, by_entity, cell_gramian, dense
+from lattiq.operators.cells import Axes, axes, by_entity, cell_gramian, dense
 from lattiq.plans.queries import LOG, P3, grid, p1, p3, query, scaled1
 from lattiq.sources import panels
 
@@ -244,20 +244,18 @@ def tucker_reconstruction(s, d):
     q = np.kron(b, c)
     value, vector = np.linalg.eigh(q.T @ g @ q)
     lead = q @ vector[:, np.argsort(-value)[: RANKS[0]]]
-    at = {cell: k for k, cell in enumerate((f, p) for f in features for p in periods)}
-    cells = list(at)
+    a = Axes(tuple(features), periods[0] if periods else 0, len(periods), ())
+    size, names = a.size, np.repeat(np.array([str(f) for f in features], object), len(periods))
+    times = np.tile(np.array(periods, np.int32), len(features))
 
     def run(batches):
-        for rows in batches:
-            x = np.zeros((len(rows), len(at)))
-            for i, mine in enumerate(rows["cells"]):
-                for cell in mine:
-                    x[i, at[cell["feature"], cell["period"]]] = cell["value"]
-            full = x @ lead @ lead.T
-            yield pd.DataFrame({"entity": np.repeat(rows["entity"].to_numpy(), len(cells)), "feature": [f for f, _ in cells] * len(rows), "period": [p for _, p in cells] * len(rows), "value": full.ravel()})
-
-    rows = long.where("value IS NOT NULL").groupBy("entity").agg(F.collect_list(F.struct("feature", "period", "value")).alias("cells"))
-    return rows.mapInPandas(run, "entity long, feature string, period int, value double")
+        for batch in batches:
+            ids = np.asarray(batch.column("entity"))
+            for at, x in dense(batch, size):
+                full = np.nan_to_num(x) @ lead @ lead.T
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[at], size)), pa.array(np.tile(names, len(x)), pa.string()), pa.array(np.tile(times, len(x))), pa.array(full.ravel())], names=["entity", "feature", "period", "value"])
+
+    return by_entity(long, a).mapInArrow(run, "entity long, feature string, period int, value double")
 
 
 @query("cp_reconstruction")

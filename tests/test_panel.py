@@ -268,3 +268,9 @@ def test_imputation_edges(spark):
         assert got[0, 1].x == [0.0] * 4 and got[0, 1].observed == [False] * 4 and got[0, 2].error in (0.0, 1.0)
         assert got[1, 1].x == pytest.approx([1, 2, 3, 4], abs=1e-3) and got[1, 1].error < 1e-3
         assert tensor.impute(df.where("win > 5"), model, 5, 1e-3).count() == 0
+
+
+def test_reconstruction_makes_no_python_object_of_a_cell(spark):
+    """Cells pass as arrays, in blocks, not as rows of a frame of all a batch's entities."""
+    plan = queries.QUERIES["tucker_reconstruction"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "MapInPandas" not in plan
