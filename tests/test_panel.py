@@ -274,3 +274,11 @@ def test_reconstruction_makes_no_python_object_of_a_cell(spark):
     """Cells pass as arrays, in blocks, not as rows of a frame of all a batch's entities."""
     plan = queries.QUERIES["tucker_reconstruction"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "MapInPandas" not in plan
+
+
+def test_feature_difference_joins_no_rows(spark, tmp_path):
+    rows = [("a", 1.0), ("a", None), ("b", 2e12), ("b", 1.0), ("click", 1.0), (None, 5.0), ("n", None)]
+    spark.createDataFrame(rows, "event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = queries.QUERIES["feature_difference"](spark, str(tmp_path))
+    assert {r[0] for r in got.collect()} == {"a", "n", None}
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
