@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Numbers in a block of a sum; and in a dense array that a kernel makes of a batch.
-BLOCK, BATCH = 8192, 1 << 21
+BLOCK, BATCH = 8192, 1 << 17
 
 
 @dataclass(frozen=True)

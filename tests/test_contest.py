@@ -2,6 +2,7 @@
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lattiq.operators import cells, contest, models, panel, tensor
@@ -191,3 +192,12 @@ def test_queries_of_the_final_evaluation(spark):
     rows = queries.QUERIES["cp_vs_ridge"](spark, SF).collect()
     assert len(rows) == 4 * 5 and {(r["mode"], r.lookback) for r in rows} == set(evaluation.CONFIGURATIONS)
     assert queries.QUERIES["comparison_summary"](spark, SF).count() == 4
+
+
+def test_kernels_hold_small_blocks_of_a_batch():
+    """A full Arrow batch of entities is worked through in dense arrays of 1 MB, as kernels hold several of them at once."""
+    n, size = 10_000, 84
+    batch = pa.RecordBatch.from_arrays([pa.array([[i % size] for i in range(n)], pa.list_(pa.int32())), pa.array([[float(i)] for i in range(n)])], names=["pos", "value"])
+    parts = list(cells.dense(batch, size))
+    assert max(x.nbytes for _, x in parts) <= 1 << 20
+    assert np.concatenate([at for at, _ in parts]).tolist() == list(range(n)) and sum(np.nansum(x) for _, x in parts) == n * (n - 1) / 2
