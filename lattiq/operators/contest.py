@@ -259,15 +259,34 @@ def r2(p: str):
     return F.when(spread > 1e-8, 1 - F.sum((y - F.col(p)) ** 2) / spread)
 
 
+def moments(p: str) -> list:
+    """Of a column of predictions, over the seen cells of a group that it has: their number, mean, variance, squared errors."""
+    y, seen = F.col("y"), F.col(p).isNotNull()
+    mine = F.when(seen, y)
+    return [F.count(mine).alias(f"{p}_n"), F.avg(mine).alias(f"{p}_mean"), F.var_pop(mine).alias(f"{p}_var"), F.sum((y - F.col(p)) ** 2).alias(f"{p}_sse")]
+
+
+def joint(groups: list) -> dict:
+    """n, and each model's ``r2``, of groups of cells together, from their ``moments``."""
+    out = {"n": sum(r["n"] for r in groups)}
+    for p in ("ridge", "cp"):
+        known = [r for r in groups if r[f"{p}_n"]]
+        n = sum(r[f"{p}_n"] for r in known)
+        mean = sum(r[f"{p}_n"] * r[f"{p}_mean"] for r in known) / n if n else 0.0
+        spread = sum(r[f"{p}_n"] * (r[f"{p}_var"] + (r[f"{p}_mean"] - mean) ** 2) for r in known)
+        out[p] = 1 - sum(r[f"{p}_sse"] for r in known) / spread if spread > 1e-8 else None
+    return out
+
+
 def scores(table: DataFrame, f: Fitted, p: Panel, least: int | None = None) -> tuple[list[dict], dict]:
     """Scores by feature, and pooled ones, from a table of predictions: means over the folds (of pooled ones, each
     bounded by -1), and of the held-out windows. A score needs its threshold's number of cells; a fold without a tensor
     regression counts for neither model."""
-    got = table.groupBy("cut", "feature").agg(F.count("*").alias("n"), r2("ridge").alias("ridge"), r2("cp").alias("cp"))
-    whole = table.groupBy("cut").agg(F.count("*").alias("n"), r2("ridge").alias("ridge"), r2("cp").alias("cp"))
+    got = table.groupBy("cut", "feature").agg(F.count("*").alias("n"), *[m for model in ("ridge", "cp") for m in moments(model)])
     k = len(p.axes.features)
-    by = {(r["cut"], r["feature"]): r for r in got.collect()}  # cuts x features
-    pooled = {r["cut"]: r for r in whole.collect()}
+    found = got.collect()  # cuts x features; the table is made once, its groups are put together here
+    by = {(r["cut"], r["feature"]): joint([r]) for r in found}
+    pooled = {cut: joint([r for r in found if r["cut"] == cut]) for cut in {r["cut"] for r in found}}
     folds = [i for i in range(len(f.cuts) - 1) if f.tensors[i] is not None]
 
     def mean(values):

@@ -52,23 +52,27 @@ def comparison_predictions(s, d, mode: str = "levels", lags: int = 2):
 SCORES = "ridge_cv_r2 double, cp_cv_r2 double, ridge_test_r2 double, cp_test_r2 double, delta double"
 
 
-def _persistence(s, d, lags: int) -> dict[str, float]:
-    """By feature: AR(1) persistence of the targets of the development windows."""
-    long = logged(s, d)
+def _persistence(long: DataFrame, lookbacks) -> dict[int, dict[str, float]]:
+    """By lookback and feature: AR(1) persistence of the targets of the development windows."""
     ends = long.agg(F.min("period").alias("lo"), F.max("period").alias("hi")).first()
     seen = sorted(r[0] for r in long.where("value IS NOT NULL").select("period").distinct().collect())
-    targets = [p for p in seen if ends["lo"] + lags <= p < ends["hi"]]
-    dev = targets[: int(0.8 * len(targets))]
-    if not dev:
-        return {}
-    return {r["feature"]: r["rho"] for r in panel.ar1(long.where(F.col("period").between(dev[0], dev[-1]))).collect()}
+    out = {}
+    for lags in lookbacks:
+        targets = [p for p in seen if ends["lo"] + lags <= p < ends["hi"]]
+        dev = targets[: int(0.8 * len(targets))]
+        out[lags] = {r["feature"]: r["rho"] for r in panel.ar1(long.where(F.col("period").between(dev[0], dev[-1]))).collect()} if dev else {}
+    return out
 
 
 def compared(s, d, configurations=None) -> tuple[list[dict], list[dict]]:
     """Scores by configuration and feature, with persistence, and pooled ones by configuration."""
     configurations = configurations or CONFIGURATIONS
-    rows, totals = contest.compared(logged(s, d), configurations)
-    rho = {lags: _persistence(s, d, lags) for lags in {lags for _, lags in configurations}}
+    long = logged(s, d).persist()  # read by the models and, for each lookback, by the persistence
+    try:
+        rows, totals = contest.compared(long, configurations)
+        rho = _persistence(long, {lags for _, lags in configurations})
+    finally:
+        long.unpersist()
     return [r | {"ar1_rho": rho[r["lookback"]].get(r["feature"])} for r in rows], totals
 
 
@@ -163,7 +167,7 @@ def forecast_scores(s, d) -> DataFrame:
     rows = each.select("lookback", "feature", "y", F.col("x")[0].alias("a"), (total / F.col("lookback")).alias("b"))
     gain = lambda p: 1 - F.sum((F.col("y") - F.col(p)) ** 2) / (F.count("y") * F.var_pop("y"))
     out = rows.groupBy("lookback", "feature").agg(gain("a").alias("persistence"), gain("b").alias("mean"))
-    rho = [(k, f, v) for k in LAGS for f, v in _persistence(s, d, k).items()]
+    rho = [(k, f, v) for k, of in _persistence(logged(s, d), LAGS).items() for f, v in of.items()]
     return out.join(F.broadcast(s.createDataFrame(rho, "lookback int, feature string, ar1_rho double")), ["lookback", "feature"]).select(F.lit("levels").alias("mode"), "lookback", "feature", "persistence", F.round(F.col("mean") - F.col("persistence"), 9).alias("gain"), F.round("ar1_rho", 9).alias("ar1_rho"))
 
 

@@ -201,3 +201,24 @@ def test_kernels_hold_small_blocks_of_a_batch():
     parts = list(cells.dense(batch, size))
     assert max(x.nbytes for _, x in parts) <= 1 << 20
     assert np.concatenate([at for at, _ in parts]).tolist() == list(range(n)) and sum(np.nansum(x) for _, x in parts) == n * (n - 1) / 2
+
+
+def test_scores_make_the_predictions_once(spark, long):
+    """One pass over the forecasts gives the scores by feature and the pooled ones."""
+    p = contest.load(long)
+    try:
+        f = contest.fit(p, cells.cell_gramian(p.rows, p.axes), "levels", 2, 2, 5.0, least=5)
+        table, passes = contest.predictions(p.rows, p.axes, f), spark.sparkContext.accumulator(0)
+
+        def counted(batches, held=table.columns):
+            passes.add(1)
+            yield from batches
+
+        once = table.coalesce(1).mapInArrow(counted, table.schema)
+        _, total = contest.scores(once, f, p, least=5)
+        want = {r["cut"]: r for r in table.groupBy("cut").agg(contest.r2("ridge").alias("ridge"), contest.r2("cp").alias("cp")).collect()}
+    finally:
+        p.drop()
+    assert passes.value == 1
+    assert total["ridge_test_r2"] == pytest.approx(want[contest.HELD_OUT]["ridge"], abs=1e-9)
+    assert total["cp_test_r2"] == pytest.approx(want[contest.HELD_OUT]["cp"], abs=1e-9)
