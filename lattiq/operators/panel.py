@@ -69,24 +69,53 @@ def missing_share(long: DataFrame, entities: bool) -> DataFrame:
     return seen.join(F.broadcast(axes), F.lit(True)).select(key, (cells - F.col("seen")).alias("missing"), ((cells - F.col("seen")) / cells).alias("rate"))
 
 
-def lookback(dense: DataFrame, lags: int, drop_last: bool = True, long: DataFrame | None = None) -> DataFrame:
-    """(entity, feature, win, x, y, observed): x are the values of ``lags`` periods, y that after them.
+def tasks(spark) -> int:
+    """Into how many parts rows are dealt that become many where they are: three to a core. Adaptive execution goes by the sizes of the
+    shuffle, which are small, and would leave one task to make all windows."""
+    return 3 * spark.sparkContext.defaultParallelism
 
-    ``win`` counts from the first period. Windows whose target is missing for every cell are dropped, by a semi-join
-    with the periods that have a value; ``long``, the cells before densifying, gives these without the grid. With
-    ``drop_last`` the last period is never a target.
+
+def series(long: DataFrame) -> DataFrame:
+    """(entity, feature, values, first, seen): for each entity x feature an array of the values from the first to the last period of
+    the panel, NULL where no cell is; with the first period and the sorted periods that have a value. A cell is there once at most.
+
+    Entities are dealt out once and the gaps between an entity's cells filled where they lie, so the dense grid is neither shuffled
+    nor joined. Periods and features are bounded.
+    """
+    known = F.col("value").isNotNull() & F.col("entity").isNotNull() & F.col("feature").isNotNull() & F.col("period").isNotNull()
+    axes = long.agg(
+        F.min("period").alias("first"), F.max("period").alias("last"), F.array_sort(F.collect_set("feature")).alias("features"),
+        F.array_sort(F.collect_set(F.when(known, F.col("period")))).alias("seen"),
+    )
+    cells = F.sort_array(F.collect_list(F.when(known, F.struct("feature", "period", "value"))))
+    rows = long.repartition(tasks(long.sparkSession), "entity").groupBy("entity").agg(cells.alias("cells")).join(F.broadcast(axes), F.lit(True))
+    rows = rows.select("entity", "first", "last", "seen", "cells", F.explode("features").alias("feature"))
+    rows = rows.withColumn("cells", F.filter("cells", lambda c: c["feature"] == F.col("feature")))
+    gap = lambda start, stop: F.array_repeat(F.lit(None).cast("double"), stop - start)
+    head = gap(F.col("first"), F.coalesce(F.get("cells", F.lit(0))["period"], F.col("last") + 1))
+    rest = F.transform("cells", lambda c, i: F.concat(F.array(c["value"]), gap(c["period"] + 1, F.coalesce(F.get("cells", i + 1)["period"], F.col("last") + 1))))
+    return rows.select("entity", "feature", F.concat(head, F.flatten(rest)).alias("values"), "first", "seen")
+
+
+def lookback(rows: DataFrame, lags: int, drop_last: bool = True) -> DataFrame:
+    """(entity, feature, win, x, y, observed) from ``series``: x are the values of ``lags`` periods, y that after them.
+
+    ``win`` counts from the first period. Windows whose target is missing for every cell are dropped. With ``drop_last`` the
+    last period is never a target.
     """
-    w = Window.partitionBy("entity", "feature").orderBy("period")
-    base = (dense if long is None else long).agg(F.min("period").alias("lo"), F.max("period").alias("hi"))
-    x = F.array(*[F.lag("value", k).over(w) for k in range(lags, 0, -1)])
-    rows = dense.withColumn("x", x).join(F.broadcast(base), F.lit(True))
-    rows = rows.withColumn("win", F.col("period") - F.col("lo") - lags).where(F.col("win") >= 0)
-    if drop_last:
-        rows = rows.where(F.col("period") < F.col("hi"))
-    seen = long if long is not None else dense.where("value IS NOT NULL")  # a row to a period: which ones have a value
-    some = seen.where("value IS NOT NULL").select("period").distinct()
-    rows = rows.join(F.broadcast(some), "period", "left_semi")
-    return rows.select("entity", "feature", "win", "x", F.col("value").alias("y"), F.col("value").isNotNull().alias("observed"))
+    at = lambda p: p - F.col("first")
+    targets = F.filter("seen", lambda p: (at(p) >= lags) & (at(p) < F.size("values") - int(drop_last)))
+    out = rows.select("entity", "feature", "values", "first", F.explode(targets).alias("period"))
+    out = out.select("entity", "feature", (at(F.col("period")) - lags).alias("win"), "values")  # by columns and not by a function of each target, so that Spark compiles it
+    y = F.get("values", F.col("win") + lags)
+    return out.select("entity", "feature", "win", F.slice("values", F.col("win") + 1, lags).alias("x"), y.alias("y"), y.isNotNull().alias("observed"))
+
+
+def window_rms(rows: DataFrame, lags: int) -> DataFrame:
+    """(win, rms) of the inputs of the windows of ``series``, from sums by period; a window without any value has no row."""
+    sums = rows.select(F.posexplode("values").alias("at", "v")).where("v IS NOT NULL").groupBy("at").agg(F.sum(F.col("v") * F.col("v")).alias("s"), F.count("v").alias("n"))
+    sums = sums.select("s", "n", F.explode(F.sequence(F.col("at") - lags + 1, "at")).alias("win"))
+    return sums.groupBy("win").agg((F.sqrt(F.sum("s") / F.sum("n")) + 1e-8).alias("rms"))
 
 
 def folds(n: int, k: int = 3) -> list[tuple[int, int]]:

@@ -7,27 +7,39 @@ from pyspark.sql import functions as F
 
 from lattiq.operators import folders, panel
 from lattiq.plans import evaluation, results
-from lattiq.plans.queries import LOG, P3, grid, p3, query, windows3
+from lattiq.plans.queries import LOG, P3, grid, p3, query, series3
 from lattiq.sources import panels
 
 PARTS = [(m, k) for m in ("levels", "surprise") for k in (2, 4)]
 
 
-def window_part(s, d, mode: str, lookback: int) -> DataFrame:
+def window_part(series: DataFrame, mode: str, lookback: int) -> DataFrame:
     """(mode, lookback, entity, feature, win, x, y): windows of one kind; ``surprise`` divides inputs by their window's RMS."""
-    w = windows3(s, d, lookback)
+    w = panel.lookback(series, lookback)
     if mode == "surprise":
-        cells = w.select("win", F.explode("x").alias("v"))
-        rms = cells.groupBy("win").agg((F.coalesce(F.sqrt(F.avg(F.col("v") * F.col("v"))), F.lit(1.0)) + 1e-8).alias("rms"))
-        w = w.join(F.broadcast(rms), "win").withColumn("x", F.transform("x", lambda v: v / F.col("rms")))  # a row to a period
+        rms = panel.window_rms(series, lookback)  # a row to a period; windows without a value have none, and nothing to divide
+        w = w.join(F.broadcast(rms), "win", "left").withColumn("x", F.array(*[F.get("x", F.lit(k)) / F.col("rms") for k in range(lookback)]))
     return w.select(F.lit(mode).alias("mode"), F.lit(lookback).alias("lookback"), "entity", "feature", F.col("win").cast("int").alias("win"), "x", "y")
 
 
-def build_cache(s, d, path: str, parts=PARTS) -> list[tuple[str, int]]:
-    """Builds the parts that the cache lacks; which these were."""
-    missing = [p for p in parts if p not in results.cached_parts(s, path)]
-    for mode, lookback in missing:
-        results.write_windows(window_part(s, d, mode, lookback), path)
+def held_series(s, d):
+    """The series that all parts are made of, worked out once, and a function that frees them; read in as many tasks as windows need."""
+    series, free = folders.held(series3(s, d))
+    return series.repartition(panel.tasks(s), "entity"), free
+
+
+def build_cache(s, d, path: str, parts=PARTS, series: DataFrame | None = None) -> list[tuple[str, int]]:
+    """Builds the parts that the cache lacks, all from one pass over the panel, or from its ``series``; which these were."""
+    there = results.cached_parts(s, path)
+    missing, free = [p for p in parts if p not in there], None
+    if missing and series is None:
+        series, free = held_series(s, d)
+    try:
+        for mode, lookback in missing:
+            results.write_windows(window_part(series, mode, lookback), path)
+    finally:
+        if free is not None:
+            free()
     return missing
 
 
@@ -44,12 +56,16 @@ SELECT mode, CAST(k AS INTEGER) AS lookback, entity, feature, CAST(win AS INTEGE
 def window_cache(s, d):
     """The cache of windows, built in two goes, of which the second builds what the first left out, and read back."""
     path = folders.new(s, "windows")
-    build_cache(s, d, path, PARTS[:1])
-    build_cache(s, d, path)
+    series, free = held_series(s, d)
+    try:
+        build_cache(s, d, path, PARTS[:1], series)
+        build_cache(s, d, path, series=series)
+    finally:
+        free()
     out = None
     for mode, lookback in PARTS:
         part = results.non_empty(results.load_windows(s, path, mode, lookback), f"windows of {mode}, {lookback}")
-        lag = lambda k: F.round(F.try_element_at("x", F.when(F.size("x") >= k, F.size("x") - k + 1).otherwise(F.size("x") + 1)), 6)  # noqa: B023, E731
+        lag = lambda k: F.round(F.get("x", F.lit(lookback - k)), 6)  # noqa: B023, E731  NULL beyond the lookback
         part = part.select("mode", "lookback", "entity", "feature", "win", *[lag(k).alias(f"lag{k}") for k in (4, 3, 2, 1)], F.round("y", 6).alias("y"))
         out = part if out is None else out.unionByName(part)
     return out

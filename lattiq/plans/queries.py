@@ -69,10 +69,13 @@ def p3(s, d):
     return panels.users(s, d)
 
 
+def series3(s, d) -> DataFrame:
+    """The logged third panel, an array of values for each entity x feature."""
+    return panel.series(p3(s, d).withColumn("value", scalar.log_modulus(F.col("value"))))
+
+
 def windows3(s, d, lags: int = 2) -> DataFrame:
-    long = p3(s, d)
-    dense = panel.densify(long).withColumn("value", scalar.log_modulus(F.col("value")))
-    return panel.lookback(dense, lags, long=long)
+    return panel.lookback(series3(s, d), lags)
 
 
 # ------------------------------------------------------------ scalars, scans, filters

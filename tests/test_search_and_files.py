@@ -5,6 +5,7 @@ import pytest
 
 from lattiq.operators import cells, contest, folders
 from lattiq.plans import evaluation, files, queries, results, search
+from lattiq.sources import panels
 
 SF = "/root/testdata/sf0.001"
 
@@ -64,6 +65,29 @@ def test_a_cache_builds_only_what_it_lacks(spark, tmp_path):
     assert results.load_windows(spark, path, "levels", 4) is None
 
 
+def test_all_parts_come_from_one_pass_that_several_tasks_share(spark, monkeypatch, tmp_path):
+    read = []
+    monkeypatch.setattr(queries, "p3", lambda s, d: read.append(d) or panels.users(s, d))
+    assert files.build_cache(spark, SF, f"file://{tmp_path}/cache") == files.PARTS and len(read) == 1
+    assert queries.windows3(spark, SF).rdd.getNumPartitions() > 1
+
+
+def test_windows_of_odd_events(spark, tmp_path):
+    """Gaps, days without events, users without some types, missing users, days, and values: as DuckDB has them."""
+    import duckdb
+
+    rows = [(1, "a", 1, 3.5), (1, "a", 1, -1.0), (1, "a", 2, -4.0), (1, "a", 4, 0.0), (1, "b", 4, 7.25), (1, "b", 9, 2.0), (2, "b", 1, None), (2, "b", 2, 5.0), (2, "b", 3, None), (3, "a", 8, 11.0), (3, "a", 9, 1.0),
+            (None, "a", 6, 2.0), (None, "b", 8, 4.0), (None, "b", 11, 4.0), (4, "a", None, 3.0), (5, "b", 10, None)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE events (ts TIMESTAMP, user_id BIGINT, event_type VARCHAR, value DOUBLE)")
+    con.executemany("INSERT INTO events VALUES (?::TIMESTAMP, ?, ?, ?)", [(None if day is None else f"2024-01-{day:02d} 10:00:00", user, kind, v) for user, kind, day, v in rows])
+    con.execute(f"COPY events TO '{tmp_path}/events.parquet' (FORMAT PARQUET)")
+    key = lambda r: tuple((v is not None, v) for v in r)
+    for name in ("window_cache", "lookback_windows", "window_rms"):
+        got = sorted(map(tuple, queries.QUERIES[name](spark, str(tmp_path)).collect()), key=key)
+        assert got and got == sorted(con.execute(queries.ORACLE_SQL[name]).fetchall(), key=key), name
+
+
 def test_files_of_the_final_evaluation(spark):
     folder = folders.new(spark, "test")
     one = {("levels", 2): (2, 1.0)}
