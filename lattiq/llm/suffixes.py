@@ -5,7 +5,9 @@ window of LENGTH bytes has the least hash of its GRAM-byte substrings as key, an
 equal key make one segment. Of equal texts only the first document's is cut; the others go whole. Keys
 that occur in one document only are left out. A task passes on a segment only where it first meets it,
 and settles the later documents that hold it itself, so a passage that a third of all documents share
-comes once from each task. Within a shard the segments are suffix-sorted by induced sorting: the leftmost-smaller
+comes once from each task. Within a shard, windows whose hash no other window of its distinct segments has are
+equal to none and left out, so that a shard whose segments share no more than a key sorts nothing; the stretches that
+remain, each once, are suffix-sorted by induced sorting: the leftmost-smaller
 suffixes are named by their substrings and ranked by prefix doubling where names repeat; all others are
 induced bucket by bucket from queues kept in one array, a bucket's runs of one symbol at once. The array
 lies in a file of the task's own folder beyond MEMORY suffixes. Runs of suffixes whose common prefix
@@ -35,13 +37,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattiq.llm.common import mix64, pieces, raw_text, table
+from lattiq.llm.common import PIECE, pieces, powers, raw_text, table
 
 LENGTH, GRAM = 50, 16
 SHARD_BYTES, MEMORY = 4 << 20, 1 << 25
 #: Bytes of segments that a task remembers; with more it starts anew and only passes on more of them.
 SEEN = 32 << 20
-_R = 0x9E3779B97F4A7C15
+_R, _R2 = 0x9E3779B97F4A7C15, 0xFF51AFD7ED558CCD
 
 
 def octets(data: np.ndarray) -> np.ndarray:
@@ -56,23 +58,30 @@ def run_keys(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     none = np.zeros(0, np.int64)
     if len(data) < LENGTH:
         return none, none, none, np.zeros(0, np.uint64)
-    eight = octets(data)
-    low = mix64(mix64(eight[:-8] * np.uint64(_R)) + eight[8:])  # of GRAM bytes
+    low = octets(data)[:-8] * np.uint64(_R)  # hashes of GRAM bytes
+    low ^= low >> np.uint64(32)
+    low += octets(data)[8:]
+    low *= np.uint64(_R2)
+    low ^= low >> np.uint64(29)
+    low *= np.uint64(_R)
+    low ^= low >> np.uint64(32)
     width, span = LENGTH - GRAM + 1, 1
     while span * 2 <= width:
         low = np.minimum(low[:-span], low[span:])
         span *= 2
     if span < width:
         low = np.minimum(low[: len(low) - (width - span)], low[width - span :])
-    row = np.searchsorted(offsets, np.arange(len(low)), "right") - 1
-    inside = np.arange(len(low)) + LENGTH <= offsets[row + 1]
-    new = np.ones(len(low), bool)
-    new[1:] = (low[1:] != low[:-1]) | (row[1:] != row[:-1]) | ~inside[:-1]
-    begin = np.flatnonzero(new & inside)
-    stop = np.flatnonzero(new | ~inside)
-    stop = np.append(stop, len(low))
-    end = stop[np.searchsorted(stop, begin, "right")]
-    return row[begin], begin - offsets[row[begin]], end - begin + LENGTH - 1, low[begin]
+    cut = np.ones(len(low), bool)  # a segment or a stretch without windows begins
+    np.not_equal(low[1:], low[:-1], out=cut[1:])
+    cut[offsets[offsets < len(low)]] = True
+    outside = np.zeros(len(low), bool)  # windows that would reach beyond their row
+    beyond = (offsets[1:, None] - np.arange(1, LENGTH)).ravel()
+    outside[beyond[(beyond >= 0) & (beyond < len(low))]] = True
+    cut = np.flatnonzero(cut | outside)
+    window = np.flatnonzero(~outside[cut])
+    begin, end = cut[window], np.append(cut, len(low))[window + 1]
+    row = np.searchsorted(offsets, begin, "right") - 1
+    return row, begin - offsets[row], end - begin + LENGTH - 1, low[begin]
 
 
 # ---------------------------------------------------------------- suffix sorting
@@ -230,10 +239,36 @@ def least_documents(segments: list[bytes], lows: np.ndarray) -> list[np.ndarray]
     return [out[a : a + n - LENGTH + 1] for a, n in zip(starts, lengths)]
 
 
+def _ranges(first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each place i the n[i] numbers from first[i] on: (i, number)."""
+    i = np.repeat(np.arange(len(n)), n)
+    return i, np.arange(len(i)) + (first - (np.cumsum(n) - n))[i]
+
+
+def repeated(segments: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Stretches of windows that may be equal to another window of the segments: segment, start in it, bytes. A window
+    whose hash no other has is equal to none; whether the rest are equal is left to the sort."""
+    lengths = np.array([len(x) for x in segments], np.int64)
+    starts = np.cumsum(lengths) - lengths
+    of, window = _ranges(starts, lengths - LENGTH + 1)
+    eight, low = octets(np.frombuffer(b"".join(segments), np.uint8)), np.zeros(len(window), np.uint64)
+    for k, c in zip([*range(0, LENGTH - 8, 8), LENGTH - 8], powers(_R, LENGTH)[1:]):
+        low += eight[window + k] * c
+    by = np.argsort(low)
+    low = low[by]
+    same = np.flatnonzero(low[1:] == low[:-1])
+    twice = np.zeros(len(window), bool)
+    twice[by[same]] = twice[by[same + 1]] = True
+    of, window = of[twice], window[twice]
+    begin = np.flatnonzero(np.append(True, window[1:] != window[:-1] + 1)[: len(window)])
+    end = np.append(begin[1:], len(window))[: len(begin)] - 1
+    return of[begin], window[begin] - starts[of[begin]], window[end] - window[begin] + LENGTH
+
+
 # ---------------------------------------------------------------- over Spark
 
 
-def _segments(batch: pa.RecordBatch, part: int = 1 << 20):
+def _segments(batch: pa.RecordBatch, part: int = PIECE):
     """Arrays (row, start, bytes, key) of the segments of a batch's texts, piece by piece, with the piece's bytes."""
     data, offsets = raw_text(batch.column("text"))
     for lo, hi in pieces(offsets, part):
@@ -350,20 +385,28 @@ def _sort(t: pa.Table) -> pa.Table:
     doc, start = own.column("doc_id").to_numpy(), own.column("start").to_numpy().astype(np.int64)
     index: dict[bytes, int] = {}
     kind = np.array([index.setdefault(x, len(index)) for x in own.column("segment").to_pylist()], np.int64)
-    at, begin, end = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    if len(index):
-        lows = np.full(len(index), np.iinfo(np.int64).max)
-        np.minimum.at(lows, kind, doc)
-        least = least_documents(list(index), lows)
-        size = np.array([len(x) for x in least])
-        flat, first = np.concatenate(least), np.cumsum(size) - size
-        at = np.repeat(np.arange(len(doc)), size[kind])
-        nth = np.arange(len(at)) - np.repeat(np.cumsum(size[kind]) - size[kind], size[kind])
-        gone = flat[first[kind[at]] + nth] < doc[at]
-        at, begin = at[gone], start[at[gone]] + nth[gone]
-        new = np.flatnonzero(np.append(True, (at[1:] != at[:-1]) | (begin[1:] != begin[:-1] + 1))[: len(at)])
-        end = (begin[np.append(new[1:], len(at)) - 1] if len(at) else begin) + LENGTH
-        at, begin = at[new], begin[new]
+    segments, lows = list(index), np.full(len(index), np.iinfo(np.int64).max)
+    np.minimum.at(lows, kind, doc)
+    of, first, n = repeated(segments)
+    index = {}
+    part = np.array([index.setdefault(segments[i][a : a + m], len(index)) for i, a, m in zip(of.tolist(), first.tolist(), n.tolist())], np.int64)
+    least = np.full(len(index), np.iinfo(np.int64).max)
+    np.minimum.at(least, part, lows[of])
+    size = np.array([len(x) - LENGTH + 1 for x in index], np.int64)
+    flat = np.concatenate(least_documents(list(index), least)) if len(index) else least
+    # a row of a segment that a smaller document has goes whole; the others by their windows, stretch by stretch
+    mine, count, head = np.flatnonzero(doc == lows[kind]), np.bincount(of, minlength=len(segments)), np.cumsum(size) - size
+    i, k = _ranges((np.cumsum(count) - count)[kind[mine]], count[kind[mine]])
+    j, window = _ranges(head[part[k]], size[part[k]])
+    at, k = mine[i[j]], k[j]
+    gone = flat[window] < doc[at]
+    at, begin = at[gone], (start[at] + first[k] + window - head[part[k]])[gone]
+    new = np.flatnonzero(np.append(True, (at[1:] != at[:-1]) | (begin[1:] != begin[:-1] + 1))[: len(at)])
+    end = (begin[np.append(new[1:], len(at)) - 1] if len(at) else begin) + LENGTH
+    at, begin = at[new], begin[new]
+    whole = np.flatnonzero(doc > lows[kind])
+    end = np.concatenate([end, start[whole] + own.column("n").to_numpy()[whole]])
+    at, begin = np.concatenate([at, whole]), np.concatenate([begin, start[whole]])
     spans = pa.table({"doc_id": doc[at], "text_no": own.column("text_no").to_numpy()[at], "start": begin.astype(np.int32), "n": (end - begin).astype(np.int32)})
     return pa.concat_tables([spans, rest.select(["doc_id", "text_no", "start", "n"]).cast(spans.schema)])
 

@@ -83,3 +83,25 @@ def test_mixing_of_a_source_without_words(spark):
     got = sorted((r.doc_id, r.size, r.source_size, r.taken <= 3 * r.size, r.taken if r.size == 0 else None) for r in mixing.mix_counts(t).collect())
     assert got == [(1, 0, 0, True, 0), (2, 0, 0, True, 0), (3, 3, 3, True, None), (4, 1, 2, True, None), (4, 1, 2, True, None)]
     assert mixing.mix_counts(t.limit(0)).count() == mixing.mix(t.limit(0)).count() == 0
+
+
+def test_suffixes_sort_only_what_may_repeat(monkeypatch):
+    """Segments that share little with others are not sorted, and the spans are those of all windows."""
+    import pyarrow as pa
+
+    letters = random.Random(5)
+    draw = lambda n: "".join(letters.choice("abcdefgh") for _ in range(n))
+    shared, gram = draw(70), draw(16)
+    rows = [(10 * i, draw(34) + gram + draw(34)) for i in range(200)] + [(5, draw(30) + shared), (7, shared + draw(30)), (8, "x" + shared[3:60] + "y"), (9, twice := draw(60)), (11, twice), (11, twice)]
+    sorted_, real = [], suffixes.suffix_order
+    monkeypatch.setattr(suffixes, "suffix_order", lambda s, level=0: (level or sorted_.append(len(s)), real(s, level))[1])
+    t = pa.table({"doc_id": [i for i, _ in rows], "text_no": pa.array([1] * len(rows), pa.int32()), "start": pa.array([100 * k for k in range(len(rows))], pa.int32()), "n": pa.array([len(x) for _, x in rows], pa.int32()), "segment": pa.array([x.encode() for _, x in rows], pa.binary())})
+    got = sorted((r["doc_id"], r["start"], r["n"]) for r in suffixes._sort(t).to_pylist())
+    want = []
+    for k, (i, x) in enumerate(rows):
+        gone = [a for a in range(len(x) - 49) if any(j < i and x[a : a + 50] in y for j, y in rows)]
+        if gone:
+            assert gone == list(range(gone[0], gone[-1] + 1))
+            want.append((i, 100 * k + gone[0], gone[-1] + 50 - gone[0]))
+    assert got == sorted(want) and len(got) == 4
+    assert sum(sorted_) < 400  # of 14,000 bytes
