@@ -227,3 +227,34 @@ def test_affinity_rows_keep_few_messages_and_no_old_rounds(spark, monkeypatch, c
     df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "id long, x array<double>")
     got = [r.cluster for r in affinity.clusters(df, rounds=40).orderBy("id").collect()]
     assert got == models.affinity_propagation(x, steps=40).tolist() and max(most) < 240 * 240 / 4 and not open_
+
+
+@pytest.mark.parametrize("counts", [(40,), (3, 1, 1, 2), (1, 1, 1, 1, 5)])
+def test_equal_points_are_one_row(spark, monkeypatch, counts):
+    """Copies in any number and order cost no rows, and get what single points get; in long doubles, as rounding tells copies apart."""
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(len(counts) * 10 if len(counts) > 1 else 1, 2)) + rng.integers(0, 4, (1, 2))
+    x = np.repeat(base, np.resize(counts, len(base)), axis=0)
+    x = x[rng.permutation(len(x))]
+    real, most = affinity.held, []
+
+    def counted(df):
+        got, free = real(df)
+        most.append(got.count())
+        return got, free
+
+    monkeypatch.setattr(affinity, "held", counted)
+    df = spark.createDataFrame([(7 * i, v) for i, v in enumerate(x.tolist())], "id long, x array<double>")
+    got = [r.cluster for r in affinity.clusters(df, rounds=30).orderBy("id").collect()]
+    assert got == models.affinity_propagation(x.astype(np.longdouble), steps=30).tolist() and max(most) == len(base)
+
+
+def test_equal_panels_have_equal_profiles(spark, tmp_path):
+    """To the last bit, however the rows lie."""
+    for name, key in (("lineitem", "l_suppkey"), ("supplier", "s_suppkey")):
+        t = spark.read.parquet(f"{SF}/{name}.parquet")
+        copies = [t.withColumn(key, (t[key] + 1000 * i).cast(t.schema[key].dataType)).repartition(3 + i) for i in range(3)]
+        copies[0].union(copies[1]).union(copies[2]).write.parquet(f"{tmp_path}/{name}.parquet")
+    spark.read.parquet(f"{SF}/nation.parquet").write.parquet(f"{tmp_path}/nation.parquet")
+    rows = queries._profiles(spark, str(tmp_path)).collect()
+    assert len(rows) == 3 * len({tuple(r.x) for r in rows})
